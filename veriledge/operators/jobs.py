@@ -3,7 +3,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from veriledge import schemas as S
 from veriledge.functions import scalars as fn
@@ -159,7 +158,7 @@ def _budget_machine() -> Machine:
             return used, (False, ",".join(broken), *used)
         return after, (True, "", *after)
 
-    output = StructType.fromDDL("admitted boolean, exceeded string, used_calls bigint, "
+    output = S.flat("admitted boolean, exceeded string, used_calls bigint, "
                                 "used_tokens bigint, used_cost_microunits bigint")
     return Machine(start, step, (*amounts, *[f"max_{a}" for a in amounts]), output)
 
@@ -224,7 +223,7 @@ def _lease_machine() -> Machine:
         return ([status, owner, expiry, attempts],
                 (problem == "", problem, status, owner, expiry, attempts))
 
-    output = StructType.fromDDL("granted boolean, problem string, job_status string, "
+    output = S.flat("granted boolean, problem string, job_status string, "
                                 "lease_owner string, lease_expires_at double, attempts bigint")
     return Machine(start, step, ("kind", "worker_id", "at", "status", "lease_seconds"), output)
 

@@ -122,7 +122,7 @@ def build_ledger(events: DataFrame, order: list[str], receipts: DataFrame | None
 
     head, tail = fn.envelope_parts(mode=mode)
     parts = accepted.withColumn("__head", head).withColumn("__tail", tail)
-    output = StructType.fromDDL("sequence bigint, previous_hash string, event_hash string")
+    output = S.flat("sequence bigint, previous_hash string, event_hash string")
     chained = ordered_fold(parts, LEDGER, order, _chain_machine(output), partitions)
     names = S.EVENT.fieldNames()
     done = chained.withColumn("schema_version", F.lit(1)).select(*names, "violations")

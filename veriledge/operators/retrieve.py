@@ -8,34 +8,18 @@ from pyspark.sql import functions as F
 
 from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import is_blank
-from veriledge.session import BROADCAST_ROW_LIMIT, broadcast_if_bounded, is_bounded
+from veriledge.session import (
+    BROADCAST_ROW_LIMIT, broadcast_if_bounded, is_bounded, materialise,
+)
 
 _SALTS = 32
 
 
-def _with_counts(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """Add ``array<struct<term, tf>>`` per row, without leaving the row.
-
-    Sorting the tokens puts equal ones side by side; the distances between the places where a new
-    token starts are the counts. One projection per array, so that each is computed once.
-    """
-    return (
-        df.select(*keep, F.array_sort(fn.terms(text)).alias("__tokens"))
-        .where(F.size("__tokens") > 0)
-        .select(*keep, "__tokens", F.expr(
-            "filter(sequence(0, size(__tokens) - 1), "
-            "i -> i = 0 or get(__tokens, i) <> get(__tokens, i - 1))").alias("__starts"))
-        .select(*keep, F.expr(
-            "transform(__starts, (at, j) -> named_struct('term', get(__tokens, at), 'tf', "
-            "coalesce(get(__starts, j + 1), size(__tokens)) - at))").alias("__counts"))
-    )
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, cutoff_date, term, qtf) from (query_id, query, cutoff_date)."""
-    return (_with_counts(queries, "query", ["query_id", "cutoff_date"])
-            .select("query_id", "cutoff_date", F.explode("__counts").alias("t"))
-            .select("query_id", "cutoff_date", "t.term", F.col("t.tf").alias("qtf")))
+    return (queries.select("query_id", "cutoff_date", F.explode(fn.terms("query")).alias("term"))
+            .groupBy("query_id", "cutoff_date", "term")
+            .agg(F.count(F.lit(1)).alias("qtf")))
 
 
 def document_frequency(corpus: DataFrame, text: str = "content",
@@ -52,36 +36,37 @@ def weighted_query_terms(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Query terms with the inverse frequency of the *whole* corpus, before any cutoff."""
     terms = query_terms(queries)
     frequency = document_frequency(corpus, vocabulary=terms)
-    total = corpus.agg(F.count(F.lit(1)).alias("__n"))
+    total = corpus.count()  # a scalar of the whole corpus
     return (
         terms.join(broadcast_if_bounded(frequency), "term")
-        .crossJoin(F.broadcast(total))  # one row
-        .withColumn("weight", F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1)
-        .drop("__n", "df")
+        .withColumn("weight", F.log(F.lit(float(total + 1)) / (F.col("df") + 1)) + 1)
+        .drop("df")
     )
 
 
 def lexical_term_join(weighted: DataFrame, corpus: DataFrame) -> DataFrame:
     """Scores of every (query, document) that share a term, one row each.
 
-    Documents are placed by id once; exploding, joining and summing then happen where the
-    document is, so the (query, document) pairs themselves are never shuffled. A query set too
-    large to broadcast is joined on a salted term instead.
+    Documents are placed by id once. Counting terms and summing scores are then grouped by a key
+    that starts with that id, so neither the postings nor the (query, document) pairs are
+    shuffled. Only words that some query has are kept after tokenising. A query set too large to
+    broadcast is joined on a salted term instead.
     """
     keep = ["snapshot_id", "publication_date"]
-    counted = _with_counts(corpus, "content", keep)
-    if is_bounded(weighted, BROADCAST_ROW_LIMIT):
-        placed = counted.repartition(F.col("snapshot_id"))
-        postings = placed.select(*keep, F.explode("__counts").alias("t")).select(
-            *keep, "t.term", "t.tf")
+    placed = corpus.select(*keep, "content").repartition(F.col("snapshot_id"))
+    words = placed.select(*keep, F.explode(fn.terms("content")).alias("term"))
+    small = is_bounded(weighted, BROADCAST_ROW_LIMIT)
+    if small:
+        words = words.join(F.broadcast(weighted.select("term").distinct()), "term", "left_semi")
+    postings = words.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if small:
         joined = postings.join(F.broadcast(weighted), "term")
     else:
-        postings = counted.select(*keep, F.explode("__counts").alias("t")).select(
-            *keep, "t.term", "t.tf",
-            F.pmod(F.xxhash64("snapshot_id"), F.lit(_SALTS)).alias("__salt"))
         salted = weighted.withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long"))
-        joined = postings.join(salted, ["term", "__salt"])
+            "__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
+        joined = postings.withColumn(
+            "__salt", F.pmod(F.xxhash64("snapshot_id"), F.lit(_SALTS))).join(
+            salted, ["term", "__salt"])
     return (
         joined.where(F.col("publication_date") <= F.col("cutoff_date"))
         .groupBy("query_id", "snapshot_id")
@@ -90,13 +75,14 @@ def lexical_term_join(weighted: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
-                 digits: int | None = None) -> DataFrame:
+                 digits: int = 6) -> DataFrame:
     """The best ``k`` documents per query, ties by id. Columns query_id, rank, snapshot_id,
-    score. ``digits`` rounds scores before ranking, so that sums taken in another order tie alike.
+    score. Scores are rounded before ranking, so that sums taken in another order tie alike.
     """
-    scored = lexical_term_join(weighted_query_terms(queries, corpus), corpus)
-    if digits is not None:
-        scored = scored.withColumn("score", F.round("score", digits))
+    # Used twice below and far smaller than the corpus it was counted from.
+    weighted = materialise(weighted_query_terms(queries, corpus))
+    scored = lexical_term_join(weighted, corpus).withColumn(
+        "score", F.round("score", digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "snapshot_id")
     return (scored.where("score <> 0").withColumn("rank", F.row_number().over(best))
             .where(F.col("rank") <= k)

@@ -5,7 +5,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from veriledge import schemas as S
 from veriledge.functions import scalars as fn
@@ -43,7 +42,7 @@ def request_counts(requests: DataFrame) -> DataFrame:
     return requests.groupBy("method", "route", "status").agg(F.count(F.lit(1)).alias("requests"))
 
 
-CIRCUIT_OUTPUT = StructType.fromDDL(
+CIRCUIT_OUTPUT = S.flat(
     "verdict string, prior_state string, next_state string, event_type string, "
     "reason string, failures bigint, opened_at double, probe_operation_id string, "
     "probe_started_at double")
@@ -130,7 +129,7 @@ def circuit_events(replayed: DataFrame) -> DataFrame:
         F.col("reason").alias("reason_code"), F.col("at").alias("occurred_at"))
 
 
-TOKEN_OUTPUT = StructType.fromDDL("allowed boolean, retry_after bigint, tokens_left double")
+TOKEN_OUTPUT = S.flat("allowed boolean, retry_after bigint, tokens_left double")
 
 
 def token_bucket_machine(per_minute: int = 600, burst: int = 100) -> Machine:

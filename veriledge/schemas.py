@@ -92,59 +92,63 @@ LOCATOR = T.StructType([
 ])
 
 
-def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(),
+          "double": T.DoubleType(), "boolean": T.BooleanType()}
 
 
-EVENT = _fields(
+def flat(spec: str, **nested: T.DataType) -> T.StructType:
+    """``"name type, ..."`` of plain types, followed by nested members."""
+    members = [item.split() for item in spec.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in members]
+                        + [T.StructField(name, kind) for name, kind in nested.items()])
+
+
+EVENT = flat(
     "schema_version int, sequence bigint, event_id string, occurred_at string, "
     "tenant_id string, job_id string, aggregate_type string, aggregate_id string, "
     "event_type string, payload string, idempotency_key string, previous_hash string, "
     "event_hash string"
 )
-GOLD_EVIDENCE = (
-    "struct<evidence_id:string,doc_id:string,relation:string,"
-    "locator:struct<offset:bigint,page_no:bigint>,content_sha256:string,"
-    "publication_date:string,oracle_scope:string,snapshot_id:string,source_url:string,"
-    "doi:string,license_spdx:string,source_locator:string>"
-)
-CHALLENGE = _fields(
+GOLD_EVIDENCE = flat(
+    "evidence_id string, doc_id string, relation string, content_sha256 string, "
+    "publication_date string, oracle_scope string, snapshot_id string, source_url string, "
+    "doi string, license_spdx string, source_locator string", locator=LOCATOR)
+CHALLENGE = flat(
     "schema_version int, challenge_id string, benchmark_track string, split string, "
     "task_family string, leakage_group string, prompt string, cutoff_date string, "
-    "counterevidence_exists boolean, expected_decision string, "
-    f"accepted_evidence array<{GOLD_EVIDENCE}>, "
-    "construction_provenance struct<source:string,curator:string,status:string>"
-)
-SNAPSHOT = _fields(
+    "counterevidence_exists boolean, expected_decision string",
+    accepted_evidence=T.ArrayType(GOLD_EVIDENCE),
+    construction_provenance=flat("source string, curator string, status string"))
+SNAPSHOT = flat(
     "schema_version int, snapshot_id string, content string, content_sha256 string, "
     "source_url string, doi string, source_locator string, publication_date string, "
-    "retrieved_at string, license_spdx string, attribution string, normalization string"
-)
-OBSERVATION = _fields(
+    "retrieved_at string, license_spdx string, attribution string, normalization string")
+OBSERVATION = flat(
     "schema_version int, snapshot_id string, source_url string, doi string, "
     "source_locator string, observed_at string, status string, content string, "
-    "content_sha256 string, retrieval struct<method:string,actor:string,"
-    "independently_verified:boolean,receipt_sha256:string>"
-)
-PREDICTION = _fields(
+    "content_sha256 string",
+    retrieval=flat("method string, actor string, independently_verified boolean, "
+                   "receipt_sha256 string"))
+CITATION = T.StructType([
+    T.StructField("doc_id", T.StringType()), T.StructField("relation", T.StringType()),
+    T.StructField("locator", LOCATOR), T.StructField("content_sha256", T.StringType()),
+])
+PREDICTION = flat(
     "schema_version int, challenge_id string, run_id string, method_id string, status string, "
     "predicted_decision string, counterevidence_probability double, "
-    "evidence array<struct<doc_id:string,relation:string,"
-    "locator:struct<offset:bigint,page_no:bigint>,content_sha256:string>>, "
     "calls bigint, tokens bigint, ledger_head string, ledger_event_count bigint, "
-    "ledger_relpath string, prediction_commitment_sha256 string"
-)
-METHOD_REGISTRY = _fields(
-    "schema_version int, budget struct<max_calls:bigint,max_tokens:bigint>, "
-    "methods array<struct<method_id:string,support_retrieval:boolean,"
-    "external_counter_retrieval:boolean,cedg:boolean,memory:string,decision_mode:string>>"
-)
+    "ledger_relpath string, prediction_commitment_sha256 string",
+    evidence=T.ArrayType(CITATION))
+METHOD = flat("method_id string, support_retrieval boolean, external_counter_retrieval boolean, "
+              "cedg boolean, memory string, decision_mode string")
+METHOD_REGISTRY = flat("schema_version int", methods=T.ArrayType(METHOD),
+                       budget=flat("max_calls bigint, max_tokens bigint"))
 
 # Table catalogue: columns, keys and references. Spark does not enforce keys, so
 # sources.registry.table_violations checks them.
 RUNTIME_TABLES = {
     "jobs": {
-        "schema": _fields(
+        "schema": flat(
             "job_id string, tenant_id string, idempotency_key string, task string, "
             "status string, stage string, version bigint, lease_owner string, "
             "lease_expires_at double, attempts bigint, max_calls bigint, max_tokens bigint, "
@@ -156,21 +160,21 @@ RUNTIME_TABLES = {
         "nullable": ("lease_owner", "lease_expires_at", "last_error_code"),
     },
     "checkpoints": {
-        "schema": _fields("job_id string, stage string, checkpoint_key string, "
+        "schema": flat("job_id string, stage string, checkpoint_key string, "
                           "payload string, created_at double"),
         "keys": [("job_id", "checkpoint_key")],
         "refs": [(("job_id",), "jobs", ("job_id",))],
         "nullable": (),
     },
     "usage_ledger": {
-        "schema": _fields("job_id string, charge_key string, provider string, calls bigint, "
+        "schema": flat("job_id string, charge_key string, provider string, calls bigint, "
                           "tokens bigint, cost_microunits bigint, created_at double"),
         "keys": [("job_id", "charge_key")],
         "refs": [(("job_id",), "jobs", ("job_id",))],
         "nullable": (),
     },
     "artifacts": {
-        "schema": _fields("tenant_id string, job_id string, logical_key string, "
+        "schema": flat("tenant_id string, job_id string, logical_key string, "
                           "content_sha256 string, size_bytes bigint, media_type string, "
                           "created_at double"),
         "keys": [("tenant_id", "job_id", "logical_key")],
@@ -178,7 +182,7 @@ RUNTIME_TABLES = {
         "nullable": (),
     },
     "strategies": {
-        "schema": _fields("strategy_id string, tenant_id string, strategy_key string, "
+        "schema": flat("strategy_id string, tenant_id string, strategy_key string, "
                           "kind string, pattern string, source_job_id string, "
                           "source_task_family string, status string, created_at double, "
                           "updated_at double"),
@@ -187,7 +191,7 @@ RUNTIME_TABLES = {
         "nullable": (),
     },
     "applications": {
-        "schema": _fields("application_id string, strategy_id string, tenant_id string, "
+        "schema": flat("application_id string, strategy_id string, tenant_id string, "
                           "target_job_id string, target_task_family string, "
                           "rendered_query_sha256 string, idempotency_key string, "
                           "created_at double"),
@@ -196,7 +200,7 @@ RUNTIME_TABLES = {
         "nullable": (),
     },
     "outcomes": {
-        "schema": _fields("application_id string, evaluator_kind string, success boolean, "
+        "schema": flat("application_id string, evaluator_kind string, success boolean, "
                           "false_gap_avoided boolean, valid_finding_delta double, "
                           "calls bigint, tokens bigint, evidence_ref string, "
                           "recorded_at double"),
@@ -205,7 +209,7 @@ RUNTIME_TABLES = {
         "nullable": (),
     },
     "policy_outbox": {
-        "schema": _fields("event_id string, tenant_id string, event_type string, "
+        "schema": flat("event_id string, tenant_id string, event_type string, "
                           "aggregate_type string, aggregate_id string, payload string, "
                           "idempotency_key string, created_at double, dispatched_at double"),
         "keys": [("event_id",), ("tenant_id", "idempotency_key")],
@@ -213,7 +217,7 @@ RUNTIME_TABLES = {
         "nullable": ("dispatched_at",),
     },
     "sequence_interventions": {
-        "schema": _fields("tenant_id string, run_id string, method_id string, "
+        "schema": flat("tenant_id string, run_id string, method_id string, "
                           "sequence_index bigint, challenge_id string, order_sha256 string, "
                           "memory_mode string, strategy_ids string, created_at double"),
         "keys": [("tenant_id", "run_id", "method_id", "sequence_index"),
@@ -222,7 +226,7 @@ RUNTIME_TABLES = {
         "nullable": (),
     },
     "model_operations": {
-        "schema": _fields("operation_id string, request_sha256 string, status string, "
+        "schema": flat("operation_id string, request_sha256 string, status string, "
                           "response_text string, input_tokens bigint, output_tokens bigint, "
                           "request_id string, created_at double, completed_at double"),
         "keys": [("operation_id",)],
@@ -231,14 +235,14 @@ RUNTIME_TABLES = {
                      "completed_at"),
     },
     "retrieval_operations": {
-        "schema": _fields("operation_id string, request_sha256 string, status string, "
+        "schema": flat("operation_id string, request_sha256 string, status string, "
                           "response_json string, created_at double, completed_at double"),
         "keys": [("operation_id",)],
         "refs": [],
         "nullable": ("response_json", "completed_at"),
     },
     "operation_reconciliations": {
-        "schema": _fields("reconciliation_id bigint, operation_kind string, "
+        "schema": flat("reconciliation_id bigint, operation_kind string, "
                           "operation_id string, request_sha256 string, prior_status string, "
                           "action string, actor string, reason string, "
                           "evidence_receipt_sha256 string, reconciled_at double"),
@@ -247,7 +251,7 @@ RUNTIME_TABLES = {
         "nullable": (),
     },
     "circuit_events": {
-        "schema": _fields("event_id bigint, circuit_id string, operation_id string, "
+        "schema": flat("event_id bigint, circuit_id string, operation_id string, "
                           "event_type string, prior_state string, next_state string, "
                           "reason_code string, occurred_at double"),
         "keys": [("event_id",)],

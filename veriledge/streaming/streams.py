@@ -104,7 +104,7 @@ def _chain_machine() -> Machine:
         return [count + 1, row["event_hash"], ""], (True, count + 1, "")
 
     return Machine(start, step, ("sequence", "previous_hash", "calculated_hash", "event_hash"),
-                   StructType.fromDDL("ok boolean, verified bigint, error string"))
+                   S.flat("ok boolean, verified bigint, error string"))
 
 
 def stream_verify_chain(events: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _claim_machine() -> Machine:
         return [current, relations, counter], (current, problem)
 
     return Machine(start, step, ("event_type", "intent", "relation", "to_state", "boundary"),
-                   StructType.fromDDL("state string, problem string"))
+                   S.flat("state string, problem string"))
 
 
 def stream_claim_state(log: DataFrame) -> DataFrame:
