@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veriledge.functions.contracts import Rule, with_violations
 from veriledge.functions.hooks import MetricSpec, default_metrics
-from veriledge.session import is_bounded
+from veriledge.session import is_bounded, materialise
 
 PAIR = ["reference", "treatment"]
 TEST = [*PAIR, "metric"]
@@ -229,7 +229,8 @@ def compare_methods(scored: DataFrame, reference: str, iterations: int = 10_000,
                     seed: int = 20260812, metrics: tuple[MetricSpec, ...] | None = None
                     ) -> DataFrame:
     """One row per treatment and metric with effect, interval and corrected p-value."""
-    clusters = cluster_effects(scored, reference, metrics)
+    # A few rows per test, read by every statistic below.
+    clusters = materialise(cluster_effects(scored, reference, metrics))
     pvalues = sign_flip_exact(clusters).unionByName(
         sign_flip_monte_carlo(clusters, iterations, seed))
     joined = (effects(clusters).join(cluster_bootstrap_ci(clusters, iterations, seed), TEST)

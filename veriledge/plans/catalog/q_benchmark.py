@@ -9,6 +9,7 @@ from veriledge.operators import rows, score, stats
 from veriledge.plans import composites
 from veriledge.plans.catalog.q_scalars import _CLASS, SPACE
 from veriledge.plans.catalog.registry import query
+from veriledge.session import materialise
 
 GOLD = ("gold", "gold_evidence")
 BOTH = (*GOLD, "predicted", "predicted_evidence")
@@ -225,7 +226,7 @@ def _(t):
         F.struct("doc_id", "relation", "locator_kind", "position", "content_sha256"))
         .alias("gold"))
     mine = t.predictions().select("challenge_id", "method_id", F.transform(
-        "evidence", fn.evidence_key).alias("mine"))
+        "evidence", lambda e: fn.evidence_key(e)).alias("mine"))
     joined = mine.join(gold, "challenge_id", "left")
     return joined.select("challenge_id", "method_id", F.coalesce(F.size(evidence_intersect(
         "mine", "gold")), F.lit(0)).alias("matched"))
@@ -480,15 +481,16 @@ _CLUSTERS = f"""{_ITEMS},
 
 
 def clusters(t):
-    return stats.cluster_effects(scored(t), "alpha")
+    return materialise(stats.cluster_effects(scored(t), "alpha"))
 
 
 @query("A14_cluster_effects", *BOTH, sql=f"""WITH {_CLUSTERS}
-    SELECT treatment, metric, leakage_group, round(difference, 6) AS difference, observations
+    SELECT treatment, metric, leakage_group, round(difference + 1e-9, 6) AS difference, observations
     FROM clusters""")
 def _(t):
     return clusters(t).select("treatment", "metric", "leakage_group",
-                              F.round("difference", 6).alias("difference"), "observations")
+                              F.round(F.col("difference") + 1e-9, 6).alias("difference"),
+                              "observations")
 
 
 @query("E01_metric_spec", *BOTH, sql=f"""WITH {_ITEMS}
