@@ -16,6 +16,7 @@ from veriledge.functions.contracts import (
     Rule, any_of, is_missing, violation_codes, with_violations,
 )
 from veriledge.operators.ledger import LEDGER, verify_chain
+from veriledge.session import materialise
 
 _MAX_TRANSITIONS = 4
 REQUIRED = {
@@ -174,7 +175,9 @@ def claim_projection(events: DataFrame) -> DataFrame:
         Rule("refuted_without_edge", moving & (target == "REFUTED")
              & ~(seen("first_CONTRADICTS") | seen("first_PRECEDENT_FOR"))),
     ]
-    checked = with_violations(joined, rules)
+    # Read twice: to find where each ledger stops, and to mark what came before.
+    checked = materialise(with_violations(joined, rules).select(
+        *LEDGER, "sequence", "event_id", "event_type", *_TEXT, *_COUNTS, "violations"))
     stop = (checked.where(F.size("violations") > 0).groupBy(*LEDGER)
             .agg(F.min("sequence").alias("stopped_at")))
     return (checked.join(stop, LEDGER, "left")
@@ -185,36 +188,38 @@ def claim_projection(events: DataFrame) -> DataFrame:
 
 def claim_states(projected: DataFrame) -> DataFrame:
     """Final claims of a projection: state, boundary, reason and version."""
-    applied = projected.where("applied")
-    base = (applied.where(F.col("event_type") == "claim.proposed")
-            .select(*LEDGER, "claim_id", "text", "scope"))
-    moved = (applied.where(F.col("event_type") == "claim.transitioned")
-             .groupBy(*LEDGER, "claim_id").agg(
-                 F.max_by("to_state", "sequence").alias("__state"),
-                 F.max_by("reason", "sequence").alias("__reason"),
-                 F.max_by("boundary", F.when(F.col("boundary").isNotNull(), F.col("sequence")))
-                 .alias("__boundary"),
-                 F.count(F.lit(1)).alias("__moves")))
-    return base.join(moved, [*LEDGER, "claim_id"], "left").select(
+    proposed = F.col("event_type") == "claim.proposed"
+    moved = F.col("event_type") == "claim.transitioned"
+    per_claim = projected.where(F.col("applied") & (proposed | moved)).groupBy(
+        *LEDGER, "claim_id").agg(
+        F.max(F.when(proposed, F.col("text"))).alias("text"),
+        F.max(F.when(proposed, F.col("scope"))).alias("scope"),
+        F.max_by("to_state", F.when(moved, F.col("sequence"))).alias("state"),
+        F.max_by("boundary", F.when(moved & F.col("boundary").isNotNull(), F.col("sequence")))
+        .alias("boundary"),
+        F.max_by("reason", F.when(moved, F.col("sequence"))).alias("reason"),
+        F.count_if(moved).alias("moves"), F.bool_or(proposed).alias("known"))
+    return per_claim.where("known").select(
         *LEDGER, "claim_id", "text", "scope",
-        F.coalesce("__state", F.lit("PROPOSED")).alias("state"),
-        F.coalesce("__boundary", F.lit("")).alias("boundary"),
-        F.coalesce("__reason", F.lit("")).alias("reason"),
-        (F.coalesce("__moves", F.lit(0)) + 1).alias("version"))
+        F.coalesce("state", F.lit("PROPOSED")).alias("state"),
+        F.coalesce("boundary", F.lit("")).alias("boundary"),
+        F.coalesce("reason", F.lit("")).alias("reason"), (F.col("moves") + 1).alias("version"))
 
 
 def publication_issues(events: DataFrame, states: DataFrame) -> DataFrame:
     """Ledgers without claims, claims left open, surviving claims without a boundary."""
     ledgers = events.select(*LEDGER).distinct()
-    none = ledgers.join(states.select(*LEDGER).distinct(), LEDGER, "left_anti").select(
+    counted = states.groupBy(*LEDGER).agg(F.count(F.lit(1)).alias("n"))
+    none = ledgers.join(counted, LEDGER, "left_anti").select(
         *LEDGER, F.lit("graph contains no claims").alias("issue"))
-    still_open = states.where(~F.col("state").isin(*S.TERMINAL_CLAIM_STATES)).select(
-        *LEDGER, F.concat("claim_id", F.lit(": non-terminal state "), "state").alias("issue"))
-    unbounded = states.where(F.col("state").isin("SURVIVED", "NARROWED")
-                             & (F.col("boundary") == "")).select(
-        *LEDGER, F.concat("claim_id", F.lit(": surviving decision has no boundary"))
-        .alias("issue"))
-    return none.unionByName(still_open).unionByName(unbounded)
+    found = F.array(
+        F.when(~F.col("state").isin(*S.TERMINAL_CLAIM_STATES), F.concat(
+            "claim_id", F.lit(": non-terminal state "), "state")),
+        F.when(F.col("state").isin("SURVIVED", "NARROWED") & (F.col("boundary") == ""), F.concat(
+            "claim_id", F.lit(": surviving decision has no boundary"))))
+    per_claim = states.select(*LEDGER, F.explode(F.filter(
+        found, lambda issue: issue.isNotNull())).alias("issue"))
+    return none.unionByName(per_claim)
 
 
 def graph_metrics(projected: DataFrame) -> DataFrame:
@@ -245,7 +250,7 @@ def first_violation(projected: DataFrame) -> DataFrame:
 
 def claim_graph_validator(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """E03 for claim graphs: metrics and issues per ledger."""
-    projected = claim_projection(events)
+    projected = materialise(claim_projection(events))
     stopped = first_violation(projected).select(
         *LEDGER, F.concat(F.lit("validator: "), "codes").alias("issue"))
     issues = publication_issues(events, claim_states(projected)).join(

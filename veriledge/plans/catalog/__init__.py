@@ -1,2 +1,2 @@
-from veriledge.plans.catalog import q_policy, q_ledger, q_benchmark  # noqa: F401
+from veriledge.plans.catalog import q_jobs, q_ledger, q_policy  # noqa: F401
 from veriledge.plans.catalog.registry import ORACLES, QUERIES

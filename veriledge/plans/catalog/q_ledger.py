@@ -9,6 +9,7 @@ from veriledge.functions.contracts import violation_codes
 from veriledge.operators import graph, ledger, rows
 from veriledge.plans import composites
 from veriledge.plans.catalog.registry import query
+from veriledge.session import materialise
 
 # First event per (ledger, key); keys with another meaning; then the chain, hash by hash.
 _FIRST = """
@@ -157,7 +158,7 @@ def _committed(t):
         F.col("challenge_id").alias("aggregate_id"),
         F.lit("benchmark.prediction_committed").alias("event_type"), payload.alias("payload"),
         F.concat_ws(":", "run_id", "challenge_id").alias("idempotency_key"), i.alias("n"))
-    log = ledger.build_ledger(events, ["n"]).drop("violations")
+    log = materialise(ledger.build_ledger(events, ["n"]).drop("violations"))
     log = log.withColumn("payload", F.when(
         (F.col("job_id") == "gamma-1") & (F.col("sequence") == 1), F.lit("{}"))
         .otherwise(F.col("payload")))

@@ -362,14 +362,15 @@ def ordered_step(steps: DataFrame, predictions: DataFrame, outcomes_of, state: d
     """
     strategies, applications = state["strategies"], state["applications"]
     outcomes, bound = state["outcomes"], state["sequence_interventions"]
-    scores = policy.strategy_scores(strategies, applications, outcomes)
+    # One row per strategy, read by every kind of recall.
+    scores = materialise(policy.strategy_scores(strategies, applications, outcomes))
     key = ["tenant_id", "run_id", "method_id", "sequence_index"]
     fresh = steps.join(bound.select(*key), key, "left_anti")
     chosen = policy.select_intervention(fresh, scores, applications, exploration_period)
     new_bound = chosen.select(
         *key, "challenge_id", "order_sha256", "memory_mode",
         F.to_json("strategy_ids").alias("strategy_ids"), F.lit(now).alias("created_at"))
-    all_bound = bound.unionByName(new_bound.select(*bound.columns))
+    all_bound = materialise(bound.unionByName(new_bound.select(*bound.columns)))
     current = all_bound.join(steps.select(*key, "target_task_family"), key)
     picked = current.select(*key, "challenge_id", "memory_mode", "target_task_family",
                             F.explode(F.from_json("strategy_ids", "array<string>"))
