@@ -39,6 +39,21 @@ def _exact_json(texts: pd.Series) -> pd.Series:
     return texts.map(render, na_action="ignore")
 
 
+def parse_json_strict(text: str | Column) -> Column:
+    """The value of a JSON text, null when anything but white space follows it.
+
+    The built-in parser stops after the first value. Here the text becomes a member of an object
+    whose last key is the text's own digest: only a text that is exactly one value leaves that
+    key where the parser finds it.
+    """
+    value = _c(text)
+    mark = F.sha2(value, 256)
+    wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), value, F.lit(',"'), mark, F.lit('":1}')))
+    members = F.try_variant_get(wrapped, "$", "map<string,variant>")
+    return F.when(F.array_contains(F.map_keys(members), mark),
+                  F.try_element_at(members, F.lit("v")))
+
+
 def canonical_json(text: str | Column, mode: str = "native") -> Column:
     """sorted keys, no spaces, non-ASCII kept; null for text that is not finite JSON.
 

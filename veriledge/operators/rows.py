@@ -77,7 +77,7 @@ def forbidden_paths(text: str | Column, prefix: str = "task") -> Column:
 
 def payload_rules(column: str = "payload") -> list[Rule]:
     """Durable payloads are finite JSON objects without secret-like keys."""
-    parsed = F.try_parse_json(F.col(column))
+    parsed = fn.parse_json_strict(column)
     found = sensitive_paths(column, column)
     return [
         Rule("payload_not_object",
@@ -378,7 +378,7 @@ def parse_model_output(responses: DataFrame, kind: str) -> DataFrame:
     fields = {"plan": ("queries",),
               "decision": ("decision", "counterevidence_probability", "evidence", "reason",
                            "boundary", "strategy_candidates")}[kind]
-    parsed = responses.withColumn("__v", F.try_parse_json(F.col("text")))
+    parsed = responses.withColumn("__v", fn.parse_json_strict("text"))
     value = F.col("__v")
     keys = F.array_sort(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")))
     exact = keys == F.array(*[F.lit(n) for n in sorted(fields)])
@@ -487,7 +487,8 @@ def validate_hypotheses(hypotheses: DataFrame) -> DataFrame:
 
 def validate_submission(submissions: DataFrame, body: str = "body") -> DataFrame:
     """Job submission bodies as JSON text."""
-    value = F.try_parse_json(F.col(body))
+    submissions = submissions.withColumn("__v", fn.parse_json_strict(body))
+    value = F.col("__v")
     keys = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
     allowed = F.array(*[F.lit(n) for n in S.SUBMISSION_LIMITS])
     unknown = F.array_sort(F.array_except(keys, allowed))
@@ -515,7 +516,7 @@ def validate_submission(submissions: DataFrame, body: str = "body") -> DataFrame
             amount(name).between(0, limits[name]), F.lit(False)))
           for name in ("max_calls", "max_tokens", "max_cost_microunits")],
     ]
-    return with_violations(submissions, rules)
+    return with_violations(submissions, rules).drop("__v")
 
 
 def tenant_scope(df: DataFrame, tenant_id: str, column: str = "tenant_id") -> DataFrame:

@@ -348,7 +348,7 @@ SQL: dict[str, str] = {
                CASE WHEN event_type = 'error' THEN 404 WHEN event_id % 97 = 0 THEN 700
                     ELSE 200 END AS status,
                value / 1e2 AS duration_seconds,
-               epoch_us(ts) / 1e6 AS at, 'r' || event_id AS request_id,
+               epoch_us(ts) / 1e6 AS moment, 'r' || event_id AS request_id,
                CASE WHEN event_id % 4 = 0 THEN '00-' || md5('t' || event_id) || '-'
                         || substr(md5('s' || event_id), 1, 16) || '-01'
                     WHEN event_id % 4 = 1 THEN '00-00000000000000000000000000000000-'
@@ -362,13 +362,13 @@ SQL: dict[str, str] = {
                CASE WHEN event_type = 'error' OR event_type = 'click' THEN 'failure'
                     WHEN event_type = 'view' OR event_type = 'signup' THEN 'before'
                     ELSE 'success' END AS kind,
-               event_type AS reason_code, epoch_us(ts) / 1e6 / 1e4 AS at
+               event_type AS reason_code, epoch_us(ts) / 1e6 / 1e4 AS moment
         FROM events""",
     "leases": """
         SELECT 'j' || user_id AS job_id, event_id,
                CASE WHEN event_type = 'error' THEN 'status' WHEN event_type = 'view'
                     THEN 'heartbeat' ELSE 'acquire' END AS kind,
-               'w' || (event_id % 2) AS worker_id, epoch_us(ts) / 1e6 / 1e4 AS at,
+               'w' || (event_id % 2) AS worker_id, epoch_us(ts) / 1e6 / 1e4 AS moment,
                6e0 AS lease_seconds,
                CASE WHEN event_id % 5 = 0 THEN 'RETRY_WAIT' ELSE 'RUNNING' END AS status
         FROM events""",

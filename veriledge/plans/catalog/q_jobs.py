@@ -115,10 +115,8 @@ def _(t):
 _ORDER = ["created_at", "tokens", "provider"]
 
 
-@query("W06_budget_admission", "jobs", "charges", recursive=True, sql="""
-    WITH f AS (SELECT job_id, charge_key, min(row(created_at, tokens, provider, calls,
-            cost_microunits)) AS m FROM charges GROUP BY 1, 2),
-    c AS (SELECT c.*, row_number() OVER (PARTITION BY c.job_id ORDER BY c.created_at, c.tokens,
+BUDGET = """
+    WITH c AS (SELECT c.*, row_number() OVER (PARTITION BY c.job_id ORDER BY c.created_at, c.tokens,
             c.provider) AS rn FROM (SELECT DISTINCT * FROM charges) c
         JOIN (SELECT job_id, charge_key, created_at, tokens, provider FROM (SELECT *,
             row_number() OVER (PARTITION BY job_id, charge_key ORDER BY created_at, tokens,
@@ -138,14 +136,17 @@ _ORDER = ["created_at", "tokens", "provider"]
                 + cost_microunits <= max_cost_microunits THEN [w.u[1] + calls, w.u[2] + tokens,
                 w.u[3] + cost_microunits] ELSE w.u END
         FROM walk w JOIN b ON b.job_id = w.job_id AND b.rn = w.rn + 1)
-    SELECT job_id, charge_key, ok AS admitted FROM walk""")
+    SELECT job_id, charge_key, ok AS admitted FROM walk"""
+
+
+@query("W06_budget_admission", "jobs", "charges", recursive=True, sql=BUDGET)
 def _(t):
     return jobs.budget_admission(t.charges, t.jobs, _ORDER).select("job_id", "charge_key",
                                                                    "admitted")
 
 
 @query("W07_lease_audit", "leases", recursive=True, sql="""
-    WITH b AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY at, event_id) AS rn
+    WITH b AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY moment, event_id) AS rn
         FROM leases),
     walk AS (
         SELECT job_id, event_id, rn,
@@ -153,47 +154,47 @@ def _(t):
             CASE WHEN kind = 'status' THEN status WHEN kind = 'acquire' THEN 'RUNNING'
                 ELSE 'QUEUED' END AS st,
             CASE WHEN kind = 'acquire' THEN worker_id END AS owner,
-            CASE WHEN kind = 'acquire' THEN at + lease_seconds END AS expiry,
+            CASE WHEN kind = 'acquire' THEN moment + lease_seconds END AS expiry,
             CASE WHEN kind = 'acquire' THEN 1 ELSE 0 END AS attempts
         FROM b WHERE rn = 1
         UNION ALL
         SELECT b.job_id, b.event_id, b.rn,
-            CASE WHEN kind = 'acquire' AND owner <> worker_id AND expiry > at
+            CASE WHEN kind = 'acquire' AND owner <> worker_id AND expiry > moment
                 THEN 'leased_elsewhere' WHEN kind = 'heartbeat' AND NOT COALESCE(owner = worker_id
-                AND st = 'RUNNING' AND expiry >= at, FALSE) THEN 'heartbeat_rejected' ELSE '' END,
+                AND st = 'RUNNING' AND expiry >= moment, FALSE) THEN 'heartbeat_rejected' ELSE '' END,
             CASE WHEN kind = 'status' THEN b.status WHEN kind = 'acquire' AND NOT COALESCE(owner
-                <> worker_id AND expiry > at, FALSE) AND st IN ('QUEUED', 'RETRY_WAIT')
+                <> worker_id AND expiry > moment, FALSE) AND st IN ('QUEUED', 'RETRY_WAIT')
                 THEN 'RUNNING' ELSE st END,
             CASE WHEN kind = 'status' THEN NULL WHEN kind = 'acquire' AND NOT COALESCE(owner <>
-                worker_id AND expiry > at, FALSE) THEN worker_id ELSE owner END,
+                worker_id AND expiry > moment, FALSE) THEN worker_id ELSE owner END,
             CASE WHEN kind = 'status' THEN NULL WHEN kind = 'acquire' AND NOT COALESCE(owner <>
-                worker_id AND expiry > at, FALSE) THEN at + lease_seconds
+                worker_id AND expiry > moment, FALSE) THEN moment + lease_seconds
                 WHEN kind = 'heartbeat' AND COALESCE(owner = worker_id AND st = 'RUNNING'
-                AND expiry >= at, FALSE) THEN at + lease_seconds ELSE expiry END,
+                AND expiry >= moment, FALSE) THEN moment + lease_seconds ELSE expiry END,
             attempts + CASE WHEN kind = 'acquire' AND NOT COALESCE(owner <> worker_id AND
-                expiry > at, FALSE) THEN 1 ELSE 0 END
+                expiry > moment, FALSE) THEN 1 ELSE 0 END
         FROM walk w JOIN b ON b.job_id = w.job_id AND b.rn = w.rn + 1)
     SELECT event_id, problem, st AS job_status, owner AS lease_owner, CAST(attempts AS BIGINT)
         AS attempts FROM walk""")
 def _(t):
-    return jobs.lease_audit(t.leases, ["at", "event_id"]).select(
+    return jobs.lease_audit(t.leases.withColumnRenamed("moment", "at"), ["at", "event_id"]).select(
         "event_id", "problem", "job_status", "lease_owner", "attempts")
 
 
 CIRCUIT = """
-    WITH b AS (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY at, event_id) AS rn
+    WITH b AS (SELECT *, row_number() OVER (PARTITION BY circuit_id ORDER BY moment, event_id) AS rn
         FROM calls),
     walk AS (
-        SELECT circuit_id, event_id, rn, at, CASE WHEN kind = 'failure' THEN 'call_failed' END
+        SELECT circuit_id, event_id, rn, moment, CASE WHEN kind = 'failure' THEN 'call_failed' END
             AS ev, 'CLOSED' AS st, CASE WHEN kind = 'failure' THEN 1 ELSE 0 END AS fails,
             CAST(NULL AS DOUBLE) AS opened, CAST(NULL AS VARCHAR) AS probe,
             CAST(NULL AS DOUBLE) AS began
         FROM b WHERE rn = 1
         UNION ALL
-        SELECT b.circuit_id, b.event_id, b.rn, b.at,
-            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.at - began >= 20
+        SELECT b.circuit_id, b.event_id, b.rn, b.moment,
+            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.moment - began >= 20
                     THEN 'probe_expired'
-                WHEN kind = 'before' AND st = 'OPEN' AND b.at - opened >= 5
+                WHEN kind = 'before' AND st = 'OPEN' AND b.moment - opened >= 5
                     THEN 'probe_admitted'
                 WHEN kind = 'success' AND st = 'CLOSED' AND fails > 0 THEN 'call_succeeded'
                 WHEN kind = 'success' AND st = 'HALF_OPEN' AND probe = operation_id
@@ -201,8 +202,8 @@ CIRCUIT = """
                 WHEN kind = 'failure' AND st = 'CLOSED' THEN 'call_failed'
                 WHEN kind = 'failure' AND st = 'HALF_OPEN' AND probe = operation_id
                     THEN 'call_failed' END,
-            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.at - began >= 20 THEN 'OPEN'
-                WHEN kind = 'before' AND st = 'OPEN' AND b.at - opened >= 5 THEN 'HALF_OPEN'
+            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.moment - began >= 20 THEN 'OPEN'
+                WHEN kind = 'before' AND st = 'OPEN' AND b.moment - opened >= 5 THEN 'HALF_OPEN'
                 WHEN kind = 'success' AND st = 'HALF_OPEN' AND probe = operation_id THEN 'CLOSED'
                 WHEN kind = 'failure' AND st = 'CLOSED' AND fails + 1 >= 2 THEN 'OPEN'
                 WHEN kind = 'failure' AND st = 'HALF_OPEN' AND probe = operation_id THEN 'OPEN'
@@ -211,26 +212,30 @@ CIRCUIT = """
                     operation_id) THEN 0
                 WHEN kind = 'failure' AND (st = 'CLOSED' OR st = 'HALF_OPEN' AND probe =
                     operation_id) THEN fails + 1 ELSE fails END,
-            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.at - began >= 20 THEN b.at
+            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.moment - began >= 20 THEN b.moment
                 WHEN kind = 'success' AND (st = 'CLOSED' OR st = 'HALF_OPEN' AND probe =
                     operation_id) THEN NULL
-                WHEN kind = 'failure' AND st = 'CLOSED' THEN CASE WHEN fails + 1 >= 2 THEN b.at
+                WHEN kind = 'failure' AND st = 'CLOSED' THEN CASE WHEN fails + 1 >= 2 THEN b.moment
                     END
-                WHEN kind = 'failure' AND st = 'HALF_OPEN' AND probe = operation_id THEN b.at
+                WHEN kind = 'failure' AND st = 'HALF_OPEN' AND probe = operation_id THEN b.moment
                 ELSE opened END,
-            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.at - began >= 20 THEN NULL
-                WHEN kind = 'before' AND st = 'OPEN' AND b.at - opened >= 5 THEN operation_id
+            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.moment - began >= 20 THEN NULL
+                WHEN kind = 'before' AND st = 'OPEN' AND b.moment - opened >= 5 THEN operation_id
                 WHEN kind <> 'before' AND (st = 'CLOSED' OR st = 'HALF_OPEN' AND probe =
                     operation_id) THEN NULL ELSE probe END,
-            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.at - began >= 20 THEN NULL
-                WHEN kind = 'before' AND st = 'OPEN' AND b.at - opened >= 5 THEN b.at
+            CASE WHEN kind = 'before' AND st = 'HALF_OPEN' AND b.moment - began >= 20 THEN NULL
+                WHEN kind = 'before' AND st = 'OPEN' AND b.moment - opened >= 5 THEN b.moment
                 WHEN kind <> 'before' AND (st = 'CLOSED' OR st = 'HALF_OPEN' AND probe =
                     operation_id) THEN NULL ELSE began END
         FROM walk w JOIN b ON b.circuit_id = w.circuit_id AND b.rn = w.rn + 1)"""
 
 
+def calls(t):
+    return t.calls.withColumnRenamed("moment", "at")
+
+
 def replayed(t):
-    return service.circuit_states(t.calls, ["at", "event_id"], threshold=2, cooldown=5.0,
+    return service.circuit_states(calls(t), ["at", "event_id"], threshold=2, cooldown=5.0,
                                   probe_timeout=20.0)
 
 
@@ -250,8 +255,8 @@ def _(t):
 
 
 BUCKET = """
-    WITH b AS (SELECT *, at / 1e4 AS t, row_number() OVER (PARTITION BY tenant_id, principal_id
-        ORDER BY at, event_id) AS rn FROM requests),
+    WITH b AS (SELECT *, moment / 1e4 AS t, row_number() OVER (PARTITION BY tenant_id, principal_id
+        ORDER BY moment, event_id) AS rn FROM requests),
     walk AS (
         SELECT tenant_id, principal_id, event_id, rn, t, TRUE AS ok, 0 AS retry, 1e0 AS left_
         FROM b WHERE rn = 1
@@ -270,7 +275,7 @@ BUCKET = """
 @query("W11_token_bucket", "requests", recursive=True, sql=BUCKET + """
     SELECT event_id, ok AS allowed, CAST(retry AS BIGINT) AS retry_after FROM walk""")
 def _(t):
-    log = t.requests.withColumn("at", F.col("at") / 1e4)
+    log = t.requests.withColumn("at", F.col("moment") / 1e4)
     return service.token_bucket(log, ["at", "event_id"], 2, 2).select(
         "event_id", "allowed", "retry_after")
 

@@ -25,7 +25,7 @@ def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_rows(lines: DataFrame) -> DataFrame:
     """Add the parsed form ``v`` and ``problem`` (null, invalid_json or not_object)."""
-    parsed = lines.withColumn("v", F.try_parse_json(F.col("value")))
+    parsed = lines.withColumn("v", fn.parse_json_strict("value"))
     return parsed.withColumn(
         "problem", F.when(F.col("v").isNull(), "invalid_json")
         .when(variant_type(F.col("v")) != "object", "not_object"))
