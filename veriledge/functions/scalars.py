@@ -82,9 +82,12 @@ EVENT_SEMANTICS = ("tenant_id", "job_id", "aggregate_type", "aggregate_id", "eve
 
 
 def json_text(value: str | Column) -> Column:
-    """A string as a JSON string literal; null becomes null."""
-    body = F.to_json(F.to_variant_object(F.struct(_c(value).cast("string").alias("v"))))
-    return F.substring(body, F.lit(6), F.length(body) - 6)  # {"v":"..."} -> "..."
+    """A string as a JSON string literal; null becomes null. Most texts need no escape."""
+    text = _c(value).cast("string")
+    body = F.to_json(F.to_variant_object(F.struct(text.alias("v"))))
+    escaped = F.substring(body, F.lit(6), F.length(body) - 6)  # {"v":"..."} -> "..."
+    plain = ~text.rlike(r'["\\\x00-\x1f]')
+    return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
 
 
 def envelope_parts(payload: str | Column = "payload", mode: str = "exact"

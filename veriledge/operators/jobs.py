@@ -8,7 +8,7 @@ from veriledge import schemas as S
 from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import Rule, any_of, violation_codes, with_violations
 from veriledge.operators.ordered import Machine, ordered_fold, prefix_scan
-from veriledge.session import broadcast_if_bounded
+from veriledge.session import broadcast_if_bounded, materialise
 
 
 def stage_index(column: str | Column) -> Column:
@@ -183,7 +183,7 @@ def budget_admission(charges: DataFrame, jobs: DataFrame, order: list[str],
     """
     first = deduplicated_charges(charges, order)
     budgets = jobs.select("job_id", "max_calls", "max_tokens", "max_cost_microunits")
-    joined = first.join(budgets, "job_id")
+    joined = materialise(first.join(budgets, "job_id"))  # read three times below
     totals = joined.groupBy("job_id").agg(
         *[(F.sum(a) > F.max(f"max_{a}")).alias(f"__o_{a}")
           for a in ("calls", "tokens", "cost_microunits")])

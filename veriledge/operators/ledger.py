@@ -5,7 +5,6 @@ import hashlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from veriledge import schemas as S
 from veriledge.functions import scalars as fn
@@ -73,23 +72,28 @@ def idempotent_dedup(df: DataFrame, keys: list[str], order: list[str], fingerpri
                           .alias("conflict"))
 
 
-def _chain_machine(output: StructType) -> Machine:
+def _chain_machine() -> Machine:
     """Sequence, previous hash and hash for one event after another.
 
     The state is (number of events, head hash). The canonical text around the chain's own
-    values is prepared by Spark, so a step is one string join and one digest.
+    values is prepared by Spark, so a step is one string join and one digest. A refused event
+    passes without a place in the chain.
     """
     def start(row):
         return [row["__base_count"] or 0, row["__base_head"] or ""]
 
     def step(state, row):
+        if row["__refused"]:
+            return state, (None, None, None)
         sequence, previous = state[0] + 1, state[1]
         text = (f'{row["__head"]}"{previous}","schema_version":1,"sequence":{sequence}'
                 f'{row["__tail"]}')
         digest = hashlib.sha256(text.encode("utf-8")).hexdigest()
         return [sequence, digest], (sequence, previous, digest)
 
-    return Machine(start, step, ("__base_count", "__base_head", "__head", "__tail"), output)
+    return Machine(start, step,
+                   ("__base_count", "__base_head", "__head", "__tail", "__refused"),
+                   S.flat("sequence bigint, previous_hash string, event_hash string"))
 
 
 def build_ledger(events: DataFrame, order: list[str], receipts: DataFrame | None = None,
@@ -117,20 +121,13 @@ def build_ledger(events: DataFrame, order: list[str], receipts: DataFrame | None
         rules.append(Rule("head_mismatch", F.col("expected_head").isNotNull() & (
             F.col("expected_head") != F.coalesce("__base_head", F.lit("")))))
     checked = with_violations(first, rules)
-    rejected = checked.where(F.size("violations") > 0)
-    accepted = checked.where(F.size("violations") == 0)
-
     head, tail = fn.envelope_parts(mode=mode)
-    parts = accepted.withColumn("__head", head).withColumn("__tail", tail)
-    output = S.flat("sequence bigint, previous_hash string, event_hash string")
-    chained = ordered_fold(parts, LEDGER, order, _chain_machine(output), partitions)
-    names = S.EVENT.fieldNames()
-    done = chained.withColumn("schema_version", F.lit(1)).select(*names, "violations")
-    refused = rejected.select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) if f.name in
-          ("sequence", "previous_hash", "event_hash", "schema_version") else F.col(f.name)
-          for f in S.EVENT.fields], "violations")
-    return done.unionByName(refused)
+    prepared = (checked.withColumn("__head", head).withColumn("__tail", tail)
+                .withColumn("__refused", F.size("violations") > 0))
+    chained = ordered_fold(prepared, LEDGER, order, _chain_machine(), partitions)
+    version = F.when(F.col("sequence").isNotNull(), F.lit(1))
+    return chained.withColumn("schema_version", version).select(
+        *S.EVENT.fieldNames(), "violations")
 
 
 def prediction_ledger_binding(predictions: DataFrame, receipts: DataFrame, events: DataFrame

@@ -27,18 +27,18 @@ def document_frequency(corpus: DataFrame, text: str = "content",
     """Number of documents each term occurs in, for all terms or a given vocabulary."""
     words = corpus.select(F.explode(F.array_distinct(fn.terms(text))).alias("term"))
     if vocabulary is not None:
-        words = words.join(broadcast_if_bounded(vocabulary.select("term").distinct()),
-                           "term", "left_semi")
+        words = words.join(vocabulary, "term", "left_semi")
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def weighted_query_terms(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Query terms with the inverse frequency of the *whole* corpus, before any cutoff."""
     terms = query_terms(queries)
-    frequency = document_frequency(corpus, vocabulary=terms)
+    vocabulary = broadcast_if_bounded(terms.select("term").distinct())
+    frequency = document_frequency(corpus, vocabulary=vocabulary)
     total = corpus.count()  # a scalar of the whole corpus
     return (
-        terms.join(broadcast_if_bounded(frequency), "term")
+        terms.join(frequency, "term")
         .withColumn("weight", F.log(F.lit(float(total + 1)) / (F.col("df") + 1)) + 1)
         .drop("df")
     )
@@ -91,9 +91,8 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
 
 def retrieve_capsules(queries: DataFrame, corpus: DataFrame, k: int = 3) -> DataFrame:
     """K01 with the passage columns of the sealed corpus joined back."""
-    hits = lexical_topk(queries, corpus, k)
-    wanted = broadcast_if_bounded(hits)
-    return corpus.join(wanted, "snapshot_id").select(
+    hits = materialise(lexical_topk(queries, corpus, k))  # k rows per query
+    return corpus.join(broadcast_if_bounded(hits), "snapshot_id").select(
         "query_id", "rank", fn.capsule_passage_id("snapshot_id", "query_id").alias("passage_id"),
         F.concat(F.lit("doi:"), "doi").alias("doc_id"), F.col("content").alias("text"),
         F.struct(F.lit(0).cast("bigint").alias("offset"),

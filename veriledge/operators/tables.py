@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import Rule, duplicated, with_violations
-from veriledge.session import broadcast_if_bounded
 
 
 def _path(dotted: str) -> str:
@@ -212,7 +211,7 @@ def missing_replays(audit: DataFrame, declared: DataFrame) -> DataFrame:
     unread = (hits.join(reads, "doc_id", "left")
               .where(F.col("last_read").isNull() | (F.col("last_read") < F.col("searched_at")))
               .select("norm").distinct())
-    return counter.join(broadcast_if_bounded(unread), "norm", "left_semi").select(
+    return counter.join(unread, "norm", "left_semi").select(
         "file", "id").distinct()
 
 
@@ -227,7 +226,7 @@ def stale_artifacts(audit: DataFrame, declared: DataFrame, files: DataFrame) ->
     reads = (audit.where(F.col("tool") == "content").groupBy("doc_id")
              .agg(F.max("ts").alias("last_read")))
     last = (hits.join(reads, "doc_id").groupBy("norm").agg(F.max("last_read").alias("last_read")))
-    newest = (counter.join(broadcast_if_bounded(last), "norm").groupBy("file")
+    newest = (counter.join(last, "norm").groupBy("file")
               .agg(F.max("last_read").alias("last_read")))
     return files.join(newest, "file").where(F.col("modified_at") < F.col("last_read")).select(
         "file")

@@ -162,7 +162,7 @@ def run_methods(tasks: DataFrame, methods: DataFrame, corpus: DataFrame, run_id:
 
     Only ``evaluate_predictions`` joins gold, after this plan.
     """
-    passages = retrieve_for_tasks(tasks, corpus, k)
+    passages = materialise(retrieve_for_tasks(tasks, corpus, k))
     return assemble_predictions(rule_decisions(tasks, methods, passages), passages, run_id)
 
 
