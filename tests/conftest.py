@@ -11,7 +11,7 @@ def spark(tmp_path_factory):
     from veriledge.session import build_session
 
     session = build_session("tests", "local[4]", **{
-        "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "3", "spark.ui.enabled": "false",
         "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session

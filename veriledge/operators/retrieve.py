@@ -63,9 +63,9 @@ def lexical_term_join(weighted: DataFrame, corpus: DataFrame) -> DataFrame:
         joined = postings.join(F.broadcast(weighted), "term")
     else:
         salted = weighted.withColumn(
-            "__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
+            "__salt", F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")))
         joined = postings.withColumn(
-            "__salt", F.pmod(F.xxhash64("snapshot_id"), F.lit(_SALTS))).join(
+            "__salt", F.pmod(F.xxhash64("snapshot_id"), F.lit(_SALTS).cast("bigint"))).join(
             salted, ["term", "__salt"])
     return (
         joined.where(F.col("publication_date") <= F.col("cutoff_date"))

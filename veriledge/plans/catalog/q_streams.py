@@ -41,7 +41,7 @@ def _(t):
         "tenant_id", "job_id", "claim_id", "sequence", "event_id", "event_type", "intent",
         "relation", "to_state", "boundary")
     return drained(t, streams.stream_claim_state(as_stream(t, log))).select(
-        "event_id", "claim_id", "state", "problem")
+        "job_id", "claim_id", "event_id", "state", "problem")
 
 
 @query("ST03_stream_latency_histogram", "requests", sql="""
