@@ -19,7 +19,7 @@ def coverage_join(predictions: DataFrame, challenges: DataFrame) -> DataFrame:
     as unknown; more than one prediction as duplicate.
     """
     counted = (predictions.groupBy(*RUN, "challenge_id").agg(F.count(F.lit(1)).alias("n")))
-    runs = predictions.select(*RUN).distinct()
+    runs = counted.select(*RUN).distinct()
     wanted = challenges.select("challenge_id").distinct().crossJoin(F.broadcast(runs))
     joined = (wanted.withColumn("__known", F.lit(True))
               .join(counted, [*RUN, "challenge_id"], "full_outer"))
@@ -135,7 +135,12 @@ def score_summary(items: DataFrame) -> DataFrame:
         return F.avg(value if condition is None else F.when(condition, value))
 
     predicted = F.sum("predicted_evidence")
-    summary = items.groupBy(*RUN).agg(
+    # Calibration in the same pass: label and probability sums of each bin.
+    place = probability_bin("probability")
+    gap = F.col("counterevidence_label") - F.col("probability")
+    error = sum((F.abs(F.coalesce(F.sum(F.when(place == i, gap)), F.lit(0.0)))
+                 for i in range(10)), F.lit(0.0))
+    return items.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("n"), rate("completed").alias("completed_rate"),
         (F.lit(1.0) - rate("over_budget")).alias("budget_compliance_rate"),
         rate("true_positive", label).alias("counterevidence_recall"),
@@ -144,8 +149,8 @@ def score_summary(items: DataFrame) -> DataFrame:
         F.when(predicted > 0, F.sum("matched_evidence") / predicted)
         .alias("evidence_replay_precision"),
         F.avg("brier").alias("brier_score"),
-        F.sum("calls").alias("total_calls"), F.sum("tokens").alias("total_tokens"))
-    return summary.join(ece(items, RUN), RUN, "left")
+        F.sum("calls").alias("total_calls"), F.sum("tokens").alias("total_tokens"),
+        (error / F.count(F.lit(1))).alias("ece_10"))
 
 
 def known_answer_credit(predictions: DataFrame, challenges: DataFrame, max_calls: int,

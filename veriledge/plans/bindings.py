@@ -225,8 +225,8 @@ SQL: dict[str, str] = {
         FROM lineitem""",
     "job_log": """
         SELECT 'c' || o_custkey AS job_id,
-               row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
-                   AS version,
+               CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
+                   AS BIGINT) AS version,
                CASE WHEN o_orderkey % 7 = 0 THEN 'RETRY_WAIT' WHEN o_orderstatus = 'F'
                     THEN 'SUCCEEDED' WHEN o_orderstatus = 'O' THEN 'QUEUED' ELSE 'RUNNING' END
                    AS status,
@@ -420,7 +420,8 @@ def spark_sql(name: str) -> str:
     sql = SQL[name]
     for _ in range(3):  # calls nest at most this deep
         sql = _call(sql, "sha256", lambda a: f"sha2({a}, 256)")
-    sql = _call(sql, "epoch_us", lambda a: f"unix_micros(CAST({a} AS TIMESTAMP))")
+    sql = _call(sql, "epoch_us", lambda a: (
+        f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', {a})"))
     sql = sql.replace("octet_length(encode(text))", "octet_length(text)")
     return sql.replace("strftime(ts, '%Y-%m-%dT%H:%M:%S')",
                        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\")")
