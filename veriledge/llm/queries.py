@@ -57,3 +57,27 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     from veriledge.llm.warc import archive_pages
 
     return archive_pages(table(spark, folder, "pages"), split_bytes=8 << 20)
+
+
+@query("op4_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document."""
+    from veriledge.llm.lang_id import language_ids
+
+    return language_ids(table(spark, folder, "documents"))
+
+
+@query("op7_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every document."""
+    from veriledge.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the place and the edits."""
+    from veriledge.llm.decontam import contaminated
+
+    return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
