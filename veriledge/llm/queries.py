@@ -81,3 +81,11 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     from veriledge.llm.decontam import contaminated
 
     return contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_ngram_jaccard")
+def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents that share nine tenths of their word 3-grams."""
+    from veriledge.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, folder, "documents"))
