@@ -89,3 +89,11 @@ def ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     from veriledge.llm.ngram_join import ngram_join
 
     return ngram_join(table(spark, folder, "documents"))
+
+
+@query("op8_main_text")
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    from veriledge.llm.style_tree import main_text
+
+    return main_text(table(spark, folder, "pages"))
