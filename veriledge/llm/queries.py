@@ -97,3 +97,11 @@ def main_texts(spark: SparkSession, folder: str) -> DataFrame:
     from veriledge.llm.style_tree import main_text
 
     return main_text(table(spark, folder, "pages"))
+
+
+@query("op6_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    from veriledge.llm.pii import find_pii
+
+    return find_pii(table(spark, folder, "documents"))
