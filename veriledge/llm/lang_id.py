@@ -141,42 +141,42 @@ def training_rows(docs: DataFrame, per_language: int = 500):
     return sorted((r["text"], r["lang"]) for r in picked)
 
 
-def identify(docs: DataFrame, model: LanguageModel, passthrough: list[str]) -> DataFrame:
-    """``passthrough`` columns with lang_pred, score and rejected for every whole text."""
-    # Plain values: executors need no installed copy of this module to read them.
-    sent = docs.sparkSession.sparkContext.broadcast(
+def predict(texts, model) -> tuple:
+    """(languages, scores, whether rejected) of a list of texts by the model's plain values."""
+    languages, table, bias, temperature, threshold = model
+    total = np.zeros((len(texts), len(bias)), np.float64)
+    count = np.zeros((len(texts), 1))
+    for points, owner in blocks(texts):
+        for n in SIZES:
+            bucket, own = grams(points, owner, n, BUCKETS)
+            add_by_owner(total, table[bucket], own)
+            add_by_owner(count, np.ones((len(own), 1)), own)
+    logits = (total / np.maximum(count, 1) + bias) / temperature
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    known = (count[:, 0] > 0) & (len(languages) > 0)
+    best = p.argmax(axis=1)
+    score = np.where(known, p.max(axis=1), 0.0)
+    names = [languages[b] if k else "und" for b, k in zip(best, known)]
+    return names, score, ~known | (score < threshold)
+
+
+def sent_model(docs: DataFrame, model: LanguageModel):
+    """The model as plain values: executors need no installed copy of this module to read them."""
+    return docs.sparkSession.sparkContext.broadcast(
         (model.languages, model.table, model.bias, model.temperature, model.threshold))
-    types = {f.name: f for f in docs.schema.fields}
-    schema = ", ".join([f"`{c}` {types[c].dataType.simpleString()}" for c in passthrough]
-                       + ["lang_pred string", "score double", "rejected boolean"])
-    columns = list(passthrough)
 
-    def predict(batches):
-        languages, table, bias, temperature, threshold = sent.value
+
+def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` whose language is not rejected, in one pass without a shuffle."""
+    sent, place = sent_model(docs, model), docs.columns.index("text")
+
+    def keep(batches):
         for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            total = np.zeros((len(texts), len(bias)), np.float64)
-            count = np.zeros((len(texts), 1))
-            for points, owner in blocks(texts):
-                for n in SIZES:
-                    bucket, own = grams(points, owner, n, BUCKETS)
-                    add_by_owner(total, table[bucket], own)
-                    add_by_owner(count, np.ones((len(own), 1)), own)
-            logits = (total / np.maximum(count, 1) + bias) / temperature
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            known = (count[:, 0] > 0) & (len(languages) > 0)
-            best, top = p.argmax(axis=1), p.max(axis=1)
-            lang = [languages[b] if k else "und" for b, k in zip(best, known)]
-            score = np.where(known, top, 0.0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in range(len(columns))]
-                + [pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                   pa.array(~known | (score < threshold), pa.bool_())],
-                names=[*columns, "lang_pred", "score", "rejected"])
+            texts = [None if t is None else str(t) for t in batch.column(place).to_pylist()]
+            yield batch.filter(pa.array(~predict(texts, sent.value)[2]))
 
-    text = F.col("text").cast("string").alias("__text")
-    return docs.select(*[f"`{c}`" for c in columns], text).mapInArrow(predict, schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def language_ids(docs: DataFrame, per_language: int = 500) -> DataFrame:
@@ -188,7 +188,17 @@ def language_ids(docs: DataFrame, per_language: int = 500) -> DataFrame:
     same result each. An empty table gives no rows.
     """
     model = fit(training_rows(docs, per_language))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = identify(keyed, model, ["doc_id"])
+    sent = sent_model(docs, model)
+
+    def score(batches):
+        for batch in batches:
+            names, scores, rejected = predict(batch.column(1).to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],
+                names=["doc_id", "lang_pred", "score", "rejected"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.col("text").cast("string").alias("text"))
+    found = rows.mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"),
                         "lang_pred", "score", "rejected")

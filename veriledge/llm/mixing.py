@@ -131,15 +131,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = 9) -> Da
 def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` takes it; documents without a copy go."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = F.col("source").cast("string")
+    # Null-free names of the source, so that window and join share one placement of the rows.
+    names = [F.coalesce(source, F.lit("")).alias("s"), source.isNull().alias("no_s")]
     keyed = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"),
-                        F.xxhash64(F.col("doc_id").cast("long"), text).alias("k"),
-                        F.col("source").cast("string").alias("s"))
+                        F.xxhash64(F.col("doc_id").cast("long"), text).alias("k"), *names)
     # Repeated rows share a key; each takes its own number of copies.
-    taken = mixed.where("copies > 0 or size >= 0").groupBy(
-        F.col("row_key").alias("k"), F.col("source").alias("m")).agg(
+    taken = mixed.select(F.col("row_key").alias("k"), *names, "copies").groupBy("k", "s", "no_s").agg(
         F.sort_array(F.collect_list("copies"), asc=False).alias("copies"))
-    place = F.row_number().over(Window.partitionBy("k", "s").orderBy("k"))
-    return (keyed.withColumn("place", place).alias("d")
-            .join(taken.alias("t"), F.expr("d.k = t.k and d.s <=> t.m"))
+    place = F.row_number().over(Window.partitionBy("k", "s", "no_s").orderBy("k"))
+    return (keyed.withColumn("place", place).join(taken, ["k", "s", "no_s"])
             .withColumn("n", F.element_at("copies", F.col("place"))).where("n > 0")
             .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*"))

@@ -4,7 +4,7 @@
    classes are joined.
 2. Two classes at the threshold share an n-gram among the first few of either, in any global
    order. The order used is: a fixed sixth of all hash values first, those by document frequency
-   and then hash; then the rest by hash. Frequencies are needed for that sixth only. An n-gram of
+   and then hash; then the rest by hash. Frequencies are needed for that share only. An n-gram of
    one class takes a place in the order but makes no bucket.
 3. A bucket whose members all meet in one other bucket, or that has the members of another, is
    left out. The whole sets of the others' members are brought together, large ones in blocks.
@@ -19,13 +19,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriledge.llm.common import components, stored
 
-# A sixth of the hash values is counted; blocks hold about this many n-grams.
-COUNTED = (1 << 64) // 6
+# Blocks hold about this many n-grams.
 BLOCK = 4_000_000
 PIECE = 1 << 20
 
@@ -106,6 +105,15 @@ def class_key(grams: np.ndarray) -> int:
                           signed=True)
 
 
+def counted_below(num: int, den: int) -> int:
+    """The hash value under which n-grams are counted: five thirds of the share of first places.
+
+    First places then hold the rarest three fifths of a set's counted n-grams, so passages that
+    many documents share stay behind them.
+    """
+    return (1 << 64) * min(3 * den, 5 * (den - num)) // (3 * den)
+
+
 def first_places(n: int, num: int, den: int) -> int:
     """How many first n-grams of a set of size n meet every set at a Jaccard of num / den."""
     return n - -(-n * num // den) + 1
@@ -262,13 +270,15 @@ def bucket_links(sets, num: int, den: int):
 
 def shingle_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """doc_id, class key, set size, counted n-grams and those that fill up the first places."""
+    limit = min(counted_below(num, den), (1 << 64) - 1)
+
     def shingle(batches):
         maker = Shingler(n)
         for batch in batches:
             keys, sizes, heads, fills = [], [], [], []
             for grams in maker.sets(batch.column(1).to_pylist()):
                 size = len(grams)
-                cut = int(np.searchsorted(grams, np.uint64(COUNTED)))
+                cut = int(np.searchsorted(grams, np.uint64(limit)))
                 places = first_places(size, num, den) if size else 0
                 keys.append(class_key(grams) if size else None)
                 sizes.append(size)
@@ -396,3 +406,25 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> Da
             .select("doc_id", F.col("n").alias("n_shingles"),
                     F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
                     .alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` with one document of each component: that with its smallest doc_id.
+
+    Of rows that repeat this doc_id one stays. Rows without doc_id stay unless an equal text has
+    one, as nothing tells them apart.
+    """
+    joined = stored(ngram_join(docs, n, num, den), "join-components")
+    stays = joined.where("doc_id = component_id").select("doc_id").distinct()
+    key = F.col("doc_id").cast("long")
+    named = docs.select(key.alias("k"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
+    place = F.row_number().over(Window.partitionBy("k").orderBy("k"))
+    kept = (named.where("k is not null").withColumn("place", place).where("place = 1")
+            .join(stays.withColumnRenamed("doc_id", "k"), "k").select("row.*"))
+    if joined.where("doc_id is null").isEmpty():
+        return kept
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    sha = F.sha2(text.cast("binary"), 256)
+    held = named.where("k is not null").select(sha.alias("sha")).distinct()
+    alone = named.where("k is null").withColumn("sha", sha).join(held, "sha", "left_anti")
+    return kept.unionByName(alone.select("row.*"))
