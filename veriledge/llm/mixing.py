@@ -34,10 +34,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
             .withColumn("ratio", F.col("cap") / F.col("weight"))
             .withColumn("all", F.sum("source_size").over(everything))
             .withColumn("level", (F.col("all") - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-                        / F.sum("weight").over(after)))
+                        / F.sum("weight").over(after))
+            .withColumn("place", F.row_number().over(by_ratio)))
     # The level is that of the first source, by ratio, which it leaves below its cap.
     level = F.min(F.when(F.col("ratio") >= F.col("level"),
-                         F.struct("ratio", "level"))).over(everything)["level"]
+                         F.struct("place", "level"))).over(everything)["level"]
     return full.withColumn("fill", level).select(
         "source", "source_size", "n_docs",
         F.least("cap", F.coalesce(F.col("fill") * F.col("weight"), F.col("cap"))).alias("target"))
