@@ -8,13 +8,15 @@ two bits plus the low bits per document, with one 4-byte sample per 512 document
 """
 from __future__ import annotations
 
+import functools
 import json
-import re
+import struct
 import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,8 +27,17 @@ MAGIC = b"VLTOKEF1"
 SAMPLE = 512
 # Distinct words that a Python worker remembers before it starts afresh.
 WORDS_KEPT = 1_000_000
-# Fixed value: how the public tokenizer files split lower-cased text into pieces, limited to ASCII.
-ASCII_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+# Fixed value: how the public tokenizer file splits normalised text into pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Words with later letters are left to the whole library, whose character classes may be newer.
+LATIN_END = "\u0250"
+
+
+def byte_letters() -> dict:
+    """The characters that byte-level models use for bytes: printable ones stay, others follow 255."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
 class EliasFano:
@@ -93,9 +104,10 @@ class WordEncoder:
     """Ids of whole texts through the tokenizers library, one distinct word at a time.
 
     For tokenizers that lower-case, normalise canonically and never join pieces across white
-    space, the ids of a text are the ids of its words in order. Plain ASCII words are split by the
-    tokenizer's own pattern and encoded by its model; every other word goes through the whole
-    library. Each distinct word is encoded once per worker and then looked up.
+    space, the ids of a text are the ids of its words in order. Words are normalised by the
+    tokenizer's own normaliser and split by its pattern, and each piece is encoded by its model;
+    words beyond the Latin letters go through the whole library. Each distinct word is encoded
+    once per worker and then looked up.
     """
 
     def __init__(self, spec: str, dtype: str):
@@ -110,38 +122,52 @@ class WordEncoder:
             tokenizer.no_truncation()
             held[key] = (tokenizer, {}, {})
         self.tokenizer, self.words, self.pieces = held[key]
-        self.dtype, self.pattern = dtype, re.compile(ASCII_PIECES, re.ASCII)
+        self.dtype, self.letters = dtype, byte_letters()
+        self.pattern = regex.compile(PIECES)
+        unit = "H" if dtype == "<u2" else "I"
+        self.pack = functools.cache(lambda n: struct.Struct(f"<{n}{unit}"))
 
     def _bytes(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return self.pack(len(ids)).pack(*ids)
 
     def _learn(self, words) -> None:
+        """Add distinct words to what is known."""
         if len(self.words) + len(words) > WORDS_KEPT:
             self.words.clear()
             self.pieces.clear()
+        words = list(words)
+        plain = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
+        if len(plain) != len(words):
+            # A word holds other white space, which the normaliser turns into a space.
+            plain = [None] * len(words)
         odd, model, pieces = [], self.tokenizer.model, self.pieces
-        for word in words:
-            if not word.isascii() or "<|" in word:
+        for word, normal in zip(words, plain):
+            if normal is None or "<|" in word or normal and max(normal) >= LATIN_END:
                 odd.append(word)
                 continue
+            # The common shapes, letters and letters with one mark, need no pattern.
+            if normal.isalpha():
+                split = (normal,)
+            elif normal[:-1].isalpha() and normal[-1] in ",.!?;:":
+                split = (normal[:-1], normal[-1])
+            else:
+                split = self.pattern.findall(normal)
             code = []
-            for piece in self.pattern.findall(word.lower()):
+            for piece in split:
                 if piece not in pieces:
-                    # Control characters are spelt differently for the model: leave them to the library.
-                    if not piece.isprintable():
-                        code = None
-                        break
-                    pieces[piece] = self._bytes([t.id for t in model.tokenize(piece)])
+                    spelt = piece if piece.isascii() and piece.isprintable() else \
+                        piece.encode().decode("latin-1").translate(self.letters)
+                    pieces[piece] = self._bytes([t.id for t in model.tokenize(spelt)])
                 code.append(pieces[piece])
-            if code is None:
-                odd.append(word)
-            else:
-                self.words[word] = b"".join(code)
+            self.words[word] = b"".join(code)
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self.words[word] = self._bytes(found.ids)
 
     def encode(self, text: str) -> bytes:
-        words = text.translate(SPACES).split(" ")
+        for space in SPACES:
+            if space in text:
+                text = text.replace(space, " ")
+        words = text.split(" ")
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
@@ -156,7 +182,7 @@ class WordEncoder:
             yield self.words[word]
 
 
-SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
+SPACES = "\t\n\v\f\r"
 
 
 def is_word_wise(spec: str) -> bool:
@@ -164,11 +190,10 @@ def is_word_wise(spec: str) -> bool:
     held = json.loads(spec)
     steps = (held.get("normalizer") or {}).get("normalizers", [])
     splits = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
-    full = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     return ([s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"]
             and steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " "
             and [s["type"] for s in splits] == ["Split", "ByteLevel"]
-            and splits[0]["pattern"] == {"Regex": full} and splits[0]["behavior"] == "Removed"
+            and splits[0]["pattern"] == {"Regex": PIECES} and splits[0]["behavior"] == "Removed"
             and not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
             and held.get("post_processor") is None
             and all("<|" in t["content"] and not t["lstrip"] and not t["rstrip"]
