@@ -109,6 +109,53 @@ def test_read_ledger_files(spark, tmp_path):
     assert all(r["ok"] for r in ledger.verify_chain(back).collect())
 
 
+def ledger_lines(spark):
+    """Lines of one ledger with numbers that the JVM would spell differently."""
+    rows = [("j", "a", p, f"k{i}") for i, p in enumerate(['{"v":1.0}', '{"w":1e-05}', '{"x":3}'])]
+    lines = []
+    for row in ledger.build_ledger(events(spark, rows), ["n"]).orderBy("sequence").collect():
+        value = {k: row[k] for k in row.asDict() if k != "violations"}
+        value["payload"] = json.loads(value["payload"])
+        lines.append(json.dumps(value, sort_keys=True, separators=(",", ":")))
+    return lines
+
+
+@pytest.mark.parametrize("change, error", [
+    (lambda lines: lines, ""),
+    (lambda lines: lines + [lines[-1][:50]], "line_invalid"),
+    (lambda lines: lines[:2] + ['{"extra":1,' + lines[2][1:]], "line_invalid"),
+    (lambda lines: [lines[0], lines[1] + " {}", lines[2]], "line_invalid"),
+    (lambda lines: [x.replace('"job_id":"j"', '"job_id":"k"') for x in lines], "line_invalid"),
+])
+def test_only_exact_envelopes_make_a_ledger(spark, tmp_path, change, error):
+    target = tmp_path / "t" / "j"
+    target.mkdir(parents=True)
+    (target / "events.jsonl").write_text("\n".join(change(ledger_lines(spark))), encoding="utf-8")
+    receipts = ledger.verify_chain(source.read_ledgers(spark, str(tmp_path))).collect()
+    assert len(receipts) == 1 and receipts[0]["job_id"] == "j"
+    assert receipts[0]["ok"] == (not error) and error in receipts[0]["error"]
+
+
+def test_held_keys_ids_and_broken_ledgers_are_respected(spark):
+    batch = [("j", "a", '{"v":1}', "k1"), ("j", "a", '{"v":2}', "k2")]
+    held = ledger.build_ledger(events(spark, batch), ["n"]).drop("violations")
+    receipts = ledger.verify_chain(held)
+    assert ledger.build_ledger(events(spark, batch), ["n"], receipts, held=held).count() == 0
+    mixed = events(spark, [("j", "a", '{"v":1}', "k1"), ("j", "b", '{"v":2}', "k2"),
+                           ("j", "a", '{"v":9}', "k9")]).withColumn(
+        "event_id", F.concat(F.lit("new"), "event_id"))
+    rows = {r["idempotency_key"]: r for r in
+            ledger.build_ledger(mixed, ["n"], receipts, held=held).collect()}
+    assert set(rows) == {"k2", "k9"} and rows["k9"]["sequence"] == 3
+    assert [v["code"] for v in rows["k2"]["violations"]] == ["idempotency_conflict"]
+    taken = ledger.build_ledger(events(spark, [("j", "a", "{}", "k7")]), ["n"], receipts, held=held)
+    assert taken.select(violation_codes().alias("v")).first()["v"] == "duplicate_event_id"
+    broken = ledger.verify_chain(held.withColumn("event_hash", F.lit("0" * 64)))
+    refused = ledger.build_ledger(mixed, ["n"], broken, held=held).collect()
+    assert all("ledger_invalid" in [v["code"] for v in r["violations"]] for r in refused)
+    assert all(r["sequence"] is None for r in refused)
+
+
 def test_outbox_is_dispatched_once(spark):
     outbox = spark.createDataFrame(
         [(f"o{i}", "t", "policy.x", "strategy", "s", "{}", f"k{i}", float(i), None)

@@ -140,3 +140,16 @@ def test_fold_on_empty_input(spark):
     df = spark.createDataFrame([], "tenant_id string, principal_id string, at double, n long")
     assert ordered_fold(df, ["tenant_id", "principal_id"], ["at"],
                         service.token_bucket_machine()).count() == 0
+
+
+@pytest.mark.parametrize("reshape", [
+    lambda df: df.coalesce(1), lambda df: df.coalesce(3), lambda df: df.repartition(4),
+    lambda df: df.where("n < 0").union(df)])
+def test_results_do_not_depend_on_how_they_are_read(spark, reshape):
+    rows = skewed_requests()
+    machine = service.token_bucket_machine(60, 3)
+    wanted = loop(rows, machine, ["tenant_id", "principal_id"], ["at", "n"])
+    found = reshape(service.token_bucket(spark.createDataFrame(rows), ["at", "n"], 60, 3,
+                                         partitions=12)).collect()
+    assert len(found) == len(rows)
+    assert all(row["allowed"] == wanted[row["n"]][0] for row in found)

@@ -16,17 +16,26 @@ LEDGER = ["tenant_id", "job_id"]
 
 
 def chain_violations(events: DataFrame, mode: str = "exact") -> DataFrame:
-    """Row level part of W01.
+    """Row level part of W01: ledger, sequence, ids, hashes and ``violations`` of every event.
 
-    Every rule is local to a row, a map-side combined count or an equi-join on (ledger, sequence).
-    No window runs over a whole ledger, so one giant ledger is checked by all tasks.
+    Rows are hashed where they are read and lose their payload there; everything after works on
+    narrow rows. Every further rule is a map-side combined count or an equi-join on (ledger,
+    sequence), so one giant ledger is checked by all tasks. Rows are marked as duplicates by a
+    join with the repeated keys only. An event whose line was not exactly one envelope
+    (``line_problem`` of ``read_ledgers``) breaks its ledger.
     """
-    marked = duplicated(events, [*LEDGER, "sequence"], "__dup_seq")
+    checked = validate_events(events, mode)
+    if "line_problem" in events.columns:
+        problem = F.col("line_problem")
+        checked = with_violations(checked, [Rule("line_invalid", problem.isNotNull(), problem)])
+    narrow = checked.select(*LEDGER, "sequence", "event_id", "idempotency_key", "previous_hash",
+                            "event_hash", "violations")
+    before = (narrow.groupBy(*LEDGER, (F.col("sequence") + 1).alias("sequence"))
+              .agg(F.min("event_hash").alias("__prior")))
+    joined = narrow.join(before, [*LEDGER, "sequence"], "left")
+    marked = duplicated(joined, [*LEDGER, "sequence"], "__dup_seq")
     marked = duplicated(marked, [*LEDGER, "event_id"], "__dup_id")
     marked = duplicated(marked, [*LEDGER, "idempotency_key"], "__dup_key")
-    before = (events.groupBy(*LEDGER, (F.col("sequence") + 1).alias("sequence"))
-              .agg(F.min("event_hash").alias("__prior")))
-    joined = validate_events(marked, mode).join(before, [*LEDGER, "sequence"], "left")
     rules = [
         Rule("sequence_gap", (F.col("sequence") > 1) & F.col("__prior").isNull()),
         Rule("sequence_repeated", F.col("__dup_seq")),
@@ -35,7 +44,7 @@ def chain_violations(events: DataFrame, mode: str = "exact") -> DataFrame:
         Rule("duplicate_event_id", F.col("__dup_id")),
         Rule("duplicate_idempotency_key", F.col("__dup_key")),
     ]
-    return with_violations(joined, rules).drop("__dup_seq", "__dup_id", "__dup_key", "__prior")
+    return with_violations(marked, rules).drop("__dup_seq", "__dup_id", "__dup_key", "__prior")
 
 
 def verify_chain(events: DataFrame, mode: str = "exact") -> DataFrame:
@@ -52,8 +61,8 @@ def verify_chain(events: DataFrame, mode: str = "exact") -> DataFrame:
         F.when(F.col("broken"), 0).otherwise(F.col("n")).cast("bigint").alias("event_count"),
         F.when(F.col("broken"), "").otherwise(F.col("head")).alias("head_hash"),
         F.when(F.col("broken"), F.concat(
-            F.lit("sequence "), F.col("first.sequence").cast("string"), F.lit(": "),
-            F.col("first.codes"))).otherwise("").alias("error"))
+            F.lit("sequence "), F.coalesce(F.col("first.sequence").cast("string"), F.lit("?")),
+            F.lit(": "), F.col("first.codes"))).otherwise("").alias("error"))
 
 
 def idempotent_dedup(df: DataFrame, keys: list[str], order: list[str], fingerprint: Column
@@ -98,24 +107,42 @@ def _chain_machine() -> Machine:
 
 def build_ledger(events: DataFrame, order: list[str], receipts: DataFrame | None = None,
                  expected: DataFrame | None = None, mode: str = "exact",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, held: DataFrame | None = None) -> DataFrame:
     """Append a batch of events to their ledgers.
 
     ``events`` has the envelope columns without sequence and hashes. Replays of an idempotency key
     collapse to the first event; a key with two meanings is reported in ``violations`` and not
-    appended. ``receipts`` (from ``verify_chain``) gives the ledgers the batch continues;
-    ``expected`` (tenant_id, job_id, expected_head) asks for an optimistic check.
+    appended. ``receipts`` (from ``verify_chain``) gives the ledgers the batch continues: one that
+    is not ok takes no event, and only a ledger without receipt begins anew. ``held`` has the
+    events those ledgers hold: a key that is held with the same meaning is a replay and adds
+    nothing, one with another meaning is a conflict, a held event id is refused. ``expected``
+    (tenant_id, job_id, expected_head) asks for an optimistic check.
     """
     first = idempotent_dedup(events, [*LEDGER, "idempotency_key"], order,
                              fn.semantic_fingerprint(mode))
+    first = duplicated(first, [*LEDGER, "event_id"], "__same_id")
+    rules = [Rule("idempotency_conflict", F.col("conflict"), F.col("idempotency_key"))]
+    if held is not None:
+        first = first.withColumn("__meaning", fn.semantic_fingerprint(mode))
+        keys = held.select(*LEDGER, "idempotency_key", fn.semantic_fingerprint(mode).alias("__held"))
+        first = first.join(keys, [*LEDGER, "idempotency_key"], "left").where(
+            F.col("conflict") | ~F.coalesce(F.col("__held") == F.col("__meaning"), F.lit(False)))
+        rules.append(Rule("idempotency_conflict", F.col("__held").isNotNull() & ~F.col("conflict"),
+                          F.col("idempotency_key")))
+        ids = held.select(*LEDGER, "event_id", F.lit(True).alias("__held_id"))
+        first = first.join(ids, [*LEDGER, "event_id"], "left")
+        rules.append(Rule("duplicate_event_id", F.col("__held_id") & F.col("__held").isNull(),
+                          F.col("event_id")))
+    rules.append(Rule("duplicate_event_id", F.col("__same_id"), F.col("event_id")))
     if receipts is not None:
-        base = receipts.where("ok").select(*LEDGER, F.col("event_count").alias("__base_count"),
-                                           F.col("head_hash").alias("__base_head"))
+        base = receipts.select(*LEDGER, F.col("ok").alias("__ok"),
+                               F.col("event_count").alias("__base_count"),
+                               F.col("head_hash").alias("__base_head"))
         first = first.join(base, LEDGER, "left")
+        rules.append(Rule("ledger_invalid", ~F.col("__ok")))
     else:
         first = (first.withColumn("__base_count", F.lit(0).cast("bigint"))
                  .withColumn("__base_head", F.lit("")))
-    rules = [Rule("idempotency_conflict", F.col("conflict"), F.col("idempotency_key"))]
     if expected is not None:
         first = first.join(expected, LEDGER, "left")
         rules.append(Rule("head_mismatch", F.col("expected_head").isNotNull() & (
@@ -210,7 +237,10 @@ def flush_outbox(outbox: DataFrame, ledger_events: DataFrame, audit_job_id: str,
         .alias("occurred_at"),
         "tenant_id", F.lit(audit_job_id).alias("job_id"), "aggregate_type", "aggregate_id",
         "event_type", "payload", "idempotency_key", "created_at")
-    return build_ledger(shaped, ["created_at", "event_id"], receipts, partitions=partitions)
+    # Pending rows have no key that the ledger holds; ids are compared all the same.
+    ids = ledger_events if set(S.EVENT.fieldNames()) <= set(ledger_events.columns) else None
+    return build_ledger(shaped, ["created_at", "event_id"], receipts, partitions=partitions,
+                        held=ids)
 
 
 def mark_dispatched(outbox: DataFrame, ledger_events: DataFrame, at: float) -> DataFrame:

@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from typing import Any
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -61,6 +60,10 @@ def prefix_scan(df: DataFrame, keys: list[str], seq: str, running: dict[str, tup
         for name, (kind, _) in running.items()])
 
 
+# Column with the number of the partition that a row was placed in.
+PART = "__part"
+
+
 @dataclass(frozen=True)
 class Machine:
     """A fold: ``step(state, row) -> (state, outputs)`` with a JSON-able state.
@@ -92,40 +95,48 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], machine: Mach
     width = len(key_names)
     incoming: dict[int, str] = {}
 
+    # The number of its partition is stored with each row: a later coalesce or union changes which
+    # task streams a partition, not where the rows of a partition begin.
+    log = log.withColumn(PART, F.spark_partition_id() if count > 1 else F.lit(0))
     if count > 1:
         log = materialise(log)
         incoming = _incoming_states(log, keys, machine)
 
     arrow_fields = to_arrow_schema(StructType(machine.output.fields))
     names = fields.names
+    reads = (*reads, PART)
 
     def run(batches):
-        current, state = None, None
-        given = incoming.get(TaskContext.get().partitionId())
+        current, state, part = None, None, None
         for batch in batches:
             produced = [[] for _ in arrow_fields]
             for values in _rows(batch, reads):
                 row = dict(zip(reads, values))
                 key = values[:width]
-                if key != current:
-                    if current is None and given is not None:
-                        state = json.loads(given)
-                    else:
-                        state = start(row)
+                if values[-1] != part:
+                    part = values[-1]
+                    given = incoming.get(part)
+                    current = key
+                    state = json.loads(given) if given is not None else start(row)
+                elif key != current:
+                    state = start(row)
                     current = key
                 state, outputs = step(state, row)
                 for column, value in zip(produced, outputs):
                     column.append(value)
             arrays = [pa.array(column, type=field.type)
                       for column, field in zip(produced, arrow_fields)]
-            yield pa.RecordBatch.from_arrays(list(batch.columns) + arrays, names=names)
+            held = [c for c, n in zip(batch.columns, batch.schema.names) if n != PART]
+            yield pa.RecordBatch.from_arrays(held + arrays, names=names)
 
     return log.mapInArrow(run, fields)
 
 
 def _incoming_states(log: DataFrame, keys: list[str], machine: Machine) -> dict[int, str]:
     """State each partition starts with; the driver handles one small row per partition."""
-    spans = (log.select(F.spark_partition_id().alias("pid"), F.struct(*keys).alias("k"))
+    if PART not in log.columns:
+        log = log.withColumn(PART, F.spark_partition_id())
+    spans = (log.select(F.col(PART).alias("pid"), F.struct(*keys).alias("k"))
              .groupBy("pid").agg(F.min("k").alias("first"), F.max("k").alias("last"))
              .orderBy("pid").collect())
     spans = [(row["pid"], tuple(row["first"]), tuple(row["last"])) for row in spans]
@@ -147,13 +158,18 @@ def _incoming_states(log: DataFrame, keys: list[str], machine: Machine) -> dict[
     def end_states(wanted: dict[int, str | None]) -> dict[int, tuple[str, str]]:
         """Start and end state of each wanted partition; a null start asks for the guess."""
         def run(batches):
-            pid = TaskContext.get().partitionId()
-            if pid not in wanted:
-                return
-            target, given = open_ended[pid], wanted[pid]
-            state = json.loads(given) if given is not None else None
-            began = given
+            pid = None
             for batch in batches:
+                if not batch.num_rows:
+                    continue
+                if pid is None:
+                    # A partition that is settled is left after its first batch.
+                    pid = batch.column(batch.schema.get_field_index(PART))[0].as_py()
+                    if pid not in wanted:
+                        return
+                    target, given = open_ended[pid], wanted[pid]
+                    state = json.loads(given) if given is not None else None
+                    began = given
                 for values in _rows(batch, reads):
                     if values[:width] != target:
                         continue
@@ -162,6 +178,8 @@ def _incoming_states(log: DataFrame, keys: list[str], machine: Machine) -> dict[
                         state = start(row)
                         began = json.dumps(state)
                     state, _ = step(state, row)
+            if pid is None:
+                return
             yield pa.RecordBatch.from_arrays(
                 [pa.array([pid], pa.int32()), pa.array([began], pa.string()),
                  pa.array([json.dumps(state)], pa.string())], names=["pid", "began", "ended"])

@@ -140,8 +140,9 @@ SQL: dict[str, str] = {
                'e' || event_id AS event_id,
                strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS occurred_at,
                'session' AS aggregate_type, 'a' || (event_id % 2) AS aggregate_id,
-               event_type, props AS payload, event_type || ':' || props AS idempotency_key,
-               event_id AS n
+               event_type, CASE WHEN event_id % 5 = 0 THEN replace(props, '}', ',"x":1.0}')
+                   ELSE props END AS payload,
+               event_type || ':' || props AS idempotency_key, event_id AS n
         FROM events""",
     "claim_log": """
         SELECT 'chat' AS tenant_id, 'j' || conv_id AS job_id, turn + 1 AS sequence,

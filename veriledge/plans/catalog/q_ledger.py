@@ -70,6 +70,37 @@ def _(t):
                            "event_hash")
 
 
+@query("S09_append_to_ledger", "raw_events", recursive=True, sql=f"""WITH {_CHAIN},
+    heads AS (SELECT tenant_id, job_id, count(*) AS n_held, max_by(event_hash, seq) AS head
+        FROM chain GROUP BY 1, 2),
+    sent AS (SELECT c.tenant_id, c.job_id, c.event_id, c.n, c.seq, h.n_held,
+        CAST(substr(c.job_id, 2) AS BIGINT) % 4 = 0 AS broken,
+        CASE WHEN c.seq % 3 = 0 THEN 'new' WHEN c.seq % 3 = 1 THEN 'replay' ELSE 'conflict' END AS kind
+        FROM chain c JOIN heads h ON h.tenant_id = c.tenant_id AND h.job_id = c.job_id)
+    SELECT tenant_id, job_id, CASE kind WHEN 'new' THEN 'n' ELSE 'c' END || event_id AS event_id,
+        concat_ws(',', CASE WHEN kind = 'conflict' THEN 'idempotency_conflict' END,
+            CASE WHEN broken THEN 'ledger_invalid' END) AS codes,
+        CASE WHEN kind = 'new' AND NOT broken THEN n_held + count(*) FILTER (WHERE kind = 'new')
+            OVER (PARTITION BY tenant_id, job_id ORDER BY n) END AS sequence
+    FROM sent WHERE kind <> 'replay'""")
+def _(t):
+    """A batch of replays, conflicts and new events for held ledgers, a quarter of them broken."""
+    held = materialise(chained(t))
+    kind = F.col("sequence") % 3
+    broken = F.expr("cast(substr(job_id, 2) as bigint) % 4 = 0")
+    receipts = ledger.verify_chain(held.withColumn("event_hash", F.when(
+        broken, F.lit("0" * 64)).otherwise(F.col("event_hash"))))
+    batch = held.withColumn("n", F.expr("cast(substr(event_id, 2) as bigint)")).withColumns({
+        "event_id": F.when(kind == 1, F.col("event_id")).otherwise(
+            F.concat(F.when(kind == 0, "n").otherwise("c"), "event_id")),
+        "idempotency_key": F.when(kind == 0, F.concat(F.lit("new:"), "idempotency_key"))
+        .otherwise(F.col("idempotency_key")),
+        "aggregate_id": F.when(kind == 2, F.lit("other")).otherwise(F.col("aggregate_id"))})
+    batch = batch.drop("sequence", "previous_hash", "event_hash", "schema_version")
+    return ledger.build_ledger(batch, ["n"], receipts, held=held).select(
+        "tenant_id", "job_id", "event_id", violation_codes().alias("codes"), "sequence")
+
+
 @query("W01_verify_chain", "raw_events", recursive=True, sql=f"""WITH {_TAMPER}
     SELECT tenant_id, job_id, bool_and(codes = '') AS ok,
         CASE WHEN bool_and(codes = '') THEN count(*) ELSE 0 END AS event_count,

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from veriledge import schemas as S
 from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import violation_codes
-from veriledge.operators import service
+from veriledge.operators import ledger, service
 from veriledge.plans.catalog.q_benchmark import fold_sql
 from veriledge.plans.catalog.q_jobs import snapshot
 from veriledge.plans.catalog.q_ledger import _CHAIN, chained
@@ -102,25 +102,37 @@ def _(t):
 
 
 def _ledger_files(t):
-    """Built ledgers written as JSON lines below <tenant>/<job>/."""
+    """Ledgers as JSON lines below tenant and job; a third torn, a third with a field too many."""
     path = t.scratch()
-    events = chained(t)
+    part = F.expr("cast(substr(job_id, 2) as bigint) % 3")
     raw = F.concat(F.expr("substr(envelope, 1, length(envelope) - 1)"),
                    F.lit(',"event_hash":"'), "event_hash", F.lit('"}'))
-    lines = events.withColumn("envelope", fn.envelope_json()).select(
-        F.col("tenant_id").alias("t"), F.col("job_id").alias("j"), raw.alias("value"))
-    lines.repartition("t", "j").write.partitionBy("t", "j").text(path)
+    events = chained(t).withColumn("envelope", fn.envelope_json()).withColumn("value", raw)
+    wide = F.concat(F.lit('{"extra":0,'), F.expr("substr(value, 2)"))
+    lines = events.select(
+        F.col("tenant_id").alias("t"), F.col("job_id").alias("j"),
+        F.when((part == 2) & (F.col("sequence") == 1), wide).otherwise(F.col("value")).alias("value"))
+    torn = events.where((part == 1) & (F.col("sequence") == 1)).select(
+        F.col("tenant_id").alias("t"), F.col("job_id").alias("j"),
+        F.expr("substr(value, 1, 40)").alias("value"))
+    lines.union(torn).repartition("t", "j").write.partitionBy("t", "j").text(path)
     return path
 
 
-@query("S08_read_ledgers", "raw_events", recursive=True, sql=f"""WITH {_CHAIN}
-    SELECT tenant_id, job_id, count(*) AS events, max_by(event_hash, seq) AS head_hash FROM chain
-    GROUP BY 1, 2""")
+@query("S08_read_ledgers", "raw_events", recursive=True, sql=f"""WITH {_CHAIN},
+    jobs AS (SELECT DISTINCT tenant_id, job_id, CAST(substr(job_id, 2) AS BIGINT) % 3 AS part
+        FROM chain)
+    SELECT c.tenant_id, c.job_id, CASE j.part WHEN 1 THEN 'line_json' WHEN 2 THEN 'line_fields'
+        ELSE '' END AS problems, j.part = 0 AS ok, CASE WHEN j.part = 0 THEN count(*) ELSE 0 END
+        AS event_count, CASE WHEN j.part = 0 THEN max_by(event_hash, seq) ELSE '' END AS head_hash
+    FROM chain c JOIN jobs j ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id
+    GROUP BY c.tenant_id, c.job_id, j.part""")
 def _(t):
-    events = ledgers.parse_events(t.spark.read.text(_ledger_files(t)).select("value"))
-    return events.groupBy("tenant_id", "job_id").agg(
-        F.count(F.lit(1)).alias("events"), F.max_by("event_hash", "sequence")
-        .alias("head_hash"))
+    """A third of the ledgers end in a torn line, a third have a field too many in the first."""
+    events = ledgers.read_ledgers(t.spark, _ledger_files(t))
+    problems = events.groupBy("tenant_id", "job_id").agg(
+        F.concat_ws(",", F.array_sort(F.collect_set("line_problem"))).alias("problems"))
+    return ledger.verify_chain(events).drop("error").join(problems, ["tenant_id", "job_id"])
 
 
 @query("S10_write_receipts", "raw_events", recursive=True, sql=f"""WITH {_CHAIN}

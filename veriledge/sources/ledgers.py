@@ -5,40 +5,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veriledge import schemas as S
+from veriledge.functions import scalars as fn
 from veriledge.operators.ledger import verify_chain
 
-_PATH = r"([^/]+)/([^/]+)/[^/]+\.jsonl$"
-
-
-def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Envelope columns from JSON lines; the payload stays JSON text for hashing."""
-    parsed = F.try_parse_json(F.col(value))
-    columns = []
-    for field in S.EVENT.fields:
-        if field.name == "payload":
-            member = F.try_variant_get(parsed, "$.payload", "variant")
-            columns.append(F.to_json(member).alias("payload"))
-        else:
-            columns.append(F.try_variant_get(parsed, f"$.{field.name}",
-                                             field.dataType.simpleString()).alias(field.name))
-    keep = [c for c in lines.columns if c not in S.EVENT.fieldNames()]
-    return lines.select(*keep, *columns)
+# <tenant>/<job>/<file>; folders may be named key=value, as partitioned writers name them.
+_PATH = r"(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/[^/]+\.(?:jsonl|txt)$"
 
 
 def read_ledgers(spark: SparkSession, root: str) -> DataFrame:
     """All ledgers below ``root`` (``<tenant>/<job>/events.jsonl``).
 
-    The payload is read with a raw JSON string schema, so numbers keep their spelling and the
-    exact hash can be recomputed.
+    tenant_id and job_id are those of the path, so every line belongs to a ledger. ``line_problem``
+    says why a line is not exactly one envelope: ``line_json`` (torn, or more than one value),
+    ``line_fields`` (a field missing or too many), ``line_path`` (another ledger's event). Such a
+    line fails its ledger in ``verify_chain``. The payload is read as raw JSON text, so numbers
+    keep their spelling and the exact hash can be recomputed.
     """
     lines = spark.read.option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.jsonl").text(root).where(F.trim("value") != "")
+        "pathGlobFilter", "*.{jsonl,txt}").text(root).where(F.trim("value") != "")
     path = F.col("_metadata.file_path")
-    parsed = F.from_json("value", S.EVENT)
-    return lines.select(
+    names = F.map_keys(F.try_variant_get(fn.parse_json_strict("value"), "$", "map<string,variant>"))
+    read = lines.select(
         F.regexp_extract(path, _PATH, 1).alias("path_tenant"),
         F.regexp_extract(path, _PATH, 2).alias("path_job"),
-        parsed.alias("e")).select("path_tenant", "path_job", "e.*")
+        F.from_json("value", S.EVENT).alias("e"), F.array_sort(names).alias("names"))
+    wanted = F.array(*[F.lit(n) for n in sorted(S.EVENT.fieldNames())])
+    problem = (F.when(F.col("names").isNull(), "line_json")
+               .when(F.col("names") != wanted, "line_fields")
+               .when(~(F.col("e.tenant_id").eqNullSafe(F.col("path_tenant"))
+                       & F.col("e.job_id").eqNullSafe(F.col("path_job"))), "line_path"))
+    columns = [F.col({"tenant_id": "path_tenant", "job_id": "path_job"}.get(n, f"e.{n}")).alias(n)
+               for n in S.EVENT.fieldNames()]
+    return read.select("path_tenant", "path_job", *columns, problem.alias("line_problem"))
 
 
 def write_ledgers(events: DataFrame, root: str, mode: str = "append") -> None:

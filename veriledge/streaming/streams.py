@@ -17,9 +17,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from veriledge import schemas as S
-from veriledge.functions import scalars as fn
+from veriledge.functions.contracts import violation_codes
 from veriledge.operators.jobs import _budget_machine
 from veriledge.operators.ordered import Machine
+from veriledge.operators.rows import validate_events
 from veriledge.operators.service import (
     circuit_machine, histogram_rows, token_bucket_machine,
 )
@@ -97,20 +98,24 @@ def _chain_machine() -> Machine:
                 error = "sequence"
             elif (row["previous_hash"] or "") != head:
                 error = "previous_hash"
-            elif row["calculated_hash"] != row["event_hash"]:
-                error = "event_hash"
+            elif row["row_error"]:
+                error = row["row_error"]
         if error:
             return [count, head, error], (False, count, error)
         return [count + 1, row["event_hash"], ""], (True, count + 1, "")
 
-    return Machine(start, step, ("sequence", "previous_hash", "calculated_hash", "event_hash"),
+    return Machine(start, step, ("sequence", "previous_hash", "row_error", "event_hash"),
                    S.flat("ok boolean, verified bigint, error string"))
 
 
 def stream_verify_chain(events: DataFrame) -> DataFrame:
-    """ST01: hashes are recomputed in the JVM; the state only carries the chain."""
-    hashed = events.withColumn("calculated_hash", fn.event_hash(mode="native"))
-    return stateful_fold(hashed, ["tenant_id", "job_id"], ["sequence"], _chain_machine(),
+    """ST01: the event rules and exact hashes of W01 are checked row by row before the state.
+
+    The state carries the chain; repeated ids and keys are left to W01, as a state that knows
+    every id of a ledger would never end.
+    """
+    checked = validate_events(events).withColumn("row_error", violation_codes())
+    return stateful_fold(checked.drop("violations"), ["tenant_id", "job_id"], ["sequence"], _chain_machine(),
                          ["sequence", "event_id"])
 
 
