@@ -66,18 +66,21 @@ def plan_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
                         F.col("url").cast("string").alias("url"), body.alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(body.cast("binary")))).withColumn(
         "n", F.octet_length("html"))
-    light = stored(rows.select("page_id", "url", "sha", "n"), "warc-digests")
+    # Null-free names of a row, so that window and join share one placement of the payloads.
+    names = {"p": F.coalesce("page_id", F.lit(0)), "no_p": F.col("page_id").isNull(),
+             "u": F.coalesce("url", F.lit("")), "no_u": F.col("url").isNull()}
+    rows = rows.withColumns(names)
+    key = [*names, "sha"]
+    light = stored(rows.select("page_id", "url", "n", *key), "warc-digests")
     keeper = light.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("keep"))
     decided = (light.distinct().join(keeper, "sha")
-               .select("page_id", "url", "sha", "keep",
+               .select(*key, "keep",
                        (F.struct("page_id", "url").eqNullSafe(F.col("keep"))).alias("is_keep"),
                        (F.col("n") >= least_bytes).alias("counts")))
-    same = Window.partitionBy("page_id", "url", "sha").orderBy("n")
-    return (rows.withColumn("place", F.row_number().over(same)).alias("r")
-            .join(decided.alias("d"), F.expr(
-                "r.page_id <=> d.page_id and r.url <=> d.url and r.sha = d.sha"))
+    same = Window.partitionBy(*key).orderBy("n")
+    return (rows.withColumn("place", F.row_number().over(same)).join(decided, key)
             .withColumn("revisits", F.expr("counts and not (is_keep and place = 1)"))
-            .select("r.page_id", "r.url", "html", "revisits", F.when(
+            .select("page_id", "url", "html", "revisits", F.when(
                 F.col("revisits"), F.col("keep.page_id")).alias("refers_to")))
 
 
