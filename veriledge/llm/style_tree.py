@@ -254,16 +254,17 @@ def site_importance(pages: DataFrame) -> DataFrame:
 
     seen = pages.mapInArrow(
         nodes, "host string, page long, key long, parent long, style long, content long").distinct()
-    counts = seen.groupBy("host", "key", "parent", "style", "content").agg(F.count("*").alias("n"))
+    counts = stored(seen.groupBy("host", "key", "parent", "style", "content")
+                    .agg(F.count("*").alias("n")), "style-counts")
 
     def entropy(column):
-        """Shares of the values of a node, as entropy to the base of its pages."""
+        """Shares of the values of a node, as entropy to the base of its pages; 1 for one page."""
         each = counts.groupBy("host", "key", column).agg(F.sum("n").alias("n"))
         return each.groupBy("host", "key").agg(
             F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"),
             F.max(F.col(column).isNotNull()).alias("any")).select(
-            "host", "key", (1 - F.col("s") / (F.col("m") * F.log("m"))).alias(column),
-            F.col("any").alias(f"any_{column}"))
+            "host", "key", F.when(F.col("m") > 1, 1 - F.col("s") / (F.col("m") * F.log("m")))
+            .otherwise(1.0).alias(column), F.col("any").alias(f"any_{column}"))
 
     total = counts.groupBy("host", "key").agg(F.sum("n").alias("m"), F.first("parent").alias("parent"))
     measured = (total.where(F.col("m") >= PAGES).join(entropy("style"), ["host", "key"])
