@@ -12,8 +12,12 @@ from pyspark.sql import functions as F
 
 from veriledge.llm.common import shared_folder, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# State on disk, without space set aside ahead of its use by each of many partitions.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def _sha256(text: Column) -> Column:
@@ -47,17 +51,16 @@ def stream_state(spark: SparkSession, path: str, state: str, digest=_sha256,
     keyed = (_located(reader.parquet(folder), digest).groupBy("digest")
              .agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"),
                   F.count("*").alias("group_size")))
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         query = (keyed.writeStream.outputMode("update").format("noop")
                  .option("checkpointLocation", state).trigger(availableNow=True).start())
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     held = spark.read.format("statestore").load(state)
     kept, counted = held.schema["value"].dataType.fieldNames()
     return held.select(F.col("key.digest").alias("digest"), F.col(f"value.{kept}").alias("keep"),
