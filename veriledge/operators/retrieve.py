@@ -31,11 +31,15 @@ def document_frequency(corpus: DataFrame, text: str = "content",
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-def weighted_query_terms(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def weighted_query_terms(queries: DataFrame, corpus: DataFrame,
+                         postings: DataFrame | None = None) -> DataFrame:
     """Query terms with the inverse frequency of the *whole* corpus, before any cutoff."""
     terms = query_terms(queries)
-    vocabulary = broadcast_if_bounded(terms.select("term").distinct())
-    frequency = document_frequency(corpus, vocabulary=vocabulary)
+    if postings is None:
+        vocabulary = broadcast_if_bounded(terms.select("term").distinct())
+        frequency = document_frequency(corpus, vocabulary=vocabulary)
+    else:
+        frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     total = corpus.count()  # a scalar of the whole corpus
     return (
         terms.join(frequency, "term")
@@ -44,22 +48,28 @@ def weighted_query_terms(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     )
 
 
-def lexical_term_join(weighted: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Scores of every (query, document) that share a term, one row each.
+def term_postings(corpus: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """How often each document uses each term of the vocabulary.
 
-    Documents are placed by id once. Counting terms and summing scores are then grouped by a key
-    that starts with that id, so neither the postings nor the (query, document) pairs are
-    shuffled. Only words that some query has are kept after tokenising. A query set too large to
-    broadcast is joined on a salted term instead.
+    Texts are split where they are read and never move: only words of the vocabulary are counted,
+    and counts combine before the shuffle.
     """
     keep = ["snapshot_id", "publication_date"]
-    placed = corpus.select(*keep, "content").repartition(F.col("snapshot_id"))
-    words = placed.select(*keep, F.explode(fn.terms("content")).alias("term"))
-    small = is_bounded(weighted, BROADCAST_ROW_LIMIT)
-    if small:
-        words = words.join(F.broadcast(weighted.select("term").distinct()), "term", "left_semi")
-    postings = words.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
-    if small:
+    words = corpus.select(*keep, F.explode(fn.terms("content")).alias("term"))
+    known = words.join(broadcast_if_bounded(vocabulary), "term", "left_semi")
+    return known.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def lexical_term_join(weighted: DataFrame, corpus: DataFrame,
+                      postings: DataFrame | None = None) -> DataFrame:
+    """Scores of every (query, document) that share a term, one row each.
+
+    Term counts and weights meet on the term, so scores are all that is shuffled. A query set too
+    large to broadcast is joined on a salted term instead.
+    """
+    if postings is None:
+        postings = term_postings(corpus, weighted.select("term").distinct())
+    if is_bounded(weighted, BROADCAST_ROW_LIMIT):
         joined = postings.join(F.broadcast(weighted), "term")
     else:
         salted = weighted.withColumn(
@@ -79,9 +89,10 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
     """The best ``k`` documents per query, ties by id. Columns query_id, rank, snapshot_id,
     score. Scores are rounded before ranking, so that sums taken in another order tie alike.
     """
-    # Used twice below and far smaller than the corpus it was counted from.
-    weighted = materialise(weighted_query_terms(queries, corpus))
-    scored = lexical_term_join(weighted, corpus).withColumn(
+    # The corpus is split once; frequencies and scores both come from the postings.
+    postings = materialise(term_postings(corpus, query_terms(queries).select("term").distinct()))
+    weighted = materialise(weighted_query_terms(queries, corpus, postings))
+    scored = lexical_term_join(weighted, corpus, postings).withColumn(
         "score", F.round("score", digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "snapshot_id")
     return (scored.where("score <> 0").withColumn("rank", F.row_number().over(best))

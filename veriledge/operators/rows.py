@@ -459,7 +459,10 @@ def build_decision_requests(tasks: DataFrame, passages: DataFrame, methods: Data
         F.coalesce(counter_part, F.array().cast("array<variant>")).alias("counter_passages"))))
     n_used = F.when(F.col("external_counter_retrieval"), F.col("n_passages")).otherwise(
         F.col("n_passages") - F.col("n_counter"))
-    out = joined.withColumn("passages", F.coalesce(n_used, F.lit(0))).withColumn("user", user)
+    # Over the limit there is no request: a text without its passages would be another request.
+    whole = F.coalesce(F.col("n_passages"), F.lit(0)) <= max_passages
+    out = joined.withColumn("passages", F.coalesce(n_used, F.lit(0))).withColumn(
+        "user", F.when(whole, user))
     rules = [
         Rule("too_many_passages", F.col("passages") > max_passages),
         Rule("context_too_long", F.length("user") > max_chars),

@@ -251,8 +251,11 @@ def observation_pairing(snapshots: DataFrame, observations: DataFrame) -> DataFr
     """Structs ``s`` and ``o`` side by side; a null side is a coverage finding. Repeated
     observations of one snapshot are reported by ``n_observations``."""
     left = snapshots.select("snapshot_id", F.struct(*snapshots.columns).alias("s"))
+    # The earliest instant, whatever zone its text is written in; unreadable texts come last.
+    stamp = F.try_to_timestamp("observed_at")
+    instant = F.struct(stamp.isNull(), stamp, "observed_at")
     right = (observations.groupBy("snapshot_id").agg(
-        F.min_by(F.struct(*observations.columns), "observed_at").alias("o"),
+        F.min_by(F.struct(*observations.columns), instant).alias("o"),
         F.count(F.lit(1)).alias("n_observations")))
     return left.join(right, "snapshot_id", "full_outer")
 

@@ -167,7 +167,10 @@ def sign_flip_exact(clusters: DataFrame) -> DataFrame:
     One row per block of up to 1024 vectors; the block's high bits give a partial sum once and
     the low bits are walked inside the row.
     """
-    arrays = _arrays(clusters).withColumn("k", F.size("d")).where(F.col("k") <= EXACT_CLUSTERS)
+    # Tests are counted before anything is gathered, so only short ones become arrays.
+    small = (clusters.groupBy(*TEST).agg(F.count(F.lit(1)).alias("__k"))
+             .where(F.col("__k") <= EXACT_CLUSTERS).select(*TEST))
+    arrays = _arrays(clusters.join(small, TEST, "left_semi")).withColumn("k", F.size("d"))
     total = F.aggregate("d", F.lit(0.0), lambda acc, x: acc + x)
     masks = arrays.withColumn("observed", F.abs(total / F.col("k"))).withColumn(
         "high", F.explode(F.expr("sequence(0L, shiftleft(1L, greatest(k - 10, 0)) - 1)")))

@@ -67,14 +67,15 @@ def filter_eq(df: DataFrame, where: str, variant: str = "v") -> DataFrame:
 def dedup_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row per key by ``order``; rows without a key stay.
 
-    The smallest order value per key is a map-side combined minimum, so a key shared by a large
-    part of the table does not gather in one task.
+    The first row is a map-side combined minimum over (order, row digest, row), so a key shared by
+    a large part of the table does not gather in one task, and equal order values leave one row.
     """
-    keyed = df.withColumn("__key", key)
-    first = (keyed.where(F.col("__key").isNotNull()).groupBy("__key")
-             .agg(F.min(order).alias(order)).select(order))
-    kept = keyed.where(F.col("__key").isNotNull()).join(first, order, "left_semi")
-    return kept.unionByName(keyed.where(F.col("__key").isNull())).drop("__key")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    keyed = df.select(row.alias("__row"), key.alias("__key"), F.col(order).alias("__order"))
+    first = (keyed.where(F.col("__key").isNotNull()).groupBy("__key").agg(F.min_by(
+        "__row", F.struct("__order", F.xxhash64(F.to_json("__row")))).alias("__row")))
+    return first.select("__row.*").unionByName(
+        keyed.where(F.col("__key").isNull()).select("__row.*"))
 
 
 def field_coverage(df: DataFrame, variant: str = "v") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriledge.functions import scalars as fn
-from veriledge.functions.contracts import violation_codes
+from veriledge.functions.contracts import split_valid, violation_codes
 from veriledge.operators import rows, score, stats
 from veriledge.plans import composites
 from veriledge.plans.catalog.q_scalars import _CLASS, SPACE
@@ -400,20 +400,35 @@ def fold_sql(lines: str, source: str) -> str:
     SELECT sha256(string_agg(g || ':' || d, chr(10) ORDER BY g || ':' || d)) FROM l2)"""
 
 
-@query("C01_blind_bundle", "gold", sql=f"""
-    SELECT {fold_sql('challenge_id', 'gold')} AS challenge_ids_sha256,
-        (SELECT count(*) FROM gold) AS tasks""")
+@query("C01_blind_bundle", *GOLD, sql=f"""
+    WITH kept AS (SELECT * FROM gold WHERE challenge_id IN (
+        SELECT challenge_id FROM ({_CHALLENGE_CODES}) WHERE codes = ''))
+    SELECT {fold_sql('challenge_id', 'kept')} AS challenge_ids_sha256,
+        (SELECT count(*) FROM kept) AS tasks""")
 def _(t):
-    return composites.blind_bundle(t.challenges(), check=False).select(
-        "challenge_ids_sha256", "tasks")
+    """The challenges without violations go through both contracts of the bundle."""
+    clean, _ = split_valid(rows.validate_challenges(t.challenges()))
+    return composites.blind_bundle(clean).select("challenge_ids_sha256", "tasks")
 
 
 @query("C02_verify_blind_bundle", "gold", sql="""
-    SELECT TRUE AS digest_ok, TRUE AS count_ok, CAST(0 AS BIGINT) AS contract_violations
-    WHERE EXISTS (SELECT 1 FROM gold)""")
+    SELECT c.kase, c.kase = 'same' OR c.n = 0 AS digest_ok, c.kase <> 'dropped' OR c.n = 0
+        AS count_ok, CAST(0 AS BIGINT) AS contract_violations
+    FROM (SELECT 'same' AS kase, count(*) AS n FROM gold WHERE FALSE
+        UNION ALL SELECT 'changed', count(*) FROM gold WHERE doc_id % 5 = 0
+        UNION ALL SELECT 'dropped', count(*) FROM gold WHERE doc_id % 5 = 0) c""")
 def _(t):
+    """A bundle as it was sealed, one with changed prompts, one with tasks left out."""
     tasks = rows.blind_project(t.gold)
-    return composites.verify_blind_bundle(tasks, composites.bundle_manifest(tasks))
+    manifest = composites.bundle_manifest(tasks)
+    fifth = F.expr("cast(substr(challenge_id, 2) as bigint) % 5 = 0")
+    bundles = {"same": tasks,
+               "changed": tasks.withColumn("prompt", F.when(fifth, F.concat("prompt", F.lit(" now")))
+                                           .otherwise(F.col("prompt"))),
+               "dropped": tasks.where(~fifth)}
+    found = [composites.verify_blind_bundle(b, manifest).select(F.lit(name).alias("kase"), "*")
+             for name, b in bundles.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("C11_failed_prediction_rows", *BOTH, sql="""
@@ -515,12 +530,12 @@ def _draw(factor: int, i: str, j: str) -> str:
 
 @query("A15_cluster_bootstrap_ci", *BOTH, sql=f"""WITH {_CLUSTERS},
     samples AS (SELECT treatment, metric, i, avg(d[CAST({_draw(1009, 'i', 'j')} % k AS INTEGER)
-        + 1]) AS sample FROM arrays, range(200) x(i), range(100) y(j) WHERE j < k
+        + 1]) AS sample FROM arrays, range(10000) x(i), range(100) y(j) WHERE j < k
         GROUP BY 1, 2, 3)
     SELECT treatment, metric, round(quantile_cont(sample, 0.025), 6) AS ci_low,
         round(quantile_cont(sample, 0.975), 6) AS ci_high FROM samples GROUP BY 1, 2""")
 def _(t):
-    return stats.cluster_bootstrap_ci(clusters(t), 200).select(
+    return stats.cluster_bootstrap_ci(clusters(t)).select(
         "treatment", "metric", F.round("ci_low", 6).alias("ci_low"),
         F.round("ci_high", 6).alias("ci_high"))
 
@@ -540,11 +555,11 @@ def _(t):
 @query("A17_sign_flip_monte_carlo", *BOTH, sql=f"""WITH {_CLUSTERS},
     samples AS (SELECT treatment, metric, i, any_value(observed) AS observed, avg(
         d[CAST(j AS INTEGER) + 1] * ({_draw(2027, 'i', 'j')} % 2 * 2 - 1)) AS sample
-        FROM arrays, range(200) x(i), range(100) y(j) WHERE j < k AND k > 5 GROUP BY 1, 2, 3)
+        FROM arrays, range(10000) x(i), range(100) y(j) WHERE j < k AND k > 5 GROUP BY 1, 2, 3)
     SELECT treatment, metric, round((count(*) FILTER (WHERE abs(sample) >= observed - 1e-12)
-        + 1) / 201, 6) AS p_value_raw FROM samples GROUP BY 1, 2""")
+        + 1) / 10001, 6) AS p_value_raw FROM samples GROUP BY 1, 2""")
 def _(t):
-    return stats.sign_flip_monte_carlo(clusters(t), 200, above=5).select(
+    return stats.sign_flip_monte_carlo(clusters(t), above=5).select(
         "treatment", "metric", F.round("p_value_raw", 6).alias("p_value_raw"))
 
 
@@ -589,7 +604,7 @@ def _(t):
             ROWS UNBOUNDED PRECEDING), 6) AS p_value_holm, k AS clusters, observations
     FROM r JOIN e ON e.treatment = r.treatment AND e.metric = r.metric""")
 def _(t):
-    c = stats.compare_methods(scored(t), "alpha", 200)
+    c = stats.compare_methods(scored(t), "alpha")
     return c.select("treatment", "metric", *[F.round(n, 6).alias(n) for n in (
         "effect", "p_value_raw", "p_value_holm")], "clusters", "observations")
 

@@ -9,7 +9,7 @@ from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import ContractError, strict
 from veriledge.operators import policy, retrieve, rows, score
 from veriledge.operators.ledger import LEDGER, prediction_ledger_binding, verify_chain
-from veriledge.session import materialise
+from veriledge.session import broadcast_if_bounded, materialise
 from veriledge.sources.jsonl import canonical_lines, write_canonical_jsonl
 
 _EVIDENCE = S.PREDICTION["evidence"].dataType
@@ -41,11 +41,10 @@ def bundle_manifest(tasks: DataFrame) -> DataFrame:
                         F.lit(",".join(sorted(S.FORBIDDEN_GOLD_KEYS)))))
 
 
-def blind_bundle(challenges: DataFrame, path: str | None = None, check: bool = True) -> DataFrame:
+def blind_bundle(challenges: DataFrame, path: str | None = None) -> DataFrame:
     """Validate, project, validate again, write; returns the manifest row."""
-    clean = strict(rows.validate_challenges(challenges)) if check else challenges
-    tasks = rows.blind_project(clean)
-    tasks = strict(rows.validate_blind_tasks(tasks)) if check else tasks
+    tasks = rows.blind_project(strict(rows.validate_challenges(challenges)))
+    tasks = strict(rows.validate_blind_tasks(tasks))
     if path:
         write_canonical_jsonl(tasks, path)
     return bundle_manifest(tasks)
@@ -86,7 +85,7 @@ def retrieve_for_tasks(tasks: DataFrame, corpus: DataFrame, k: int = 3) -> DataF
                                        corpus, k)
     named = queries.select("query_id", "challenge_id", "intent", "query_name")
     snapshot = F.substring_index("passage_id", "@", 1)
-    return found.join(F.broadcast(named), "query_id").select(
+    return found.join(broadcast_if_bounded(named), "query_id").select(
         "challenge_id", "intent", F.col("query_name").alias("query_id"), "rank",
         fn.capsule_passage_id(snapshot, "query_name").alias("passage_id"), "doc_id", "text",
         "locator", "content_sha256", "publication_date")
@@ -175,29 +174,27 @@ def run_and_score(challenges: DataFrame, methods: DataFrame, corpus: DataFrame,
 
 
 def evaluate_predictions(challenges: DataFrame, predictions: DataFrame, events: DataFrame,
-                         max_calls: int, max_tokens: int, check: bool = True
-                         ) -> tuple[DataFrame, DataFrame]:
-    """Contracts, ledger binding, coverage, item scores and summary.
+                         max_calls: int, max_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Contracts, ledger binding, coverage, one run, item scores and summary.
 
     ``predictions`` keep their ledger path ``<tenant>/<job>/events.jsonl``.
     """
-    if check:
-        strict(rows.validate_challenges(challenges))
-        valid = strict(rows.validate_predictions(predictions))
-        located = valid.withColumn(
-            "tenant_id", F.split_part("ledger_relpath", F.lit("/"), F.lit(1))).withColumn(
-            "job_id", F.split_part("ledger_relpath", F.lit("/"), F.lit(2)))
-        wanted = events.join(located.select(*LEDGER).distinct(), LEDGER, "left_semi")
-        bound = prediction_ledger_binding(located, verify_chain(wanted), wanted)
-        predictions = strict(bound).drop(*LEDGER)
-        gaps = score.coverage_join(predictions, challenges).where(
-            F.col("coverage") != "covered").limit(1).collect()
-        if gaps:
-            raise ContractError(f"prediction coverage mismatch: {gaps[0]['coverage']} "
-                                f"{gaps[0]['challenge_id']}")
-        run = score.single_run(predictions).first()
-        if run["methods"] != 1 or run["runs"] != 1:
-            raise ContractError("predictions must have exactly one method_id and run_id")
+    strict(rows.validate_challenges(challenges))
+    valid = strict(rows.validate_predictions(predictions))
+    located = valid.withColumn(
+        "tenant_id", F.split_part("ledger_relpath", F.lit("/"), F.lit(1))).withColumn(
+        "job_id", F.split_part("ledger_relpath", F.lit("/"), F.lit(2)))
+    wanted = events.join(located.select(*LEDGER).distinct(), LEDGER, "left_semi")
+    bound = prediction_ledger_binding(located, verify_chain(wanted), wanted)
+    predictions = strict(bound).drop(*LEDGER)
+    gaps = score.coverage_join(predictions, challenges).where(
+        F.col("coverage") != "covered").limit(1).collect()
+    if gaps:
+        raise ContractError(f"prediction coverage mismatch: {gaps[0]['coverage']} "
+                            f"{gaps[0]['challenge_id']}")
+    run = score.single_run(predictions).first()
+    if run["methods"] != 1 or run["runs"] != 1:
+        raise ContractError("predictions must have exactly one method_id and run_id")
     items = score.score_items(predictions, challenges, max_calls, max_tokens)
     return items, score.score_summary(items)
 
