@@ -408,7 +408,7 @@ def fold_sql(lines: str, source: str) -> str:
 def _(t):
     """The challenges without violations go through both contracts of the bundle."""
     clean, _ = split_valid(rows.validate_challenges(t.challenges()))
-    return composites.blind_bundle(clean).select("challenge_ids_sha256", "tasks")
+    return composites.blind_bundle(materialise(clean)).select("challenge_ids_sha256", "tasks")
 
 
 @query("C02_verify_blind_bundle", "gold", sql="""

@@ -314,13 +314,17 @@ def _(t):
 
 
 @query("A06_latency_histogram", "requests", sql=f"""
-    SELECT method, route, le, CAST(count(*) FILTER (WHERE duration_seconds <= CAST(le AS DOUBLE))
-        AS DOUBLE) AS value FROM requests CROSS JOIN (SELECT unnest(
-        {[repr(e) for e in S.LATENCY_BUCKETS]}) AS le) GROUP BY 1, 2, 3
-    UNION ALL SELECT method, route, '+Inf', CAST(count(*) AS DOUBLE) FROM requests
-    GROUP BY 1, 2""")
+    SELECT 'bucket' AS series, method, route, le, CAST(count(*) FILTER (WHERE duration_seconds
+        <= CAST(le AS DOUBLE)) AS DOUBLE) AS value FROM requests CROSS JOIN (SELECT unnest(
+        {[repr(e) for e in S.LATENCY_BUCKETS]}) AS le) GROUP BY 1, 2, 3, 4
+    UNION ALL SELECT 'bucket', method, route, '+Inf', CAST(count(*) AS DOUBLE) FROM requests
+    GROUP BY 2, 3
+    UNION ALL SELECT 'count', method, route, '', CAST(count(*) AS DOUBLE) FROM requests
+    GROUP BY 2, 3
+    UNION ALL SELECT 'sum', method, route, '', round(sum(CAST(duration_seconds AS DOUBLE)), 4)
+    FROM requests GROUP BY 2, 3""")
 def _(t):
-    return service.latency_histogram(t.requests).where("series = 'bucket'").drop("series")
+    return service.latency_histogram(t.requests).withColumn("value", F.round("value", 4))
 
 
 _USERS = """u AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error')

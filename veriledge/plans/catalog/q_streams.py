@@ -44,16 +44,33 @@ def _(t):
         "job_id", "claim_id", "event_id", "state", "problem")
 
 
+def updated(t, stream, keys):
+    """Drive an aggregating stream in update mode; the last version of every row."""
+    target = t.scratch()
+
+    def append(batch, number):
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    streams.run_available_now(stream, target, t.scratch(), "update", append)
+    rows = t.spark.read.parquet(target)
+    last = F.max_by(F.struct(*[c for c in rows.columns if c not in (*keys, "batch")]), "batch")
+    return rows.groupBy(*keys).agg(last.alias("r")).select(*keys, "r.*")
+
+
 @query("ST03_stream_latency_histogram", "requests", sql="""
     WITH r AS (SELECT *, date_trunc('day', ts) AS day FROM requests)
-    SELECT strftime(day, '%Y-%m-%d') AS day, method, route, CAST(count(*) AS DOUBLE) AS value
-    FROM r WHERE day < (SELECT date_trunc('day', max(ts) - INTERVAL 10 MINUTE) FROM requests)
-    GROUP BY 1, 2, 3""")
+    SELECT strftime(day, '%Y-%m-%d') AS day, method, route, 'count' AS series,
+        CAST(count(*) AS DOUBLE) AS value FROM r GROUP BY 1, 2, 3
+    UNION ALL SELECT strftime(day, '%Y-%m-%d'), method, route, 'sum',
+        round(sum(CAST(duration_seconds AS DOUBLE)), 4) FROM r GROUP BY 1, 2, 3""")
 def _(t):
+    """All windows, the last open one included: update mode gives each its newest values."""
     source = t.requests.select("ts", "method", "route", "duration_seconds")
-    hist = streams.stream_latency_histogram(as_stream(t, source, 1), window="1 day")
-    return drained(t, hist).where("series = 'count'").select(
-        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "method", "route", "value")
+    hist = streams.stream_latency_histogram(as_stream(t, source, 1), window="1 day", mode="update")
+    latest = updated(t, hist, ["window_start", "method", "route", "series", "le"])
+    return latest.where("series <> 'bucket'").select(
+        F.date_format("window_start", "yyyy-MM-dd").alias("day"), "method", "route", "series",
+        F.round("value", 4).alias("value"))
 
 
 @query("ST04_stream_budget_admission", "jobs", "charges", recursive=True, sql=BUDGET)

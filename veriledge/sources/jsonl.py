@@ -92,9 +92,9 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def canonical_lines(df: DataFrame) -> DataFrame:
-    """Sorted-key JSON text per row."""
-    names = sorted(df.columns)
-    return df.select(F.to_json(F.to_variant_object(F.struct(*names))).alias("value"))
+    """Sorted-key JSON text per row, with numbers spelt as the exact canonical form spells them."""
+    text = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    return df.select(fn.canonical_json(text, "exact").alias("value"))
 
 
 def write_canonical_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
