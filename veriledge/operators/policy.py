@@ -114,31 +114,34 @@ def _best(df: DataFrame, keys: list[str], order, limit: int) -> DataFrame:
     return ranked.where(F.col("rank") <= limit)
 
 
-def _asked(scores: DataFrame, families: DataFrame) -> DataFrame:
-    """Strategies of the tenant that come from another family than the one asked about.
+ASKED = ["tenant_id", "target_task_family"]
 
-    Recall is asked for the distinct task families of a tenant, a short list; the join is on the
-    tenant and its result is ranked with a map-side limit.
-    """
-    return scores.join(families.select("tenant_id", "target_task_family").distinct(),
-                       "tenant_id").where(
-        F.col("source_task_family") != F.col("target_task_family"))
 
+def _asked(scores: DataFrame, families: DataFrame, order, limit: int) -> DataFrame:
+    """The best ``limit`` strategies of the tenant from another family than the one asked about.
 
-ASKED = ["tenant_id", "target_task_family"]
+    A source family can fill at most ``limit`` places, and leaving one family out takes at most
+    ``limit`` places away. So the best ``2 * limit`` of every family's best are all that any
+    target family needs, and no more than those meet the families of a tenant.
+    """
+    short = _best(scores, ["tenant_id", "source_task_family"], order, limit).drop("rank")
+    short = _best(short, ["tenant_id"], order, 2 * limit).drop("rank")
+    met = short.join(families.select(*ASKED).distinct(), "tenant_id").where(
+        F.col("source_task_family") != F.col("target_task_family"))
+    return _best(met, ASKED, order, limit)
 
 
 def recall_active(scores: DataFrame, families: DataFrame, limit: int = 5) -> DataFrame:
     """K03."""
-    active = _asked(scores.where(F.col("status") == "ACTIVE"), families)
-    return _best(active, ASKED, [F.desc("wilson_lower"), F.desc("success_rate"),
-                                 F.asc("mean_calls"), F.asc("strategy_id")], limit)
+    return _asked(scores.where(F.col("status") == "ACTIVE"), families, [
+        F.desc("wilson_lower"), F.desc("success_rate"), F.asc("mean_calls"),
+        F.asc("strategy_id")], limit)
 
 
 def recall_uncredited(scores: DataFrame, families: DataFrame, limit: int = 5) -> DataFrame:
     """K04."""
-    usable = _asked(scores.where(F.col("status") != "RETIRED"), families)
-    return _best(usable, ASKED, [F.desc("created_at"), F.asc("strategy_id")], limit)
+    return _asked(scores.where(F.col("status") != "RETIRED"), families,
+                  [F.desc("created_at"), F.asc("strategy_id")], limit)
 
 
 def recall_candidate(scores: DataFrame, applications: DataFrame, families: DataFrame

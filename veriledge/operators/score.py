@@ -8,6 +8,7 @@ from veriledge import schemas as S
 from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import Rule, violation_codes, with_violations
 from veriledge.operators.rows import validate_observations
+from veriledge.session import broadcast_if_bounded
 
 RUN = ["run_id", "method_id"]
 
@@ -20,7 +21,7 @@ def coverage_join(predictions: DataFrame, challenges: DataFrame) -> DataFrame:
     """
     counted = (predictions.groupBy(*RUN, "challenge_id").agg(F.count(F.lit(1)).alias("n")))
     runs = counted.select(*RUN).distinct()
-    wanted = challenges.select("challenge_id").distinct().crossJoin(F.broadcast(runs))
+    wanted = challenges.select("challenge_id").distinct().crossJoin(broadcast_if_bounded(runs))
     joined = (wanted.withColumn("__known", F.lit(True))
               .join(counted, [*RUN, "challenge_id"], "full_outer"))
     return joined.select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veriledge.functions.contracts import Rule, with_violations
 from veriledge.functions.hooks import MetricSpec, default_metrics
-from veriledge.session import is_bounded, materialise
+from veriledge.session import broadcast_if_bounded, is_bounded, materialise
 
 PAIR = ["reference", "treatment"]
 TEST = [*PAIR, "metric"]
@@ -32,7 +32,7 @@ def paired_methods(scored: DataFrame, reference: str) -> DataFrame:
         "challenge_id", F.struct(*names).alias("ref"))
     others = scored.where(F.col("method_id") != reference)
     treatments = others.select(F.col("method_id").alias("treatment")).distinct()
-    wanted = ref.crossJoin(F.broadcast(treatments))  # one row per treatment name
+    wanted = ref.crossJoin(broadcast_if_bounded(treatments))  # one row per treatment name
     tests = others.select("challenge_id", F.col("method_id").alias("treatment"),
                           F.struct(*names).alias("test"))
     joined = wanted.join(tests, ["challenge_id", "treatment"], "full_outer")
@@ -196,7 +196,7 @@ def sign_flip_monte_carlo(clusters: DataFrame, iterations: int = 10_000, seed: i
     size = clusters.groupBy(*TEST).agg(F.count(F.lit(1)).alias("k"),
                                        F.abs(F.avg("difference")).alias("observed"))
     large = size.where(F.col("k") > above)
-    wanted = clusters.join(F.broadcast(large.select(*TEST)), TEST, "left_semi")
+    wanted = clusters.join(large.select(*TEST), TEST, "left_semi")
     seed_column = F.lit(seed) + F.col("metric_index") * 2027
 
     def signed(d, n, seed_value, metric, i, j):
@@ -211,7 +211,7 @@ def sign_flip_monte_carlo(clusters: DataFrame, iterations: int = 10_000, seed: i
                  .groupBy(*TEST, "iter")
                  .agg(F.avg(F.col("sign") * F.col("difference")).alias("sample")))
     extreme = F.count_if(F.abs("sample") >= F.col("observed") - 1e-15)
-    return (found.join(F.broadcast(large), TEST).groupBy(*TEST).agg(
+    return (found.join(large, TEST).groupBy(*TEST).agg(
         ((extreme + 1) / F.lit(iterations + 1)).alias("p_value_raw"),
         F.lit("monte_carlo_cluster_sign_flip").alias("test"),
         F.lit(iterations).cast("bigint").alias("permutations")))
