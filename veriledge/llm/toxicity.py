@@ -83,7 +83,7 @@ def fit_linear(rows, labels, ratios, prior: float, epochs: int = 60, rate: float
     return ToxicModel((weight * ratios).astype(np.float32), bias + float(np.log(odds / (1 - odds))) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> ToxicModel:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> ToxicModel:
     """Fit on about ``per_class`` labelled learning rows of each class, picked by row hash.
 
     Only that bounded list of keys is broadcast; n-gram counts of its texts are made on the
@@ -103,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> ToxicM
     picked = known.where(unit_hash(7, F.col("k")) < share)
     sample = stored(docs.select(F.col("doc_id").cast("long").alias("k"),
                                 F.col("text").cast("string").alias("text"))
-                    .join(F.broadcast(picked), "k").select("toxic", "text"), "toxic-sample")
+                    .join(F.broadcast(picked), "k").select("toxic", "text", "k"), "toxic-sample")
 
     def count(batches):
         sums = np.zeros((2, BUCKETS), np.int64)
@@ -120,30 +120,32 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> ToxicM
 
     # One row per bucket at most: the dimension is fixed.
     counted = (sample.select("toxic", "text").mapInArrow(count, "bucket long, pos long, neg long")
-               .groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toPandas())
-    pos, neg = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    body, ends = counted[counted.bucket >= 0], counted[counted.bucket < 0]
-    pos[body.bucket], neg[body.bucket] = body.pos, body.neg
-    if not len(ends):
+               .groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow())
+    bucket, more, less = (counted[c].to_numpy() for c in ("bucket", "pos", "neg"))
+    pos, neg, ends = np.zeros(BUCKETS), np.zeros(BUCKETS), bucket < 0
+    pos[bucket[~ends]], neg[bucket[~ends]] = more[~ends], less[~ends]
+    if not ends.any():
         return fit_linear([], [], None, sizes.get(1, 0) / total)
-    ratios = log_ratios(pos, neg, int(ends.pos.iloc[0]), int(ends.neg.iloc[0]))
+    ratios = log_ratios(pos, neg, int(more[ends].sum()), int(less[ends].sum()))
     sent = docs.sparkSession.sparkContext.broadcast(ratios != 0)
 
     def features(batches):
         for batch in batches:
             who, bucket = presence(batch.column(1).to_pylist(), sent.value)
             cut = np.searchsorted(who, np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket))],
-                names=["toxic", "ids"])
+            ids = pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), ids],
+                                             names=["toxic", "k", "ids"])
 
-    rows = sample.mapInArrow(features, "toxic int, ids array<long>").toPandas()
-    rows["ids"] = [np.asarray(i, np.int64) for i in rows["ids"]]
-    rows = rows.assign(key=[i.tobytes() for i in rows["ids"]]).sort_values(["toxic", "key"])
-    return fit_linear(rows["ids"].tolist(), rows["toxic"].tolist(), ratios, sizes.get(1, 0) / total)
+    rows = (sample.select("toxic", "text", "k").mapInArrow(features, "toxic int, k long, ids array<int>")
+            .orderBy("k", "toxic").toArrow().combine_chunks())
+    ids = rows["ids"].combine_chunks()
+    cut, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    bags = [flat[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    return fit_linear(bags, rows["toxic"].to_pylist(), ratios, sizes.get(1, 0) / total)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, by its whole text alone.
 
     Null and empty texts are scored too, by the bias. Without any learning label every score is
