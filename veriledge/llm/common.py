@@ -29,6 +29,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Most bytes of a table that is sent to every executor, by its measured rows.
+SENT_BYTES = 64 << 20
+
+
+def sent_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """Hint a broadcast where the measured size allows it; beyond that Spark shuffles both sides."""
+    return F.broadcast(df) if df.limit(SENT_BYTES // row_bytes + 1).count() * row_bytes \
+        <= SENT_BYTES else df
+
+
 def open_store(uri: str):
     """(pyarrow file system, path) of a Hadoop-style URI; usable on driver and executors."""
     from pyarrow import fs
@@ -40,6 +50,13 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def slices(batches, rows: int = 512):
+    """Record batches in small parts, so few texts at a time become Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def unit_hash(seed: int, *columns: Column) -> Column:
     """A number in [0, 1) that depends on the values and the seed only."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))

@@ -7,7 +7,11 @@
    and then hash; then the rest by hash. Frequencies are needed for that share only. An n-gram of
    one class takes a place in the order but makes no bucket.
 3. A bucket whose members all meet in one other bucket, or that has the members of another, is
-   left out. The whole sets of the others' members are brought together, large ones in blocks.
+   left out. Members of the others are first compared by sketches (how many n-grams fall in each
+   of 64 hash ranges), whose cell-wise minimum is an upper bound of the overlap: a member stays
+   where some other one of fitting size may reach the threshold. Only then texts are brought
+   together, in blocks where a bucket is large: every member in its largest bucket first, and then
+   in those buckets that the links found so far leave in parts.
 4. In a bucket the sets are ordered by local frequency and stored in a compressed trie. Each set
    traverses it once: the overlap with a path is shared by all sets below it, and a subtree is
    left where sizes, or the overlap so far plus what remains, cannot reach the threshold, or
@@ -22,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import components, stored
+from veriledge.llm.common import components, sent_if_small, slices, stored
 
-# Blocks hold about this many n-grams.
-BLOCK = 4_000_000
-PIECE = 1 << 20
+# Blocks of a bucket hold about this many n-grams, or this many sketches.
+BLOCK, SKETCH_BLOCK = 4_000_000, 20_000
+CELLS = 64
+PIECE = 1 << 18
 
 
 class Shingler:
@@ -190,6 +195,10 @@ class PrefixTree:
                 self.most[node] = max(self.most[node], self.most[c])
                 self.tail[node] = max(self.tail[node],
                                       self.tail[c] + self.node_to[c] - self.node_from[c])
+        # Wide nodes compare sizes with all children at once.
+        self.wide = {node: tuple(map(np.array, (
+            c, [self.least[i] for i in c], [self.most[i] for i in c])))
+            for node, c in enumerate(self.children) if len(c) > 16}
         self.relabel()
 
     def find(self, i: int) -> int:
@@ -248,62 +257,180 @@ class PrefixTree:
                         overlap * (num + den) >= num * (size + self.sizes[j]):
                     self.parent[self.find(j)] = self.find(i)
                     out.append((i, j))
-            for c in self.children[node]:
-                todo.append((c, overlap))
+            below = self.children[node]
+            if node in self.wide:
+                below, least, most = self.wide[node]
+                below = below[(most * den >= size * num) & (size * den >= least * num)].tolist()
+            todo.extend((c, overlap) for c in below)
         return out
 
 
 def bucket_links(sets, num: int, den: int):
     """Links that join the components of a bucket's sets, by positions."""
-    joined = np.concatenate(sets)
-    values, inverse, count = np.unique(joined, return_inverse=True, return_counts=True)
+    alive = list(range(len(sets)))
+    while len(alive) > 1:
+        values, inverse, count = np.unique(np.concatenate([sets[i] for i in alive]),
+                                           return_inverse=True, return_counts=True)
+        cuts = np.cumsum([0, *(len(sets[i]) for i in alive)])
+        common = np.add.reduceat(count[inverse] > 1, cuts[:-1], dtype=np.int64)
+        # A set shares at most the n-grams that another one here has as well.
+        stay = [i for i, c in zip(alive, common.tolist()) if c * den >= len(sets[i]) * num]
+        if len(stay) == len(alive):
+            break
+        alive = stay
+    if len(alive) < 2:
+        return []
     # Frequent n-grams first: similar sets then share long beginnings of the trie.
-    order = np.lexsort((values, -count))
     rank = np.empty(len(values), np.uint32)
-    rank[order] = np.arange(len(values), dtype=np.uint32)
+    rank[np.lexsort((values, -count))] = np.arange(len(values), dtype=np.uint32)
     shared = int(np.count_nonzero(count > 1))
-    cuts = np.cumsum([0, *(len(s) for s in sets)])
     ranked = [np.sort(rank[inverse[a:b]]) for a, b in zip(cuts[:-1], cuts[1:])]
     ranked = [r[:int(r.searchsorted(shared))] for r in ranked]
-    return PrefixTree(ranked, [len(s) for s in sets], num, den).links()
+    found = PrefixTree(ranked, [len(sets[i]) for i in alive], num, den).links()
+    return [(alive[a], alive[b]) for a, b in found]
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Counts of n-grams per hash range, rounded up to a unit that fits bytes; the unit is first."""
+    counts = np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=CELLS)
+    unit = max(1, -(-int(counts.max()) // 255))
+    return unit.to_bytes(4, "little") + (-(-counts // unit)).astype(np.uint8).tobytes()
+
+
+def plausible(sizes: np.ndarray, sketches, num: int, den: int) -> np.ndarray:
+    """Which members may reach the threshold with another one; ``sizes`` ascend."""
+    units = np.array([int.from_bytes(s[:4], "little") for s in sketches])
+    counts = np.stack([np.frombuffer(s, np.uint8, CELLS, 4) for s in sketches]).astype(np.int32)
+    counts *= units[:, None]
+    alive = np.zeros(len(sizes), bool)
+    for i, size in enumerate(sizes):
+        stop = int(np.searchsorted(sizes, size * den // num, side="right"))
+        for low in range(i + 1, stop, 1 << 14):
+            high = min(stop, low + (1 << 14))
+            most = np.minimum(counts[i], counts[low:high]).sum(axis=1)
+            fits = most * (num + den) >= num * (size + sizes[low:high])
+            if fits.any():
+                alive[i] = True
+                alive[low:high] |= fits
+    return alive
 
 
 def shingle_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, class key, set size, counted n-grams and those that fill up the first places."""
+    """doc_id, class key, set size, counted n-grams, those that fill up places, and the sketch."""
     limit = min(counted_below(num, den), (1 << 64) - 1)
 
     def shingle(batches):
         maker = Shingler(n)
-        for batch in batches:
-            keys, sizes, heads, fills = [], [], [], []
-            for grams in maker.sets(batch.column(1).to_pylist()):
-                size = len(grams)
-                cut = int(np.searchsorted(grams, np.uint64(limit)))
-                places = first_places(size, num, den) if size else 0
-                keys.append(class_key(grams) if size else None)
+        for batch in slices(batches):
+            keys, sizes, heads, fills, outlines = [], [], [], [], []
+            for found in maker.sets(batch.column(1).to_pylist()):
+                size = len(found)
+                keys.append(class_key(found) if size else None)
                 sizes.append(size)
-                heads.append(grams[:cut].view(np.int64))
-                fills.append(grams[cut:max(cut, places)].view(np.int64))
+                cut = int(np.searchsorted(found, np.uint64(limit)))
+                places = first_places(size, num, den) if size else 0
+                heads.append(found[:cut].view(np.int64))
+                fills.append(found[cut:max(cut, places)].view(np.int64))
+                outlines.append(sketch(found) if size else None)
+            lists = [pa.array(c, pa.list_(pa.int64())) for c in (heads, fills)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(heads, pa.list_(pa.int64())), pa.array(fills, pa.list_(pa.int64()))],
-                names=["doc_id", "k", "n", "head", "fill"])
+                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *lists,
+                 pa.array(outlines, pa.binary())], names=names)
 
+    schema = ("doc_id long, k long, n long, head array<long>, fill array<long>, outline binary")
+    names = [part.split()[0] for part in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(shingle, "doc_id long, k long, n long, head array<long>, fill array<long>")
+    return rows.mapInArrow(shingle, schema)
+
+
+def _classes(table: DataFrame) -> DataFrame:
+    """One row per class with its counted n-grams and fill, for its smallest doc_id."""
+    known = table.where("k is not null and doc_id is not null")
+    first = known.groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    others = stored(known.select("k", "doc_id").join(first, ["k", "doc_id"], "left_anti").distinct(),
+                    "join-others")
+    rows = known.groupBy("k", "doc_id").agg(F.count("*").alias("m")).where("m > 1")
+    if rows.isEmpty():
+        return known.join(sent_if_small(others, 32), ["k", "doc_id"], "left_anti")
+    # Fully repeated rows: nothing but a shuffle tells them apart.
+    return known.groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
+                                  F.first("head").alias("head"), F.first("fill").alias("fill"),
+                                  F.first("outline").alias("outline"))
+
+
+def _needed(member: DataFrame) -> DataFrame:
+    """(g, k) of the buckets to look at, from (g, k, n) rows.
+
+    Of buckets with the same members one is enough. Every class leads with its largest bucket; a
+    bucket whose members all lead with the same other one is contained in that.
+    """
+    sizes = (member.groupBy("g").agg(
+        F.count("*").alias("m"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("k")).alias("who"),
+        F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("who2")).where("m > 1")
+        .groupBy("m", "weight", "who", "who2").agg(F.min("g").alias("g")))
+    held = stored(member.join(sizes.select("g", "m"), "g"), "join-members")
+    lead = held.groupBy("k").agg(F.max(F.struct("m", "g"))["g"].alias("lead"))
+    ends = held.join(lead, "k").groupBy("g").agg(
+        F.min("lead").alias("low"), F.max("lead").alias("high")).where("low <> high or low = g")
+    return held.join(ends.select("g"), "g").select("g", "k")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Members of a bucket of several blocks meet in pairs of blocks: any two meet in some cell."""
+    mine = F.pmod(F.xxhash64(F.lit(3), "k"), F.col("blocks")).cast("int")
+    return (rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("i", F.least(mine, F.col("other"))).withColumn("j", F.greatest(mine, "other"))
+            .select("g", "i", "j", *[c for c in rows.columns if c not in ("g", "blocks")]))
+
+
+def _plausible_members(needed: DataFrame, placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(g, k, n) of the members that a sketch of another member of the bucket fits."""
+    members = needed.join(placed.select("k", "n", "outline"), "k")
+    sizes = needed.groupBy("g").agg(F.ceil(F.count("*") / SKETCH_BLOCK).cast("int").alias("blocks"))
+    cells = _cells(members.join(sizes, "g").select("g", "blocks", "k", "n", "outline"))
+
+    def compare(batches):
+        cell, keys, sizes, outlines = None, [], [], []
+        out = []
+
+        def flush():
+            if len(keys) > 1:
+                alive = plausible(np.array(sizes), outlines, num, den)
+                out.extend((cell[0], k, n) for k, n, a in zip(keys, sizes, alive) if a)
+
+        for batch in batches:
+            for g, i, j, k, n, outline in zip(*[batch.column(c).to_pylist() for c in range(6)]):
+                if (g, i, j) != cell:
+                    flush()
+                    cell, keys, sizes, outlines = (g, i, j), [], [], []
+                keys.append(k)
+                sizes.append(n)
+                outlines.append(outline)
+            if len(out) > 10_000:
+                yield packed(out)
+                out.clear()
+        flush()
+        yield packed(out)
+
+    def packed(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64())
+                                           for c in range(3)], names=["g", "k", "n"])
+
+    kept = (cells.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "k")
+            .mapInArrow(compare, "g long, k long, n long").distinct())
+    return stored(kept, "join-plausible")
 
 
 def class_links(table: DataFrame, docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b) links between class keys that connect all classes at the threshold."""
-    classes = (table.where("k is not null and doc_id is not null").groupBy("k")
-               .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"),
-                    F.first("head").alias("head"), F.first("fill").alias("fill")))
+    classes = _classes(table)
     grams = classes.select("k", F.explode("head").alias("g"))
     counts = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     shared = (grams.join(counts, "g").groupBy("k")
               .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("shared")))
-    light = classes.select("k", "doc_id", "n", F.size("head").cast("long").alias("counted"), "fill")
+    light = classes.select("k", "doc_id", "n", F.size("head").cast("long").alias("counted"), "fill",
+                           "outline")
     places = F.expr(f"n - cast(ceil(n * {num}L / {den}) as long) + 1")
     # N-grams of one class come first in the order, then shared ones by frequency, then the fill.
     seen = F.coalesce(F.size("shared"), F.lit(0))
@@ -311,67 +438,63 @@ def class_links(table: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
     chosen = F.concat(
         F.coalesce(F.slice(F.transform("shared", lambda x: x["g"]), F.lit(1), take), F.array()),
         F.coalesce("fill", F.array().cast("array<long>")))
-    placed = stored(light.join(shared, "k", "left").select("k", "doc_id", "n", chosen.alias("gs"))
+    placed = stored(light.join(shared, "k", "left").select("k", "doc_id", "n", "outline", chosen.alias("gs"))
                     .where("size(gs) > 0"), "join-places")
-    member = placed.select(F.explode("gs").alias("g"), "k", "n", F.array_min("gs").alias("lead"))
-    # A bucket is needed unless all its members meet in the one bucket they all lead with.
-    buckets = (member.groupBy("g").agg(
-        F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("lead").alias("low"),
-        F.max("lead").alias("high"), F.bit_xor(F.xxhash64("k")).alias("who"),
-        F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("who2"))
-        .where("m > 1 and (low <> high or low = g)")
-        .groupBy("m", "who", "who2", "weight").agg(F.min("g").alias("g")))
-    blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
-    wanted = (member.select("g", "k").join(buckets.select("g", blocks.alias("blocks")), "g")
-              .groupBy("k").agg(F.collect_list(F.struct("g", "blocks")).alias("buckets")))
-    wanted = placed.select("k", "doc_id").join(wanted, "k")
-
-    def refill(batches):
-        """Whole sets of the members; a text that is not of the wanted class is passed over."""
-        maker = Shingler(n)
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            pick, sets = [], []
-            for i, grams in enumerate(maker.sets(batch.column(1).to_pylist())):
-                if len(grams) and class_key(grams) == keys[i]:
-                    pick.append(i)
-                    sets.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(pick, pa.int64())), pa.array(sets, pa.binary()),
-                 batch.column(2).take(pa.array(pick, pa.int64()))], names=["k", "grams", "buckets"])
-
+    needed = _needed(placed.select(F.explode("gs").alias("g"), "k", "n"))
+    members = _plausible_members(needed, placed, num, den)
+    ids = placed.select("k", "doc_id")
+    # Each member first goes to its largest bucket alone. A second round looks at the buckets whose
+    # members these links have not joined already.
+    lead = (members.join(members.groupBy("g").agg(F.count("*").alias("m")), "g").groupBy("k")
+            .agg(F.max_by(F.struct("g", "n"), F.struct("m", "g")).alias("b")).select("b.g", "k", "b.n"))
+    first = stored(_bucket_links(lead, ids, docs, n, num, den), "join-links")
+    stars = components(first, "a", "b")
+    named = members.join(stars.withColumnRenamed("node", "k"), "k", "left").withColumn(
+        "component", F.coalesce("component", "k"))
+    split = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    rest = members.join(split.where("low <> high").select("g"), "g")
+    second = _bucket_links(rest, ids, docs, n, num, den)
+    return stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
+
+
+def _bucket_links(members: DataFrame, ids: DataFrame, docs: DataFrame, n: int, num: int, den: int
+                  ) -> DataFrame:
+    """(a, b) links inside the buckets of (g, k, n) rows, by tries over the members' whole sets."""
+    weights = members.groupBy("g").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"),
+                                       F.count("*").alias("m")).where("m > 1")
+    wanted = stored(members.join(weights, "g").groupBy("k")
+                    .agg(F.collect_list(F.struct("g", "blocks")).alias("buckets"))
+                    .join(ids, "k"), "join-wanted")
+    # The mean number of buckets of a member sets its width.
+    width = wanted.agg(F.avg(F.size("buckets"))).first()[0] or 0
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-    full = (wanted.join(texts, "doc_id").select("k", "text", "buckets")
-            .mapInArrow(refill, "k long, grams binary, buckets array<struct<g:bigint,blocks:int>>"))
-    # Members of a large bucket meet in pairs of blocks, so every two of them meet in some cell.
-    placed_in = F.explode("buckets").alias("b")
-    mine = F.pmod(F.xxhash64(F.lit(3), "k"), F.col("b.blocks")).cast("int")
-    cells = (full.select("k", "grams", placed_in)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("b.blocks") - 1)))
-             .select(F.col("b.g").alias("g"), F.least(mine, F.col("other")).alias("i"),
-                     F.greatest(mine, F.col("other")).alias("j"), "k", "grams"))
+    full = texts.join(sent_if_small(wanted, 48 + int(32 * width)), "doc_id")
+    cells = _cells(full.select("k", "text", F.explode("buckets").alias("b"))
+                   .select("b.g", "b.blocks", "k", "text"))
 
     def join(batches):
-        key, keys, sets = None, [], []
-        found = []
+        maker = Shingler(n)
+        cell, keys, texts, found = None, [], [], []
 
         def flush():
-            if len(keys) > 1:
-                found.extend((keys[a], keys[b]) for a, b in bucket_links(sets, num, den))
-
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in range(4)]
-            for row, (g, i, j, k) in enumerate(zip(*columns)):
-                if (g, i, j) != key:
+            """Links of the cell; a text that is not of the wanted class is passed over."""
+            sets = list(maker.sets(texts)) if len(keys) > 1 else []
+            own = [i for i, s in enumerate(sets) if len(s) and class_key(s) == keys[i]]
+            found.extend((keys[own[a]], keys[own[b]])
+                         for a, b in bucket_links([sets[i] for i in own], num, den))
+
+        for batch in slices(batches):
+            columns = [batch.column(c).to_pylist() for c in range(5)]
+            for g, i, j, k, text in zip(*columns):
+                if (g, i, j) != cell:
                     flush()
-                    key, keys, sets = (g, i, j), [], []
-                if not keys or keys[-1] != k:
-                    keys.append(k)
-                    sets.append(np.frombuffer(batch.column(4)[row].as_buffer(), np.uint64).copy())
+                    cell, keys, texts = (g, i, j), [], []
+                keys.append(k)
+                texts.append(text)
             if len(found) > 10_000:
                 yield packed(found)
-                found = []
+                found.clear()
         flush()
         yield packed(found)
 
