@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriledge.llm.common import slices
+
 WORDS = re.compile(r"[^\W_]+")
 # Most places sampled per repetition, and the smallest share of edited words that is an error.
 SAMPLES, SHARE = 3, 0.15
@@ -207,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
     def search(batches):
         held = sent.value
         names, ids, items = held[0], held[1], held[2]
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             keys = batch.column(0).to_pylist()
             for key, text in zip(keys, batch.column(1).to_pylist()):
@@ -232,7 +234,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, share: float = SHAR
 
     def clean(batches):
         held = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(place).to_pylist()
             keep = [not find_in(word_codes(str(t or ""), held[0]), held, share) for t in texts]
             yield batch.filter(pa.array(keep, pa.bool_()))

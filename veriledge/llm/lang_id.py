@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import unit_hash
+from veriledge.llm.common import slices, unit_hash
 from veriledge.llm.subwords import add_by_owner, blocks, grams
 
 BUCKETS, SIZES = 1 << 16, (2, 3, 4)
@@ -172,7 +172,7 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     sent, place = sent_model(docs, model), docs.columns.index("text")
 
     def keep(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [None if t is None else str(t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(~predict(texts, sent.value)[2]))
 
@@ -191,7 +191,7 @@ def language_ids(docs: DataFrame, per_language: int = 500) -> DataFrame:
     sent = sent_model(docs, model)
 
     def score(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, scores, rejected = predict(batch.column(1).to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rejected)],

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import stored
+from veriledge.llm.common import slices, stored
 
 # Fixed values of HTML: elements without content, raw text, and the elements that end a paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -241,7 +241,7 @@ def site_importance(pages: DataFrame) -> DataFrame:
     Pages with the same html count once, so copies do not look like a template.
     """
     def nodes(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page = _digest([html])
@@ -300,7 +300,7 @@ def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
                         ["host", "salt"], "left"))
 
     def extract(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [Page(html).text(frozenset(noise or ())) for html, noise in
                      zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 REACH = 8
 _LETTERS: list = []
 
@@ -18,8 +18,8 @@ def _letters() -> np.ndarray:
 def blocks(texts):
     """(code points, owner) blocks of lower-cased texts; anything but a letter is 0.
 
-    ``owner`` has the text's number at each place, -1 between texts. A text of more than a million
-    characters is cut into pieces that repeat the few characters a window may reach into, with
+    ``owner`` has the text's number at each place, -1 between texts. A text of more than a quarter
+    of a million characters is cut into pieces that repeat the few characters a window may reach into, with
     owner -1 there, so every window is seen once.
     """
     held, owners, size = [], [], 0

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import stored, unit_hash
+from veriledge.llm.common import slices, stored, unit_hash
 from veriledge.llm.lang_id import held_out
 from veriledge.llm.subwords import blocks, grams
 
@@ -108,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> ToxicMo
     def count(batches):
         sums = np.zeros((2, BUCKETS), np.int64)
         rows = np.zeros(2, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             toxic = np.array(batch.column(0).to_pylist(), np.int64)
             who, bucket = presence(batch.column(1).to_pylist())
             np.add.at(sums, (toxic[who], bucket), 1)
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> ToxicMo
     sent = docs.sparkSession.sparkContext.broadcast(ratios != 0)
 
     def features(batches):
-        for batch in batches:
+        for batch in slices(batches):
             who, bucket = presence(batch.column(1).to_pylist(), sent.value)
             cut = np.searchsorted(who, np.arange(batch.num_rows + 1)).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(cut), pa.array(bucket.astype(np.int32)))
@@ -158,7 +158,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> Data
     def score(batches):
         weights, bias = sent.value
         wanted = weights != 0
-        for batch in batches:
+        for batch in slices(batches):
             who, bucket = presence(batch.column(1).to_pylist(), wanted)
             z = np.bincount(who, weights[bucket], minlength=batch.num_rows) + bias
             yield pa.RecordBatch.from_arrays(
