@@ -126,3 +126,22 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(1, 200).selectExpr("id AS a", "id - 1 AS b")
     assert {r["component"] for r in components(links, "a", "b").collect()} == {0}
     assert components(links.where("a < 0"), "a", "b").collect() == []
+
+
+def test_sketches_never_rule_out_a_pair_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for num, den in ((90, 100), (80, 100)):
+        sets = []
+        for _ in range(60):
+            base = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 900)).astype(np.uint64) * np.uint64(2))
+            sets.append(base)
+            for _ in range(2):
+                keep = base[rng.random(len(base)) < rng.choice([0.99, 0.93, 0.85, 0.7])]
+                more = rng.integers(0, 1 << 63, rng.integers(0, 1 + len(base) // 12)).astype(np.uint64)
+                sets.append(np.unique(np.r_[keep, more]))
+        sets = sorted((s for s in sets if len(s)), key=len)
+        alive = nj.plausible(np.array([len(s) for s in sets]), [nj.sketch(s) for s in sets], num, den)
+        linked = {x for a in range(len(sets)) for b in range(a) for x in (a, b)
+                  if den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))}
+        assert linked and all(alive[i] for i in linked)
+        assert alive.sum() < len(sets)

@@ -8,7 +8,7 @@
    one class takes a place in the order but makes no bucket.
 3. A bucket whose members all meet in one other bucket, or that has the members of another, is
    left out. Members of the others are first compared by sketches (how many n-grams fall in each
-   of 64 hash ranges), whose cell-wise minimum is an upper bound of the overlap: a member stays
+   of some hash ranges), whose cell-wise minimum is an upper bound of the overlap: a member stays
    where some other one of fitting size may reach the threshold. Only then texts are brought
    together, in blocks where a bucket is large: every member in its largest bucket first, and then
    in those buckets that the links found so far leave in parts.
@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from veriledge.llm.common import components, sent_if_small, slices, stored
 
 # Blocks of a bucket hold about this many n-grams, or this many sketches.
-BLOCK, SKETCH_BLOCK = 4_000_000, 20_000
-CELLS = 64
+BLOCK, SKETCH_BLOCK = 4_000_000, 4_000
+# A sketch has at most 2 ** this many hash ranges.
+MOST_BITS = 12
 PIECE = 1 << 18
 
 
@@ -291,27 +292,55 @@ def bucket_links(sets, num: int, den: int):
 
 
 def sketch(grams: np.ndarray) -> bytes:
-    """Counts of n-grams per hash range, rounded up to a unit that fits bytes; the unit is first."""
-    counts = np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=CELLS)
+    """Counts of n-grams per hash range, rounded up to a unit that fits bytes; the unit is first.
+
+    There are about half as many ranges as n-grams, a power of two, so few n-grams that two sets
+    do not share fall in the same range.
+    """
+    bits = min(max(len(grams).bit_length() - 1, 6), MOST_BITS)
+    counts = np.bincount((grams >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     unit = max(1, -(-int(counts.max()) // 255))
     return unit.to_bytes(4, "little") + (-(-counts // unit)).astype(np.uint8).tobytes()
 
 
 def plausible(sizes: np.ndarray, sketches, num: int, den: int) -> np.ndarray:
-    """Which members may reach the threshold with another one; ``sizes`` ascend."""
-    units = np.array([int.from_bytes(s[:4], "little") for s in sketches])
-    counts = np.stack([np.frombuffer(s, np.uint8, CELLS, 4) for s in sketches]).astype(np.int32)
-    counts *= units[:, None]
+    """Which members may reach the threshold with another one; ``sizes`` ascend.
+
+    The minimum of two counts per range, summed up, is at least the overlap. Finer sketches are
+    added up to the ranges of a coarser one.
+    """
+    cells = np.array([len(s) - 4 for s in sketches])
+    # By number of ranges: the members' places and their counts.
+    classes = {}
+    for c in np.unique(cells).tolist():
+        own = np.flatnonzero(cells == c)
+        counts = np.stack([np.frombuffer(sketches[i], np.uint8, c, 4) for i in own]).astype(np.int32)
+        counts *= np.array([int.from_bytes(sketches[i][:4], "little") for i in own])[:, None]
+        classes[c] = {c: (own, counts)}
+    for c, held in classes.items():
+        for coarse in classes:
+            if coarse < c:
+                own, counts = held[c]
+                held[coarse] = own, counts.reshape(len(own), coarse, -1).sum(axis=2)
     alive = np.zeros(len(sizes), bool)
     for i, size in enumerate(sizes):
         stop = int(np.searchsorted(sizes, size * den // num, side="right"))
-        for low in range(i + 1, stop, 1 << 14):
-            high = min(stop, low + (1 << 14))
-            most = np.minimum(counts[i], counts[low:high]).sum(axis=1)
-            fits = most * (num + den) >= num * (size + sizes[low:high])
+        if stop <= i + 1:
+            continue
+        for c, held in classes.items():
+            shared = int(min(c, cells[i]))
+            mine, all_mine = classes[int(cells[i])][shared]
+            own, counts = held[shared]
+            low, high = np.searchsorted(own, (i + 1, stop))
+            if low == high:
+                continue
+            row = all_mine[int(np.searchsorted(mine, i))]
+            most = np.minimum(row, counts[low:high]).sum(axis=1)
+            others = own[low:high]
+            fits = most * (num + den) >= num * (size + sizes[others])
             if fits.any():
                 alive[i] = True
-                alive[low:high] |= fits
+                alive[others[fits]] = True
     return alive
 
 
