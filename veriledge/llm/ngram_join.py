@@ -478,10 +478,15 @@ def class_links(table: DataFrame, docs: DataFrame, n: int, num: int, den: int) -
             .agg(F.max_by(F.struct("g", "n"), F.struct("m", "g")).alias("b")).select("b.g", "k", "b.n"))
     first = stored(_bucket_links(lead, ids, docs, n, num, den), "join-links")
     stars = components(first, "a", "b")
-    named = members.join(stars.withColumnRenamed("node", "k"), "k", "left").withColumn(
-        "component", F.coalesce("component", "k"))
-    split = named.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    rest = members.join(split.where("low <> high").select("g"), "g")
+    named = (members.join(stars.withColumnRenamed("node", "k"), "k", "left")
+             .withColumn("component", F.coalesce("component", "k"))
+             .join(lead.select("k", F.col("g").alias("lead")), "k"))
+    # Members with the same lead have been compared: with two leads and two components there is a
+    # pair that differs in both, and only then.
+    split = named.groupBy("g").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"),
+        F.min("lead").alias("first"), F.max("lead").alias("last"))
+    rest = members.join(split.where("low <> high and first <> last").select("g"), "g")
     second = _bucket_links(rest, ids, docs, n, num, den)
     return stars.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
 
