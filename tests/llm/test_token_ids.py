@@ -61,6 +61,26 @@ def test_any_text_encodes_like_the_library(text):
     assert got == held.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", [
+    "x  a\u00a0b y", "x \u00a0 a\u3000b y z", "\u2003 p q\u00a0r s\u2028t  u", "  ", "m\u00a0n", "a\x1cb  c\x85d e"])
+def test_unicode_spaces_do_not_shift_words(spec, text):
+    whole = tokenizers.Tokenizer.from_str(spec)
+    for order in range(4):
+        encoder = ids.WordEncoder(spec, "<u2")
+        encoder.words, encoder.pieces = {}, {}
+        words = text.split(" ")
+        encoder._learn(dict.fromkeys(words[order:] + words[:order]))
+        for part in [text, "two  spaces", *words]:
+            got = np.frombuffer(encoder.encode(part), "<u2").tolist()
+            assert got == whole.encode(part, add_special_tokens=False).ids
+
+
+def test_the_normaliser_knows_no_other_space(spec):
+    normal = tokenizers.Tokenizer.from_str(spec).normalizer.normalize_str
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    assert all(c.isspace() for c in points if " " in normal(c))
+
+
 def expected(rows, spec):
     whole, at, out = tokenizers.Tokenizer.from_str(spec), 0, []
     for key, text in rows:

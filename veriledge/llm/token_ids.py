@@ -135,12 +135,15 @@ class WordEncoder:
         if len(self.words) + len(words) > WORDS_KEPT:
             self.words.clear()
             self.pieces.clear()
-        words = list(words)
+        # The normaliser makes one space of any run of white space, so only words without it can be
+        # told apart again after joining; the library itself takes the others.
+        odd = [word for word in words if word.split() != [word]]
+        words = [word for word in words if word.split() == [word]]
         plain = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
         if len(plain) != len(words):
-            # A word holds other white space, which the normaliser turns into a space.
+            # Without words at all, or where the normaliser knows more white space.
             plain = [None] * len(words)
-        odd, model, pieces = [], self.tokenizer.model, self.pieces
+        model, pieces = self.tokenizer.model, self.pieces
         for word, normal in zip(words, plain):
             if normal is None or "<|" in word or normal and max(normal) >= LATIN_END:
                 odd.append(word)
