@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import pytest
 
@@ -53,6 +54,17 @@ def test_every_split_size_reads_each_record_once(pages):
             {h for _, _, h in rows}
 
 
+def test_long_urls_are_read_wherever_a_split_starts(pages):
+    rng = random.Random(5)
+    long = "http://x/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=100_000))
+    for rows in ([(1, long, "alone")],
+                 [(i, f"http://x/{i}" if i % 3 else f"{long}{i}", f"page {i}") for i in range(9)]):
+        files = warc.write_warc(warc.plan_revisits(pages(rows).coalesce(1)))
+        for split in (64 << 20, 70_000, 3_001):
+            got = warc.read_warc(files, split).collect()
+            assert sorted((r["page_id"], r["url"]) for r in got) == [(i, u) for i, u, _ in rows]
+
+
 def test_magic_bytes_inside_a_payload_are_no_records(spark, pages):
     # Level 0 stores payloads as they are: the text below has gzip magic in its UTF-8 bytes.
     rows = [(1, "u", "\x1f\u008b\x08 \x1f\x8b\x08WARC/1.1" * 50), (2, "v", "b")]

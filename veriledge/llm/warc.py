@@ -21,8 +21,7 @@ from veriledge.llm.common import open_store, shared_folder, stored
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
-# Bytes of a member that are decoded to see a whole record header; longer headers are refused.
-HEADER = 1 << 16
+START, BLANK = b"WARC/1.", b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WRITTEN = "path string, bytes long, records long"
 
@@ -142,21 +141,24 @@ class _Window:
 
 
 def _starts_record(window: _Window, position: int) -> bool:
-    """Whether a gzip member at ``position`` decodes to a complete WARC header."""
-    unpack, seen = zlib.decompressobj(31), b""
-    while len(seen) < HEADER and not unpack.eof:
-        raw = window.get(position)
+    """Whether a gzip member at ``position`` decodes to a complete WARC header of any length."""
+    unpack, seen, named = zlib.decompressobj(31), b"", False
+    while not unpack.eof:
+        raw = window.get(position)[:4096]
         if not raw:
             break
-        raw = raw[:4096]
         try:
-            seen += unpack.decompress(raw, HEADER - len(seen))
+            seen += unpack.decompress(raw)
         except zlib.error:
             return False
-        if seen and not seen.startswith(b"WARC/1."[:len(seen)]):
+        named = named or seen.startswith(START)
+        if not named and not START.startswith(seen):
             return False
-        if b"\r\n\r\n" in seen:
+        if named and BLANK in seen:
             return True
+        if named:
+            # A header may be long: only what may begin the blank line is held.
+            seen = seen[1 - len(BLANK):]
         position += len(raw)
     return False
 
