@@ -19,6 +19,20 @@ def test_pages(html, text):
     assert sst.Page(html).text() == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<article><h2 id='search-methods'>S</h2><section class='related-work'>r</section>"
+     "<p class='notice-period'>n<section id='social-policy'>p</section><div id=login>l</div></article>", "S r n p l"),
+    ("<article>a<math><mi>x</mi></math><dialog>d</dialog><map>m</map><div class='box related'>no</div></article>",
+     "ax d m"),
+    ("<p>so <math><mi>y</mi></math>", "so y"),
+    ("<body><form id=aspnetForm><nav>n</nav><p>the whole story</p><input><select>s</select></form>", "the whole story"),
+    ("<form class='search'><nav>n</nav><article>long story<form>reply here</form></article></form>", "long story"),
+    ("<p>much longer than the form</p><form>find</form>", "much longer than the form"),
+])
+def test_article_text_is_not_removed_by_words_in_names(html, text):
+    assert sst.Page(html).text() == text
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 

@@ -35,7 +35,7 @@ ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 SCOPE = frozenset("table ul ol dl select body html article section div nav aside".split())
 # Presentation that is never the article.
 NOISE_TAGS = frozenset((
-    "head nav footer aside form script style noscript template svg math iframe button select input "
+    "head nav footer aside form script style noscript template svg iframe button select input "
     "textarea dialog menu object canvas audio video map title xmp").split())
 NOISE_ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert menu menubar".split())
@@ -45,6 +45,10 @@ NOISE_NAMES = frozenset((
     "overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments "
     "disqus reply replies share sharing social related recommended widget toolbar pagination pager "
     "login signup signin search masthead skip").split())
+# Tags that may hold text of the article inside it.
+INNER_TAGS = frozenset("dialog map".split())
+# Ids that are noise inside the article too; other ids there are anchors to its sections.
+INNER_IDS = frozenset("ad ads comments disqus".split())
 # Names that are noise only outside the article, where they hold a site's head.
 OUTER_NAMES = frozenset("header topbar".split())
 WHOLE = frozenset("html body article main".split())
@@ -83,6 +87,8 @@ class Page:
     def __init__(self, html: str):
         self.tags, self.names, self.parent, self.keys = ["#"], [()], [-1], [0]
         self.roles = [""]
+        # Whether a whole word of the class, or an id of ``INNER_IDS``, names noise.
+        self.marked = [False]
         # (node, text) in page order; text None is a block border.
         self.items: list = []
         self.stack = [0]
@@ -122,7 +128,7 @@ class Page:
         self._border(tag)
         if tag in VOID:
             return
-        names, role = (), ""
+        names, role, marked = (), "", False
         if attributes:
             marks = {}
             for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -130,10 +136,13 @@ class Page:
             names = tuple(sorted(set(NAMES.findall(
                 marks.get("class", "") + " " + marks.get("id", "")))))
             role = marks.get("role", "")
+            marked = not NOISE_NAMES.isdisjoint(marks.get("class", "").split()) or \
+                marks.get("id", "").strip() in INNER_IDS
         parent = self.stack[-1]
         self.tags.append(tag)
         self.names.append(names)
         self.roles.append(role)
+        self.marked.append(marked)
         self.parent.append(parent)
         self.keys.append(_key(self.keys[parent], tag, " ".join(names)))
         self.stack.append(len(self.tags) - 1)
@@ -155,18 +164,39 @@ class Page:
         self._border(tag)
 
     def kept(self, noise=frozenset()) -> list:
-        """Whether the text of each node stays; a removed branch takes everything below it along."""
+        """Whether the text of each node stays; a removed branch takes everything below it along.
+
+        A form with more than half of the text that would stay is a container like any other.
+        """
+        forms = [i for i, tag in enumerate(self.tags) if tag == "form"]
+        if not forms:
+            return self._kept(noise)
+        keep = self._kept(noise, frozenset(forms))
+        size = [0] * len(self.tags)
+        for n, t in self.items:
+            if t and keep[n]:
+                size[n] += len("".join(t.split()))
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        return self._kept(noise, frozenset(i for i in forms if 2 * size[i] > size[0]))
+
+    def _kept(self, noise, plain=frozenset()) -> list:
+        """What ``kept`` returns, with the forms of ``plain`` as containers."""
         keep, main = [True], [False]
         for i in range(1, len(self.tags)):
             up, tag = self.parent[i], self.tags[i]
             inside = main[up] or tag in ("article", "main") or self.roles[i] == "main"
-            bad = tag in NOISE_TAGS or self.roles[i] in NOISE_ROLES
-            if tag not in ("html", "body", "main"):
+            bad = tag in NOISE_TAGS and i not in plain or self.roles[i] in NOISE_ROLES
+            if inside:
+                # Words of the article are in names of its sections too: only whole ones count.
+                bad = bad and not (tag in INNER_TAGS and self.roles[i] not in NOISE_ROLES)
+                bad = bad or tag != "main" and self.marked[i]
+            elif tag not in ("html", "body") and i not in plain:
                 bad = bad or not NOISE_NAMES.isdisjoint(self.names[i])
-            if not inside and (tag == "header" or tag not in WHOLE
+            if not inside and (tag == "header" or tag not in WHOLE and i not in plain
                                and not OUTER_NAMES.isdisjoint(self.names[i])):
                 bad = True
-            if not inside and tag not in WHOLE and self.keys[i] in noise:
+            if not inside and tag not in WHOLE and i not in plain and self.keys[i] in noise:
                 bad = True
             keep.append(keep[up] and not bad)
             main.append(inside and keep[-1])
