@@ -56,6 +56,20 @@ def test_template_branches_of_a_host_go(spark):
     assert got[70] == ["", ""] and got[71] == ["x"]
 
 
+def test_importance_decides_inside_and_beside_articles(spark):
+    body = ("<div class=page><div class=logo>Acme</div><div class=lead><p>lead {0} <b>bold</b></p></div>"
+            "<div class=claim>we are Acme</div><article><h2>Methods</h2><p>story {0} <i>note</i></p>"
+            "<div id=part-{1}><p>part {0}</p></div><div class=join><b>Join us</b> now</div></article>"
+            "<div class=foot>imprint</div></div>")
+    rows = [(i, "https://a.example/", body.format(f"of {i}", chr(97 + i) * 3)) for i in range(6)]
+    rows += [(9, "https://lonely.example/", body.format("alone", "x"))]
+    got = {r["page_id"]: r["text"] for r in sst.main_text(pages(spark, rows)).collect()}
+    for i in range(6):
+        assert got[i] == f"lead of {i} bold Methods story of {i} note part of {i}"
+    # Nothing is measured on a single page.
+    assert got[9] == "Methods story alone note part alone Join us now"
+
+
 def test_many_nodes_are_joined_by_salted_hosts(spark, monkeypatch):
     monkeypatch.setattr(sst, "SENT_NODES", 0)
     rows = [(i, "http://h/", f"<div class=a>menu</div><p>text {i}</p>") for i in range(6)]

@@ -5,7 +5,8 @@ with the same tags, classes and ids down from the root. Its presentation importa
 of the child sequences that pages show there, its content importance the entropy of the texts;
 both are 0 where all pages agree and 1 where all differ. Branches of low composite importance are
 removed from every page, and so are presentation nodes whose tag, role or class says that they
-are no article (menus, adverts, forms and the like).
+are no article (menus, adverts, forms and the like). Inside a marked article whole boxes go where
+nothing in them differs between pages; beside it, texts stay that differ between pages.
 """
 from __future__ import annotations
 
@@ -61,6 +62,11 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+
 NAMES = re.compile(r"[a-z]+")
 # Weight of a node's children against its own presentation, and the least importance that stays.
 DECAY, LEAST = 0.9, 0.2
+# Content importance from which a text beside a marked article is taken.
+HIGH = 0.5
+# Elements that can be a box of the site inside an article; headings, rows and inline text are not.
+BOXES = frozenset("address blockquote center details dialog div dl fieldset figure form hgroup menu "
+                  "ol p pre section table ul".split())
 # Pages that have to show a node before its entropy says anything.
 PAGES = 3
 # Low-importance nodes that are broadcast; more are joined by host.
@@ -163,26 +169,37 @@ class Page:
                 break
         self._border(tag)
 
-    def kept(self, noise=frozenset()) -> list:
+    def kept(self, noise=frozenset(), same=frozenset(), rich=frozenset()) -> list:
         """Whether the text of each node stays; a removed branch takes everything below it along.
 
+        ``noise`` are keys of low importance, ``same`` those below which also nothing differs
+        between pages, ``rich`` those of high content importance.
+
         A form with more than half of the text that would stay is a container like any other.
         """
         forms = [i for i, tag in enumerate(self.tags) if tag == "form"]
         if not forms:
-            return self._kept(noise)
-        keep = self._kept(noise, frozenset(forms))
+            return self._kept(noise, same, rich)
+        keep = self._kept(noise, same, rich, frozenset(forms))
         size = [0] * len(self.tags)
         for n, t in self.items:
             if t and keep[n]:
                 size[n] += len("".join(t.split()))
         for i in range(len(size) - 1, 0, -1):
             size[self.parent[i]] += size[i]
-        return self._kept(noise, frozenset(i for i in forms if 2 * size[i] > size[0]))
+        return self._kept(noise, same, rich, frozenset(i for i in forms if 2 * size[i] > size[0]))
 
-    def _kept(self, noise, plain=frozenset()) -> list:
+    def _kept(self, noise, same, rich, plain=frozenset()) -> list:
         """What ``kept`` returns, with the forms of ``plain`` as containers."""
-        keep, main = [True], [False]
+        keep, main, beside = [True], [False], [False]
+        # Nodes around a marked article: what is low there on average may hold the article.
+        around = {i for i, tag in enumerate(self.tags)
+                  if tag in ("article", "main") or self.roles[i] == "main"}
+        marks = bool(around)
+        around |= plain
+        for i in range(len(self.tags) - 1, 0, -1):
+            if i in around:
+                around.add(self.parent[i])
         for i in range(1, len(self.tags)):
             up, tag = self.parent[i], self.tags[i]
             inside = main[up] or tag in ("article", "main") or self.roles[i] == "main"
@@ -191,23 +208,27 @@ class Page:
                 # Words of the article are in names of its sections too: only whole ones count.
                 bad = bad and not (tag in INNER_TAGS and self.roles[i] not in NOISE_ROLES)
                 bad = bad or tag != "main" and self.marked[i]
+                bad = bad or tag in BOXES and self.keys[i] in same
             elif tag not in ("html", "body") and i not in plain:
                 bad = bad or not NOISE_NAMES.isdisjoint(self.names[i])
             if not inside and (tag == "header" or tag not in WHOLE and i not in plain
                                and not OUTER_NAMES.isdisjoint(self.names[i])):
                 bad = True
-            if not inside and tag not in WHOLE and i not in plain and self.keys[i] in noise:
+            part = marks and beside[up] and tag not in WHOLE and up not in around
+            if not inside and tag not in WHOLE and (tag in BOXES or not part) and \
+                    self.keys[i] in (same if i in around or part else noise):
                 bad = True
             keep.append(keep[up] and not bad)
             main.append(inside and keep[-1])
-        # Where a page marks its article, text beside it is not of the article.
+            beside.append(part or self.keys[i] in rich)
+        # Where a page marks its article, text beside it is taken only by its importance.
         if any(main):
-            keep = [k and m for k, m in zip(keep, main)]
+            keep = [k and (m or b) for k, m, b in zip(keep, main, beside)]
         return keep
 
-    def text(self, noise=frozenset()) -> str:
+    def text(self, noise=frozenset(), same=frozenset(), rich=frozenset()) -> str:
         """Texts of the kept nodes; white space, block borders included, is one space."""
-        keep = self.kept(noise)
+        keep = self.kept(noise, same, rich)
         return " ".join("".join("\n" if t is None else t for n, t in self.items
                                 if t is None or keep[n]).split())
 
@@ -240,7 +261,11 @@ def host_of(url):
 
 
 def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
-    """Composite importance of a host's nodes, from the leaves up."""
+    """Composite importance of a host's nodes, from the leaves up.
+
+    ``peak`` is the largest importance of presentation or content in a branch, ``content`` that of
+    a node's own texts.
+    """
     rows = {r.key: r for r in nodes.itertuples()}
     below: dict[int, list] = {}
     for r in rows.values():
@@ -251,9 +276,11 @@ def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
         order.append(key)
         todo.extend(below.get(key, ()))
     value: dict[int, float] = {}
+    peak: dict[int, float] = {}
     for key in reversed(order):
         r = rows[key]
         parts = [value[c] for c in below.get(key, ())]
+        peak[key] = max([r.style, r.content if r.texts else 0.0, *(peak[c] for c in below.get(key, ()))])
         if r.texts:
             parts.append(r.content)
         if not below.get(key):
@@ -262,11 +289,12 @@ def _importance(nodes: pd.DataFrame) -> pd.DataFrame:
         weight = DECAY ** len(parts)
         value[key] = (1 - weight) * r.style + weight * sum(parts) / len(parts)
     return pd.DataFrame({"host": nodes["host"].iloc[0], "key": list(value),
-                         "importance": list(value.values())})
+                         "importance": list(value.values()), "peak": [peak[k] for k in value],
+                         "content": [rows[k].content if rows[k].texts else 0.0 for k in value]})
 
 
 def site_importance(pages: DataFrame) -> DataFrame:
-    """(host, key, importance) of the nodes that at least ``PAGES`` different pages of a host show.
+    """(host, key, importance, peak, content) of the nodes that at least ``PAGES`` different pages of a host show.
 
     Pages with the same html count once, so copies do not look like a template.
     """
@@ -302,7 +330,7 @@ def site_importance(pages: DataFrame) -> DataFrame:
                 .select("host", "key", "parent", "style", "content", F.col("any_content").alias("texts")))
     # One row per node of a host's template: pages are no longer in these groups.
     return measured.groupBy("host").applyInPandas(
-        _importance, "host string, key long, importance double")
+        _importance, "host string, key long, importance double, peak double, content double")
 
 
 def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
@@ -310,16 +338,21 @@ def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
 
     Null html counts as empty and gives empty text; a null or odd url belongs to the host with the
     empty name. Hosts with fewer than three different pages are cleaned by presentation alone.
-    Where a page marks its article (article, main) only that is taken. Repeated rows give the same
+    Where a page marks its article (article, main), text beside it is taken only where its content
+    importance over the host is high. Repeated rows give the same
     text each; an empty table gives no rows; further columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"),
                         F.col("url").cast("string").alias("url"),
                         host_of(F.col("url").cast("string")).alias("host"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    low = stored(site_importance(rows.select("host", "html")).where(F.col("importance") < least),
-                 "style-noise")
-    noise = low.groupBy("host").agg(F.sort_array(F.collect_set("key")).alias("noise"))
+    low = stored(site_importance(rows.select("host", "html")).select(
+        "host", "key", (F.col("importance") < least).alias("low"),
+        (F.col("peak") < least).alias("same"), (F.col("content") >= HIGH).alias("rich"))
+        .where("low or same or rich"), "style-noise")
+    noise = low.groupBy("host").agg(F.struct(*[
+        F.sort_array(F.collect_set(F.when(F.col(c), F.col("key")))).alias(c)
+        for c in ("low", "same", "rich")]).alias("noise"))
     if low.limit(SENT_NODES + 1).count() <= SENT_NODES:
         joined = rows.join(F.broadcast(noise), "host", "left")
     else:
@@ -331,7 +364,7 @@ def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
 
     def extract(batches):
         for batch in slices(batches):
-            texts = [Page(html).text(frozenset(noise or ())) for html, noise in
+            texts = [Page(html).text(*map(frozenset, (noise or {}).values())) for html, noise in
                      zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
