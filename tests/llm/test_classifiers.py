@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from veriledge.llm import lang_id, subwords, toxicity
 
 WORDS = {"aa": "alo bero cima doru".split(), "bb": "xen yuk zor weft".split(), "çç": "ñandú über été ção".split()}
@@ -88,6 +90,25 @@ def test_toxic_texts_score_high_held_out(spark, documents):
     assert [r[3] for r in got if r[0] >= 9000] == [0, 0, 0]
 
 
+def test_a_fit_does_not_change_with_the_size_of_its_sample(monkeypatch):
+    made = np.random.default_rng
+    rounds = []
+
+    class Counted:
+        def __init__(self, seed):
+            self.rng = made(seed)
+
+        def permutation(self, n):
+            rounds.append(n)
+            return self.rng.permutation(n)
+
+    monkeypatch.setattr(toxicity.np.random, "default_rng", Counted)
+    for n in (40, 3_999, 4_000):
+        bags = [np.array([i % 2]) for i in range(n)]
+        toxicity.fit_linear(bags, [i % 2 for i in range(n)], np.array([-1.0, 1.0] + [0.0] * (toxicity.BUCKETS - 2)), 0.5)
+    assert rounds.count(40) == rounds.count(3_999) == rounds.count(4_000) > 0
+
+
 def test_toxicity_without_labels_or_rows(spark, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(documents([(1, "a", None, None)]), none).first()["predicted"] == 0

@@ -52,7 +52,7 @@ def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.n
     return np.sign(ratio) * np.maximum(0, np.abs(ratio) - 3 * error)
 
 
-def fit_linear(rows, labels, ratios, prior: float, epochs: int = 60, rate: float = 0.3,
+def fit_linear(rows, labels, ratios, prior: float, epochs: int = 15, rate: float = 0.3,
                decay: float = 1e-4, seed: int = 7) -> ToxicModel:
     """Logistic regression on ratio-scaled presence, by AdaGrad; ``rows`` hold bucket arrays.
 
@@ -68,7 +68,7 @@ def fit_linear(rows, labels, ratios, prior: float, epochs: int = 60, rate: float
     share = labels.mean()
     cost = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     rng = np.random.default_rng(seed)
-    for _ in range(epochs if len(labels) < 4000 else max(6, epochs // 4)):
+    for _ in range(epochs):
         for i in rng.permutation(len(labels)):
             ids = rows[i]
             x = ratios[ids]
@@ -83,7 +83,7 @@ def fit_linear(rows, labels, ratios, prior: float, epochs: int = 60, rate: float
     return ToxicModel((weight * ratios).astype(np.float32), bias + float(np.log(odds / (1 - odds))) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> ToxicModel:
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> ToxicModel:
     """Fit on about ``per_class`` labelled learning rows of each class, picked by row hash.
 
     Only that bounded list of keys is broadcast; n-gram counts of its texts are made on the
@@ -145,7 +145,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> ToxicMo
     return fit_linear(bags, rows["toxic"].to_pylist(), ratios, sizes.get(1, 0) / total)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 4_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 10_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document, by its whole text alone.
 
     Null and empty texts are scored too, by the bias. Without any learning label every score is
