@@ -62,6 +62,22 @@ def test_pieces_of_a_long_text_count_every_window_once(monkeypatch):
     assert counted() == whole
 
 
+def test_ngrams_of_a_text_do_not_depend_on_its_neighbours():
+    def counted(texts):
+        out = {i: [] for i in range(len(texts))}
+        for points, owner in subwords.blocks(texts):
+            for n in (2, 3):
+                for b, i in zip(*(x.tolist() for x in subwords.grams(points, owner, n, 1 << 16))):
+                    out[i].append((n, b))
+        return out
+
+    texts = ["a", "ab cd", "", "é", "xyz."]
+    together = counted(texts)
+    for i, alone in enumerate(texts):
+        assert counted([alone])[0] == together[i]
+    assert together[0]
+
+
 def toxic_rows(spark, documents, n=500):
     rng = random.Random(3)
     rows, labels = [], []

@@ -38,7 +38,8 @@ def blocks(texts):
 
 
 def _block(held, owners):
-    points = np.frombuffer("\0".join(held).encode("utf-32-le", "surrogatepass"), "<u4")
+    # The last text is closed like any other, so its edge counts too.
+    points = np.frombuffer("\0".join([*held, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
     low = points < 1 << 16
     letter = np.zeros(len(points), bool)
     letter[low] = _letters()[points[low]]
