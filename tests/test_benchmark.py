@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from veriledge import schemas as S
+from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import ContractError, strict, violation_codes
 from veriledge.functions.hooks import MetricSpec
-from veriledge.operators import pareto, retrieve, rows, score, stats
+from veriledge.operators import ledger, pareto, retrieve, rows, score, stats
 from veriledge.plans import composites
 
 
@@ -112,12 +113,34 @@ def cited(i, relation):
                 content_sha256=sha(f"text {i}"))
 
 
+def committed(spark, items):
+    """Predictions bound to the ledger of job t/j, and the events of that ledger."""
+    plain = frame(spark, items, S.PREDICTION).withColumn(
+        "prediction_commitment_sha256", fn.prediction_commitment())
+    events = ledger.build_ledger(plain.select(
+        F.concat(F.lit("e-"), "challenge_id").alias("event_id"),
+        F.lit("2024-01-01T00:00:00+00:00").alias("occurred_at"), F.lit("t").alias("tenant_id"),
+        F.lit("j").alias("job_id"), F.lit("benchmark").alias("aggregate_type"),
+        F.col("run_id").alias("aggregate_id"),
+        F.lit("benchmark.prediction_committed").alias("event_type"),
+        F.to_json(F.struct("challenge_id", "method_id", "prediction_commitment_sha256",
+                           "run_id")).alias("payload"),
+        F.col("challenge_id").alias("idempotency_key"),
+        F.col("challenge_id").alias("n")), ["n"])
+    receipt = ledger.verify_chain(events).first()
+    return plain.withColumn("ledger_head", F.lit(receipt["head_hash"])).withColumn(
+        "ledger_event_count", F.lit(receipt["event_count"])), events
+
+
 def test_scores_of_two_rows_one_over_budget(spark):
-    predictions = frame(spark, [
+    predictions, events = committed(spark, [
         prediction(1, "REFUTED", [cited(1, "CONTRADICTS")], 0.9),
-        prediction(2, "SURVIVED", [cited(2, "SUPPORTS")], 0.1, calls=9)], S.PREDICTION)
+        prediction(2, "SURVIVED", [cited(2, "SUPPORTS")], 0.1, calls=9)])
     items, summary = composites.evaluate_predictions(
-        frame(spark, GOOD), predictions, None, 5, 100, check=False)
+        frame(spark, GOOD), predictions, events, 5, 100)
+    with pytest.raises(ContractError):
+        composites.evaluate_predictions(
+            frame(spark, GOOD), predictions, events.where("sequence < 2"), 5, 100)
     row = summary.first()
     assert row["counterevidence_recall"] == 1.0
     assert row["counterevidence_false_positive_rate"] == 0.0

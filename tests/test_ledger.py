@@ -53,6 +53,20 @@ def test_chain_hashes_equal_plain_python(spark, partitions):
     assert {j: r["head_hash"] for j, r in receipts.items()} == heads
 
 
+def test_fingerprint_keeps_number_spellings_and_the_place_of_nulls(spark):
+    df = spark.createDataFrame(
+        [("t", "j", "a", None, "x", '{"x": 1.0, "b": 1e-05}'), ("t", "j", None, "a", "x", "{}"),
+         ("t", "j", "a", "i", "x", '{"x": 1}')],
+        "tenant_id string, job_id string, aggregate_type string, aggregate_id string, "
+        "event_type string, payload string")
+    texts = [r[0] for r in df.select(fn.semantic_fingerprint_json()).collect()]
+    for text, row in zip(texts, df.collect()):
+        value = {**row.asDict(), "payload": json.loads(row["payload"])}
+        assert text == json.dumps(value, sort_keys=True, separators=(",", ":"))
+    digests = [r[0] for r in df.select(fn.semantic_fingerprint()).collect()]
+    assert digests == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+
+
 @pytest.mark.parametrize("change, code", [
     (lambda df: df.where("sequence <> 3"), "sequence_gap"),
     (lambda df: df.withColumn("payload", F.when(F.col("sequence") == 2, F.lit('{"x":1}'))

@@ -78,9 +78,6 @@ def sha256(value: str | Column) -> Column:
     return F.sha2(_c(value).cast("binary"), 256)
 
 
-EVENT_SEMANTICS = ("tenant_id", "job_id", "aggregate_type", "aggregate_id", "event_type")
-
-
 def json_text(value: str | Column) -> Column:
     """A string as a JSON string literal; null becomes null. Most texts need no escape."""
     text = _c(value).cast("string")
@@ -117,18 +114,22 @@ def event_hash(payload: str | Column = "payload", mode: str = "exact") -> Column
     return sha256(envelope_json(payload, mode))
 
 
-def semantic_fingerprint(mode: str = "exact") -> Column:
-    """digest of the six fields that decide whether two events mean the same."""
-    return sha256(F.concat_ws("\x00", *[F.col(name) for name in EVENT_SEMANTICS],
-                              canonical_json("payload", mode)))
+def semantic_fingerprint_json(mode: str = "exact") -> Column:
+    """F05 as the canonical JSON text of the six fields that decide what an event means."""
+    def field(name: str) -> Column:
+        return F.coalesce(json_text(name), F.lit("null"))
 
+    return F.concat(
+        F.lit('{"aggregate_id":'), field("aggregate_id"),
+        F.lit(',"aggregate_type":'), field("aggregate_type"),
+        F.lit(',"event_type":'), field("event_type"), F.lit(',"job_id":'), field("job_id"),
+        F.lit(',"payload":'), F.coalesce(canonical_json("payload", mode), F.lit("null")),
+        F.lit(',"tenant_id":'), field("tenant_id"), F.lit("}"))
 
-def semantic_fingerprint_json() -> Column:
-    """F05 as the canonical JSON text itself."""
-    return canonical_object(
-        payload=F.try_parse_json(F.col("payload")),
-        **{name: F.col(name) for name in EVENT_SEMANTICS},
-    )
+
+def semantic_fingerprint(mode: str = "exact") -> Column:
+    """digest of that text."""
+    return sha256(semantic_fingerprint_json(mode))
 
 
 def hypothesis_digest(metadata: Column | None = None) -> Column:
