@@ -105,3 +105,79 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     from veriledge.llm.pii import find_pii
 
     return find_pii(table(spark, folder, "documents"))
+
+
+def _field(value: str) -> str:
+    return (f"CASE WHEN {value} IS NULL THEN '-' "
+            f"ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END")
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(
+        _field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# Unsigned CRC-32 of the decimal doc_id, bit by bit.
+_CRC32 = """xor(list_reduce(
+    [4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''),
+                                           lambda ch: ascii(ch)::BIGINT),
+    lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+    4294967295::BIGINT)"""
+
+
+@query("op11_merkle_manifest", sql=f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, source, {_leaf("text")} AS leaf,
+               CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf(_LOWER)} ELSE {_leaf("text")} END AS changed
+        FROM documents),
+    numbered AS (
+        SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx,
+               count(*) OVER (PARTITION BY source) AS n FROM leaves),
+    nodes AS (
+        SELECT source, 0 AS level, idx, n, leaf AS h FROM numbered
+        UNION ALL
+        SELECT source, level + 1, idx // 16, any_value((n + 15) // 16),
+               sha256(string_agg(h, '' ORDER BY idx))
+        FROM nodes WHERE n > 1 GROUP BY source, level, idx // 16),
+    subroots AS (
+        SELECT source, level AS depth, h AS subroot,
+               row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx,
+               count(*) OVER () AS n FROM nodes WHERE n = 1),
+    top AS (
+        SELECT 0 AS level, idx, n, subroot AS h FROM subroots
+        UNION ALL
+        SELECT level + 1, idx // 16, any_value((n + 15) // 16),
+               sha256(string_agg(h, '' ORDER BY idx))
+        FROM top WHERE n > 1 GROUP BY level, idx // 16),
+    up AS (
+        SELECT doc_id, source, 0 AS level, idx, changed AS h, '' AS proof FROM numbered
+        UNION ALL
+        SELECT u.doc_id, u.source, u.level + 1, u.idx // 16,
+               sha256(string_agg(CASE WHEN x.idx = u.idx THEN u.h ELSE x.h END, '' ORDER BY x.idx)),
+               u.proof || coalesce(string_agg(x.h, '' ORDER BY x.idx)
+                                   FILTER (WHERE x.idx <> u.idx), '')
+        FROM up u JOIN nodes x ON x.source IS NOT DISTINCT FROM u.source AND x.level = u.level
+             AND x.idx // 16 = u.idx // 16
+        WHERE x.n > 1 GROUP BY u.doc_id, u.source, u.level, u.idx, u.h, u.proof),
+    over AS (
+        SELECT u.doc_id, 0 AS level, s.idx, u.h, u.proof
+        FROM up u JOIN subroots s ON s.source IS NOT DISTINCT FROM u.source AND s.depth = u.level
+        UNION ALL
+        SELECT o.doc_id, o.level + 1, o.idx // 16,
+               sha256(string_agg(CASE WHEN x.idx = o.idx THEN o.h ELSE x.h END, '' ORDER BY x.idx)),
+               o.proof || coalesce(string_agg(x.h, '' ORDER BY x.idx)
+                                   FILTER (WHERE x.idx <> o.idx), '')
+        FROM over o JOIN top x ON x.level = o.level AND x.idx // 16 = o.idx // 16
+        WHERE x.n > 1 GROUP BY o.doc_id, o.level, o.idx, o.h, o.proof)
+    SELECT l.doc_id, l.leaf, s.subroot, r.h AS root, sha256(o.proof) AS proof_sha256,
+           o.h AS folded_root, o.h = r.h AS verified
+    FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+    JOIN (SELECT h, level FROM top WHERE n = 1) r ON true
+    JOIN over o ON o.doc_id = l.doc_id AND o.level = r.level""")
+def merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, proof and folded root of every document, a fifth of them tampered with."""
+    from veriledge.llm.merkle import tamper_check
+
+    return tamper_check(table(spark, folder, "documents"))
