@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import sent_if_small, slices, stored
+from veriledge.llm.common import placed, slices, stored
 from veriledge.llm.sha_states import absorb, from_bytes, resume
 
 # Fixed value of the contract: children of a parent.
@@ -44,29 +44,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def placed(df: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:
-    """``df`` with ``place``, the row's number within its keys by ``order``, and ``n``, their rows.
-
-    Rows are range partitioned on keys and order; a key of any size spreads over as many
-    partitions as its rows need. A partition's running numbers are stored with its rows, and the
-    rows of a key in earlier partitions are added from one count per key and partition.
-    """
-    by = [*keys, *order]
-    numbered = stored(df.repartitionByRange(*by).sortWithinPartitions(*by)
-                      .withColumn("at", F.monotonically_increasing_id()), label)
-    part = F.shiftright("at", 33)
-    counts = (numbered.groupBy(*keys, part.alias("part"))
-              .agg(F.min("at").alias("first"), F.count("*").alias("rows")))
-    of_key = Window.partitionBy(*keys)
-    earlier = of_key.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = stored(counts.select(
-        *keys, "part", (F.coalesce(F.sum("rows").over(earlier), F.lit(0))
-                        - F.col("first")).alias("shift"), F.sum("rows").over(of_key).alias("n")),
-        f"{label}-counts")
-    joined = numbered.withColumn("part", part).join(sent_if_small(counts, 128), [*keys, "part"])
-    return joined.select(*df.columns, (F.col("at") + F.col("shift")).alias("place"), "n")
-
-
 def _digests(values, size: int = 32) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(-1, size)
 
