@@ -92,3 +92,39 @@ def test_nulls_repeats_long_texts_and_empty_tables(spark, documents):
     assert got == [(0, 0), (3, 0), (3, 0), (5, 0)]
     assert dc.contaminated(docs, bench.where("item_id > 99")).collect() == []
     assert dc.contaminated(documents([]), bench).collect() == []
+
+
+def test_word_hashes_follow_the_words_of_the_pattern():
+    texts = ["", "Ab_c d", "İstanbul ΣΑΣ ſ", "x\n\ty", "١٢ 中文,字", "😀a😀", "_", "ab_c D" * 3, "éa"]
+    hashes, borders = dc.WordHasher(dc.letters()).words(texts)
+    seen = {}
+    for i, text in enumerate(texts):
+        words = dc.WORDS.findall(text.lower())
+        mine = hashes[borders[i]:borders[i + 1]].tolist()
+        assert len(mine) == len(words)
+        for w, h in zip(words, mine):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_null_and_negative_item_ids_and_blocks(spark, documents, monkeypatch):
+    rng, items, _ = setting(spark, 3)
+    text = " ".join(items[0])
+    bench = spark.createDataFrame([(None, text), (-1, text), (5, " ".join(items[1])), (5, text)],
+                                  "item_id long, text string")
+    docs = documents([(1, text, None, None), (2, "nothing here", None, None)])
+    want = [(1, None), (1, -1), (1, 5)]
+    got = [(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    monkeypatch.setattr(dc, "SENT", 100)
+    got = [(r["doc_id"], r["item_id"]) for r in dc.contaminated(docs, bench).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert [r["doc_id"] for r in dc.without_benchmark(docs, bench).collect()] == [2]
+
+
+def test_walks_need_no_tables():
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 50_000, 60))) for i in range(2000)]
+    held = dc.prepare(rows, dc.SHARE, 12)
+    bits = sum(len(w) for *_, walks in held.classes for w in walks)
+    assert bits == 3 * 12 * len(held.classes)
