@@ -33,6 +33,35 @@ def test_article_text_is_not_removed_by_words_in_names(html, text):
     assert sst.Page(html).text() == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<div class='layout has-sidebar'><h1>T</h1><p>story</p></div>", "T story"),
+    ("<div id='menu-page'><p>story</p></div>", "story"),
+    ("<div class='post-comments-open'><p>story</p></div>", "story"),
+    ("<p>intro</p><section class='related-work'>r</section><section class='social-policy'>s</section>", "intro r s"),
+    ("<article><p>a</p><div class='comments-section'>c</div><div class='user-comments'>c</div>"
+     "<ul class='comment-list'><li>c</ul><div class='ad-slot'>x</div><div class='share-buttons'>x</div>"
+     "<div class='newsletter-signup'>x</div><div class='cookie-banner'>x</div><ol class='breadcrumbs-list'>x</ol>"
+     "<div class='related-posts'>x</div><div class=commentThread>c</div><section id='user-comments'>c</section>"
+     "<p>b</p></article>", "a b"),
+    ("<main><p>short</p><div class='comments'>" + "long reader comment " * 20 + "</div></main>", "short"),
+    ("<div class='sidebar'><main><p>in</p></main></div>", "in"),
+    ("<div class='footer-links'>f</div><div class='site-nav'>n</div><p>the text is here</p>", "the text is here"),
+])
+def test_names_vote_and_never_empty_a_page(html, text):
+    assert sst.Page(html).text() == text
+
+
+def test_long_deep_and_crossed_pages_take_linear_time():
+    import time
+
+    begin = time.time()
+    assert sst.Page("<b>a</i>" * 20_000).text() == "a" * 20_000
+    assert sst.Page("<div>" * 20_000 + "deep" + "</div>" * 20_000).text() == "deep"
+    assert sst.Page("<b><p>x</p>" * 5_000).text() == " ".join("x" * 5_000)
+    assert len(sst.Page("<p>long words &amp; more</p>" * 40_000).text()) == 40_000 * 18 - 1
+    assert time.time() - begin < 20
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
@@ -82,3 +111,37 @@ def test_host_and_empty_table(spark):
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert [r[0] for r in df.select(sst.host_of(df.url)).collect()] == ["a.b", "c.d", "", "", ""]
     assert sst.main_text(pages(spark, [])).collect() == []
+
+
+def test_importance_equals_a_plain_recomputation(spark):
+    import math
+
+    rows = [(i, "http://h/", f"<div class=a>menu<b>{i % 2}</b></div><div class=s><p>text {i}</p>"
+             + "<i>x</i>" * (i % 3 == 0) + "</div>") for i in range(6)]
+    rows += [rows[0]]
+    found = {r["key"]: r for r in sst.site_importance(pages(spark, rows).selectExpr("'h' AS host", "html")).collect()}
+    seen = {}
+    for html in {r[2] for r in rows}:
+        for key, parent, style, content in sst.Page(html).nodes():
+            seen.setdefault(key, (parent, []))[1].append((style, content))
+
+    def entropy(values):
+        m = len(values)
+        return -sum(values.count(v) / m * math.log(values.count(v) / m, m) for v in set(values)) if m > 1 else 1.0
+
+    shown = {k: v for k, v in seen.items() if len(v[1]) >= sst.PAGES}
+    assert set(found) == set(shown)
+
+    def value(key):
+        pairs = shown[key][1]
+        style, content = entropy([a for a, _ in pairs]), entropy([b for _, b in pairs])
+        texts = any(b is not None for _, b in pairs)
+        kids = [value(k) for k, v in shown.items() if v[0] == key]
+        parts = kids + ([content] if texts else [])
+        if not kids:
+            return content if texts else 0.0
+        weight = sst.DECAY ** len(parts)
+        return (1 - weight) * style + weight * sum(parts) / len(parts)
+
+    for key, row in found.items():
+        assert row["importance"] == pytest.approx(value(key))

@@ -4,16 +4,21 @@ The DOMs of a host's pages are merged by path: a node of the merged tree stands
 with the same tags, classes and ids down from the root. Its presentation importance is the entropy
 of the child sequences that pages show there, its content importance the entropy of the texts;
 both are 0 where all pages agree and 1 where all differ. Branches of low composite importance are
-removed from every page, and so are presentation nodes whose tag, role or class says that they
-are no article (menus, adverts, forms and the like). Inside a marked article whole boxes go where
-nothing in them differs between pages; beside it, texts stay that differ between pages.
+removed from every page, and so are presentation nodes whose tag or role says that they are no
+article (menus, forms and the like). Names only vote: a class or id counts where all its words
+speak of noise or of boxes, as ``comment-list`` and unlike ``related-work``, and never against a
+branch that holds the marked article or most of the page's text. Inside a marked article whole
+boxes go where nothing in them differs between pages; beside it, texts stay that differ.
 """
 from __future__ import annotations
 
 import hashlib
 import html as entities
 import re
+from collections import Counter
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +51,17 @@ NOISE_NAMES = frozenset((
     "overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments "
     "disqus reply replies share sharing social related recommended widget toolbar pagination pager "
     "login signup signin search masthead skip").split())
+# Words that say how noise is boxed, where it stands or to what it belongs, but not that it is noise.
+BOX_WORDS = frozenset((
+    "area article bar block body bottom box button buttons card cards col column container content "
+    "desktop entry fixed float form global group header heading icon icons inner inline item items "
+    "label left line link links list main mobile module news outer page pane panel placeholder post "
+    "posts primary right row secondary section site slot stack sticky story strip tab tabs thread "
+    "title top unit user users view wrap wrapper").split())
 # Tags that may hold text of the article inside it.
 INNER_TAGS = frozenset("dialog map".split())
-# Ids that are noise inside the article too; other ids there are anchors to its sections.
-INNER_IDS = frozenset("ad ads comments disqus".split())
+# Words whose ids are noise inside the article too; other ids there are anchors to its sections.
+INNER_IDS = frozenset("ad ads comment comments disqus replies".split())
 # Names that are noise only outside the article, where they hold a site's head.
 OUTER_NAMES = frozenset("header topbar".split())
 WHOLE = frozenset("html body article main".split())
@@ -60,6 +72,7 @@ TAG = re.compile(
     re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAMES = re.compile(r"[a-z]+")
+PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[^\W\d_a-zA-Z]+")
 # Weight of a node's children against its own presentation, and the least importance that stays.
 DECAY, LEAST = 0.9, 0.2
 # Content importance from which a text beside a marked article is taken.
@@ -69,8 +82,8 @@ BOXES = frozenset("address blockquote center details dialog div dl fieldset figu
                   "ol p pre section table ul".split())
 # Pages that have to show a node before its entropy says anything.
 PAGES = 3
-# Low-importance nodes that are broadcast; more are joined by host.
-SENT_NODES = 1_000_000
+# Template nodes that are sent to every executor (24 bytes each); more travel with the pages.
+SENT_NODES = 200_000
 
 
 _KEYS: dict = {}
@@ -87,14 +100,26 @@ def _key(parent: int, tag: str, names: str) -> int:
     return found
 
 
+@lru_cache(1 << 14)
+def votes(value: str, noise: frozenset) -> bool:
+    """Whether some token of a class or id has a word of ``noise`` and else only words of boxes."""
+    for token in value.split():
+        words = {w.lower() for w in PARTS.findall(token)}
+        if not words.isdisjoint(noise) and words <= noise | BOX_WORDS:
+            return True
+    return False
+
+
 class Page:
     """The DOM of a page in page order, tolerant of missing and crossed end tags."""
 
     def __init__(self, html: str):
         self.tags, self.names, self.parent, self.keys = ["#"], [()], [-1], [0]
         self.roles = [""]
-        # Whether a whole word of the class, or an id of ``INNER_IDS``, names noise.
-        self.marked = [False]
+        # Whether names speak of noise, inside and outside a marked article.
+        self.marked, self.named = [False], [False]
+        # How many elements of a tag are open, so an end tag without one is passed over at once.
+        self.open: Counter = Counter()
         # (node, text) in page order; text None is a block border.
         self.items: list = []
         self.stack = [0]
@@ -134,41 +159,90 @@ class Page:
         self._border(tag)
         if tag in VOID:
             return
-        names, role, marked = (), "", False
+        names, role, marked, named = (), "", False, False
         if attributes:
             marks = {}
             for name, a, b, c in ATTRIBUTE.findall(attributes):
-                marks.setdefault(name.lower(), (a or b or c).lower())
-            names = tuple(sorted(set(NAMES.findall(
-                marks.get("class", "") + " " + marks.get("id", "")))))
-            role = marks.get("role", "")
-            marked = not NOISE_NAMES.isdisjoint(marks.get("class", "").split()) or \
-                marks.get("id", "").strip() in INNER_IDS
+                marks.setdefault(name.lower(), a or b or c)
+            kind, own = marks.get("class", ""), marks.get("id", "")
+            names = tuple(sorted(set(NAMES.findall(f"{kind} {own}".lower()))))
+            role = marks.get("role", "").lower()
+            marked = votes(kind, NOISE_NAMES) or votes(own, INNER_IDS)
+            named = marked or votes(own, NOISE_NAMES) or votes(f"{kind} {own}", OUTER_NAMES)
         parent = self.stack[-1]
         self.tags.append(tag)
         self.names.append(names)
         self.roles.append(role)
         self.marked.append(marked)
+        self.named.append(named)
+        self.open[tag] += 1
         self.parent.append(parent)
         self.keys.append(_key(self.keys[parent], tag, " ".join(names)))
         self.stack.append(len(self.tags) - 1)
 
+    def _cut(self, depth: int) -> None:
+        """Close the elements of the stack from ``depth`` on."""
+        for node in self.stack[depth:]:
+            self.open[self.tags[node]] -= 1
+        del self.stack[depth:]
+
     def _imply(self, closed: tuple) -> None:
+        if not any(self.open[tag] for tag in closed):
+            return
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.tags[self.stack[depth]]
             if tag in closed:
-                del self.stack[depth:]
+                self._cut(depth)
                 return
             if tag in SCOPE:
                 return
 
     def _close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
+        for depth in range(len(self.stack) - 1, 0, -1) if self.open[tag] else ():
             if self.tags[self.stack[depth]] == tag:
-                del self.stack[depth:]
+                self._cut(depth)
                 break
         self._border(tag)
 
+    def _summed(self, keep) -> list:
+        """Characters of kept text in each branch."""
+        size = [0] * len(self.tags)
+        for n, t in self.items:
+            if t and keep[n]:
+                size[n] += len("".join(t.split()))
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        return size
+
+    def _is_main(self, i: int) -> bool:
+        return self.tags[i] in ("article", "main") or self.roles[i] == "main"
+
+    def _protected(self) -> set:
+        """Branches that no name removes: around a marked article or a headline with most of the
+        text; where nothing is marked, also those with nearly all of it."""
+        named = [i for i, n in enumerate(self.named) if n]
+        if not named:
+            return set()
+        mains = [i for i in range(len(self.tags)) if self._is_main(i)]
+        held, headed = set(), set()
+        for found, nodes in ((held, mains), (headed, [i for i, t in enumerate(self.tags) if t == "h1"])):
+            for i in nodes:
+                up = self.parent[i]
+                while up > 0 and up not in found:
+                    found.add(up)
+                    up = self.parent[up]
+        safe = held.intersection(named)
+        open_to = [i for i in named if i not in safe and (i in headed or not mains)]
+        if not open_to:
+            return safe
+        alive = [True]
+        for i in range(1, len(self.tags)):
+            alive.append(alive[self.parent[i]] and self.roles[i] not in NOISE_ROLES
+                         and (self.tags[i] not in NOISE_TAGS or self.tags[i] == "form"))
+        size = self._summed(alive)
+        return safe.union(i for i in open_to if i in headed and 2 * size[i] > size[0]
+                          or not mains and 5 * size[i] > 4 * size[0])
+
     def kept(self, noise=frozenset(), same=frozenset(), rich=frozenset()) -> list:
         """Whether the text of each node stays; a removed branch takes everything below it along.
 
@@ -177,24 +251,19 @@ class Page:
 
         A form with more than half of the text that would stay is a container like any other.
         """
+        safe = frozenset(self._protected())
         forms = [i for i, tag in enumerate(self.tags) if tag == "form"]
         if not forms:
-            return self._kept(noise, same, rich)
-        keep = self._kept(noise, same, rich, frozenset(forms))
-        size = [0] * len(self.tags)
-        for n, t in self.items:
-            if t and keep[n]:
-                size[n] += len("".join(t.split()))
-        for i in range(len(size) - 1, 0, -1):
-            size[self.parent[i]] += size[i]
-        return self._kept(noise, same, rich, frozenset(i for i in forms if 2 * size[i] > size[0]))
+            return self._kept(noise, same, rich, safe)
+        size = self._summed(self._kept(noise, same, rich, safe.union(forms)))
+        return self._kept(noise, same, rich, safe.difference(forms).union(
+            i for i in forms if 2 * size[i] > size[0]))
 
     def _kept(self, noise, same, rich, plain=frozenset()) -> list:
-        """What ``kept`` returns, with the forms of ``plain`` as containers."""
+        """What ``kept`` returns, with the nodes of ``plain`` as containers like any other."""
         keep, main, beside = [True], [False], [False]
         # Nodes around a marked article: what is low there on average may hold the article.
-        around = {i for i, tag in enumerate(self.tags)
-                  if tag in ("article", "main") or self.roles[i] == "main"}
+        around = {i for i in range(len(self.tags)) if self._is_main(i)}
         marks = bool(around)
         around |= plain
         for i in range(len(self.tags) - 1, 0, -1):
@@ -202,18 +271,14 @@ class Page:
                 around.add(self.parent[i])
         for i in range(1, len(self.tags)):
             up, tag = self.parent[i], self.tags[i]
-            inside = main[up] or tag in ("article", "main") or self.roles[i] == "main"
+            inside = main[up] or self._is_main(i)
             bad = tag in NOISE_TAGS and i not in plain or self.roles[i] in NOISE_ROLES
             if inside:
-                # Words of the article are in names of its sections too: only whole ones count.
                 bad = bad and not (tag in INNER_TAGS and self.roles[i] not in NOISE_ROLES)
-                bad = bad or tag != "main" and self.marked[i]
+                bad = bad or tag != "main" and self.marked[i] and i not in plain
                 bad = bad or tag in BOXES and self.keys[i] in same
-            elif tag not in ("html", "body") and i not in plain:
-                bad = bad or not NOISE_NAMES.isdisjoint(self.names[i])
-            if not inside and (tag == "header" or tag not in WHOLE and i not in plain
-                               and not OUTER_NAMES.isdisjoint(self.names[i])):
-                bad = True
+            elif tag not in WHOLE:
+                bad = bad or tag == "header" or self.named[i] and i not in plain
             part = marks and beside[up] and tag not in WHOLE and up not in around
             if not inside and tag not in WHOLE and (tag in BOXES or not part) and \
                     self.keys[i] in (same if i in around or part else noise):
@@ -350,26 +415,53 @@ def main_text(pages: DataFrame, least: float = LEAST) -> DataFrame:
         "host", "key", (F.col("importance") < least).alias("low"),
         (F.col("peak") < least).alias("same"), (F.col("content") >= HIGH).alias("rich"))
         .where("low or same or rich"), "style-noise")
-    noise = low.groupBy("host").agg(F.struct(*[
-        F.sort_array(F.collect_set(F.when(F.col(c), F.col("key")))).alias(c)
-        for c in ("low", "same", "rich")]).alias("noise"))
+    names = ("low", "same", "rich")
+    noise = low.groupBy("host").agg(*[
+        F.sort_array(F.collect_set(F.when(F.col(c), F.col("key")))).alias(c) for c in names])
+    schema = "page_id long, url string, text string, n_chars long"
+
+    def cleaned(batch, sets_of):
+        texts = [Page(html).text(*sets_of(i)) for i, html in enumerate(batch.column(3).to_pylist())]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
+             pa.array([len(t) for t in texts], pa.int64())],
+            names=["page_id", "url", "text", "n_chars"])
+
     if low.limit(SENT_NODES + 1).count() <= SENT_NODES:
-        joined = rows.join(F.broadcast(noise), "host", "left")
-    else:
-        # Pages of one host are spread over salts, each of which gets the host's nodes.
-        salts = 32
-        joined = (rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-                  .join(noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))),
-                        ["host", "salt"], "left"))
-
-    def extract(batches):
+        sent = pages.sparkSession.sparkContext.broadcast(
+            {r["host"]: [np.array(r[c], np.int64) for c in names] for r in noise.collect()})
+
+        def extract(batches):
+            known: dict = {}
+            for batch in slices(batches):
+                hosts = batch.column(2).to_pylist()
+                for host in set(hosts) - known.keys():
+                    known[host] = [frozenset(a.tolist()) for a in sent.value.get(host, ())]
+                yield cleaned(batch, lambda i: known[hosts[i]])
+
+        return rows.mapInArrow(extract, schema)
+
+    # A host's nodes come before its pages; pages of one host are spread over salts.
+    salts = 32
+    salted = (rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+              .select("page_id", "url", "host", "html", "salt",
+                      *[F.lit(None).cast("array<long>").alias(c) for c in names]))
+    before = noise.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(
+        F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), "host",
+        F.lit(None).cast("string").alias("html"), "salt", *names)
+    together = (salted.unionByName(before).withColumn("page", F.col("html").isNotNull())
+                .repartition("host", "salt").sortWithinPartitions("host", "salt", "page"))
+
+    def follow(batches):
+        host, sets = None, ()
         for batch in slices(batches):
-            texts = [Page(html).text(*map(frozenset, (noise or {}).values())) for html, noise in
-                     zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(texts, pa.string()),
-                 pa.array([len(t) for t in texts], pa.int64())],
-                names=["page_id", "url", "text", "n_chars"])
-
-    return joined.select("page_id", "url", "html", "noise").mapInArrow(
-        extract, "page_id long, url string, text string, n_chars long")
+            hosts, pages_at = batch.column("host").to_pylist(), batch.column("page").to_pylist()
+            of = []
+            for i, name in enumerate(hosts):
+                if not pages_at[i]:
+                    host, sets = name, [frozenset(batch.column(c)[i].as_py()) for c in names]
+                of.append(sets if name == host else ())
+            at = [i for i, is_page in enumerate(pages_at) if is_page]
+            yield cleaned(batch.take(pa.array(at, pa.int64())), lambda i: of[at[i]])
+
+    return together.mapInArrow(follow, schema)
