@@ -18,7 +18,15 @@ from veriledge.functions.contracts import (
 from veriledge.operators.ledger import LEDGER, verify_chain
 from veriledge.session import materialise
 
-_MAX_TRANSITIONS = 4
+
+
+def _longest(state: str) -> int:
+    """Most transitions that can follow a state; the states form no cycle."""
+    return max((1 + _longest(to) for to in S.CLAIM_TRANSITIONS.get(state, ())), default=0)
+
+
+# One more than a claim can legally make: the first one too many is still seen.
+_MAX_TRANSITIONS = 1 + _longest("PROPOSED")
 REQUIRED = {
     "claim.proposed": ("claim_id", "text", "scope"),
     "query.executed": ("query_id", "claim_id", "text", "intent"),
@@ -31,8 +39,8 @@ _TEXT = ("claim_id", "text", "scope", "query_id", "intent", "passage_id", "doc_i
 _COUNTS = ("n_hits", "offset", "page_no")
 
 
-def parse_claim_log(events: DataFrame) -> DataFrame:
-    """Flatten event payloads; a replayed event id keeps its first occurrence."""
+def flatten_claim_events(events: DataFrame) -> DataFrame:
+    """Event payloads as columns, row by row."""
     value = F.try_parse_json(F.col("payload"))
 
     def bad_count(name):
@@ -41,11 +49,16 @@ def parse_claim_log(events: DataFrame) -> DataFrame:
         return F.coalesce(kind != "VOID", F.lit(False)) & (
             ~kind.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$") | (number < 0))
 
-    flat = events.select(
+    return events.select(
         *LEDGER, "sequence", "event_id", "event_type",
         *[F.try_variant_get(value, f"$.{n}", "string").alias(n) for n in _TEXT],
         *[F.try_variant_get(value, f"$.{n}", "bigint").alias(n) for n in _COUNTS],
         *[bad_count(n).alias(f"bad_{n}") for n in _COUNTS])
+
+
+def parse_claim_log(events: DataFrame) -> DataFrame:
+    """Flattened events; a replayed event id keeps its first occurrence."""
+    flat = flatten_claim_events(events)
     first = flat.groupBy(*LEDGER, "event_id").agg(F.min("sequence").alias("sequence"))
     return flat.join(first, [*LEDGER, "event_id", "sequence"], "left_semi")
 
@@ -100,6 +113,28 @@ def reference_rules() -> list[Rule]:
     ]
 
 
+def row_rules() -> list[Rule]:
+    """Rules of W02 that an event breaks by itself."""
+    kind, target = F.col("event_type"), F.col("to_state")
+    moving, watching = kind == "claim.transitioned", kind == "passage.observed"
+    no_boundary = F.trim(F.coalesce("boundary", F.lit(""))) == ""
+    return [
+        *[Rule(f"missing_{kind_name}", (kind == kind_name) & any_of(
+            [is_missing(n) for n in names])) for kind_name, names in REQUIRED.items()],
+        Rule("intent", (kind == "query.executed")
+             & ~F.col("intent").isin("support", "counterevidence")),
+        Rule("n_hits", (kind == "query.executed") & F.col("bad_n_hits")),
+        Rule("locator_missing", watching & F.col("offset").isNull() & F.col("page_no").isNull()
+             & ~F.col("bad_offset") & ~F.col("bad_page_no")),
+        Rule("locator_value", watching & (F.col("bad_offset") | F.col("bad_page_no"))),
+        Rule("content_sha256", watching & ~is_missing("content_sha256")
+             & ~fn.is_sha256("content_sha256")),
+        Rule("relation", (kind == "evidence.linked") & ~F.col("relation").isin(*S.RELATIONS)),
+        Rule("unknown_state", moving & ~target.isin(*S.CLAIM_STATES)),
+        Rule("boundary", moving & target.isin("SURVIVED", "NARROWED") & no_boundary),
+    ]
+
+
 def _transition_states(log: DataFrame) -> DataFrame:
     """State before each of a claim's first transitions, and its rank."""
     order = Window.partitionBy(*LEDGER, "claim_id").orderBy("sequence")
@@ -141,27 +176,14 @@ def claim_projection(events: DataFrame) -> DataFrame:
     moving, linking = kind == "claim.transitioned", kind == "evidence.linked"
     allowed = any_of([(F.col("from_state") == source) & target.isin(*targets)
                       for source, targets in S.CLAIM_TRANSITIONS.items()])
-    no_boundary = F.trim(F.coalesce("boundary", F.lit(""))) == ""
-    watching = kind == "passage.observed"
     rules = [
-        *[Rule(f"missing_{kind_name}", (kind == kind_name) & any_of(
-            [is_missing(n) for n in names])) for kind_name, names in REQUIRED.items()],
+        *row_rules(),
         *reference_rules(),
-        Rule("intent", (kind == "query.executed")
-             & ~F.col("intent").isin("support", "counterevidence")),
-        Rule("n_hits", (kind == "query.executed") & F.col("bad_n_hits")),
-        Rule("locator_missing", watching & F.col("offset").isNull() & F.col("page_no").isNull()
-             & ~F.col("bad_offset") & ~F.col("bad_page_no")),
-        Rule("locator_value", watching & (F.col("bad_offset") | F.col("bad_page_no"))),
-        Rule("content_sha256", watching & ~is_missing("content_sha256")
-             & ~fn.is_sha256("content_sha256")),
-        Rule("relation", linking & ~F.col("relation").isin(*S.RELATIONS)),
         Rule("support_intent", linking & (F.col("relation") == "SUPPORTS")
              & (F.col("passage_intent") != "support")),
         Rule("counter_intent", linking & F.col("relation").isin(*S.COUNTER_RELATIONS)
              & (F.col("passage_intent") != "counterevidence")),
         Rule("duplicate_edge", linking & (F.col("first_edge") < seq)),
-        Rule("unknown_state", moving & ~target.isin(*S.CLAIM_STATES)),
         Rule("illegal_transition", moving & target.isin(*S.CLAIM_STATES)
              & (F.col("turn").isNull() | ~allowed)),
         Rule("supported_without_edge", moving & (target == "SUPPORTED")
@@ -171,7 +193,6 @@ def claim_projection(events: DataFrame) -> DataFrame:
         Rule("survived_without_evidence", moving & (target == "SURVIVED")
              & ~(seen("first_SUPPORTS") & seen("first_counter"))),
         Rule("narrowed_without_edge", moving & (target == "NARROWED") & ~seen("first_BOUNDS")),
-        Rule("boundary", moving & target.isin("SURVIVED", "NARROWED") & no_boundary),
         Rule("refuted_without_edge", moving & (target == "REFUTED")
              & ~(seen("first_CONTRADICTS") | seen("first_PRECEDENT_FOR"))),
     ]

@@ -145,13 +145,16 @@ def stage_monotonic(log: DataFrame, seq: str = "version") -> DataFrame:
 
 
 def _budget_machine() -> Machine:
-    """Admit a charge only if none of the three budgets would be exceeded."""
+    """Admit a charge only if its usage is valid and none of the three budgets is exceeded."""
     amounts = ("calls", "tokens", "cost_microunits")
 
     def start(_row):
         return [0, 0, 0]
 
     def step(used, row):
+        invalid = [f"invalid_{a}" for a in amounts if row[a] is None or row[a] < 0]
+        if invalid:
+            return used, (False, ",".join(invalid), *used)
         after = [u + row[a] for u, a in zip(used, amounts)]
         broken = [a for a, total in zip(amounts, after) if total > row[f"max_{a}"]]
         if broken:
@@ -174,9 +177,9 @@ def deduplicated_charges(charges: DataFrame, order: list[str]) -> DataFrame:
 
 def budget_admission(charges: DataFrame, jobs: DataFrame, order: list[str],
                      partitions: int | None = None) -> DataFrame:
-    """Admit or reject each charge of a job in order.
+    """Admit or reject each charge of a job in order; usage must not be null or negative.
 
-    A job whose charges fit its budgets altogether never rejects one, whatever the order: those
+    A job whose charges are all valid and fit its budgets altogether never rejects one: those
     jobs are settled by a map-side combined sum and a running total is not needed to decide.
     Only jobs that overrun go through the ordered fold, where a rejected charge does not count
     and a later, smaller one may pass.
@@ -185,7 +188,8 @@ def budget_admission(charges: DataFrame, jobs: DataFrame, order: list[str],
     budgets = jobs.select("job_id", "max_calls", "max_tokens", "max_cost_microunits")
     joined = materialise(first.join(budgets, "job_id"))  # read three times below
     totals = joined.groupBy("job_id").agg(
-        *[(F.sum(a) > F.max(f"max_{a}")).alias(f"__o_{a}")
+        *[(F.coalesce(F.min(a) < 0, F.lit(True)) | (F.count(a) < F.count(F.lit(1)))
+           | (F.sum(a) > F.max(f"max_{a}"))).alias(f"__o_{a}")
           for a in ("calls", "tokens", "cost_microunits")])
     over = totals.where("__o_calls OR __o_tokens OR __o_cost_microunits").select("job_id")
     contested = joined.join(over, "job_id", "left_semi")

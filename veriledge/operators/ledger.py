@@ -230,17 +230,21 @@ def pending_outbox(outbox: DataFrame, ledger_events: DataFrame) -> DataFrame:
 def flush_outbox(outbox: DataFrame, ledger_events: DataFrame, audit_job_id: str,
                  receipts: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """Events to append to the policy ledger, chained after what it already holds."""
-    pending = pending_outbox(outbox, ledger_events)
-    shaped = pending.select(
+    shaped = shaped_outbox(pending_outbox(outbox, ledger_events), audit_job_id)
+    # Pending rows have no key that the ledger holds; ids are compared all the same.
+    ids = ledger_events if set(S.EVENT.fieldNames()) <= set(ledger_events.columns) else None
+    return build_ledger(shaped, ["created_at", "event_id"], receipts, partitions=partitions,
+                        held=ids)
+
+
+def shaped_outbox(outbox: DataFrame, audit_job_id: str) -> DataFrame:
+    """Outbox rows as events of the policy ledger, with their ``created_at``."""
+    return outbox.select(
         "event_id", F.concat(F.date_format(F.timestamp_seconds("created_at"),
                                            "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("+00:00"))
         .alias("occurred_at"),
         "tenant_id", F.lit(audit_job_id).alias("job_id"), "aggregate_type", "aggregate_id",
         "event_type", "payload", "idempotency_key", "created_at")
-    # Pending rows have no key that the ledger holds; ids are compared all the same.
-    ids = ledger_events if set(S.EVENT.fieldNames()) <= set(ledger_events.columns) else None
-    return build_ledger(shaped, ["created_at", "event_id"], receipts, partitions=partitions,
-                        held=ids)
 
 
 def mark_dispatched(outbox: DataFrame, ledger_events: DataFrame, at: float) -> DataFrame:

@@ -13,6 +13,8 @@ from veriledge.session import (
 )
 
 _SALTS = 32
+# Documents that a block has on average, and blocks of a query that set its threshold.
+BLOCK_DOCUMENTS, SEED_BLOCKS = 32, 4
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -32,7 +34,8 @@ def document_frequency(corpus: DataFrame, text: str = "content",
 
 
 def weighted_query_terms(queries: DataFrame, corpus: DataFrame,
-                         postings: DataFrame | None = None) -> DataFrame:
+                         postings: DataFrame | None = None, total: int | None = None
+                         ) -> DataFrame:
     """Query terms with the inverse frequency of the *whole* corpus, before any cutoff."""
     terms = query_terms(queries)
     if postings is None:
@@ -40,7 +43,8 @@ def weighted_query_terms(queries: DataFrame, corpus: DataFrame,
         frequency = document_frequency(corpus, vocabulary=vocabulary)
     else:
         frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = corpus.count()  # a scalar of the whole corpus
+    if total is None:
+        total = corpus.count()  # a scalar of the whole corpus
     return (
         terms.join(frequency, "term")
         .withColumn("weight", F.log(F.lit(float(total + 1)) / (F.col("df") + 1)) + 1)
@@ -69,34 +73,99 @@ def lexical_term_join(weighted: DataFrame, corpus: DataFrame,
     """
     if postings is None:
         postings = term_postings(corpus, weighted.select("term").distinct())
-    if is_bounded(weighted, BROADCAST_ROW_LIMIT):
-        joined = postings.join(F.broadcast(weighted), "term")
-    else:
-        salted = weighted.withColumn(
-            "__salt", F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")))
-        joined = postings.withColumn(
-            "__salt", F.pmod(F.xxhash64("snapshot_id"), F.lit(_SALTS).cast("bigint"))).join(
-            salted, ["term", "__salt"])
     return (
-        joined.where(F.col("publication_date") <= F.col("cutoff_date"))
+        _on_term(postings, weighted, "snapshot_id").where(F.col("publication_date") <= F.col("cutoff_date"))
         .groupBy("query_id", "snapshot_id")
         .agg(F.sum(F.least("qtf", "tf") * F.col("weight")).alias("score"))
     )
 
 
+def block_postings(corpus: DataFrame, vocabulary: DataFrame, documents: int) -> DataFrame:
+    """Postings with the block of their document: some 32 documents of similar length.
+
+    Long documents can score more than short ones, so blocks of one length class bound them well.
+    """
+    keep = ["snapshot_id", "publication_date", "block"]
+    words = fn.terms("content")
+    kind = F.floor(F.log2(F.size("words") + 1) / 2)
+    place = F.pmod(F.xxhash64("snapshot_id"), F.lit(-(-documents // BLOCK_DOCUMENTS) or 1))
+    rows = (corpus.select("snapshot_id", "publication_date", words.alias("words"))
+            .select("snapshot_id", "publication_date",
+                    (place * 64 + kind).alias("block"), F.explode("words").alias("term")))
+    known = rows.join(broadcast_if_bounded(vocabulary), "term", "left_semi")
+    return known.groupBy(*keep, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def block_bounds(weighted: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, block, bound): no document of the block scores more for the query.
+
+    The impact of a term in a block is that of its largest count; blocks whose use of a term is
+    all after the query's cutoff leave the term out.
+    """
+    impact = postings.groupBy("block", "term").agg(
+        F.max("tf").alias("most"), F.min("publication_date").alias("earliest"))
+    return (_on_term(impact, weighted, "block").where(F.col("earliest") <= F.col("cutoff_date"))
+            .groupBy("query_id", "block")
+            .agg(F.sum(F.least("qtf", "most") * F.col("weight")).alias("bound")))
+
+
+def _on_term(rows: DataFrame, weighted: DataFrame, spread: str) -> DataFrame:
+    """Join by term; a query set too large to broadcast is salted, as terms are skewed."""
+    if is_bounded(weighted, BROADCAST_ROW_LIMIT):
+        return rows.join(F.broadcast(weighted), "term")
+    salted = weighted.withColumn("__salt", F.explode(F.expr(f"sequence(0L, {_SALTS - 1}L)")))
+    salt = F.pmod(F.xxhash64(spread), F.lit(_SALTS).cast("bigint"))
+    return rows.withColumn("__salt", salt).join(salted, ["term", "__salt"]).drop("__salt")
+
+
+def score_blocks(blocks: DataFrame, weighted: DataFrame, postings: DataFrame, digits: int
+                 ) -> DataFrame:
+    """(query_id, snapshot_id, score) of the documents of some (query_id, block) pairs."""
+    needed = blocks.select("query_id", "block").join(weighted, "query_id")
+    joined = postings.join(broadcast_if_bounded(needed), ["block", "term"])
+    return (joined.where(F.col("publication_date") <= F.col("cutoff_date"))
+            .groupBy("query_id", "snapshot_id")
+            .agg(F.round(F.sum(F.least("qtf", "tf") * F.col("weight")), digits).alias("score")))
+
+
+def lexical_candidates(queries: DataFrame, corpus: DataFrame, k: int = 3, digits: int = 6
+                       ) -> DataFrame:
+    """Scores of all documents that can be among a query's best ``k``: query_id, snapshot_id, score.
+
+    A threshold algorithm over blocks: the blocks of a query with the highest bounds are scored
+    first, their k-th best score is the query's threshold, and of all others only blocks whose
+    bound reaches it are scored. Pairs below are never formed.
+    """
+    total = corpus.count()  # a scalar of the whole corpus
+    # The corpus is split once; frequencies, bounds and scores all come from the postings.
+    postings = materialise(block_postings(
+        corpus, query_terms(queries).select("term").distinct(), total))
+    weighted = materialise(weighted_query_terms(queries, corpus, postings, total))
+    bounds = materialise(block_bounds(weighted, postings))
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "block")
+    first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SEED_BLOCKS)
+    seeds = materialise(score_blocks(first, weighted, postings, digits).where("score <> 0"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    reached = (seeds.withColumn("place", F.row_number().over(best)).where(F.col("place") == k)
+               .select("query_id", F.col("score").alias("least")))
+    # A rounded score may lie half a unit above the sum it stands for.
+    open_blocks = (bounds.join(broadcast_if_bounded(reached), "query_id", "left")
+                   .where(F.col("least").isNull()
+                          | (F.col("bound") >= F.col("least") - 10.0 ** -digits))
+                   .join(broadcast_if_bounded(first.select("query_id", "block")),
+                         ["query_id", "block"], "left_anti"))
+    return seeds.unionByName(
+        score_blocks(open_blocks, weighted, postings, digits).where("score <> 0"))
+
+
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int = 3,
                  digits: int = 6) -> DataFrame:
     """The best ``k`` documents per query, ties by id. Columns query_id, rank, snapshot_id,
     score. Scores are rounded before ranking, so that sums taken in another order tie alike.
     """
-    # The corpus is split once; frequencies and scores both come from the postings.
-    postings = materialise(term_postings(corpus, query_terms(queries).select("term").distinct()))
-    weighted = materialise(weighted_query_terms(queries, corpus, postings))
-    scored = lexical_term_join(weighted, corpus, postings).withColumn(
-        "score", F.round("score", digits))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "snapshot_id")
-    return (scored.where("score <> 0").withColumn("rank", F.row_number().over(best))
-            .where(F.col("rank") <= k)
+    return (lexical_candidates(queries, corpus, k, digits)
+            .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "snapshot_id", "score"))
 
 

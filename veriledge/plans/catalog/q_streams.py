@@ -4,18 +4,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriledge import schemas as S
-from veriledge.operators import graph, jobs
+from veriledge.operators import jobs
 from veriledge.plans.catalog.q_jobs import BUCKET, BUDGET, CIRCUIT, calls
-from veriledge.plans.catalog.q_ledger import _CHAIN, chained
+from veriledge.plans.catalog.q_ledger import _CHAIN, _SIMPLE, chained
 from veriledge.plans.catalog.registry import query
 from veriledge.streaming import streams
+from veriledge.streaming.stateful import state_session
 
 
-def as_stream(t, df, partitions: int = 2):
+def as_stream(t, df, partitions: int = 2, session=None):
     """Write a table to the shared folder and read it back as a stream."""
     path = t.scratch()
     df.repartition(partitions).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).parquet(path)
+    reader = (session or t.spark).readStream.schema(df.schema)
+    return reader.option("maxBytesPerTrigger", "256m").parquet(path)
+
+
+def with_state(t, df):
+    """The stream in a session that keeps its state in RocksDB."""
+    return as_stream(t, df, session=state_session(t.spark))
 
 
 def drained(t, stream, mode: str = "append"):
@@ -32,16 +39,17 @@ def _(t):
     n = F.expr("cast(substr(event_id, 2) as bigint)")
     log = chained(t).withColumn("payload", F.when(n % 307 == 0, F.lit('{"k":-1}')).otherwise(
         F.col("payload")))
-    return drained(t, streams.stream_verify_chain(as_stream(t, log))).select("event_id", "ok")
+    return drained(t, streams.stream_verify_chain(with_state(t, log))).select("event_id", "ok")
 
 
-@query("ST02_stream_claim_state")
+@query("ST02_stream_claim_state", sql=f"""WITH {_SIMPLE}
+    SELECT 'm' || conv_id || '-' || turn AS event_id, applied,
+           CASE WHEN seq >= stop THEN seq = stop END AS stopping,
+           CASE WHEN seq = stop THEN code ELSE '' END AS codes FROM a""")
 def _(t):
-    log = graph.parse_claim_log(t.claim_log).where("claim_id IS NOT NULL").select(
-        "tenant_id", "job_id", "claim_id", "sequence", "event_id", "event_type", "intent",
-        "relation", "to_state", "boundary")
-    return drained(t, streams.stream_claim_state(as_stream(t, log))).select(
-        "job_id", "claim_id", "event_id", "state", "problem")
+    states = streams.stream_claim_state(with_state(t, t.claim_log))
+    return drained(t, states).select(
+        "event_id", "applied", (F.col("sequence") == F.col("stopped_at")).alias("stopping"), "codes")
 
 
 def updated(t, stream, keys):
@@ -79,7 +87,7 @@ def _(t):
     first = jobs.deduplicated_charges(t.charges, order)
     budgets = t.jobs.select("job_id", "max_calls", "max_tokens", "max_cost_microunits")
     log = first.join(budgets, "job_id").drop("occurrences", "conflict")
-    out = streams.stream_budget_admission(as_stream(t, log), ["charge_key"], order)
+    out = streams.stream_budget_admission(with_state(t, log), ["charge_key"], order)
     return drained(t, out).select("job_id", "charge_key", "admitted")
 
 
@@ -106,7 +114,7 @@ def _(t):
         event_id) AS sequence FROM outbox WHERE dispatched_at IS NULL""")
 def _(t):
     target = t.scratch()
-    streams.stream_outbox(as_stream(t, t.outbox), target, t.scratch(), "policy-memory") \
+    streams.stream_outbox(with_state(t, t.outbox), target, t.scratch(), "policy-memory") \
         .awaitTermination()
     held = t.spark.read.schema(S.EVENT).option("recursiveFileLookup", "true").parquet(target)
     return held.select("tenant_id", "event_id", "sequence")

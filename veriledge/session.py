@@ -26,6 +26,17 @@ def build_session(app_name: str = "veriledge", master: str | None = None, **conf
     return builder.getOrCreate()
 
 
+def cloned(spark: SparkSession, **conf) -> SparkSession:
+    """A session of the same application with its settings and some others; ``spark`` is unchanged."""
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(name):
+            session.conf.set(name, value)
+    for name, value in conf.items():
+        session.conf.set(name, value)
+    return session
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder; a local folder is used only on a local master."""
     context = spark.sparkContext

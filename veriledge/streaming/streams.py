@@ -1,9 +1,8 @@
 """Streaming twins of the batch operators.
 
-Keyed state machines reuse the batch ``Machine`` objects: one micro-batch of a key is sorted by
-its explicit order and stepped through; state is a small JSON text per key. Micro-batches are
-bounded by the source's rate limit, so a hot key costs a bounded group at a time. Sources must
-deliver a key's rows in order across batches, as append-only logs do.
+Ledgers, claim graphs, budgets and the outbox are stateful processors (``stateful.py``) and need a
+session of ``state_session``. Sources must deliver a key's rows in order across batches, as
+append-only logs do; inside a batch any order will do.
 """
 from __future__ import annotations
 
@@ -17,13 +16,20 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from veriledge import schemas as S
-from veriledge.functions.contracts import violation_codes
+from veriledge.functions.contracts import violation_codes, with_violations
+from veriledge.functions.scalars import envelope_parts, semantic_fingerprint
+from veriledge.operators.graph import flatten_claim_events, row_rules
 from veriledge.operators.jobs import _budget_machine
+from veriledge.operators.ledger import shaped_outbox
 from veriledge.operators.ordered import Machine
 from veriledge.operators.rows import validate_events
 from veriledge.operators.service import (
     circuit_machine, histogram_rows, token_bucket_machine,
 )
+from veriledge.session import materialise
+from veriledge.streaming.stateful import (
+    ChainRows, ClaimRows, MachineRows, OutboxRows, run_processor,
+)
 
 _STATE = "state string"
 
@@ -69,7 +75,11 @@ def stateful_fold(stream: DataFrame, keys: list[str], order: list[str], machine:
 
 def stream_budget_admission(charges: DataFrame, keep: list[str], order: list[str]) -> DataFrame:
     """ST04: charges joined with their job's budgets beforehand."""
-    return stateful_fold(charges, ["job_id"], order, _budget_machine(), keep)
+    machine = _budget_machine()
+    kept = ["job_id", *keep]
+    out = StructType([charges.schema[n] for n in kept] + machine.output.fields)
+    return run_processor(charges, ["job_id"], MachineRows(
+        charges.schema, tuple(order), out, machine, tuple(kept)))
 
 
 def stream_circuit(log: DataFrame, keep: list[str], order: list[str], threshold: int = 3,
@@ -86,85 +96,37 @@ def stream_token_bucket(requests: DataFrame, keep: list[str], order: list[str],
                          token_bucket_machine(per_minute, burst), keep)
 
 
-def _chain_machine() -> Machine:
-    """Last sequence and hash per ledger; a break is final."""
-    def start(_row):
-        return [0, "", ""]
-
-    def step(state, row):
-        count, head, error = state
-        if not error:
-            if row["sequence"] != count + 1:
-                error = "sequence"
-            elif (row["previous_hash"] or "") != head:
-                error = "previous_hash"
-            elif row["row_error"]:
-                error = row["row_error"]
-        if error:
-            return [count, head, error], (False, count, error)
-        return [count + 1, row["event_hash"], ""], (True, count + 1, "")
+def stream_verify_chain(events: DataFrame) -> DataFrame:
+    """ST01: every rule of W01, event by event; the first break of a ledger is final.
 
-    return Machine(start, step, ("sequence", "previous_hash", "row_error", "event_hash"),
-                   S.flat("ok boolean, verified bigint, error string"))
+    Event rules and exact hashes are checked row by row before the state, which carries the chain
+    and the ids and keys that the ledger has.
+    """
+    checked = validate_events(events).select(
+        "tenant_id", "job_id", "sequence", "event_id", "idempotency_key", "previous_hash",
+        "event_hash", violation_codes().alias("row_error"))
+    out = S.flat("tenant_id string, job_id string, sequence bigint, event_id string, ok boolean, "
+                 "verified bigint, error string")
+    return run_processor(checked, ["tenant_id", "job_id"],
+                         ChainRows(checked.schema, ("sequence", "event_id"), out))
 
 
-def stream_verify_chain(events: DataFrame) -> DataFrame:
-    """ST01: the event rules and exact hashes of W01 are checked row by row before the state.
+def stream_claim_state(events: DataFrame) -> DataFrame:
+    """ST02: the rules of W02 over a stream of claim events, up to each ledger's first illegal one.
 
-    The state carries the chain; repeated ids and keys are left to W01, as a state that knows
-    every id of a ledger would never end.
+    One row per event: the claim's state after it, the codes it breaks, whether it was applied or
+    is a replay of an event id, and where its ledger stopped. Later events are not judged.
     """
-    checked = validate_events(events).withColumn("row_error", violation_codes())
-    return stateful_fold(checked.drop("violations"), ["tenant_id", "job_id"], ["sequence"], _chain_machine(),
-                         ["sequence", "event_id"])
-
-
-def _claim_machine() -> Machine:
-    """State of a claim and what has been seen for it."""
-    allowed = {k: list(v) for k, v in S.CLAIM_TRANSITIONS.items()}
-
-    def start(_row):
-        return ["", [], False]  # state ("" before the proposal), relations seen, counter query
-
-    def step(state, row):
-        current, relations, counter = state
-        kind, problem = row["event_type"], ""
-        if kind == "claim.proposed":
-            problem = "claim_exists" if current else ""
-            current = current or "PROPOSED"
-        elif kind in ("query.executed", "evidence.linked", "claim.transitioned") and not current:
-            problem = "unknown_claim"
-        elif kind == "query.executed":
-            counter = counter or row["intent"] == "counterevidence"
-        elif kind == "evidence.linked":
-            if row["relation"] not in S.RELATIONS:
-                problem = "relation"
-            elif row["relation"] not in relations:
-                relations = [*relations, row["relation"]]
-        elif kind == "claim.transitioned":
-            target = row["to_state"]
-            needs = {"SUPPORTED": "SUPPORTS" in relations, "CHALLENGED": counter,
-                     "SURVIVED": "SUPPORTS" in relations and counter,
-                     "NARROWED": "BOUNDS" in relations,
-                     "REFUTED": bool({"CONTRADICTS", "PRECEDENT_FOR"} & set(relations))}
-            if target not in allowed.get(current, []):
-                problem = "illegal_transition"
-            elif not needs.get(target, True):
-                problem = "missing_evidence"
-            elif target in ("SURVIVED", "NARROWED") and not (row["boundary"] or "").strip():
-                problem = "boundary"
-            else:
-                current = target
-        return [current, relations, counter], (current, problem)
-
-    return Machine(start, step, ("event_type", "intent", "relation", "to_state", "boundary"),
-                   S.flat("state string, problem string"))
-
-
-def stream_claim_state(log: DataFrame) -> DataFrame:
-    """ST02 over a flattened claim log: state of each claim after each of its events."""
-    return stateful_fold(log, ["tenant_id", "job_id", "claim_id"], ["sequence"],
-                         _claim_machine(), ["sequence", "event_id", "event_type"])
+    flat = flatten_claim_events(events)
+    names = ("tenant_id", "job_id", "sequence", "event_id", "event_type", "claim_id", "query_id",
+             "intent", "passage_id", "relation", "to_state")
+    judged = with_violations(flat, row_rules()).select(
+        *names, violation_codes().alias("row_codes"))
+    out = S.flat("tenant_id string, job_id string, sequence bigint, event_id string, "
+                 "event_type string, claim_id string, state string, codes string, applied boolean, "
+                 "replayed boolean, stopped_at bigint")
+    return run_processor(judged, ["tenant_id", "job_id"],
+                         ClaimRows(judged.schema, ("sequence", "event_id"), out))
 
 
 def stream_latency_histogram(requests: DataFrame, ts: str = "ts",
@@ -181,31 +143,50 @@ def stream_latency_histogram(requests: DataFrame, ts: str = "ts",
     return histogram_rows(flat, ("window_start", "method", "route"))
 
 
-def stream_outbox(outbox: DataFrame, ledger_path: str, checkpoint: str, audit_job_id: str):
-    """ST07: append new outbox rows to the ledger table, once each.
+def outbox_events(outbox: DataFrame, audit_job_id: str, held: DataFrame | None = None
+                  ) -> DataFrame:
+    """Outbox rows as chained events; ``problem`` says why a row is not appended.
 
-    Each micro-batch removes the keys the ledger already holds, so a batch that is run again
-    after a failure adds nothing. Appends go to a folder per batch, overwritten on a rerun.
+    ``held`` is a stream of the events that the ledgers had before; they are verified once.
     """
-    from veriledge.operators.ledger import flush_outbox, verify_chain
+    base = shaped_outbox(outbox.where(F.col("dispatched_at").isNull()), audit_job_id)
+    names = [n for n in S.EVENT.fieldNames() if n != "schema_version"]
+    extra = {n: F.lit(None).cast(S.EVENT[n].dataType) for n in names if n not in base.columns}
+    rows = base.withColumns(extra).withColumn("row_error", F.lit(""))
+    if held is not None:
+        rows = rows.unionByName(validate_events(held).withColumn(
+            "row_error", violation_codes()).select(*names, "row_error").withColumn(
+            "created_at", F.lit(None).cast(base.schema["created_at"].dataType)))
+    head, tail = envelope_parts()
+    ready = rows.select(*names, "created_at", "row_error", semantic_fingerprint().alias("meaning"),
+                        head.alias("head"), tail.alias("tail"),
+                        F.coalesce("sequence", F.lit(1 << 62)).alias("turn"))
+    out = StructType([S.EVENT[n] for n in (
+        "event_id", "occurred_at", "tenant_id", "job_id", "aggregate_type", "aggregate_id",
+        "event_type", "payload", "idempotency_key", "sequence", "previous_hash", "event_hash")]
+        + S.flat("problem string").fields)
+    return run_processor(ready, ["tenant_id", "job_id"],
+                         OutboxRows(ready.schema, ("turn", "created_at", "event_id"), out))
+
+
+def stream_outbox(outbox: DataFrame, ledger_path: str, checkpoint: str, audit_job_id: str,
+                  held: DataFrame | None = None):
+    """ST07: append new outbox rows to the ledger table, once each.
 
+    The ledger itself is never read again: receipts, keys and ids are the query's state. A batch
+    that is run again starts from the same state and overwrites its own folder. Rows that the
+    ledger refuses go to a folder ``refused`` beside it.
+    """
     def append(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        try:
-            held = spark.read.schema(S.EVENT).option("recursiveFileLookup", "true").parquet(
-                ledger_path)
-            held = held.where(~F.col("_metadata.file_path").contains(f"/batch={batch_id}/"))
-        except Exception as error:  # the table does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            held = spark.createDataFrame([], S.EVENT)
-        receipts = verify_chain(held)
-        fresh = flush_outbox(batch, held, audit_job_id, receipts)
-        (fresh.where(F.size("violations") == 0).drop("violations")
-         .write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}"))
-
-    return (outbox.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+        rows = batch.withColumn("schema_version", F.lit(1).cast(S.EVENT["schema_version"].dataType))
+        rows = materialise(rows)  # written to two folders
+        rows.where("problem = ''").select(*S.EVENT.fieldNames()).write.mode("overwrite").parquet(
+            f"{ledger_path}/batch={batch_id}")
+        rows.where("problem NOT IN ('', 'replay', 'held')").write.mode("overwrite").parquet(
+            f"{ledger_path.rstrip('/')}-refused/batch={batch_id}")
+
+    return (outbox_events(outbox, audit_job_id, held).writeStream.foreachBatch(append)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def stream_dedup(stream: DataFrame, key: str, ts: str, delay: str = "1 hour") -> DataFrame:
