@@ -267,6 +267,30 @@ def test_topk_equals_brute_force_and_salted_join(spark, monkeypatch):
             sorted(wanted)
 
 
+def test_only_blocks_that_reach_the_threshold_are_scored(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "BLOCK_DOCUMENTS", 4)
+    rng = random.Random(3)
+    words = [f"w{i:03d}" for i in range(400)]
+    texts = [(f"d{i:03d}", " ".join(["common"] + rng.choices(words, k=rng.randint(3, 60))), "2015-01-01")
+             for i in range(400)]
+    asks = [(f"q{i}", "common " + " ".join(texts[i][1].split()[1:9]), "2018-06-01") for i in range(8)]
+    ask_df = spark.createDataFrame(
+        asks, "query_id string, query string, cutoff_date string").withColumn(
+        "cutoff_date", F.to_date("cutoff_date"))
+    docs = corpus(spark, texts)
+    weighted = retrieve.weighted_query_terms(ask_df, docs)
+    all_pairs = retrieve.lexical_term_join(weighted, docs).withColumn("score", F.round("score", 6))
+    scored = retrieve.lexical_candidates(ask_df, docs, 3)
+    assert scored.count() * 3 < all_pairs.count() == 8 * 400
+    top = sorted(tuple(r) for r in retrieve.lexical_topk(ask_df, docs, 3).select(
+        "query_id", "rank", "snapshot_id", "score").collect())
+    ranked = {}
+    for r in all_pairs.collect():
+        ranked.setdefault(r["query_id"], []).append((-r["score"], r["snapshot_id"]))
+    assert top == sorted((q, i + 1, d, -s) for q, found in ranked.items()
+                         for i, (s, d) in enumerate(sorted(found)[:3]))
+
+
 def test_lexical_plan_joins_terms_by_equality(spark, capsys):
     docs = corpus(spark, [("a", "x y", "2019-01-01")])
     ask = spark.createDataFrame([("q", "garnet")], "query_id string, query string").withColumn(
