@@ -26,18 +26,21 @@ class LanguageModel:
 
 
 def _counts(texts):
-    """(buckets, weights) per text, weights adding up to 1."""
-    found = [[] for _ in texts]
-    for points, owner in blocks(texts):
-        for n in SIZES:
-            bucket, own = grams(points, owner, n, BUCKETS)
-            cut = np.searchsorted(own, np.arange(len(texts) + 1))
-            for i in np.unique(own):
-                found[i].append(bucket[cut[i]:cut[i + 1]])
+    """(buckets, weights) per text, weights adding up to 1; six bytes a bucket."""
     out = []
-    for parts in found:
-        ids, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, int), return_counts=True)
-        out.append((ids, (n / max(1, n.sum())).astype(np.float32)))
+    for begin in range(0, len(texts), 64):
+        part = texts[begin:begin + 64]
+        found = [[] for _ in part]
+        for points, owner in blocks(part):
+            for n in SIZES:
+                bucket, own = grams(points, owner, n, BUCKETS)
+                cut = np.searchsorted(own, np.arange(len(part) + 1))
+                for i in np.unique(own):
+                    found[i].append(bucket[cut[i]:cut[i + 1]].astype(np.uint16))
+        for parts in found:
+            ids, n = np.unique(np.concatenate(parts) if parts else np.zeros(0, np.uint16),
+                               return_counts=True)
+            out.append((ids, (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -126,9 +129,13 @@ def held_out(key: Column, parts: int, part: int) -> Column:
     return F.pmod(F.crc32(text.cast("binary")), F.lit(parts)) == part
 
 
-def training_rows(docs: DataFrame, per_language: int = 500):
-    """A sample of about ``per_language`` labelled learning rows of each language, by row hash."""
+def training_rows(docs: DataFrame, per_language: int = 500, longest: int = 200_000):
+    """A sample of about ``per_language`` labelled learning rows of each language, by row hash.
+
+    Texts of more than ``longest`` characters are not learnt from, which bounds the sample's bytes.
+    """
     learn = docs.where("lang is not null and text is not null").where(
+        F.length(F.col("text").cast("string")) <= longest).where(
         ~held_out(F.col("doc_id"), 3, 1)).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
         unit_hash(4, F.col("doc_id").cast("string"), F.length("text")).alias("u"))
