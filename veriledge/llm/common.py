@@ -80,6 +80,25 @@ def slices(batches, rows: int = 512):
             yield batch.slice(start, rows)
 
 
+def giving_back(rows):
+    """The rows of a Python task; freed memory then goes back to the system.
+
+    Workers outlive their tasks, and what a library keeps for later use would add up over stages.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):
+            pass  # another C library
+
+
 def unit_hash(seed: int, *columns: Column) -> Column:
     """A number in [0, 1) that depends on the values and the seed only."""
     return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import slices
+from veriledge.llm.common import giving_back, slices
 
 WORDS = re.compile(r"[^\W_]+")
 # Most places sampled per repetition, and the smallest share of edited words that is an error.
@@ -29,7 +29,7 @@ SAMPLES, SHARE = 3, 0.15
 # Items whose lengths differ by less than this factor share their walks and their windows.
 SPREAD = 1.35
 # Benchmark bytes that are sent to the executors at once, and characters coded at once.
-SENT, TEXT = 4 << 20, 1 << 21
+SENT, TEXT = 4 << 20, 1 << 19
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -356,7 +356,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE,
 
     out = docs.sparkSession.createDataFrame([], schema)
     for number, sent in enumerate(blocks(benchmark, share, repetitions)):
-        found = rows.mapInArrow(finder(sent), schema)
+        found = rows.mapInArrow(lambda b, find=finder(sent): giving_back(find(b)), schema)
         out = out.unionByName(found) if number else found
     return out
 
@@ -378,5 +378,5 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame, share: float = SHAR
         return clean
 
     for sent in blocks(benchmark, share, repetitions):
-        docs = docs.mapInArrow(cleaner(sent), docs.schema)
+        docs = docs.mapInArrow(lambda b, clean=cleaner(sent): giving_back(clean(b)), docs.schema)
     return docs

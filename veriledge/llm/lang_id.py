@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import slices, unit_hash
+from veriledge.llm.common import giving_back, slices, unit_hash
 from veriledge.llm.subwords import add_by_owner, blocks, grams
 
 BUCKETS, SIZES = 1 << 16, (2, 3, 4)
@@ -183,7 +183,7 @@ def identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
             texts = [None if t is None else str(t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(~predict(texts, sent.value)[2]))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(lambda batches: giving_back(keep(batches)), docs.schema)
 
 
 def language_ids(docs: DataFrame, per_language: int = 500) -> DataFrame:
@@ -206,6 +206,7 @@ def language_ids(docs: DataFrame, per_language: int = 500) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
+    found = rows.mapInArrow(lambda batches: giving_back(score(batches)),
+                             "doc_id long, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"),
                         "lang_pred", "score", "rejected")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import components, sent_if_small, slices, stored
+from veriledge.llm.common import components, giving_back, sent_if_small, slices, stored
 
 # Blocks of a bucket hold about this many n-grams, or this many sketches.
 BLOCK, SKETCH_BLOCK = 4_000_000, 4_000
@@ -370,7 +370,7 @@ def shingle_table(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(shingle, schema)
+    return rows.mapInArrow(lambda batches: giving_back(shingle(batches)), schema)
 
 
 def _classes(table: DataFrame) -> DataFrame:
@@ -447,7 +447,8 @@ def _plausible_members(needed: DataFrame, placed: DataFrame, num: int, den: int)
                                            for c in range(3)], names=["g", "k", "n"])
 
     kept = (cells.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "n", "k")
-            .mapInArrow(compare, "g long, k long, n long").distinct())
+            .mapInArrow(lambda batches: giving_back(compare(batches)),
+                        "g long, k long, n long").distinct())
     return stored(kept, "join-plausible")
 
 
@@ -537,7 +538,7 @@ def _bucket_links(members: DataFrame, ids: DataFrame, docs: DataFrame, n: int, n
             [pa.array([p[s] for p in pairs], pa.int64()) for s in (0, 1)], names=["a", "b"])
 
     return (cells.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j", "k")
-            .mapInArrow(join, "a long, b long"))
+            .mapInArrow(lambda batches: giving_back(join(batches)), "a long, b long"))
 
 
 def ngram_join(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100) -> DataFrame:
