@@ -87,3 +87,27 @@ def test_plan_is_native_and_empty_tables_work(documents):
     got = sorted((r["n_email"], r["n_ip"]) for r in pii.find_pii(docs).collect())
     assert got == [(0, 1), (1, 0), (1, 0)]
     assert pii.find_pii(documents([])).collect() == []
+
+
+def test_a_cell_without_confirmed_candidates_is_never_selected():
+    def cell(generator, cue, joined=0):
+        return tuple({"generator": generator, "cue": cue, "joined": joined, "octets": 1}.get(f, 0)
+                     for f in pii.FEATURES)
+
+    counts = [(cell(0, 0), 1000, 1000), (cell(0, 1), 50, 0), (cell(1, 0), 100, 60)]
+    chosen = pii.boost(counts)
+    assert cell(0, 1) in chosen.refused or chosen.limits[0] > max(
+        chosen.bias + sum(pii._value(t, cell(0, 1)) for t in chosen.trees), -30)
+    assert chosen.limits[0] < float("inf") and chosen.limits[1] == float("inf")
+    # Precise where it was fitted, not on the held-back fold; and a cell that only the fold has.
+    held = [(cell(0, 0), 100, 50), (cell(2, 1), 10, 10)]
+    chosen = pii.boost(counts, held)
+    assert chosen.limits[0] == float("inf") and cell(2, 1) in chosen.refused
+
+
+def test_many_matches_of_one_text_keep_their_places(documents):
+    text = "x 10.0.0.1 é " * 700
+    row = pii.find_pii(documents([(1, text, None, None)])).first()
+    spans = brute(text)
+    assert row["n_ip"] == 700
+    assert row["base_sha256"] == hashlib.sha256(rendered(spans).encode()).hexdigest()

@@ -4,12 +4,15 @@ Everything runs as DataFrame expressions. Generators propose overlapping spans w
 their format and context become a few discrete features. Candidates are counted per feature cell
 and label over the whole corpus, where the label says whether a fixed rule confirms the span. The
 trees are boosted on those counts, which are as many as there are cells whatever the corpus size,
-and are written back as an expression. Features that a rule itself looks for (the plus sign, the
-at sign) are left out, so spans that look like confirmed ones score like them.
+and are written back as an expression. The sign that decides in a rule (@, plus, plain separators) is
+no feature: a confirmed span stands for the same span in a looser spelling. Digit sums, lengths and
+number ranges hold in any spelling and stay. A quarter of the documents is held back from the fit;
+their counts say which cells are precise enough to be selected.
 """
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,8 @@ CUES = r"(?i)(?:tel|phone|fon|call|fax|mobil|mail|contact|card|visa|iban|account
 FEATURES = ("generator", "digits", "groups", "brackets", "luhn", "octets", "cue", "joined")
 CONTEXT = 24
 TREES, RATE, PRECISION = 20, 0.5, 0.95
+# Matches of one text that are placed together; documents of one in so many are held back.
+RUN, FOLDS = 256, 4
 
 
 def _parts(text: Column, pattern: str, signs: tuple) -> tuple[Column, Column]:
@@ -68,7 +73,16 @@ def _spans(found: Column, gaps: Column) -> Column:
             F.right(x["g"], F.lit(CONTEXT)).alias("before"),
             F.left(x["h"], F.lit(1)).alias("after")))).alias("out"))
 
-    return F.aggregate(pairs, empty, lambda s, x: add(s, x).cast(kind), lambda s: s["out"])
+    def add_run(state, run):
+        """A run of matches on its own, then its spans: arrays grow by runs, not by matches."""
+        start = F.struct(state["at"].alias("at"), F.array().alias("out")).cast(kind)
+        done = F.aggregate(run, start, lambda s, x: add(s, x).cast(kind))
+        return F.struct(done["at"].alias("at"), F.concat(state["out"], done["out"]).alias("out"))
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / RUN).cast("int")),
+                       lambda b: F.slice(pairs, b * RUN + 1, F.lit(RUN)))
+    runs = F.when(F.size(pairs) > 0, runs).otherwise(F.slice(runs, 1, 0))
+    return F.aggregate(runs, empty, lambda s, run: add_run(s, run).cast(kind), lambda s: s["out"])
 
 
 def _digits(text: Column) -> Column:
@@ -196,11 +210,23 @@ def _value(tree, x):
     return tree
 
 
-def boost(counts, depth: int = 3):
-    """(bias, trees, threshold per generator) of logistic boosting on (features, n, positives).
+@dataclass
+class Selection:
+    """Boosted trees, the least score that is selected per generator, and cells that never are."""
+
+    bias: float
+    trees: list
+    limits: dict
+    refused: list
+
 
-    A generator's threshold is the lowest score from which confirmed candidates make up the
-    wanted precision; without such a score nothing of it is added.
+def boost(counts, held=None, depth: int = 3) -> Selection:
+    """Logistic boosting on (features, n, positives), calibrated on the held-back counts ``held``.
+
+    A confirmed span is one whose decisive sign (@, +, plain separators) is no feature: it stands
+    for the same span without that sign. A cell is therefore judged by itself, by the share of
+    confirmed ones among all its held-back candidates: only cells that reach the wanted precision
+    are selected, and a generator's limit is the least score of such a cell.
     """
     total, good = sum(n for _, n, _ in counts), sum(p for _, _, p in counts)
     share = (good + 1) / (total + 2)
@@ -214,16 +240,15 @@ def boost(counts, depth: int = 3):
         tree = _grow(cells, range(len(cells)), depth)
         trees.append(tree)
         score = [max(-30.0, min(30.0, z + _value(tree, c[0]))) for z, c in zip(score, counts)]
-    limits = {}
-    for g in range(len(GENERATORS)):
-        own = sorted(((z, n, p) for z, (x, n, p) in zip(score, counts) if x[0] == g), reverse=True)
-        n_all = p_all = 0
-        limits[g] = math.inf
-        for i, (z, n, p) in enumerate(own):
-            n_all, p_all = n_all + n, p_all + p
-            if (i + 1 == len(own) or own[i + 1][0] < z) and p_all >= PRECISION * n_all:
-                limits[g] = z - 1e-6
-    return bias, trees, limits
+    score = dict(zip((x for x, _, _ in counts), score))
+    shown = {x: (n, p) for x, n, p in (counts if held is None else held) if n}
+    good = {x for x, (n, p) in shown.items() if x in score and p > 0 and p >= PRECISION * n}
+    limits = {g: min((score[x] for x in good if x[0] == g), default=math.inf) - 1e-6
+              for g in range(len(GENERATORS))}
+    refused = sorted(x for x, z in score.items() if z >= limits[x[0]] and x not in good)
+    # Cells that only the held-back fold has are judged there, too.
+    refused += sorted(x for x in shown if x not in score)
+    return Selection(bias, trees, limits, refused)
 
 
 def _expression(tree, c: Column) -> Column:
@@ -238,26 +263,36 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. Offsets are code points,
     ends exclusive. Confirmed spans are those of the fixed rules; a candidate above its threshold
-    is added where it overlaps none of them. Null and empty texts have no span. Repeated rows get
+    is added where it overlaps none of them and its cell is precise by itself. Null and empty texts have no span. Repeated rows get
     the same result each; an empty table gives no rows; further columns are ignored.
     """
     found = stored(proposals(docs), "pii-spans")
-    cells = (found.select(F.explode("candidates").alias("c"))
+    back = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(FOLDS)) == 0
+    cells = (found.select(back.alias("back"), F.explode("candidates").alias("c"))
              .groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES])
-             .agg(F.count("*").alias("n"), F.sum(F.col("c.label").cast("long")).alias("p")))
+             .agg(F.count_if(~F.col("back")).alias("n"), F.count_if("back").alias("held_n"),
+                  F.count_if(~F.col("back") & F.col("c.label")).alias("p"),
+                  F.count_if(F.col("back") & F.col("c.label")).alias("held_p")))
     # As many rows as feature cells: a fixed number, at most a few thousand.
-    counts = sorted((tuple(r[f] for f in FEATURES), r["n"], r["p"]) for r in cells.collect())
+    counts = sorted((tuple(r[f] for f in FEATURES), r["n"], r["p"], r["held_n"], r["held_p"])
+                    for r in cells.collect())
     extra = F.array().cast("array<struct<start:bigint,no:int,end:bigint>>")
     if counts:
-        bias, trees, limits = boost(counts)
+        chosen_by = boost([(x, n, p) for x, n, p, _, _ in counts if n],
+                          [(x, n, p) for x, _, _, n, p in counts])
+
+        def cell(c):
+            return F.concat_ws(",", *[c[f].cast("string") for f in FEATURES])
+
+        refused = F.array(*[F.lit(",".join(map(str, x))) for x in chosen_by.refused]).cast("array<string>")
 
         def chosen(c):
-            score = F.lit(bias)
-            for tree in trees:
+            score = F.lit(chosen_by.bias)
+            for tree in chosen_by.trees:
                 score = score + _expression(tree, c)
-            limit = F.element_at(F.array(*[F.lit(float(limits[g])) for g in range(len(GENERATORS))]),
-                                 c["generator"] + 1)
-            return ~c["label"] & (score >= limit)
+            limit = F.element_at(F.array(*[F.lit(float(chosen_by.limits[g]))
+                                           for g in range(len(GENERATORS))]), c["generator"] + 1)
+            return ~c["label"] & (score >= limit) & ~F.array_contains(refused, cell(c))
 
         number = F.array(*[F.lit(k) for k in KINDS])
         extra = F.transform(F.filter("candidates", chosen), lambda c: F.struct(
