@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veriledge.llm.common import shared_folder, stored
+from veriledge.llm.common import sent_if_small, shared_folder, stored
+from veriledge.session import cloned
 
 # State on disk, without space set aside ahead of its use by each of many partitions.
 STATE = {
@@ -40,7 +41,9 @@ def stream_state(spark: SparkSession, path: str, state: str, digest=_sha256,
     again after new files arrived goes on from the retained state.
     """
     table = spark.read.parquet(path)
-    reader, folder = spark.readStream.schema(table.schema), path.rstrip("/")
+    # The settings hold in a session of their own; other queries of ``spark`` are not touched.
+    session = cloned(spark, **STATE)
+    reader, folder = session.readStream.schema(table.schema), path.rstrip("/")
     parent, _, name = folder.rpartition("/")
     files = table.inputFiles()
     if len(files) == 1 and files[0].endswith(f"/{name}"):
@@ -51,16 +54,9 @@ def stream_state(spark: SparkSession, path: str, state: str, digest=_sha256,
     keyed = (_located(reader.parquet(folder), digest).groupBy("digest")
              .agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"),
                   F.count("*").alias("group_size")))
-    before = {name: spark.conf.get(name, None) for name in STATE}
-    for name, value in STATE.items():
-        spark.conf.set(name, value)
-    try:
-        query = (keyed.writeStream.outputMode("update").format("noop")
-                 .option("checkpointLocation", state).trigger(availableNow=True).start())
-        query.awaitTermination()
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    query = (keyed.writeStream.outputMode("update").format("noop")
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
+    query.awaitTermination()
     held = spark.read.format("statestore").load(state)
     kept, counted = held.schema["value"].dataType.fieldNames()
     return held.select(F.col("key.digest").alias("digest"), F.col(f"value.{kept}").alias("keep"),
@@ -79,9 +75,11 @@ def stream_dedup(spark: SparkSession, path: str, state: str | None = None, diges
     state = state or shared_folder(spark, "dedup-state")
     groups = stored(stream_state(spark, path, state, digest, max_bytes_per_trigger), "dedup-groups")
     rows = _located(spark.read.parquet(path), digest)
-    # Full bytes: equal digests must have one text. Copies collapse before the shuffle, so a text
-    # that a third of all rows share is sent once per task.
-    texts = rows.groupBy("digest", "text").agg(F.lit(1).alias("one"))
+    # Full bytes are checked on hits: a digest of one row meets no other. Of digests with more rows
+    # the texts must be one; copies collapse before the shuffle, so a text that a third of all rows
+    # share is sent once per task.
+    hits = sent_if_small(groups.where("group_size > 1").select("digest"), 96)
+    texts = rows.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(F.lit(1).alias("one"))
     shared = stored(texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
                     .select("digest"), "dedup-collisions")
     place = F.struct("doc_id", "file", "row")
