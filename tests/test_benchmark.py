@@ -181,20 +181,60 @@ def test_exact_test_has_eight_permutations(spark):
     assert "counterevidence_false_positive_rate" not in rows_
 
 
-def test_array_and_join_resampling_agree(spark, monkeypatch):
-    rng = random.Random(2)
-    clusters = spark.createDataFrame(
-        [("ref", "new", "m", 0, True, f"g{i:02d}", rng.uniform(-1, 1), 1) for i in range(30)],
+def cluster_rows(spark, d, names=None):
+    return spark.createDataFrame(
+        [("ref", "new", "m", 0, True, f"g{i:06d}", float(v), 1) for i, v in enumerate(d)],
         "reference string, treatment string, metric string, metric_index int, "
         "higher_is_better boolean, leakage_group string, difference double, observations long")
-    first = (stats.cluster_bootstrap_ci(clusters, 100).first(),
-             stats.sign_flip_monte_carlo(clusters, 100).first())
-    monkeypatch.setattr(stats, "ARRAY_CLUSTERS", 5)
-    second = (stats.cluster_bootstrap_ci(clusters, 100).first(),
-              stats.sign_flip_monte_carlo(clusters, 100).first())
-    assert first[0]["ci_low"] == pytest.approx(second[0]["ci_low"])
-    assert first[0]["ci_high"] == pytest.approx(second[0]["ci_high"])
-    assert first[1]["p_value_raw"] == pytest.approx(second[1]["p_value_raw"])
+
+
+def test_small_tests_draw_as_stated(spark):
+    """One block: draw j of iteration i is a hash of (seed, metric, i, j) modulo the clusters."""
+    rng = random.Random(2)
+    d = [rng.uniform(-1, 1) for _ in range(30)]
+
+    def draw(seed, i, j):
+        return int(hashlib.md5(f"{seed}|m|{i}|{j}".encode()).hexdigest()[:8], 16)
+
+    means = sorted(sum(d[draw(20260812, i, j) % 30] for j in range(30)) / 30 for i in range(100))
+    place = 0.025 * 99
+    low = means[int(place)] + (place % 1) * (means[int(place) + 1] - means[int(place)])
+    clusters = cluster_rows(spark, d)
+    assert stats.cluster_bootstrap_ci(clusters, 100).first()["ci_low"] == pytest.approx(low)
+    flips = [sum(v * (draw(20260812, i, j) % 2 * 2 - 1) for j, v in enumerate(d)) / 30 for i in range(100)]
+    hits = sum(abs(f) >= abs(sum(d) / 30) - 1e-15 for f in flips)
+    assert stats.sign_flip_monte_carlo(clusters, 100).first()["p_value_raw"] == pytest.approx((hits + 1) / 101)
+
+
+def test_blocks_split_a_test_of_200_000_clusters(spark):
+    import numpy as np
+
+    d = np.random.default_rng(1).normal(0.01, 1, 200_000)
+    ids = spark.range(200_000)
+    data = spark.createDataFrame([("m", [float(v) for v in d])], "metric string, d array<double>")
+    clusters = data.select(F.lit("ref").alias("reference"), F.lit("new").alias("treatment"), "metric",
+                           F.lit(0).alias("metric_index"), F.posexplode("d").alias("at", "difference")).select(
+        "reference", "treatment", "metric", "metric_index",
+        F.concat(F.lit("g"), F.col("at").cast("string")).alias("leakage_group"), "difference")
+    blocks = stats._blocks(clusters)
+    assert blocks.count() == 49 and ids.count() == blocks.agg(F.sum(F.size("d"))).first()[0]
+    counts = stats._split_counts(blocks, 100, 1, 1009)
+    assert {r[1] for r in counts.groupBy("iter").agg(F.sum("c")).collect()} == {200_000}
+    row = stats.cluster_bootstrap_ci(clusters, 100).first()
+    error = d.std() / len(d) ** 0.5
+    assert row["ci_low"] == pytest.approx(d.mean() - 1.96 * error, abs=error)
+    assert row["ci_high"] == pytest.approx(d.mean() + 1.96 * error, abs=error)
+    p = stats.sign_flip_monte_carlo(clusters, 100).first()["p_value_raw"]
+    assert p == pytest.approx(1 / 101)
+
+
+def test_forty_clusters_are_counted_exactly(spark):
+    """With equal differences the extreme vectors are counted by binomials."""
+    clusters = cluster_rows(spark, [1.0] * 37 + [-1.0] * 3)
+    row = stats.sign_flip_exact(clusters, at_most=40).first()
+    assert row["permutations"] == 2 ** 40
+    assert row["p_value_raw"] == 2 * sum(math.comb(40, k) for k in range(37, 41)) / 2 ** 40
+    assert stats.sign_flip_exact(clusters).collect() == []
 
 
 def test_exact_sign_flip_equals_enumeration(spark):
@@ -317,6 +357,18 @@ def test_front_equals_brute_force(spark, monkeypatch, slice_rows):
     assert {r["hypothesis_id"] for r in pareto.pareto_front(df.repartition(3)).collect()} == wanted
 
 
+def test_front_that_is_the_whole_table(spark, monkeypatch):
+    """All vectors have the same sum, copies included, and one stronger point beats a corner."""
+    monkeypatch.setattr(pareto, "SLICE_ROWS", 50)
+    rows_ = [(f"h{i}", 0, [i / 400, 1 - i / 400, 0.5]) for i in range(401)]
+    rows_ += [(f"c{i}", 0, [0.25, 0.75, 0.5]) for i in range(60)]
+    rows_ += [("top", 0, [0.9, 0.2, 0.5])]
+    df = spark.createDataFrame(rows_, "hypothesis_id string, iteration long, objectives array<double>")
+    found = {r["hypothesis_id"] for r in pareto.pareto_front(df.repartition(7)).collect()}
+    beaten = {f"h{i}" for i in range(401) if i / 400 <= 0.9 and 1 - i / 400 <= 0.2}
+    assert beaten and found == {r[0] for r in rows_} - beaten
+
+
 def test_drift_report(spark):
     def snap(i, text):
         return (1, f"s{i}", text, sha(text), "https://x", "10.1/x", "p1", "2020-01-01",

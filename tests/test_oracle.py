@@ -32,5 +32,5 @@ def test_query_matches_sql(spark, duck, folder, name):
     assert status in ("ok", "rows-only"), note
 
 
-def test_every_query_but_one_has_sql():
-    assert set(QUERIES) - set(ORACLES) == {"J15_file_manifest"}
+def test_every_query_but_two_has_sql():
+    assert set(QUERIES) - set(ORACLES) == {"J15_file_manifest", "F08_normalize_passage_all"}

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -206,12 +207,32 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda text: unicodedata.normalize("NFKC", text), na_action="ignore")
 
 
+@cache
+def nfkc_risky() -> str:
+    """A pattern for texts that NFKC may change: any code point that it replaces, that combines
+    with the one before it, or that has an order among marks."""
+    second = {chr(int(unicodedata.decomposition(chr(i)).split()[1], 16)) for i in range(0x110000)
+              if len(unicodedata.decomposition(chr(i)).split()) == 2
+              and unicodedata.decomposition(chr(i))[0] != "<"}
+    # Vowels and final consonants of Hangul compose by rule.
+    second |= {chr(i) for i in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    risky = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and (
+        chr(i) in second or unicodedata.combining(chr(i))
+        or unicodedata.normalize("NFKC", chr(i)) != chr(i))]
+    runs, start = [], None
+    for i, point in enumerate(risky):
+        start = point if start is None else start
+        if i + 1 == len(risky) or risky[i + 1] != point + 1:
+            runs.append(rf"\x{{{start:X}}}-\x{{{point:X}}}")
+            start = None
+    return "[" + "".join(runs) + "]"
+
+
 def normalize_passage(value: str | Column) -> Column:
-    """NFKC, then collapsed spaces. Pure ASCII text is already in normal form."""
+    """NFKC, then collapsed spaces. Only texts that NFKC may change leave the JVM."""
     text = _c(value)
-    ascii_only = text.rlike(r"^[\x00-\x7F]*$")
-    return collapse_spaces(F.when(ascii_only, text)
-                           .otherwise(_nfkc(F.when(~ascii_only, text))))
+    risky = text.rlike(nfkc_risky())
+    return collapse_spaces(F.when(risky, _nfkc(F.when(risky, text))).otherwise(text))
 
 
 def strategy_key(kind: str | Column = "kind", pattern: str | Column = "pattern") -> Column:

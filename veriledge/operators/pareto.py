@@ -12,8 +12,7 @@ from veriledge import schemas as S
 from veriledge.functions import scalars as fn
 from veriledge.session import materialise
 
-# Front candidates compared at a time; a slice is the only part of the data a task or the driver
-# ever holds whole.
+# Distinct vectors of a block; a task holds two blocks.
 SLICE_ROWS = 20_000
 _DIGITS = 9
 
@@ -90,60 +89,71 @@ def _local_front(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(alive))
 
 
-def _without_dominated(strong: np.ndarray):
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                mask = _undominated(_vectors(batch), strong)
-                yield batch.take(pa.array(np.flatnonzero(mask)))
+def _blocks_by_strength(vectors: DataFrame) -> DataFrame:
+    """Distinct vectors in blocks of some SLICE_ROWS, strongest first."""
+    rows = vectors.count()
+    strength = F.aggregate("__v", F.lit(0.0), lambda acc, x: acc + x)
+    placed = vectors.repartitionByRange(
+        max(1, -(-rows // SLICE_ROWS)), F.desc(strength), F.xxhash64("__v"))
+    return materialise(placed.withColumn("__b", F.spark_partition_id()))
+
+
+def _pairs(blocks: DataFrame) -> DataFrame:
+    """(target, source) of the blocks of which the source may dominate vectors of the target.
+
+    A source is not weaker than its target, and none of its largest objectives is smaller than the
+    target's smallest one.
+    """
+    size = blocks.agg(F.max(F.size("__v"))).first()[0] or 0
+    corners = blocks.groupBy("__b").agg(
+        F.array(*[F.max(F.get("__v", F.lit(k))) for k in range(size)]).alias("top"),
+        F.array(*[F.min(F.get("__v", F.lit(k))) for k in range(size)]).alias("low"))
+    corners = materialise(corners)  # one row per block
+    return corners.alias("t").join(corners.alias("s"), F.expr(
+        "s.__b <= t.__b AND forall(arrays_zip(s.top, t.low), x -> x.top >= x.low)")).select(
+        F.col("t.__b").alias("__t"), F.col("s.__b").alias("__s"))
 
-    return run
 
+def _beaten(targets: pa.Table, sources: pa.Table) -> pa.Table:
+    """Vectors of a target block that some vector of the source block dominates."""
+    def matrix(column):
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(
+            len(column), -1)
 
-def _chunks(vectors: DataFrame) -> Iterator[np.ndarray]:
-    """Vectors in arrays of at most SLICE_ROWS, fetched partition by partition."""
-    held: list = []
-    for row in vectors.toLocalIterator():
-        held.append(row["__v"])
-        if len(held) == SLICE_ROWS:
-            yield np.array(held, dtype=float)
-            held = []
-    if held:
-        yield np.array(held, dtype=float)
+    rows = pa.table({"__v": targets.column("t__v")})
+    if not targets.num_rows or not sources.num_rows:
+        return rows.slice(0, 0)
+    mask = _undominated(matrix(targets.column("t__v")), matrix(sources.column("s__v")))
+    return rows.filter(pa.array(~mask))
 
 
 def pareto_front(results: DataFrame) -> DataFrame:
     """Hypotheses whose latest pick no other pick dominates; equal vectors all stay.
 
-    Objectives are compared after rounding to 1e-9, which makes dominance transitive. That is
-    what allows filtering in steps: (1) each batch drops what it dominates itself; (2) the
-    survivors, strongest first, are sent out in slices of bounded size, and every slice removes
-    what it dominates. A row removed early is never needed, because whatever it dominates is
-    dominated by its remover too. No pair of rows is ever produced.
+    Objectives are compared after rounding to 1e-9, which makes dominance transitive: each batch
+    first drops what it dominates itself. The distinct vectors that are left lie in blocks by
+    falling strength; a block meets those stronger blocks that its corners do not rule out, one
+    pair of blocks per task, and only beaten vectors come out. No row passes the driver and no
+    pair of rows is ever produced, also where the front is the whole table.
     """
     picks = pareto_revision_pick(results).withColumn(
         "__v", F.transform("objectives", lambda x: F.round(x, _DIGITS) + F.lit(0.0)))
-    schema = picks.schema
-    strength = F.aggregate("__v", F.lit(0.0), lambda acc, x: acc + x)
-    remaining = materialise(picks.mapInArrow(_local_front, schema))
-    ranked = remaining.withColumn("__s", strength)
-    # Slices by falling strength: a row can only be dominated by a strictly stronger one.
-    bound = None
-    while True:
-        todo = ranked if bound is None else ranked.where(F.col("__s") < bound)
-        top = todo.select("__s").orderBy(F.desc("__s")).limit(SLICE_ROWS).agg(
-            F.min("__s").alias("lo"), F.count(F.lit(1)).alias("n")).first()
-        if not top["n"]:
-            break
-        low = top["lo"]
-        in_slice = todo.where(F.col("__s") >= low).select("__v").distinct()
-        for strong in _chunks(in_slice):
-            remaining = materialise(remaining.mapInArrow(_without_dominated(strong), schema))
-        if top["n"] < SLICE_ROWS:
-            break
-        ranked = remaining.withColumn("__s", strength)
-        bound = low
-    return remaining.drop("__v")
+    remaining = materialise(picks.mapInArrow(_local_front, picks.schema))
+    blocks = _blocks_by_strength(remaining.select("__v").distinct())
+    if blocks.isEmpty():
+        return remaining.drop("__v")
+    pairs = materialise(_pairs(blocks))
+
+    def side(block: str, name: str) -> DataFrame:
+        """Rows of every pair under names of their own."""
+        return blocks.join(pairs, F.col("__b") == F.col(block)).select(
+            *[F.col(c).alias(f"{name}{c}") for c in ("__t", "__s", "__v")])
+
+    targets = side("__t", "t").groupBy("t__t", "t__s")
+    sources = side("__s", "s").groupBy("s__t", "s__s")
+    beaten = targets.cogroup(sources).applyInArrow(
+        _beaten, blocks.select("__v").schema).distinct()
+    return remaining.join(beaten, "__v", "left_anti").drop("__v")
 
 
 def rank_expansions(proposals: DataFrame) -> DataFrame:

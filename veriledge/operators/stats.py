@@ -1,25 +1,26 @@
 """Cluster-aware paired statistics for many (reference, treatment) pairs at once.
 
 Resampling uses counter-based draws: the index of draw ``j`` in iteration ``i`` is a hash of
-(seed, metric, i, j). A draw does not depend on partitioning or on other draws, so iterations
-spread over the cluster and a rerun gives the same interval.
+(seed, metric, i, j). Clusters are kept in blocks; a multinomial split says how many draws of an
+iteration a block serves, and the block adds one partial sum. Draws depend neither on partitioning
+nor on each other, so a rerun gives the same interval, and there is one plan for all sizes.
 """
 from __future__ import annotations
 
-
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriledge.functions.contracts import Rule, with_violations
 from veriledge.functions.hooks import MetricSpec, default_metrics
-from veriledge.session import broadcast_if_bounded, is_bounded, materialise
+from veriledge.session import BROADCAST_ROW_LIMIT, broadcast_if_bounded, materialise
 
 PAIR = ["reference", "treatment"]
 TEST = [*PAIR, "metric"]
 EXACT_CLUSTERS = 20
-# Clusters per test up to which the differences travel as one array with each iteration.
-ARRAY_CLUSTERS = 100_000
+# Clusters that a block of a test holds on average.
+BLOCK_CLUSTERS = 4096
 
 
 def paired_methods(scored: DataFrame, reference: str) -> DataFrame:
@@ -97,13 +98,6 @@ def _draw(seed: Column, metric: Column, iteration: Column, position: Column) ->
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def _indexed(clusters: DataFrame) -> DataFrame:
-    """Clusters of each test numbered from 0 by name."""
-    order = Window.partitionBy(*TEST).orderBy("leakage_group")
-    return clusters.select(*TEST, "metric_index", "difference",
-                           (F.row_number().over(order) - 1).cast("bigint").alias("idx"))
-
-
 def _arrays(clusters: DataFrame) -> DataFrame:
     """One row per test with its differences in cluster order; for bounded cluster counts."""
     return clusters.groupBy(*TEST, "metric_index").agg(
@@ -111,33 +105,65 @@ def _arrays(clusters: DataFrame) -> DataFrame:
                     lambda x: x["difference"]).alias("d"))
 
 
-def _iterations(tests: DataFrame, iterations: int) -> DataFrame:
-    """(test, iteration) rows, spread over the cluster."""
-    return (tests.withColumn("iter", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-            .repartition(*[F.col(c) for c in TEST], F.col("iter")))
+def _blocks(clusters: DataFrame) -> DataFrame:
+    """Clusters of each test in blocks of some 4,096: test, n, block and its differences ``d``."""
+    sizes = clusters.groupBy(*TEST).agg(F.count(F.lit(1)).alias("n"))
+    many = F.ceil(F.col("n") / BLOCK_CLUSTERS)
+    placed = clusters.join(broadcast_if_bounded(sizes), TEST).withColumn(
+        "block", F.pmod(F.xxhash64("leakage_group"), many).cast("bigint"))
+    return materialise(placed.groupBy(*TEST, "metric_index", "n", "block").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("leakage_group", "difference"))),
+                    lambda x: x["difference"]).alias("d")))
 
 
-def _resampled(clusters: DataFrame, iterations: int, seed: Column, value_of) -> DataFrame:
-    """Mean of ``n`` drawn values per test and iteration.
+def _split_counts(blocks: DataFrame, iterations: int, seed: int, factor: int) -> DataFrame:
+    """How many of a test's ``n`` draws fall into each block, per iteration: test, iter, block, c.
 
-    With a bounded number of clusters the differences of a test are one broadcast array and a
-    draw is an array access. Beyond that, draws are joined to the numbered clusters.
+    A multinomial count is a chain of conditional binomials; each iteration has its own generator,
+    so a rerun splits alike. Blocks without a draw have no row.
+    """
+    tests = blocks.groupBy(*TEST, "metric_index", "n").agg(
+        F.array_sort(F.collect_list(F.struct("block", F.size("d").alias("m")))).alias("parts"))
+
+    def split(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = np.array([p["m"] for p in row["parts"]], np.float64)
+                numbers = np.array([p["block"] for p in row["parts"]], np.int64)
+                share = sizes / sizes.sum()
+                for start in range(0, iterations, 1000):
+                    rounds = range(start, min(iterations, start + 1000))
+                    counts = np.array([
+                        np.random.default_rng([seed + row["metric_index"] * factor, i])
+                        .multinomial(row["n"], share) for i in rounds]) if len(sizes) > 1 else \
+                        np.full((len(rounds), 1), row["n"])
+                    at, which = np.nonzero(counts)
+                    size = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[pa.array([row[c]] * size, pa.string()) for c in TEST],
+                         pa.array(at + start, pa.int64()), pa.array(numbers[which], pa.int64()),
+                         pa.array(counts[at, which], pa.int64())],
+                        names=[*TEST, "iter", "block", "c"])
+
+    schema = ", ".join([*[f"{c} string" for c in TEST], "iter long", "block long", "c long"])
+    return tests.mapInArrow(split, schema)
+
+
+def _resampled(blocks: DataFrame, rounds: DataFrame, value_of) -> DataFrame:
+    """Mean of the drawn values per test and iteration, from partial sums per block.
+
+    ``rounds`` has test, iter, block and the number ``c`` of values that the block gives;
+    ``value_of(position)`` is one of them. Positions of block 0 are those of an undivided test.
     """
-    if is_bounded(clusters, ARRAY_CLUSTERS):
-        arrays = _arrays(clusters)
-        rounds = _iterations(arrays.select(*TEST, "metric_index"), iterations)
-        joined = rounds.join(F.broadcast(arrays.drop("metric_index")), TEST)
-        size = F.size("d")
-        total = F.aggregate(
-            F.sequence(F.lit(0), size - 1), F.lit(0.0),
-            lambda acc, j: acc + value_of(F.col("d"), size.cast("bigint"), seed,
-                                          F.col("metric"), F.col("iter"), j))
-        return joined.select(*TEST, "metric_index", "iter", (total / size).alias("sample"))
-    numbered = _indexed(clusters)
-    counts = numbered.groupBy(*TEST, "metric_index").agg(F.count(F.lit(1)).alias("n"))
-    draws = (_iterations(counts, iterations)
-             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n") - 1))))
-    return draws, numbered
+    spread = rounds.repartition(*[F.col(c) for c in TEST], F.col("iter"))
+    values = blocks.agg(F.sum(F.size("d"))).first()[0] or 0
+    data = F.broadcast(blocks) if values <= BROADCAST_ROW_LIMIT else blocks
+    joined = spread.join(data, [*TEST, "block"])
+    part = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), F.col("c") - 1), F.lit(0.0),
+        lambda acc, j: acc + value_of(F.col("block") * (1 << 32) + j))
+    return (joined.select(*TEST, "metric_index", "iter", "n", part.alias("part"))
+            .groupBy(*TEST, "metric_index", "iter").agg((F.sum("part") / F.first("n")).alias("sample")))
 
 
 def cluster_bootstrap_ci(clusters: DataFrame, iterations: int = 10_000, seed: int = 20260812
@@ -145,49 +171,66 @@ def cluster_bootstrap_ci(clusters: DataFrame, iterations: int = 10_000, seed: in
     """95% percentile interval from resampled clusters; the seed differs per metric."""
     if iterations < 100:
         raise ValueError("at least 100 bootstrap iterations are required")
+    blocks = _blocks(clusters)
     seed_column = F.lit(seed) + F.col("metric_index") * 1009
 
-    def drawn(d, n, seed_value, metric, i, j):
-        return F.get(d, F.pmod(_draw(seed_value, metric, i, j), n).cast("int"))
+    def drawn(position):
+        draw = _draw(seed_column, F.col("metric"), F.col("iter"), position)
+        return F.get(F.col("d"), F.pmod(draw, F.size("d").cast("bigint")).cast("int"))
 
-    found = _resampled(clusters, iterations, seed_column, drawn)
-    if isinstance(found, tuple):
-        draws, numbered = found
-        picked = draws.withColumn("idx", F.pmod(
-            _draw(seed_column, F.col("metric"), F.col("iter"), F.col("j")), F.col("n")))
-        found = (picked.join(numbered.select(*TEST, "idx", "difference"), [*TEST, "idx"])
-                 .groupBy(*TEST, "iter").agg(F.avg("difference").alias("sample")))
+    found = _resampled(blocks, _split_counts(blocks, iterations, seed, 1009), drawn)
     return found.groupBy(*TEST).agg(quantile("sample", 0.025).alias("ci_low"),
                                     quantile("sample", 0.975).alias("ci_high"))
 
 
-def sign_flip_exact(clusters: DataFrame) -> DataFrame:
-    """All sign vectors of tests with at most 20 clusters.
+def half_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of all sign vectors of a few values, sorted."""
+    sums = np.zeros(1)
+    for value in values:
+        sums = np.concatenate([sums - value, sums + value])
+    return np.sort(sums)
+
+
+def count_extreme(d: np.ndarray) -> int:
+    """How many sign vectors have a mean at least as far from 0 as the plain one.
 
-    One row per block of up to 1024 vectors; the block's high bits give a partial sum once and
-    the low bits are walked inside the row.
+    Meet in the middle: the vectors of each half give a sorted list of sums, and for every sum of
+    one half the partners in the other that reach the limit on either side are two searches.
     """
+    limit = abs(d.sum()) - 1e-12 * max(1.0, np.abs(d).sum())
+    if limit <= 0:
+        return 2 ** len(d)
+    low, high = half_sums(d[:len(d) // 2]), half_sums(d[len(d) // 2:])
+    above = len(high) - np.searchsorted(high, limit - low, side="left")
+    below = np.searchsorted(high, -limit - low, side="right")
+    return int(above.sum() + below.sum())
+
+
+def sign_flip_exact(clusters: DataFrame, at_most: int = EXACT_CLUSTERS) -> DataFrame:
+    """All sign vectors of tests with at most ``at_most`` clusters (40 can be asked for).
+
+    A test is one row with its few differences; counting takes 2 ** (k / 2) steps and memory.
+    """
+    if at_most > 40:
+        raise ValueError("exact tests have at most 40 clusters")
     # Tests are counted before anything is gathered, so only short ones become arrays.
     small = (clusters.groupBy(*TEST).agg(F.count(F.lit(1)).alias("__k"))
-             .where(F.col("__k") <= EXACT_CLUSTERS).select(*TEST))
-    arrays = _arrays(clusters.join(small, TEST, "left_semi")).withColumn("k", F.size("d"))
-    total = F.aggregate("d", F.lit(0.0), lambda acc, x: acc + x)
-    masks = arrays.withColumn("observed", F.abs(total / F.col("k"))).withColumn(
-        "high", F.explode(F.expr("sequence(0L, shiftleft(1L, greatest(k - 10, 0)) - 1)")))
-    low_bits = "least(k, 10)"
-    spread = masks.repartition(*[F.col(c) for c in TEST], F.col("high"))
-    base = spread.withColumn("__base", F.expr(
-        f"aggregate(sequence(0, k - 1), 0D, (acc, b) -> acc + CASE WHEN b < {low_bits} THEN 0D "
-        f"WHEN (shiftright(high, b - {low_bits}) & 1L) = 1 THEN get(d, b) ELSE -get(d, b) END)"))
-    hits = base.withColumn("__hits", F.expr(
-        f"aggregate(sequence(0L, shiftleft(1L, {low_bits}) - 1), 0L, (n, m) -> n + "
-        f"IF(abs(aggregate(sequence(0, {low_bits} - 1), __base, (acc, b) -> acc + "
-        "IF((shiftright(m, b) & 1L) = 1, get(d, b), -get(d, b))) / k) >= observed - 1e-15, "
-        "1L, 0L))"))
-    return hits.groupBy(*TEST).agg(
-        (F.sum("__hits") / F.sum(F.expr(f"shiftleft(1L, {low_bits})"))).alias("p_value_raw"),
-        F.lit("exact_cluster_sign_flip").alias("test"),
-        F.sum(F.expr(f"shiftleft(1L, {low_bits})")).alias("permutations"))
+             .where(F.col("__k") <= at_most).select(*TEST))
+    arrays = _arrays(clusters.join(small, TEST, "left_semi")).select(*TEST, "d")
+
+    def count(batches):
+        for batch in batches:
+            values = [np.array(d, np.float64) for d in batch.column(len(TEST)).to_pylist()]
+            total = [2 ** len(d) for d in values]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(TEST)],
+                 pa.array([count_extreme(d) / t for d, t in zip(values, total)], pa.float64()),
+                 pa.array(total, pa.int64())], names=[*TEST, "p_value_raw", "permutations"])
+
+    schema = ", ".join([*[f"{c} string" for c in TEST], "p_value_raw double", "permutations long"])
+    return (arrays.repartition(*TEST).mapInArrow(count, schema)
+            .select(*TEST, "p_value_raw", F.lit("exact_cluster_sign_flip").alias("test"),
+                    "permutations"))
 
 
 def sign_flip_monte_carlo(clusters: DataFrame, iterations: int = 10_000, seed: int = 20260812,
@@ -196,20 +239,19 @@ def sign_flip_monte_carlo(clusters: DataFrame, iterations: int = 10_000, seed: i
     size = clusters.groupBy(*TEST).agg(F.count(F.lit(1)).alias("k"),
                                        F.abs(F.avg("difference")).alias("observed"))
     large = size.where(F.col("k") > above)
-    wanted = clusters.join(large.select(*TEST), TEST, "left_semi")
+    blocks = _blocks(clusters.join(large.select(*TEST), TEST, "left_semi"))
     seed_column = F.lit(seed) + F.col("metric_index") * 2027
+    # Every cluster is taken once an iteration, with a drawn sign.
+    rounds = blocks.select(*TEST, "block", F.size("d").cast("bigint").alias("c"),
+                           F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1)
+                                                .cast("bigint"))).alias("iter"))
+
+    def signed(position):
+        draw = _draw(seed_column, F.col("metric"), F.col("iter"), position)
+        place = F.pmod(position, F.lit(1 << 32)).cast("int")
+        return F.get(F.col("d"), place) * (F.pmod(draw, F.lit(2)) * 2 - 1)
 
-    def signed(d, n, seed_value, metric, i, j):
-        return F.get(d, j) * (F.pmod(_draw(seed_value, metric, i, j), F.lit(2)) * 2 - 1)
-
-    found = _resampled(wanted, iterations, seed_column, signed)
-    if isinstance(found, tuple):
-        draws, numbered = found
-        signs = draws.withColumn("idx", F.col("j")).withColumn("sign", F.pmod(
-            _draw(seed_column, F.col("metric"), F.col("iter"), F.col("j")), F.lit(2)) * 2 - 1)
-        found = (signs.join(numbered.select(*TEST, "idx", "difference"), [*TEST, "idx"])
-                 .groupBy(*TEST, "iter")
-                 .agg(F.avg(F.col("sign") * F.col("difference")).alias("sample")))
+    found = _resampled(blocks, rounds, signed)
     extreme = F.count_if(F.abs("sample") >= F.col("observed") - 1e-15)
     return (found.join(large, TEST).groupBy(*TEST).agg(
         ((extreme + 1) / F.lit(iterations + 1)).alias("p_value_raw"),

@@ -14,7 +14,7 @@ from veriledge.sources import registry as catalogue
 NOW = 946_684_800.0  # 2000-01-01, inside the order dates
 
 
-@query("A05_operational_snapshot", "jobs", "charges", "checkpoints", sql=f"""
+SNAPSHOT_SQL = f"""
     WITH r AS (SELECT *, status IN ('QUEUED', 'RETRY_WAIT') OR (status = 'RUNNING' AND
         lease_expires_at <= {NOW}) AS runnable FROM jobs)
     SELECT 'jobs_by_status' AS field, s AS key, CAST((SELECT count(*) FROM jobs WHERE status = s)
@@ -32,7 +32,10 @@ NOW = 946_684_800.0  # 2000-01-01, inside the order dates
     UNION ALL SELECT 'used_tokens', '', sum(used_tokens) FROM jobs
     UNION ALL SELECT 'used_cost_microunits', '', sum(used_cost_microunits) FROM jobs
     UNION ALL SELECT 'checkpoint_records', '', count(*) FROM checkpoints
-    UNION ALL SELECT 'usage_records', '', count(*) FROM charges""")
+    UNION ALL SELECT 'usage_records', '', count(*) FROM charges"""
+
+
+@query("A05_operational_snapshot", "jobs", "charges", "checkpoints", sql=SNAPSHOT_SQL)
 def snapshot(t):
     return jobs.operational_snapshot(t.jobs, t.checkpoints, t.charges, NOW)
 
@@ -313,7 +316,7 @@ def _(t):
         "reconciliation_id", "next_status", violation_codes().alias("codes"))
 
 
-@query("A06_latency_histogram", "requests", sql=f"""
+HISTOGRAM_SQL = f"""
     SELECT 'bucket' AS series, method, route, le, CAST(count(*) FILTER (WHERE duration_seconds
         <= CAST(le AS DOUBLE)) AS DOUBLE) AS value FROM requests CROSS JOIN (SELECT unnest(
         {[repr(e) for e in S.LATENCY_BUCKETS]}) AS le) GROUP BY 1, 2, 3, 4
@@ -322,7 +325,10 @@ def _(t):
     UNION ALL SELECT 'count', method, route, '', CAST(count(*) AS DOUBLE) FROM requests
     GROUP BY 2, 3
     UNION ALL SELECT 'sum', method, route, '', round(sum(CAST(duration_seconds AS DOUBLE)), 4)
-    FROM requests GROUP BY 2, 3""")
+    FROM requests GROUP BY 2, 3"""
+
+
+@query("A06_latency_histogram", "requests", sql=HISTOGRAM_SQL)
 def _(t):
     return service.latency_histogram(t.requests).withColumn("value", F.round("value", 4))
 
@@ -463,24 +469,29 @@ def _(t):
 
 
 @query("J14_stale_plan", "tenant_jobs", "artifacts", "doc_receipts", sql=f"""
-    WITH {_TARGETS}
+    WITH {_TARGETS}, {_BLOBS}
     SELECT 'job' AS kind, job_id AS id, concat_ws(',',
         CASE WHEN CAST(substr(job_id, 2) AS INT) % 4 = 0 THEN 'job_changed' END,
-        CASE WHEN CAST(substr(job_id, 2) AS INT) % 14 = 10 THEN 'changed_bindings' END,
-        CASE WHEN CAST(substr(job_id, 2) AS INT) % 14 = 10 THEN 'changed_bindings_sha256' END)
+        CASE WHEN CAST(substr(job_id, 2) AS INT) % 14 = 0 THEN 'changed_bindings' END,
+        CASE WHEN CAST(substr(job_id, 2) AS INT) % 14 = 0 THEN 'changed_bindings_sha256' END)
         AS codes
     FROM tg WHERE CAST(substr(job_id, 2) AS INT) % 4 = 0
-        OR CAST(substr(job_id, 2) AS INT) % 14 = 10""")
+        OR CAST(substr(job_id, 2) AS INT) % 14 = 0
+    UNION ALL SELECT DISTINCT 'blob', b.content_sha256, 'blob_referenced' FROM bl b
+    JOIN artifacts a ON a.tenant_id = b.tenant_id AND a.content_sha256 = b.content_sha256
+    WHERE b.tenant_id = '{TENANT}' AND CAST(substr(a.job_id, 2) AS INT) % 4 = 0""")
 def _(t):
+    """Jobs that changed, jobs with new bindings, and planned blobs that a new job refers to."""
     n = F.expr("cast(substr(job_id, 2) as int)")
     later = t.tenant_jobs.withColumn("status", F.when(n % 4 == 0, "RUNNING").otherwise(
         F.col("status")))
-    more = t.artifacts.unionByName(t.artifacts.where(n % 14 == 10).withColumn(
-        "logical_key", F.concat("logical_key", F.lit("-new"))))
-    stale = jobs.stale_plan(_plan(t), t.artifacts.select(
-        "tenant_id", "content_sha256", "size_bytes").limit(0), later, more, t.doc_receipts,
-        TENANT, CUTOFF)
-    return stale.where("kind = 'job'")
+    new_keys = t.artifacts.where(n % 14 == 0).withColumn(
+        "logical_key", F.concat("logical_key", F.lit("-new")))
+    new_job = t.artifacts.where(n % 4 == 0).withColumn("job_id", F.lit("later"))
+    plan = _plan(t)
+    blobs = jobs.exclusive_blobs(plan.select("tenant_id", "job_id"), t.artifacts)
+    return jobs.stale_plan(plan, blobs, later, t.artifacts.unionByName(new_keys).unionByName(new_job),
+                           t.doc_receipts, TENANT, CUTOFF)
 
 
 @query("C07_apply_retention", "tenant_jobs", "artifacts", sql=f"""

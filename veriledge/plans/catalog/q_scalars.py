@@ -114,6 +114,13 @@ def _(t):
         "doc_id", fn.sha256(fn.normalize_passage(padded)).alias("norm_sha256"))
 
 
+@query("F08_normalize_passage_all")
+def _(t):
+    """Every document, whatever its script; SQL has no NFKC."""
+    padded = F.concat(F.lit("  "), "text", F.lit(" \u2460\ufb01 x"))
+    return t.documents.select("doc_id", fn.sha256(fn.normalize_passage(padded)).alias("norm_sha256"))
+
+
 _CLASS = f"""CASE WHEN o.status = 'unavailable' THEN 'UNAVAILABLE'
     WHEN sha256(o.content) = s.content_sha256 THEN
         CASE WHEN o.source_locator = s.source_locator THEN 'EXACT' ELSE 'LOCATOR_DRIFT' END

@@ -8,7 +8,7 @@ from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import violation_codes
 from veriledge.operators import ledger, service
 from veriledge.plans.catalog.q_benchmark import fold_sql
-from veriledge.plans.catalog.q_jobs import snapshot
+from veriledge.plans.catalog.q_jobs import HISTOGRAM_SQL, SNAPSHOT_SQL, snapshot
 from veriledge.plans.catalog.q_ledger import _CHAIN, chained
 from veriledge.plans.catalog.registry import query
 from veriledge.sources import artifacts, jsonl, ledgers, logs, registry
@@ -177,21 +177,29 @@ def _(t):
         "event_id", "request_id_sha256", "duration_ms", violation_codes().alias("codes"))
 
 
-@query("S15_metrics_exposition", "requests", "jobs", sql="""
-    SELECT 'control_http_requests_total{method="' || method || '",route="' || route ||
-        '",status="' || status || '"} ' || count(*) AS line FROM requests
+@query("S15_metrics_exposition", "requests", "jobs", "charges", "checkpoints", sql=f"""
+    SELECT 'control_http_requests_total{{method="' || method || '",route="' || route ||
+        '",status="' || status || '"}} ' || count(*) AS line FROM requests
         GROUP BY method, route, status
-    UNION ALL SELECT 'control_http_request_duration_seconds_count{method="' || method ||
-        '",route="' || route || '"} ' || count(*) FROM requests GROUP BY method, route
-    UNION ALL SELECT 'control_jobs_total ' || count(*) FROM jobs
-    UNION ALL SELECT 'control_jobs{status="' || status || '"} ' || count(*) FROM jobs
-        GROUP BY status""")
+    UNION ALL SELECT 'control_http_request_duration_seconds_' || series || '{{method="' || method
+        || '",route="' || route || CASE WHEN series = 'bucket' THEN '",le="' || le ELSE '' END
+        || '"}} ' || CASE WHEN series = 'sum' THEN printf('%.4f', value)
+                         ELSE CAST(CAST(value AS BIGINT) AS VARCHAR) END
+        FROM ({HISTOGRAM_SQL})
+    UNION ALL SELECT CASE field WHEN 'jobs_by_status' THEN 'control_jobs{{status="' || key || '"}} '
+        WHEN 'jobs_by_stage' THEN 'control_jobs_by_stage{{stage="' || key || '"}} '
+        ELSE 'control_' || field || ' ' END || CASE WHEN field = 'oldest_runnable_age_seconds'
+        THEN printf('%.4f', value) ELSE CAST(CAST(value AS BIGINT) AS VARCHAR) END
+        FROM ({SNAPSHOT_SQL})""")
 def _(t):
+    """All lines; sums and ages are compared to four decimals, as they are added in any order."""
     lines = logs.metrics_exposition(service.request_counts(t.requests),
                                     service.latency_histogram(t.requests), snapshot(t))
-    shown = F.col("line").rlike(r"requests_total\{|_seconds_count\{|control_jobs_total ") | (
-        F.col("line").startswith("control_jobs{") & ~F.col("line").endswith(" 0"))
-    return lines.where(shown).select("line")
+    inexact = F.col("line").contains("_sum{") | F.col("line").contains("_age_seconds ")
+    value = F.regexp_extract("line", r" (\S+)$", 1).try_cast("double")
+    return lines.select(F.when(inexact, F.concat(
+        F.regexp_replace("line", r"\S+$", ""), F.format_string("%.4f", value)))
+        .otherwise(F.col("line")).alias("line"))
 
 
 def _registry(t):

@@ -185,7 +185,8 @@ def evaluate_predictions(challenges: DataFrame, predictions: DataFrame, events:
         "tenant_id", F.split_part("ledger_relpath", F.lit("/"), F.lit(1))).withColumn(
         "job_id", F.split_part("ledger_relpath", F.lit("/"), F.lit(2)))
     wanted = events.join(located.select(*LEDGER).distinct(), LEDGER, "left_semi")
-    bound = prediction_ledger_binding(located, verify_chain(wanted), wanted)
+    # Checked, counted and scored below: the binding is computed once.
+    bound = materialise(prediction_ledger_binding(located, verify_chain(wanted), wanted))
     predictions = strict(bound).drop(*LEDGER)
     gaps = score.coverage_join(predictions, challenges).where(
         F.col("coverage") != "covered").limit(1).collect()

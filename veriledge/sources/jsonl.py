@@ -1,7 +1,7 @@
 """JSON-lines tables: scans that keep, reject or fail on bad lines, and sinks."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -11,9 +11,27 @@ from veriledge.operators.score import dataset_digest
 from veriledge.operators.tables import variant_type
 
 
-def scan_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Non-blank lines with their file and a position that follows the order in the file."""
+# The bytes of one UTF-8 character, in hexadecimal.
+_UTF8 = ("[0-7][0-9A-F]|(?:C[2-9A-F]|D[0-9A-F])[89AB][0-9A-F]|E0[AB][0-9A-F][89AB][0-9A-F]"
+         "|(?:E[1-9A-CEF][89AB]|ED[89])[0-9A-F][89AB][0-9A-F]"
+         "|(?:F0[9AB]|F[1-3][89AB]|F48)[0-9A-F](?:[89AB][0-9A-F]){2}")
+
+
+def drop_undecodable(value: str | Column) -> Column:
+    """A text as its bytes are read, without bytes that are no UTF-8."""
+    text = F.col(value) if isinstance(value, str) else value
+    kept = F.regexp_replace(F.hex(text.cast("binary")), rf"\G(?:({_UTF8})|[0-9A-F]{{2}})", "$1")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.unhex(kept).cast("string"))
+
+
+def scan_lines(spark: SparkSession, path: str | list[str], lenient: bool = False) -> DataFrame:
+    """Non-blank lines with their file and a position that follows the order in the file.
+
+    ``lenient`` drops undecodable bytes; otherwise they become replacement characters.
+    """
     raw = spark.read.text(path)
+    if lenient:
+        raw = raw.withColumn("value", drop_undecodable("value"))
     return raw.select(
         F.col("_metadata.file_path").alias("file"),
         F.struct(F.col("_metadata.file_path").alias("file"),
@@ -57,8 +75,8 @@ def read_jsonl_nonempty(spark: SparkSession, path, label: str, strict: bool = Tr
 
 
 def read_jsonl_lenient(spark: SparkSession, path) -> tuple[DataFrame, DataFrame]:
-    """Invalid lines go to the side output; any JSON value is a row."""
-    rows = parse_rows(scan_lines(spark, path))
+    """Invalid lines go to the side output; any JSON value is a row, bad bytes are dropped."""
+    rows = parse_rows(scan_lines(spark, path, lenient=True))
     bad = F.col("problem") == "invalid_json"
     return (rows.where(~F.coalesce(bad, F.lit(False))).drop("problem"),
             rows.where(bad).drop("v"))
@@ -107,5 +125,8 @@ def write_canonical_jsonl(df: DataFrame, path: str, mode: str = "errorifexists")
 
 
 def write_json_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A small report table as JSON with sorted fields."""
-    report.select(*sorted(report.columns)).coalesce(1).write.mode(mode).json(path)
+    """A small report table as one JSON file with sorted fields.
+
+    Only the finished rows go to one task; what computes them stays as parallel as it is.
+    """
+    report.select(*sorted(report.columns)).repartition(1).write.mode(mode).json(path)

@@ -115,4 +115,5 @@ def metrics_exposition(counts: DataFrame, histogram: DataFrame, snapshot: DataFr
 
 
 def write_metrics(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    lines.orderBy("family", "order").select("line").coalesce(1).write.mode(mode).text(path)
+    one = lines.repartition(1).sortWithinPartitions("family", "order")
+    one.select("line").write.mode(mode).text(path)
