@@ -14,7 +14,7 @@ from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import (
     Rule, any_of, duplicated, is_blank, is_missing, missing_fields, with_violations,
 )
-
+from veriledge.session import broadcast_if_bounded
 
 
 def _no_text() -> Column:
@@ -449,7 +449,7 @@ def build_decision_requests(tasks: DataFrame, passages: DataFrame, methods: Data
                 p["content_sha256"].alias("content_sha256"), p["text"].alias("text"))))
 
     task_object = F.to_variant_object(F.struct(*[F.col(n).alias(n) for n in S.TASK_FIELDS]))
-    joined = (tasks.crossJoin(F.broadcast(methods))  # methods: a handful of treatments
+    joined = (tasks.crossJoin(broadcast_if_bounded(methods))  # methods: a handful of treatments
               .join(counted, "challenge_id", "left").join(packed, "challenge_id", "left"))
     counter_part = F.when(F.col("external_counter_retrieval"),
                           part("counterevidence")).otherwise(F.array().cast("array<variant>"))

@@ -100,7 +100,7 @@ def rule_decisions(tasks: DataFrame, methods: DataFrame, passages: DataFrame) ->
         F.max(F.when(F.col("intent") == "support", F.col("passage_id"))).alias("support"),
         F.max(F.when(F.col("intent") == "counterevidence", F.col("passage_id")))
         .alias("counter"))
-    jobs = tasks.crossJoin(F.broadcast(methods)).join(top, "challenge_id", "left")
+    jobs = tasks.crossJoin(broadcast_if_bounded(methods)).join(top, "challenge_id", "left")
     prompt = F.lower("prompt")
     narrow = prompt.contains(NARROW_MARKER) | ~F.col("external_counter_retrieval")
     bounded = prompt.contains(BOUND_MARKERS[0])
