@@ -129,3 +129,71 @@ def test_toxicity_without_labels_or_rows(spark, documents):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.toxicity(documents([(1, "a", None, None)]), none).first()["predicted"] == 0
     assert toxicity.toxicity(documents([]), none).collect() == []
+
+
+def plain_grams(text, sizes, buckets):
+    """Hashed n-grams of one text, one after the other; a word's edge may be first or last."""
+    points = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()] + [0]
+    out = []
+    for n in sizes:
+        for i in range(len(points) - n + 1):
+            part = points[i:i + n]
+            if i == len(points) - 1 or not all(part[1:n - 1]) or not (part[0] or part[-1]):
+                continue
+            h = n * 0x9E3779B1 & 0xFFFFFFFF
+            for p in part:
+                h = ((h ^ p) * 0x01000193) & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h % buckets)
+    return out
+
+
+ODD = ["", None, "a", "ab c", "Ünï-cödé 中文 x1y", "one two", "😀 🙂a", "a" * 50, " b", "c "]
+
+
+def test_counts_and_presence_equal_a_plain_count():
+    from collections import Counter
+
+    for i, (ids, weight) in enumerate(lang_id._counts(ODD)):
+        want = Counter(plain_grams(ODD[i], lang_id.SIZES, lang_id.BUCKETS))
+        total = max(1, sum(want.values()))
+        assert ids.tolist() == sorted(want)
+        assert np.allclose(weight, [want[b] / total for b in sorted(want)])
+    who, bucket = toxicity.presence(ODD)
+    want = {(i, b) for i, t in enumerate(ODD) for b in plain_grams(t, toxicity.SIZES, toxicity.BUCKETS)}
+    assert set(zip(who.tolist(), bucket.tolist())) == want and len(who) == len(want)
+
+
+def test_prediction_is_the_mean_of_the_rows_of_the_n_grams():
+    rng = np.random.default_rng(3)
+    table, bias = rng.normal(size=(lang_id.BUCKETS, 3)).astype(np.float32), rng.normal(size=3)
+    names, scores, _ = lang_id.predict(ODD, (["x", "y", "z"], table, bias, 0.7, 0.5))
+    for text, name, score in zip(ODD, names, scores):
+        grams = plain_grams(text, lang_id.SIZES, lang_id.BUCKETS)
+        if not grams:
+            assert (name, score) == ("und", 0.0)
+            continue
+        z = (table[grams].astype(float).mean(axis=0) + bias) / 0.7
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert name == "xyz"[int(p.argmax())] and abs(score - p.max()) < 1e-6
+
+
+def test_log_ratios_equal_the_formula_bucket_by_bucket():
+    import math
+
+    pos, neg = np.array([0, 5, 90, 3, 0]), np.array([0, 80, 1, 3, 40])
+    got = toxicity.log_ratios(pos, neg, 100, 200)
+    for p, n, r in zip(pos.tolist(), neg.tolist(), got.tolist()):
+        ratio = math.log((p + 1) / 102) - math.log((n + 1) / 202)
+        left = max(0.0, abs(ratio) - 3 * math.sqrt(1 / (p + 1) + 1 / (n + 1)))
+        assert abs(r - math.copysign(left, ratio)) < 1e-12
+
+
+def test_toxicity_of_very_long_texts(documents, spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(["kind", "calm", "nice"]) for _ in range(20))
+             + (" vileword" if i % 2 else ""), None, None) for i in range(200)]
+    rows += [(500, "calm " * 300_000 + "vileword " * 300_000, None, None), (501, "nice " * 300_000, None, None)]
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(documents(rows), labels).collect()}
+    assert got[500] > got[501]

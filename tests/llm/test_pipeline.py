@@ -56,3 +56,29 @@ def test_run_and_empty_documents(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
     done = corpus_pipeline.run(spark, sf_dir)
     assert done.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and done.count() > 100
+
+
+def test_odd_rows_and_clashing_columns_pass_all_stages(spark, sf_dir):
+    """Null ids, repeated rows, a very long text, and columns with the names that stages use."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rng = random.Random(9)
+    long = " ".join(f"{rng.choice(['alo', 'bero', 'cima'])}{i % 977}" for i in range(60_000))
+    more = spark.createDataFrame(
+        [(None, "alo bero cimax alox fenz gamy " * 3, "aa", None, 1), (None, None, None, None, None),
+         (400, long, "aa", None, None), (400, long, "aa", None, None), (401, "", None, "s1", 0)], docs.schema)
+    wide = docs.unionByName(more).withColumns({
+        name: F.lit(7) for name in ("k", "row", "n", "g", "copies", "copy", "place", "s", "score", "component_id",
+                                    "item_id", "size", "start")})
+    before = wide
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = corpus_pipeline.stored(stage(spark, before, sf_dir), f"test-{name}")
+        assert after.columns == wide.columns, name
+        assert after.where("k = 7 AND place = 7").count() == after.count() > 100
+        before = after
+        if name == "ngram_jaccard_join":
+            assert after.where("doc_id = 400").count() == 1
+            assert after.where("doc_id IS NULL").count() == 1
+    last = corpus_pipeline.STAGES[-1][1](spark, before, sf_dir)
+    assert last.count() == before.count()
