@@ -17,7 +17,7 @@ def as_stream(t, df, partitions: int = 2, session=None):
     path = t.scratch()
     df.repartition(partitions).write.parquet(path)
     reader = (session or t.spark).readStream.schema(df.schema)
-    return reader.option("maxBytesPerTrigger", "256m").parquet(path)
+    return reader.option("maxBytesPerTrigger", str(256 << 20)).parquet(path)
 
 
 def with_state(t, df):
