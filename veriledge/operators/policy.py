@@ -8,8 +8,11 @@ from veriledge import schemas as S
 from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import Rule, is_blank, with_violations
 from veriledge.operators.ledger import idempotent_dedup
+from veriledge.session import broadcast_if_bounded, cols, materialise
 
 STRATEGY = ["tenant_id", "strategy_id"]
+# Places of a sorted candidate list that are looked through together.
+_PLACES = 4_096
 
 
 def strategy_outcomes(strategies: DataFrame, applications: DataFrame, outcomes: DataFrame
@@ -44,6 +47,31 @@ def unseen_family(strategies: DataFrame, applications: DataFrame, families: Data
     return wanted.join(prior, ["strategy_id", "target_task_family"], "left_anti")
 
 
+def unseen_counts(strategies: DataFrame, applications: DataFrame, families: DataFrame
+                  ) -> DataFrame:
+    """J11 as numbers: (tenant_id, strategy_id, source_task_family, unseen), zeros left out.
+
+    The families of a tenant are counted once; a strategy subtracts its own family and those it
+    was applied to. Strategies never meet the families they are new to, so the work grows with
+    strategies and applications. Repeated rows count as often as in ``unseen_family``.
+    """
+    key = [*STRATEGY, "source_task_family"]
+    asked = families.where(F.col("target_task_family").isNotNull()).groupBy(*ASKED).agg(
+        F.count(F.lit(1)).alias("__asked"))
+    total = asked.groupBy("tenant_id").agg(F.sum("__asked").alias("__total"))
+    own = strategies.where(F.col("source_task_family").isNotNull()).groupBy(*key).agg(
+        F.count(F.lit(1)).alias("__rows"))
+    seen = own.select(*key, F.col("source_task_family").alias("target_task_family")).union(
+        own.select(*key).join(applications.select("strategy_id", "target_task_family"),
+                              "strategy_id").select(*key, "target_task_family")).distinct()
+    gone = seen.join(asked, ASKED).groupBy(*key).agg(F.sum("__asked").alias("__gone"))
+    left = F.col("__rows") * (F.col("__total") - F.coalesce("__gone", F.lit(0)))
+    counted = own.join(gone.select(*[F.col(k).alias(f"__{k}") for k in key], "__gone"), F.expr(
+        " AND ".join(f"{k} <=> __{k}" for k in key)), "left")
+    return (counted.join(broadcast_if_bounded(total), "tenant_id")
+            .select(*key, left.alias("unseen")).where(F.col("unseen") > 0))
+
+
 def strategy_scores(strategies: DataFrame, applications: DataFrame, outcomes: DataFrame
                     ) -> DataFrame:
     """A08. Applications and outcomes are combined per strategy before the strategies join, so
@@ -146,11 +174,59 @@ def recall_uncredited(scores: DataFrame, families: DataFrame, limit: int = 5) ->
 
 def recall_candidate(scores: DataFrame, applications: DataFrame, families: DataFrame
                      ) -> DataFrame:
-    """One candidate per family that was never applied there, least evaluated first."""
-    fresh = unseen_family(scores.where(F.col("status") == "CANDIDATE"), applications,
-                          families.select(*ASKED).distinct())
-    return _best(fresh, ASKED, [F.asc("evaluations"), F.asc("created_at"),
-                                F.asc("strategy_id")], 1)
+    """One candidate per family that was never applied there, least evaluated first.
+
+    The candidates of a tenant have places in one sorted list. A family excludes the places of
+    its own candidates and of those already applied to it; it gets the first place left. The list
+    is looked through in runs of 4,096 places: full runs are passed over by their counts, and only
+    the first run with a gap is sorted. No candidate meets a family that it is new to.
+    """
+    order = [F.asc("evaluations"), F.asc("created_at"), F.asc("strategy_id")]
+    usable = scores.where((F.col("status") == "CANDIDATE")
+                          & F.col("source_task_family").isNotNull())
+    listed = _placed(usable, ["tenant_id"], order)
+    asked = families.select(*ASKED).where(
+        F.col("target_task_family").isNotNull()).distinct()
+    taken = listed.select("tenant_id", F.col("source_task_family").alias("target_task_family"),
+                          "__place").union(
+        applications.select("strategy_id", "target_task_family").join(
+            listed.select(*STRATEGY, "__place"), "strategy_id")
+        .select(*ASKED, "__place")).distinct().join(asked, ASKED, "left_semi")
+    first = _first_gaps(taken, asked)
+    return listed.join(first, ["tenant_id", "__place"]).select(
+        *scores.columns, "target_task_family", F.lit(1).alias("rank"))
+
+
+def _placed(df: DataFrame, keys: list[str], order) -> DataFrame:
+    """Add ``__place``, 0 for the first row of a key. Rows are range partitioned on key and
+    order, so a key with a third of the rows is numbered by a third of the tasks."""
+    parts = materialise(df.repartitionByRange(*cols(keys), *order)
+                        .withColumn("__p", F.spark_partition_id()))
+    rows = parts.groupBy("__p", *keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = rows.select("__p", *keys, F.coalesce(F.sum("__n").over(
+        Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__p", *keys).orderBy(*order)) - 1
+    return parts.withColumn("__in", inside).join(broadcast_if_bounded(before), ["__p", *keys]).select(
+        *df.columns, (F.col("__before") + F.col("__in")).alias("__place"))
+
+
+def _first_gaps(taken: DataFrame, asked: DataFrame) -> DataFrame:
+    """The first place from 0 that is not ``taken``, for every family ``asked`` about."""
+    run = F.floor(F.col("__place") / F.lit(_PLACES)).alias("__run")
+    runs = taken.groupBy(*ASKED, run).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.row_number().over(Window.partitionBy(*ASKED).orderBy("__run")) - 1
+    full = runs.where(F.col("__n") == _PLACES).select(
+        *ASKED, (F.col("__run") == ahead).cast("bigint").alias("__full"))
+    opened = asked.join(full.groupBy(*ASKED).agg(F.sum("__full").alias("__run")), ASKED,
+                        "left").fillna(0, ["__run"])
+    inside = taken.select(*ASKED, run, "__place").join(opened, [*ASKED, "__run"])
+    nth = (F.col("__run") * _PLACES - 1 + F.row_number().over(
+        Window.partitionBy(*ASKED).orderBy("__place")))
+    led = inside.select(*ASKED, (F.col("__place") == nth).cast("bigint").alias("__led")).groupBy(
+        *ASKED).agg(F.sum("__led").alias("__led"))
+    return opened.join(led, ASKED, "left").select(*ASKED, (
+        F.col("__run") * _PLACES + F.coalesce("__led", F.lit(0))).alias("__place"))
 
 
 def select_intervention(steps: DataFrame, scores: DataFrame, applications: DataFrame,

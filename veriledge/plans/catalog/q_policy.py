@@ -66,8 +66,8 @@ _UNSEEN = """fresh AS (SELECT s.*, f.target_task_family FROM {source} s JOIN fam
     WITH {_UNSEEN.format(source='strategies')}
     SELECT strategy_id, count(*) AS unseen FROM fresh GROUP BY strategy_id""")
 def _(t):
-    return policy.unseen_family(t.strategies, t.applications, t.families).groupBy(
-        "strategy_id").agg(F.count(F.lit(1)).alias("unseen"))
+    return policy.unseen_counts(t.strategies, t.applications, t.families).groupBy(
+        "strategy_id").agg(F.sum("unseen").alias("unseen"))
 
 
 @query("A08_strategy_scores", *STORE, sql=f"""WITH {_SCORES}
