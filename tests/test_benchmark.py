@@ -13,6 +13,7 @@ from veriledge.functions.contracts import ContractError, strict, violation_codes
 from veriledge.functions.hooks import MetricSpec
 from veriledge.operators import ledger, pareto, retrieve, rows, score, stats
 from veriledge.plans import composites
+from veriledge.sources.jsonl import write_canonical_jsonl
 
 
 def sha(text):
@@ -427,3 +428,38 @@ def test_evaluate_with_ledgers_end_to_end(spark):
     forged = named.withColumn("calls", F.col("calls") + 1)
     with pytest.raises(ContractError):
         composites.evaluate_predictions(challenges, forged, log, 5, 100)
+
+
+def _snapshot(i, **extra):
+    value = dict(schema_version=1, snapshot_id=f"s{i}", content=f"text {i}",
+                 content_sha256=sha(f"text {i}"), source_url="https://x", doi=f"10.1/{i}",
+                 source_locator="p", publication_date="2020-01-01",
+                 retrieved_at="2024-01-01T00:00:00Z", license_spdx="CC-BY-4.0",
+                 attribution="a", normalization="none")
+    return {**value, **extra}
+
+
+def test_seal_states_digests_and_refuses_drifted_content(spark, tmp_path):
+    snapshots = [_snapshot(1), _snapshot(2)]
+    challenges = frame(spark, GOOD)
+    kept = frame(spark, snapshots, S.SNAPSHOT)
+    seal = {(r["field"], r["key"]): r["value"] for r in composites.sealed_benchmark(
+        challenges, kept, challenge_file="c.jsonl").collect()}
+    written = write_canonical_jsonl(kept, str(tmp_path / "s")).first()
+    assert seal["evidence_snapshot_sha256", ""] == written["digest"] and written["rows"] == 2
+    assert seal["challenge_sha256", ""] == write_canonical_jsonl(
+        challenges, str(tmp_path / "c")).first()["digest"]
+    assert seal["challenges", ""] == seal["referenced_snapshots", ""] == "2"
+    assert seal["challenge_file", ""] == "c.jsonl" and seal["publication_ready", ""] == "true"
+    moved = frame(spark, [_snapshot(1, attribution="b"), _snapshot(2)], S.SNAPSHOT)
+    again = {r["field"]: r["value"] for r in composites.sealed_benchmark(
+        challenges, moved).collect() if r["key"] == ""}
+    assert again["evidence_snapshot_sha256"] != written["digest"]
+    assert again["challenge_sha256"] == seal["challenge_sha256", ""]
+    for wrong in ([_snapshot(1, content="text 1 changed"), _snapshot(2)],  # another content
+                  [_snapshot(1), _snapshot(2, doi="10.9/9")],  # not what the challenge cites
+                  [_snapshot(1)], [*snapshots, _snapshot(3)]):  # missing, unreferenced
+        with pytest.raises(ContractError):
+            composites.sealed_benchmark(challenges, frame(spark, wrong, S.SNAPSHOT))
+    with pytest.raises(ContractError, match="empty"):
+        composites.sealed_benchmark(frame(spark, []), kept)

@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from veriledge import schemas as S
 from veriledge.functions import scalars as fn
 from veriledge.functions.contracts import split_valid, violation_codes
 from veriledge.operators import ledger, rows, score, stats
@@ -71,7 +72,7 @@ def _(t):
         "leakage_group", F.array_join("splits", ",").alias("splits"))
 
 
-@query("P08_validate_snapshots", "snapshots", sql=f"""
+_SNAPSHOT_CODES = f"""
     SELECT snapshot_id, concat_ws(',',
         CASE WHEN attribution = '' THEN 'missing_fields' END,
         CASE WHEN len(string_split(trim(regexp_replace(content, '{SPACE}', ' ', 'g')), ' ')) > 120
@@ -81,7 +82,10 @@ def _(t):
         CASE WHEN doi NOT LIKE '10.%' THEN 'doi' END,
         CASE WHEN license_spdx <> 'CC-BY-4.0' THEN 'licence' END,
         CASE WHEN retrieved_at NOT LIKE '%Z' THEN 'retrieved_at' END) AS codes
-    FROM snapshots""")
+    FROM snapshots"""
+
+
+@query("P08_validate_snapshots", "snapshots", sql=_SNAPSHOT_CODES)
 def _(t):
     return rows.validate_snapshots(t.snapshots).select("snapshot_id",
                                                        violation_codes().alias("codes"))
@@ -436,6 +440,63 @@ def fold_sql(lines: str, source: str) -> str:
     SELECT sha256(string_agg(g || ':' || d, chr(10) ORDER BY g || ':' || d)) FROM l2)"""
 
 
+@query("A04_sealed_benchmark", *GOLD, "snapshots", sql=f"""
+    WITH used AS (SELECT * FROM snapshots WHERE snapshot_id IN (
+        SELECT snapshot_id FROM ({_SNAPSHOT_CODES}) WHERE codes = '')),
+    one AS (SELECT challenge_id FROM gold_evidence GROUP BY challenge_id
+        HAVING bool_and(page_no IS NULL AND locator_offset = 0
+            AND snapshot_id IN (SELECT snapshot_id FROM used))),
+    kept AS (SELECT * FROM gold WHERE challenge_id IN (SELECT challenge_id FROM one)
+        AND challenge_id IN (SELECT challenge_id FROM ({_CHALLENGE_CODES}) WHERE codes = '')),
+    refs AS (SELECT * FROM gold_evidence WHERE challenge_id IN (SELECT challenge_id FROM kept)),
+    sealed AS (SELECT * FROM used WHERE snapshot_id IN (SELECT snapshot_id FROM refs)),
+    cl AS (SELECT CAST(to_json({{'accepted_evidence': [{{'content_sha256': e.content_sha256,
+        'doc_id': e.doc_id, 'doi': e.doi, 'evidence_id': e.evidence_id,
+        'license_spdx': e.license_spdx,
+        'locator': {{'offset': e.locator_offset, 'page_no': e.page_no}},
+        'oracle_scope': e.oracle_scope, 'publication_date': e.publication_date,
+        'relation': e.relation, 'snapshot_id': e.snapshot_id,
+        'source_locator': e.source_locator, 'source_url': e.source_url}}],
+        'benchmark_track': benchmark_track, 'challenge_id': k.challenge_id,
+        'construction_provenance': {{'curator': 'curator', 'source': source, 'status':
+            CASE WHEN k.doc_id % 3 = 0 THEN 'draft' ELSE 'frozen' END}},
+        'counterevidence_exists': counterevidence_exists, 'cutoff_date': cutoff_date,
+        'expected_decision': expected_decision, 'leakage_group': leakage_group,
+        'prompt': prompt, 'schema_version': schema_version, 'split': split,
+        'task_family': task_family}}) AS VARCHAR) AS line
+        FROM kept k JOIN refs e ON e.challenge_id = k.challenge_id),
+    sl AS (SELECT CAST(to_json({{'attribution': attribution, 'content': content,
+        'content_sha256': content_sha256, 'doi': doi, 'license_spdx': license_spdx,
+        'normalization': normalization, 'publication_date': publication_date,
+        'retrieved_at': retrieved_at, 'schema_version': schema_version,
+        'snapshot_id': snapshot_id, 'source_locator': source_locator,
+        'source_url': source_url}}) AS VARCHAR) AS line FROM sealed)
+    SELECT 'counts' AS field, benchmark_track || ':' || split AS key, CAST(count(*) AS VARCHAR)
+        AS value FROM kept GROUP BY 1, 2
+    UNION ALL SELECT 'curation_statuses', CASE WHEN doc_id % 3 = 0 THEN 'draft' ELSE 'frozen'
+        END, CAST(count(*) AS VARCHAR) FROM kept GROUP BY 1, 2
+    UNION ALL SELECT 'challenges', '', CAST(count(*) AS VARCHAR) FROM kept
+    UNION ALL SELECT 'leakage_groups', '', CAST(count(DISTINCT leakage_group) AS VARCHAR)
+        FROM kept
+    UNION ALL SELECT 'publication_ready', '', CAST(bool_and(doc_id % 3 <> 0) AS VARCHAR)
+        FROM kept
+    UNION ALL SELECT 'snapshots', '', CAST(count(*) AS VARCHAR) FROM sealed
+    UNION ALL SELECT 'referenced_snapshots', '', CAST(count(*) AS VARCHAR) FROM sealed
+    UNION ALL SELECT 'schema_version', '', '1'
+    UNION ALL SELECT 'challenge_sha256', '', {fold_sql('line', 'cl')}
+    UNION ALL SELECT 'evidence_snapshot_sha256', '', {fold_sql('line', 'sl')}""")
+def _(t):
+    """The challenges without findings and the snapshots that they refer to, sealed."""
+    clean, _ = split_valid(rows.validate_challenges(t.challenges()))
+    good, _ = split_valid(rows.validate_snapshots(t.snapshots.select(*S.SNAPSHOT.fieldNames())))
+    found = score.snapshot_reference_check(clean, good).select("challenge_id").distinct()
+    sealed = materialise(clean.join(found, "challenge_id", "left_anti").select(
+        *S.CHALLENGE.fieldNames()))
+    refs = sealed.select(F.explode("accepted_evidence.snapshot_id").alias("snapshot_id"))
+    return composites.sealed_benchmark(sealed, materialise(good.join(
+        refs.distinct(), "snapshot_id", "left_semi").select(*good.columns)))
+
+
 @query("C01_blind_bundle", *GOLD, sql=f"""
     WITH kept AS (SELECT * FROM gold WHERE challenge_id IN (
         SELECT challenge_id FROM ({_CHALLENGE_CODES}) WHERE codes = ''))

@@ -200,6 +200,32 @@ def evaluate_predictions(challenges: DataFrame, predictions: DataFrame, events:
     return items, score.score_summary(items)
 
 
+def sealed_benchmark(challenges: DataFrame, snapshots: DataFrame, **facts: str) -> DataFrame:
+    """A04 with everything a seal asserts, as (field, key, value) rows.
+
+    Raises ``ContractError`` for an empty set, for a challenge or snapshot that breaks its
+    contract, and for a reference finding of J03 (a missing, differing or unreferenced
+    snapshot). The digests are those that ``write_canonical_jsonl`` gives for the same tables, so
+    a written file can be held against its manifest. ``facts`` (created_at, file names) are added.
+    """
+    if challenges.isEmpty():
+        raise ContractError("challenge set is empty")
+    strict(rows.validate_challenges(challenges))
+    strict(rows.validate_snapshots(snapshots))
+    found = score.snapshot_reference_check(challenges, snapshots).limit(1).collect()
+    if found:
+        raise ContractError(f"{found[0]['codes']}: {found[0]['snapshot_id']}")
+    out = score.seal_benchmark(challenges, snapshots)
+    for field, table in (("challenge_sha256", challenges),
+                         ("evidence_snapshot_sha256", snapshots)):
+        digest = score.dataset_digest(canonical_lines(table), F.col("value"))
+        out = out.unionByName(digest.select(F.lit(field).alias("field"), F.lit("").alias("key"),
+                                            F.col("digest").alias("value")))
+    stated = [(name, "", text) for name, text in {"schema_version": "1", **facts}.items()]
+    return out.unionByName(challenges.sparkSession.createDataFrame(
+        stated, "field string, key string, value string"))
+
+
 def audit_evidence_drift(snapshots: DataFrame, observations: DataFrame
                          ) -> tuple[DataFrame, DataFrame]:
     """(records, report)."""
