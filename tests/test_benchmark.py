@@ -463,3 +463,36 @@ def test_seal_states_digests_and_refuses_drifted_content(spark, tmp_path):
             composites.sealed_benchmark(challenges, frame(spark, wrong, S.SNAPSHOT))
     with pytest.raises(ContractError, match="empty"):
         composites.sealed_benchmark(frame(spark, []), kept)
+
+
+@pytest.mark.parametrize("block", [2, 1_024])
+def test_coverage_gaps_are_the_pairs_that_are_not_covered(spark, monkeypatch, block):
+    monkeypatch.setattr(score, "_BLOCK", block)
+    rng = random.Random(3)
+    ids = [f"c{i}" for i in range(25)] + ["c1", None]
+    made = [("full", "m", f"c{i}") for i in range(25)]
+    made += [(run, method, rng.choice(ids + ["x", "y"])) for run in ("a", None)
+             for method in ("m", "n") for _ in range(30)]
+    made += [("only-unknown", "m", "x")]
+    counts = {}
+    for row in made:
+        counts[row] = counts.get(row, 0) + 1
+    expected = {(*row, "unknown") for row in counts if row[2] is None or row[2] not in ids}
+    expected |= {(*row, "duplicate") for row, n in counts.items() if n > 1 and row[2] is not None
+                 and row[2] in ids}
+    expected |= {(*key, c, "missing") for key in {row[:2] for row in made} for c in set(ids)
+                 if c is None or (*key, c) not in counts}
+    found = score.coverage_gaps(
+        spark.createDataFrame(made, "run_id string, method_id string, challenge_id string"),
+        spark.createDataFrame([(i,) for i in ids], "challenge_id string")).collect()
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+
+
+def test_coverage_gaps_of_empty_tables(spark):
+    none = spark.createDataFrame([], "run_id string, method_id string, challenge_id string")
+    some = spark.createDataFrame([("a", "m", "c1")], none.schema)
+    asked = spark.createDataFrame([("c1",)], "challenge_id string")
+    assert score.coverage_gaps(none, asked).count() == 0
+    assert score.coverage_gaps(some, asked).count() == 0
+    assert [r["coverage"] for r in score.coverage_gaps(some, asked.limit(0)).collect()] == \
+        ["unknown"]

@@ -30,6 +30,45 @@ def coverage_join(predictions: DataFrame, challenges: DataFrame) -> DataFrame:
         .when(F.col("n") > 1, "duplicate").otherwise("covered").alias("coverage"))
 
 
+# Challenges that are counted together when gaps are looked for; only a block that is short is read.
+_BLOCK = 1_024
+
+
+def coverage_gaps(predictions: DataFrame, challenges: DataFrame) -> DataFrame:
+    """J01 without its covered pairs: (run, method, challenge_id, coverage), where coverage is
+    missing, unknown or duplicate.
+
+    Challenges lie in hashed blocks. A run is first held against the number of all challenges,
+    then against the number of every block; only the challenges of blocks that are short are
+    listed, so a complete run costs one count and the result grows with the gaps. Null run or
+    method ids are a run of their own; a null challenge id is never covered.
+    """
+    ids = challenges.select("challenge_id").distinct()
+    total = ids.count()
+    blocks = max(1, -(-total // _BLOCK))
+    ids = ids.withColumn("__b", F.pmod(F.xxhash64("challenge_id"), F.lit(blocks)))
+    run = F.struct(*RUN).alias("__run")  # a struct equals another also where fields are null
+    counted = predictions.groupBy(*RUN, "challenge_id").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.select(run, "challenge_id", "n").join(ids, "challenge_id", "left")
+    known = F.col("__b").isNotNull()
+    kind = F.when(~known, "unknown").when(F.col("n") > 1, "duplicate")
+    wrong = found.select("__run", "challenge_id", kind.alias("coverage")).where(
+        F.col("coverage").isNotNull())
+    have = found.groupBy("__run", "__b").agg(F.count(F.lit(1)).alias("__have"))
+    short_runs = have.groupBy("__run").agg(F.coalesce(F.sum(F.when(known, F.col("__have"))),
+                                                      F.lit(0)).alias("__all")).where(
+        F.col("__all") < total)
+    sizes = ids.groupBy("__b").agg(F.count(F.lit(1)).alias("__size"))
+    short = (short_runs.select("__run", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("__b"))
+        .join(sizes, "__b").join(have, ["__run", "__b"], "left")
+        .where(F.coalesce("__have", F.lit(0)) < F.col("__size")))
+    missing = (short.select("__run", "__b").join(ids, "__b").select("__run", "challenge_id")
+               .join(found.select("__run", "challenge_id"), ["__run", "challenge_id"],
+                     "left_anti").withColumn("coverage", F.lit("missing")))
+    return wrong.unionByName(missing).select("__run.*", "challenge_id", "coverage")
+
+
 def single_run(predictions: DataFrame) -> DataFrame:
     """Methods and runs in one prediction set; a scored file must have one of each."""
     return predictions.agg(F.countDistinct("method_id").alias("methods"),

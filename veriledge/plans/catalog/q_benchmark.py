@@ -165,7 +165,7 @@ _PARTIAL = """
           WHERE doc_id % 10 = 1)"""
 
 
-@query("J01_coverage_join", "predicted", sql=f"""WITH {_PARTIAL},
+_COVERAGE = f"""WITH {_PARTIAL},
     n AS (SELECT run_id, method_id, challenge_id, count(*) AS n FROM p GROUP BY ALL),
     w AS (SELECT g.challenge_id, m.run_id, m.method_id FROM gold g
           CROSS JOIN (SELECT DISTINCT run_id, method_id FROM p) m)
@@ -174,11 +174,20 @@ _PARTIAL = """
         CASE WHEN w.run_id IS NULL THEN 'unknown' WHEN n.n IS NULL THEN 'missing'
              WHEN n.n > 1 THEN 'duplicate' ELSE 'covered' END AS coverage
     FROM w FULL OUTER JOIN n ON n.run_id = w.run_id AND n.method_id = w.method_id
-        AND n.challenge_id = w.challenge_id""")
+        AND n.challenge_id = w.challenge_id"""
+
+
+@query("J01_coverage_join", "predicted", sql=_COVERAGE)
 def _(t):
     return score.coverage_join(_partial(t), t.gold)
 
 
+@query("J01_coverage_gaps", "predicted", sql=f"""
+    SELECT * FROM ({_COVERAGE}) WHERE coverage <> 'covered'""")
+def _(t):
+    return score.coverage_gaps(_partial(t), t.gold)
+
+
 @query("U02_coverage_diff", "predicted", sql=f"""WITH {_PARTIAL}
     SELECT challenge_id, 'missing' AS side FROM (SELECT challenge_id FROM gold
         EXCEPT SELECT challenge_id FROM p)

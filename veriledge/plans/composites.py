@@ -188,8 +188,7 @@ def evaluate_predictions(challenges: DataFrame, predictions: DataFrame, events:
     # Checked, counted and scored below: the binding is computed once.
     bound = materialise(prediction_ledger_binding(located, verify_chain(wanted), wanted))
     predictions = strict(bound).drop(*LEDGER)
-    gaps = score.coverage_join(predictions, challenges).where(
-        F.col("coverage") != "covered").limit(1).collect()
+    gaps = score.coverage_gaps(predictions, challenges).limit(1).collect()
     if gaps:
         raise ContractError(f"prediction coverage mismatch: {gaps[0]['coverage']} "
                             f"{gaps[0]['challenge_id']}")
