@@ -267,3 +267,31 @@ def _(t):
     files = artifacts.scan_files(t.spark, t.folder, "*.parquet")
     manifest = files.withColumn("kind", F.lit("table"))
     return manifest_verify(manifest, files).select("path", violation_codes().alias("codes"))
+
+
+def _folders(t, marked, texts):
+    """Documents in one file per 64 ids, in folders k=<number>."""
+    path = t.scratch()
+    k = F.floor(F.col("doc_id") / 64)
+    (t.documents.withColumn("k", k).where(marked).select("k", "doc_id", texts.alias("value"))
+     .repartition("k").sortWithinPartitions("k", "doc_id").select("k", "value")
+     .write.partitionBy("k").text(path))
+    return artifacts.scan_files(t.spark, path, "*.txt").withColumn(
+        "path", F.regexp_replace("path", "/[^/]*$", ""))
+
+
+@query("J15_tampered_files", sql="""
+    WITH f AS (SELECT DISTINCT doc_id // 64 AS k FROM documents)
+    SELECT 'k=' || k AS path, CASE WHEN k % 9 = 4 THEN 'unmanifested_file' WHEN k % 11 = 3
+        THEN 'missing_file' WHEN k % 5 = 0 THEN 'size,sha256' WHEN k % 7 = 0 THEN 'sha256'
+        ELSE '' END AS codes FROM f WHERE NOT (k % 9 = 4 AND k % 11 = 3)""")
+def _(t):
+    """A manifest of written files against a copy with longer, changed, missing and new files."""
+    from veriledge.operators.jobs import manifest_verify
+
+    k, text = F.col("k"), F.col("text")
+    manifest = _folders(t, k % 9 != 4, text).withColumn("kind", F.lit("artifact_blob"))
+    altered = F.when(k % 5 == 0, F.concat(text, F.lit("!"))).when(
+        k % 7 == 0, F.reverse(text)).otherwise(text)
+    return manifest_verify(manifest, _folders(t, k % 11 != 3, altered)).select(
+        "path", violation_codes().alias("codes"))

@@ -1,6 +1,11 @@
 """Content-addressed artifacts: load, conflicts, integrity."""
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,18 +15,62 @@ from veriledge.functions.contracts import Rule, is_blank, with_violations
 KEY = ["tenant_id", "job_id", "logical_key"]
 
 
+_SCHEME = "^[a-z0-9]+:(//[^/]*)?"
+# Bytes of a file that are in memory at a time while it is hashed.
+CHUNK = 8 << 20
+
+
+def _opened(path: str):
+    """(file system, path in it) of a qualified path, or None where Arrow knows no such scheme."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    host, _, inner = rest.removeprefix("//").partition("/")
+    try:
+        files, base = fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{host}/")
+    except (ValueError, OSError):
+        return None
+    return files, f"{base.rstrip('/')}/{inner}"
+
+
+def _stream_digests(batches):
+    for batch in batches:
+        digests = []
+        for path in batch.column("path").to_pylist():
+            files, inner = _opened(path)
+            digest = hashlib.sha256()
+            with files.open_input_stream(inner, compression=None) as stream:
+                while chunk := stream.read(CHUNK):
+                    digest.update(chunk)
+            digests.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("path"), batch.column("length"), pa.array(digests, pa.string())],
+            names=["path", "length", "sha256"])
+
+
 def scan_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Files below ``root`` as (path, size_bytes, sha256); contents are hashed in the scan."""
+    """Files below ``root`` as (path, size_bytes, sha256).
+
+    Spark lists the files and places them by size; each is hashed as a stream of 8 MB chunks, so
+    a file may be larger than a task's memory. On a file system that Arrow cannot open contents
+    are hashed as rows, where Spark's limit of 2 GB a file holds. Spark lists no empty files; an
+    artifact is never empty.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(root)
-    base = "/" + root.rstrip("/").lstrip("/") + "/"
+    first = files.select("path").first()
+    if first is not None and _opened(first["path"]) is not None:
+        files = files.select("path", "length").mapInArrow(
+            _stream_digests, "path string, length bigint, sha256 string")
+    else:
+        files = files.select("path", "length", F.sha2("content", 256).alias("sha256"))
     # file:/a/b -> a path relative to the root
-    local = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?", "")
-    return files.select(
-        F.replace(local, F.lit(base), F.lit("")).alias("path"),
-        F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    base = "/" + re.sub(_SCHEME, "", root).strip("/") + "/"
+    local = F.regexp_replace("path", _SCHEME, "")
+    return files.select(F.replace(local, F.lit(base), F.lit("")).alias("path"),
+                        F.col("length").alias("size_bytes"), "sha256")
 
 
 def artifact_put(incoming: DataFrame) -> DataFrame:
