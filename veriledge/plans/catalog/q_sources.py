@@ -11,7 +11,7 @@ from veriledge.plans.catalog.q_benchmark import fold_sql
 from veriledge.plans.catalog.q_jobs import HISTOGRAM_SQL, SNAPSHOT_SQL, snapshot
 from veriledge.plans.catalog.q_ledger import _CHAIN, chained
 from veriledge.plans.catalog.registry import query
-from veriledge.sources import artifacts, jsonl, ledgers, logs, registry
+from veriledge.sources import artifacts, jsonl, ledger_source, ledgers, logs, registry
 
 
 def mixed_lines(t):
@@ -119,22 +119,36 @@ def _ledger_files(t):
     return path
 
 
-@query("S08_read_ledgers", "raw_events", recursive=True, sql=f"""WITH {_CHAIN},
+_RECEIPTS = f"""WITH {_CHAIN},
     jobs AS (SELECT DISTINCT tenant_id, job_id, CAST(substr(job_id, 2) AS BIGINT) % 3 AS part
         FROM chain)
     SELECT c.tenant_id, c.job_id, CASE j.part WHEN 1 THEN 'line_json' WHEN 2 THEN 'line_fields'
         ELSE '' END AS problems, j.part = 0 AS ok, CASE WHEN j.part = 0 THEN count(*) ELSE 0 END
         AS event_count, CASE WHEN j.part = 0 THEN max_by(event_hash, seq) ELSE '' END AS head_hash
     FROM chain c JOIN jobs j ON j.tenant_id = c.tenant_id AND j.job_id = c.job_id
-    GROUP BY c.tenant_id, c.job_id, j.part""")
+    GROUP BY c.tenant_id, c.job_id, j.part"""
+
+
+@query("S08_read_ledgers", "raw_events", recursive=True, sql=_RECEIPTS)
 def _(t):
     """A third of the ledgers end in a torn line, a third have a field too many in the first."""
-    events = ledgers.read_ledgers(t.spark, _ledger_files(t))
+    return _checked(ledgers.read_ledgers(t.spark, _ledger_files(t)))
+
+
+def _checked(events):
     problems = events.groupBy("tenant_id", "job_id").agg(
         F.concat_ws(",", F.array_sort(F.collect_set("line_problem"))).alias("problems"))
     return ledger.verify_chain(events).drop("error").join(problems, ["tenant_id", "job_id"])
 
 
+@query("S08_ledger_format", "raw_events", recursive=True, sql=_RECEIPTS)
+def _(t):
+    """The same ledgers by the registered format, read by byte ranges."""
+    ledger_source.register(t.spark)
+    lines = t.spark.read.format("ledger").option("split_bytes", 1 << 20).load(_ledger_files(t))
+    return _checked(ledgers.ledger_events(lines))
+
+
 @query("S10_write_receipts", "raw_events", recursive=True, sql=f"""WITH {_CHAIN}
     SELECT tenant_id, job_id, TRUE AS ok, count(*) AS event_count, max_by(event_hash, seq)
         AS head_hash FROM chain GROUP BY 1, 2""")

@@ -24,10 +24,15 @@ def read_ledgers(spark: SparkSession, root: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", "true").option(
         "pathGlobFilter", "*.{jsonl,txt}").text(root).where(F.trim("value") != "")
     path = F.col("_metadata.file_path")
+    return ledger_events(lines.select(F.regexp_extract(path, _PATH, 1).alias("tenant_id"),
+                                      F.regexp_extract(path, _PATH, 2).alias("job_id"), "value"))
+
+
+def ledger_events(lines: DataFrame) -> DataFrame:
+    """Events of ledger lines (tenant_id, job_id, value), with ``line_problem`` as above."""
     names = F.map_keys(F.try_variant_get(fn.parse_json_strict("value"), "$", "map<string,variant>"))
     read = lines.select(
-        F.regexp_extract(path, _PATH, 1).alias("path_tenant"),
-        F.regexp_extract(path, _PATH, 2).alias("path_job"),
+        F.col("tenant_id").alias("path_tenant"), F.col("job_id").alias("path_job"),
         F.from_json("value", S.EVENT).alias("e"), F.array_sort(names).alias("names"))
     wanted = F.array(*[F.lit(n) for n in sorted(S.EVENT.fieldNames())])
     problem = (F.when(F.col("names").isNull(), "line_json")
