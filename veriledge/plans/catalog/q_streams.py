@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from veriledge import schemas as S
 from veriledge.operators import jobs
+from veriledge.operators.ledger import LEDGER
 from veriledge.plans.catalog.q_jobs import BUCKET, BUDGET, CIRCUIT, calls
 from veriledge.plans.catalog.q_ledger import _CHAIN, _SIMPLE, chained
 from veriledge.plans.catalog.registry import query
@@ -12,17 +13,22 @@ from veriledge.streaming import streams
 from veriledge.streaming.stateful import state_session
 
 
-def as_stream(t, df, partitions: int = 2, session=None):
-    """Write a table to the shared folder and read it back as a stream."""
+def as_stream(t, df, placed, session=None):
+    """Write a table to the shared folder and read it back as a stream.
+
+    ``placed`` is a number of files, or the keys whose rows must share a file: files arrive in any
+    order and in several micro-batches, so a key's rows in two files would lose their order.
+    """
     path = t.scratch()
-    df.repartition(partitions).write.parquet(path)
+    rows = df.repartition(placed) if isinstance(placed, int) else df.repartition(*placed)
+    rows.write.parquet(path)
     reader = (session or t.spark).readStream.schema(df.schema)
     return reader.option("maxBytesPerTrigger", str(256 << 20)).parquet(path)
 
 
-def with_state(t, df):
+def with_state(t, df, *keys):
     """The stream in a session that keeps its state in RocksDB."""
-    return as_stream(t, df, session=state_session(t.spark))
+    return as_stream(t, df, keys, state_session(t.spark))
 
 
 def drained(t, stream, mode: str = "append"):
@@ -39,7 +45,8 @@ def _(t):
     n = F.expr("cast(substr(event_id, 2) as bigint)")
     log = chained(t).withColumn("payload", F.when(n % 307 == 0, F.lit('{"k":-1}')).otherwise(
         F.col("payload")))
-    return drained(t, streams.stream_verify_chain(with_state(t, log))).select("event_id", "ok")
+    return drained(t, streams.stream_verify_chain(with_state(t, log, *LEDGER))) \
+        .select("event_id", "ok")
 
 
 @query("ST02_stream_claim_state", sql=f"""WITH {_SIMPLE}
@@ -47,7 +54,7 @@ def _(t):
            CASE WHEN seq >= stop THEN seq = stop END AS stopping,
            CASE WHEN seq = stop THEN code ELSE '' END AS codes FROM a""")
 def _(t):
-    states = streams.stream_claim_state(with_state(t, t.claim_log))
+    states = streams.stream_claim_state(with_state(t, t.claim_log, *LEDGER))
     return drained(t, states).select(
         "event_id", "applied", (F.col("sequence") == F.col("stopped_at")).alias("stopping"), "codes")
 
@@ -87,7 +94,7 @@ def _(t):
     first = jobs.deduplicated_charges(t.charges, order)
     budgets = t.jobs.select("job_id", "max_calls", "max_tokens", "max_cost_microunits")
     log = first.join(budgets, "job_id").drop("occurrences", "conflict")
-    out = streams.stream_budget_admission(with_state(t, log), ["charge_key"], order)
+    out = streams.stream_budget_admission(with_state(t, log, "job_id"), ["charge_key"], order)
     return drained(t, out).select("job_id", "charge_key", "admitted")
 
 
@@ -95,7 +102,7 @@ def _(t):
     SELECT event_id, ev AS event_type, st AS next_state, CAST(fails AS BIGINT) AS failures
     FROM walk""")
 def _(t):
-    out = streams.stream_circuit(as_stream(t, calls(t)), ["event_id"], ["at", "event_id"],
+    out = streams.stream_circuit(as_stream(t, calls(t), ["circuit_id"]), ["event_id"], ["at", "event_id"],
                                  threshold=2, cooldown=5.0, probe_timeout=20.0)
     return drained(t, out).select("event_id", "event_type", "next_state", "failures")
 
@@ -105,7 +112,8 @@ def _(t):
 def _(t):
     log = t.requests.select("tenant_id", "principal_id", "event_id", (F.col("moment") / 1e4)
                             .alias("at"))
-    out = streams.stream_token_bucket(as_stream(t, log), ["event_id"], ["at", "event_id"], 2, 2)
+    out = streams.stream_token_bucket(as_stream(t, log, ["tenant_id", "principal_id"]),
+                                      ["event_id"], ["at", "event_id"], 2, 2)
     return drained(t, out).select("event_id", "allowed", "retry_after")
 
 
@@ -114,7 +122,7 @@ def _(t):
         event_id) AS sequence FROM outbox WHERE dispatched_at IS NULL""")
 def _(t):
     target = t.scratch()
-    streams.stream_outbox(with_state(t, t.outbox), target, t.scratch(), "policy-memory") \
+    streams.stream_outbox(with_state(t, t.outbox, "tenant_id"), target, t.scratch(), "policy-memory") \
         .awaitTermination()
     held = t.spark.read.schema(S.EVENT).option("recursiveFileLookup", "true").parquet(target)
     return held.select("tenant_id", "event_id", "sequence")
