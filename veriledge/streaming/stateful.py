@@ -1,16 +1,21 @@
 """Stateful processors: a key's rows are stepped through one at a time, in their order.
 
-State lives in RocksDB under the query's checkpoint, in maps with one entry per thing that was
-seen, so a step reads a few entries and never a key's whole history. A micro-batch hands over the
-rows of a key as an iterator in any order; they wait for their turn, a bounded number in memory and
-all others in the state store. Memory holds only the order values of a key's rows in one
-micro-batch, which the source's rate limit (``maxBytesPerTrigger``) bounds.
+State lives in RocksDB under the query's checkpoint. A call to the state store costs far more than a
+step, so none is made per row where a key may have many: ids and keys that were seen are packed
+records in buckets (``Records``), and small states of many keys share an entry (``MachineRows``). A
+micro-batch hands over the rows of a key as an iterator in any order; they are sorted in runs, of which
+all but the last lie in a temporary file of the task.
 """
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import pickle
+import tempfile
+import zlib
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -19,8 +24,15 @@ from veriledge import schemas as S
 from veriledge.operators.ordered import Machine
 from veriledge.session import cloned
 
-# Waiting rows of one key that are held in memory; more go to the state store.
-HELD_ROWS = 4096
+# Waiting rows of one key that are held in memory; more go to a temporary file.
+HELD_ROWS = 65_536
+# Rows of a run that are read back at once.
+RUN_BLOCK = 512
+# Records a bucket of the first level is meant to hold, and new ones that wait in memory.
+BUCKET_RECORDS = 4096
+NEW_RECORDS = 1 << 20
+# Groups that share the states of small machines, and the state entries of a group.
+GROUPS, PARTS = 1024, 16
 
 
 def state_session(spark: SparkSession) -> SparkSession:
@@ -31,6 +43,126 @@ def state_session(spark: SparkSession) -> SparkSession:
         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"})
 
 
+class SortedRuns:
+    """Rows in the order of some columns (nulls first), the first that came first where they tie."""
+
+    def __init__(self, names: list[str], order: tuple[str, ...]):
+        self.names, self.order = names, order
+        self.rows, self.runs, self.count, self.file = [], [], 0, None
+
+    def add(self, row) -> None:
+        place = tuple((row[c] is not None, row[c]) for c in self.order)
+        self.rows.append((place, self.count, tuple(row[n] for n in self.names)))
+        self.count += 1
+        if len(self.rows) >= HELD_ROWS:
+            self._spill()
+
+    def _spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.rows.sort()
+        blocks = []
+        for at in range(0, len(self.rows), RUN_BLOCK):
+            blocks.append(self.file.tell())
+            pickle.dump(self.rows[at:at + RUN_BLOCK], self.file, pickle.HIGHEST_PROTOCOL)
+        self.runs.append(blocks)
+        self.rows = []
+
+    def _run(self, blocks: list[int]):
+        for offset in blocks:
+            self.file.seek(offset)
+            yield from pickle.load(self.file)
+
+    def __iter__(self):
+        self.rows.sort()
+        for _, _, values in heapq.merge(*[self._run(b) for b in self.runs], self.rows):
+            yield dict(zip(self.names, values))
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
+def digest(kind: bytes, text: str | None) -> bytes:
+    data = b"0" if text is None else b"1" + text.encode("utf-8", "surrogatepass")
+    return hashlib.blake2b(kind + data, digest_size=16).digest()
+
+
+class Records:
+    """What a key's rows had before: digests of 16 bytes, each with a value of 16 bytes.
+
+    Level n has 4 ** n buckets by digest, each one map entry of packed records; new records go to the
+    first level that has room, so none is moved later. A micro-batch reads a touched bucket once and
+    writes it once per ``NEW_RECORDS``. Only digests that the batch has twice or that are held
+    already are looked up row by row.
+    """
+
+    def __init__(self, handle):
+        self.map = handle.getMapState("records", "bucket bigint", "packed binary")
+
+    def begin(self, count: int) -> None:
+        self.count, self.seen = count, bytearray()
+
+    def see(self, *digests: bytes) -> None:
+        for item in digests:
+            self.seen += item[:8]
+
+    @staticmethod
+    def _level(count: int) -> int:
+        level = 0
+        while count > BUCKET_RECORDS * (4 ** (level + 1) - 1) // 3:
+            level += 1
+        return level
+
+    @staticmethod
+    def _by_bucket(hashes: np.ndarray, level: int):
+        """(map key, positions) of every bucket that the hashes fall into."""
+        buckets = hashes & np.uint64(4 ** level - 1)
+        places = np.argsort(buckets, kind="stable")
+        kept = buckets[places]
+        starts = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]])
+        for start, end in zip(starts, np.r_[starts[1:], len(kept)]):
+            yield (level << 48) + int(kept[start]), places[start:end]
+
+    def ready(self) -> None:
+        hashes = np.sort(np.frombuffer(bytes(self.seen), "<u8"))
+        self.seen = bytearray()
+        self.suspects = set(hashes[1:][hashes[1:] == hashes[:-1]].tolist())
+        self.known, self.new = {}, bytearray()
+        hashes = np.unique(hashes)
+        for level in range(self._level(self.count) + 1 if self.count and len(hashes) else 0):
+            for bucket, places in self._by_bucket(hashes, level):
+                found = self.map.getValue((bucket,))
+                if found is None:
+                    continue
+                packed = bytes(found[0])
+                held = np.frombuffer(packed, "<u8").reshape(-1, 4)[:, 0]
+                for i in np.flatnonzero(np.isin(held, hashes[places])).tolist():
+                    self.suspects.add(int(held[i]))
+                    self.known[packed[32 * i:32 * i + 16]] = packed[32 * i + 16:32 * i + 32]
+
+    def get(self, item: bytes) -> bytes | None:
+        return self.known.get(item)
+
+    def put(self, item: bytes, value: bytes = bytes(16)) -> None:
+        if int.from_bytes(item[:8], "little") in self.suspects:
+            self.known[item] = value
+        self.new += item + value
+        if len(self.new) >= 32 * NEW_RECORDS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.new:
+            rows = np.frombuffer(bytes(self.new), "<u8").reshape(-1, 4)
+            level = self._level(self.count + len(rows))
+            for bucket, places in self._by_bucket(rows[:, 0], level):
+                found = self.map.getValue((bucket,)) if self.count else None
+                packed = (bytes(found[0]) if found is not None else b"") + rows[places].tobytes()
+                self.map.updateValue((bucket,), (packed,))
+            self.count += len(rows)
+            self.new = bytearray()
+
+
 class OrderedRows(StatefulProcessor):
     """Base of the processors below: ``step`` sees the rows of a key in the order of ``order``."""
 
@@ -38,7 +170,6 @@ class OrderedRows(StatefulProcessor):
         self.schema, self.order, self.output = schema, order, output
 
     def init(self, handle) -> None:
-        self.waiting = handle.getMapState("waiting", "place bigint", self.schema)
         self.open(handle)
 
     def open(self, handle) -> None:
@@ -47,6 +178,12 @@ class OrderedRows(StatefulProcessor):
     def load(self) -> None:
         """Read the small part of a key's state that every step needs."""
 
+    def see(self, row) -> None:
+        """Look at a row of the micro-batch, in any order, before the first step."""
+
+    def ready(self) -> None:
+        """Read what the rows seen need of the state."""
+
     def save(self) -> None:
         """Write it back after the last row."""
 
@@ -59,21 +196,18 @@ class OrderedRows(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         from pyspark.sql import Row
 
-        maker, made = Row(*self.schema.fieldNames()), Row(*self.output.fieldNames())
+        made = Row(*self.output.fieldNames())
         self.load()
-        places, held = [], {}
-        for place, row in enumerate(rows):
-            if len(held) < HELD_ROWS:
-                held[place] = row
-            else:
-                self.waiting.updateValue((place,), tuple(row[n] for n in self.schema.fieldNames()))
-            places.append((tuple((row[c] is not None, row[c]) for c in self.order), place))
-        for _, place in sorted(places):
-            row = held.pop(place, None)
-            if row is None:
-                row = maker(*self.waiting.getValue((place,)))
-                self.waiting.removeKey((place,))
-            yield made(*self.step(row))
+        runs = SortedRuns(self.schema.fieldNames(), self.order)
+        try:
+            for row in rows:
+                self.see(row)
+                runs.add(row)
+            self.ready()
+            for row in runs:
+                yield made(*self.step(row))
+        finally:
+            runs.close()
         self.save()
 
 
@@ -82,27 +216,36 @@ def run_processor(stream: DataFrame, keys: list[str], processor: OrderedRows) ->
 
 
 class MachineRows(OrderedRows):
-    """A batch ``Machine`` over a stream; its state is one small JSON text per key."""
+    """A batch ``Machine`` over a stream, keyed by a hash of its keys; ``PARTS`` entries, each a JSON
+    text with the states of some keys, are all the state of a group."""
 
-    def __init__(self, schema, order, output, machine: Machine, keep: tuple[str, ...]):
-        super().__init__(schema, order, output)
+    def __init__(self, schema, keys, order, output, machine: Machine, keep: tuple[str, ...]):
+        super().__init__(schema, (*keys, *order), output)
+        self.keys = keys
         self.start, self.advance, self.reads, self.keep = (
             machine.start, machine.step, machine.reads, keep)
 
     def open(self, handle) -> None:
-        self.state = handle.getValueState("machine", "state string")
+        self.states = handle.getMapState("machines", "part int", "states string")
 
     def load(self) -> None:
-        self.now = json.loads(self.state.get()[0]) if self.state.exists() else None
+        self.parts = {}
 
     def save(self) -> None:
-        self.state.update((json.dumps(self.now),))
+        for part, states in self.parts.items():
+            self.states.updateValue((part,), (json.dumps(states),))
 
     def step(self, row) -> tuple:
-        values = {n: row[n] for n in self.reads}
-        if self.now is None:
-            self.now = self.start(values)
-        self.now, outputs = self.advance(self.now, values)
+        key = json.dumps([row[k] for k in self.keys])
+        part = zlib.crc32(key.encode()) % PARTS
+        states = self.parts.get(part)
+        if states is None:
+            found = self.states.getValue((part,))
+            states = self.parts[part] = json.loads(found[0]) if found is not None else {}
+        now = states.get(key)
+        if now is None:
+            now = self.start(row)
+        states[key], outputs = self.advance(now, row)
         return (*[row[n] for n in self.keep], *outputs)
 
 
@@ -110,38 +253,48 @@ class ChainRows(OrderedRows):
     """Sequence, previous hash, row rules, and ids and keys that occurred before; a break is final."""
 
     def open(self, handle) -> None:
-        self.state = handle.getValueState("chain", "n bigint, head string, error string")
-        self.ids = handle.getMapState("ids", "event_id string", "sequence bigint")
-        self.keys = handle.getMapState("keys", "idempotency_key string", "sequence bigint")
+        self.state = handle.getValueState(
+            "chain", "n bigint, head string, error string, records bigint")
+        self.held = Records(handle)
 
     def load(self) -> None:
-        self.n, self.head, self.error = self.state.get() if self.state.exists() else (0, "", "")
+        found = self.state.get()
+        self.n, self.head, self.error, records = found if found is not None else (0, "", "", 0)
+        self.held.begin(records)
+
+    def see(self, row) -> None:
+        if not self.error:
+            self.held.see(digest(b"i", row["event_id"]), digest(b"k", row["idempotency_key"]))
+
+    def ready(self) -> None:
+        self.held.ready()
 
     def save(self) -> None:
-        self.state.update((self.n, self.head, self.error))
+        self.held.flush()
+        self.state.update((self.n, self.head, self.error, self.held.count))
 
     def step(self, row) -> tuple:
+        ok = False
         if not self.error:
-            self.error = self._problem(row)
-        if self.error:
-            ok = False
-        else:
-            ok, self.n, self.head = True, row["sequence"], row["event_hash"]
-            self.ids.updateValue((row["event_id"],), (row["sequence"],))
-            self.keys.updateValue((row["idempotency_key"],), (row["sequence"],))
+            found = digest(b"i", row["event_id"]), digest(b"k", row["idempotency_key"])
+            self.error = self._problem(row, *found)
+            if not self.error:
+                ok, self.n, self.head = True, row["sequence"], row["event_hash"]
+                for item in found:
+                    self.held.put(item)
         return (row["tenant_id"], row["job_id"], row["sequence"], row["event_id"], ok, self.n,
                 self.error)
 
-    def _problem(self, row) -> str:
+    def _problem(self, row, event_id: bytes, key: bytes) -> str:
         if row["sequence"] != self.n + 1:
             return "sequence_repeated" if (row["sequence"] or 0) <= self.n else "sequence_gap"
         if row["row_error"]:
             return row["row_error"]
         if (row["previous_hash"] or "") != self.head:
             return "previous_hash"
-        if self.ids.containsKey((row["event_id"],)):
+        if self.held.get(event_id) is not None:
             return "duplicate_event_id"
-        if self.keys.containsKey((row["idempotency_key"],)):
+        if self.held.get(key) is not None:
             return "duplicate_idempotency_key"
         return ""
 
@@ -276,50 +429,62 @@ class OutboxRows(OrderedRows):
     """
 
     def open(self, handle) -> None:
-        self.state = handle.getValueState("receipt", "n bigint, head string, error string")
-        self.keys = handle.getMapState("keys", "idempotency_key string", "meaning string")
-        self.ids = handle.getMapState("ids", "event_id string", "sequence bigint")
+        self.state = handle.getValueState(
+            "receipt", "n bigint, head string, error string, records bigint")
+        self.held = Records(handle)
 
     def load(self) -> None:
-        self.n, self.head, self.error = self.state.get() if self.state.exists() else (0, "", "")
+        found = self.state.get()
+        self.n, self.head, self.error, records = found if found is not None else (0, "", "", 0)
+        self.held.begin(records)
+
+    def see(self, row) -> None:
+        self.held.see(digest(b"i", row["event_id"]), digest(b"k", row["idempotency_key"]))
+
+    def ready(self) -> None:
+        self.held.ready()
 
     def save(self) -> None:
-        self.state.update((self.n, self.head, self.error))
+        self.held.flush()
+        self.state.update((self.n, self.head, self.error, self.held.count))
 
     def step(self, row) -> tuple:
-        problem, sequence, previous, digest = "", None, None, None
+        problem, sequence, previous, sealed = "", None, None, None
         if row["sequence"] is not None:
             self._take_over(row)
             problem = "held"
         elif self.error:
             problem = "ledger_invalid"
         else:
-            known = self.keys.getValue((row["idempotency_key"],))
+            key, event_id = digest(b"k", row["idempotency_key"]), digest(b"i", row["event_id"])
+            known = self.held.get(key)
             if known is not None:
-                problem = "replay" if known[0] == row["meaning"] else "idempotency_conflict"
-            elif self.ids.containsKey((row["event_id"],)):
+                problem = ("replay" if known == digest(b"m", row["meaning"])
+                           else "idempotency_conflict")
+            elif self.held.get(event_id) is not None:
                 problem = "duplicate_event_id"
             else:
                 sequence, previous = self.n + 1, self.head
                 text = (f'{row["head"]}"{previous}","schema_version":1,"sequence":{sequence}'
                         f'{row["tail"]}')
-                digest = hashlib.sha256(text.encode("utf-8")).hexdigest()
-                self._hold(row, sequence, digest)
+                sealed = hashlib.sha256(text.encode("utf-8")).hexdigest()
+                self._hold(row, key, event_id, sequence, sealed)
         fields = [row[n] for n in ("event_id", "occurred_at", "tenant_id", "job_id",
                                    "aggregate_type", "aggregate_id", "event_type", "payload",
                                    "idempotency_key")]
-        return (*fields, sequence, previous, digest, problem)
+        return (*fields, sequence, previous, sealed, problem)
 
-    def _hold(self, row, sequence: int, digest: str) -> None:
-        self.n, self.head = sequence, digest
-        self.keys.updateValue((row["idempotency_key"],), (row["meaning"],))
-        self.ids.updateValue((row["event_id"],), (sequence,))
+    def _hold(self, row, key: bytes, event_id: bytes, sequence: int, head: str) -> None:
+        self.n, self.head = sequence, head
+        self.held.put(key, digest(b"m", row["meaning"]))
+        self.held.put(event_id)
 
     def _take_over(self, row) -> None:
+        key, event_id = digest(b"k", row["idempotency_key"]), digest(b"i", row["event_id"])
         broken = (row["sequence"] != self.n + 1 or (row["previous_hash"] or "") != self.head
-                  or row["row_error"] or self.ids.containsKey((row["event_id"],))
-                  or self.keys.containsKey((row["idempotency_key"],)))
+                  or row["row_error"] or self.held.get(event_id) is not None
+                  or self.held.get(key) is not None)
         if broken:
             self.error = self.error or f"sequence {row['sequence']}"
         elif not self.error:
-            self._hold(row, row["sequence"], row["event_hash"])
+            self._hold(row, key, event_id, row["sequence"], row["event_hash"])

@@ -28,7 +28,7 @@ from veriledge.operators.service import (
 )
 from veriledge.session import materialise
 from veriledge.streaming.stateful import (
-    ChainRows, ClaimRows, MachineRows, OutboxRows, run_processor,
+    GROUPS, ChainRows, ClaimRows, MachineRows, OutboxRows, run_processor,
 )
 
 _STATE = "state string"
@@ -78,8 +78,9 @@ def stream_budget_admission(charges: DataFrame, keep: list[str], order: list[str
     machine = _budget_machine()
     kept = ["job_id", *keep]
     out = StructType([charges.schema[n] for n in kept] + machine.output.fields)
-    return run_processor(charges, ["job_id"], MachineRows(
-        charges.schema, tuple(order), out, machine, tuple(kept)))
+    grouped = charges.withColumn("__group", F.pmod(F.xxhash64("job_id"), F.lit(GROUPS)))
+    return run_processor(grouped, ["__group"], MachineRows(
+        charges.schema, ("job_id",), tuple(order), out, machine, tuple(kept)))
 
 
 def stream_circuit(log: DataFrame, keep: list[str], order: list[str], threshold: int = 3,
