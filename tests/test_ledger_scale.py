@@ -1,7 +1,10 @@
 """How much work ledgers cost: partitions of a fold, and how often events are made."""
+import pytest
 from pyspark.sql import functions as F
 
+from veriledge import schemas as S
 from veriledge.operators import ledger
+from veriledge.sources import ledgers
 
 
 def _events(spark, n, jobs=1):
@@ -39,3 +42,28 @@ def test_events_are_made_once_for_all_rules_of_a_ledger(spark):
         spark.sparkContext.parallelize(rows, 4).map(counted), events.schema)
     assert all(r["ok"] for r in ledger.verify_chain(read).collect())
     assert made.value == 300
+
+
+def test_folder_names_are_those_of_the_pattern(spark):
+    pattern = r"(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/[^/]+\.(?:jsonl|txt)$"
+    paths = ["file:/a/b/t/j/e.jsonl", "file:///r=1/t=x/j=y/e.txt", "s3://b/t=/=j/e.jsonl",
+             "file:/a/t=x=y/j=/e.x.jsonl", "file:/a/%20t/j%2F=k/events-0.jsonl"]
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select(
+        F.regexp_extract("p", pattern, 1).alias("a"), F.regexp_extract("p", pattern, 2).alias("b"),
+        ledgers._folder(F.col("p"), 2).alias("c"), ledgers._folder(F.col("p"), 1).alias("d"))
+    for row in rows.collect():
+        assert (row["a"], row["b"]) == (row["c"], row["d"])
+
+
+def test_ledger_files_come_back_by_parts(spark, tmp_path):
+    events = ledger.build_ledger(_events(spark, 40, jobs=3), ["n"], partitions=2)
+    line = F.to_json(F.struct(*S.EVENT.fieldNames()), {"ignoreNullFields": "false"})
+    root = str(tmp_path / "l")
+    lines = events.select("tenant_id", "job_id", F.floor(F.col("sequence") / 5).alias("part"),
+                          line.alias("value"))
+    assert ledgers.write_ledger_files(lines, root) == 9
+    back = ledgers.read_ledgers(spark, root)
+    found = {r["job_id"]: r["event_count"] for r in ledger.verify_chain(back).collect()}
+    assert found == {"j0": 14, "j1": 13, "j2": 13}
+    with pytest.raises(Exception, match="not a folder name"):
+        ledgers.write_ledger_files(lines.withColumn("job_id", F.lit("..")), root)

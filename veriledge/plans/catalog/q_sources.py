@@ -109,13 +109,13 @@ def _ledger_files(t):
                    F.lit(',"event_hash":"'), "event_hash", F.lit('"}'))
     events = chained(t).withColumn("envelope", fn.envelope_json()).withColumn("value", raw)
     wide = F.concat(F.lit('{"extra":0,'), F.expr("substr(value, 2)"))
+    first = F.col("sequence") == 1
     lines = events.select(
-        F.col("tenant_id").alias("t"), F.col("job_id").alias("j"),
-        F.when((part == 2) & (F.col("sequence") == 1), wide).otherwise(F.col("value")).alias("value"))
-    torn = events.where((part == 1) & (F.col("sequence") == 1)).select(
-        F.col("tenant_id").alias("t"), F.col("job_id").alias("j"),
-        F.expr("substr(value, 1, 40)").alias("value"))
-    lines.union(torn).repartition("t", "j").write.partitionBy("t", "j").text(path)
+        "tenant_id", "job_id", F.floor(F.col("sequence") / 65_536).alias("part"), F.explode(
+            F.when((part == 2) & first, F.array(wide))
+            .when((part == 1) & first, F.array("value", F.expr("substr(value, 1, 40)")))
+            .otherwise(F.array("value"))).alias("value"))
+    ledgers.write_ledger_files(lines, path)
     return path
 
 
@@ -136,9 +136,12 @@ def _(t):
 
 
 def _checked(events):
-    problems = events.groupBy("tenant_id", "job_id").agg(
-        F.concat_ws(",", F.array_sort(F.collect_set("line_problem"))).alias("problems"))
-    return ledger.verify_chain(events).drop("error").join(problems, ["tenant_id", "job_id"])
+    """Receipts with the line problems of each ledger; the files are read once for both."""
+    checked = ledger.chain_violations(events)
+    line = F.filter("violations", lambda v: v["code"] == "line_invalid")
+    problems = checked.groupBy("tenant_id", "job_id").agg(F.concat_ws(",", F.array_sort(
+        F.collect_set(F.get(line, F.lit(0))["detail"]))).alias("problems"))
+    return ledger.receipts_of(checked).drop("error").join(problems, ["tenant_id", "job_id"])
 
 
 @query("S08_ledger_format", "raw_events", recursive=True, sql=_RECEIPTS)

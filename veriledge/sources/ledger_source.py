@@ -34,6 +34,13 @@ class Ranges(InputPartition):
     parts: list
 
 
+def open_root(root: str):
+    """(file system, path) of a folder that Arrow can open."""
+    if "://" in root:
+        return fs.FileSystem.from_uri(root)
+    return fs.LocalFileSystem(), root.removeprefix("file:")
+
+
 def _name(folder: str) -> str:
     return folder.rsplit("/", 1)[-1].split("=", 1)[-1]
 
@@ -79,9 +86,7 @@ class LedgerReader(DataSourceReader):
                 yield item
 
     def _open(self):
-        if "://" in self.root:
-            return fs.FileSystem.from_uri(self.root)
-        return fs.LocalFileSystem(), self.root.removeprefix("file:")
+        return open_root(self.root)
 
     def _folders(self, files, folder: str, column: str):
         wanted = self.wanted.get(column)
