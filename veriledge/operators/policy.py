@@ -192,7 +192,7 @@ def recall_candidate(scores: DataFrame, applications: DataFrame, families: DataF
         applications.select("strategy_id", "target_task_family").join(
             listed.select(*STRATEGY, "__place"), "strategy_id")
         .select(*ASKED, "__place")).distinct().join(asked, ASKED, "left_semi")
-    first = _first_gaps(taken, asked)
+    first = _first_gaps(materialise(taken), asked)  # read by both of its passes
     return listed.join(first, ["tenant_id", "__place"]).select(
         *scores.columns, "target_task_family", F.lit(1).alias("rank"))
 
