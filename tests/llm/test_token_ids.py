@@ -116,3 +116,23 @@ def test_empty_table_and_clashing_columns(spark, documents):
     assert ids.encode_documents(documents([]), path).collect() == []
     docs = spark.sql("SELECT 1L AS doc_id, 'a b' AS text, 'q' AS k, 7 AS t, 9 AS shard, 'p' AS path")
     assert ids.encode_documents(docs, path).first()["n_tokens"] == 3
+
+
+def test_ascii_words_need_no_normaliser(spec):
+    encoder = ids.WordEncoder(spec, ids.id_type(spec, 2))
+    whole = ids.WholeEncoder(spec, encoder.dtype)
+    seen, real = [], encoder.tokenizer
+
+    class Watched:
+        model, encode_batch_fast = real.model, real.encode_batch_fast
+
+        class normalizer:
+            @staticmethod
+            def normalize_str(text):
+                seen.append(text)
+                return real.normalizer.normalize_str(text)
+
+    encoder.tokenizer, encoder.words, encoder.pieces = Watched, {}, {}
+    text = "Plain WORDS, don't 12a3 \x00A\x7f ~Q_b École Straße İx " + "".join(map(chr, range(33, 127)))
+    assert encoder.encode(text) == whole.encode(text)
+    assert seen == [" ".join(seen[0].split(" "))] and all(not w.isascii() for w in seen[0].split(" "))

@@ -139,13 +139,18 @@ class WordEncoder:
         # told apart again after joining; the library itself takes the others.
         odd = [word for word in words if word.split() != [word]]
         words = [word for word in words if word.split() == [word]]
-        plain = self.tokenizer.normalizer.normalize_str(" ".join(words)).split(" ")
-        if len(plain) != len(words):
+        # To the normaliser, ASCII is only letters to lower.
+        wide = [word for word in words if not word.isascii()]
+        plain = self.tokenizer.normalizer.normalize_str(" ".join(wide)).split(" ")
+        if len(plain) != len(wide):
             # Without words at all, or where the normaliser knows more white space.
-            plain = [None] * len(words)
+            plain = [None] * len(wide)
+        normals = dict(zip(wide, plain))
         model, pieces = self.tokenizer.model, self.pieces
-        for word, normal in zip(words, plain):
-            if normal is None or "<|" in word or normal and max(normal) >= LATIN_END:
+        for word in words:
+            quick = word.isascii()
+            normal = word.lower() if quick else normals[word]
+            if normal is None or "<|" in word or not quick and normal and max(normal) >= LATIN_END:
                 odd.append(word)
                 continue
             # The common shapes, letters and letters with one mark, need no pattern.
