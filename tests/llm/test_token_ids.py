@@ -136,3 +136,26 @@ def test_ascii_words_need_no_normaliser(spec):
     text = "Plain WORDS, don't 12a3 \x00A\x7f ~Q_b École Straße İx " + "".join(map(chr, range(33, 127)))
     assert encoder.encode(text) == whole.encode(text)
     assert seen == [" ".join(seen[0].split(" "))] and all(not w.isascii() for w in seen[0].split(" "))
+
+
+def test_a_full_store_of_words_forgets_and_goes_on(spec, monkeypatch):
+    """Words that were known when the store is emptied are learnt again with the new ones."""
+    whole = ids.WholeEncoder(spec, "<u2")
+    monkeypatch.setattr(ids, "WORDS_KEPT", 40)
+    encoder = ids.WordEncoder(spec, "<u2")
+    encoder.words, encoder.pieces = {}, {}
+    for i in range(60):
+        text = f"the same words école 日本語 , x{i} then {'abcdefg'[i % 7] * (i + 1)} and  the same"
+        assert encoder.encode(text) == whole.encode(text)
+        assert len(encoder.words) <= 40 + len(set(text.split(" ")))
+
+
+def test_long_texts_go_in_blocks_and_long_words_are_not_kept(spec, monkeypatch):
+    whole = ids.WholeEncoder(spec, "<u2")
+    monkeypatch.setattr(ids, "WORDS_TOGETHER", 7)
+    encoder = ids.WordEncoder(spec, "<u2")
+    encoder.words, encoder.pieces = {}, {}
+    for text in (" ".join(f"w{i % 11}" for i in range(100)), "日本語の文" * 300 + " a " + "é" * 400 + " a",
+                 "y" * 900, " " * 30, "a " * 21):
+        assert encoder.encode(text) == whole.encode(text) == encoder.encode(text)
+    assert max(map(len, [*encoder.words, *encoder.pieces])) <= 64

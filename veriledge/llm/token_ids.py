@@ -25,8 +25,11 @@ from veriledge.llm.common import open_store, shared_folder
 
 MAGIC = b"VLTOKEF1"
 SAMPLE = 512
-# Distinct words that a Python worker remembers before it starts afresh.
+# Distinct words that a Python worker remembers before it starts afresh, and the words of a text that
+# are looked up together. Longer words and pieces, as of scripts without spaces, are not remembered.
 WORDS_KEPT = 1_000_000
+WORDS_TOGETHER = 65_536
+LONGEST_KEPT = 64
 # Fixed value: how the public tokenizer file splits normalised text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Words with later letters are left to the whole library, whose character classes may be newer.
@@ -132,9 +135,6 @@ class WordEncoder:
 
     def _learn(self, words) -> None:
         """Add distinct words to what is known."""
-        if len(self.words) + len(words) > WORDS_KEPT:
-            self.words.clear()
-            self.pieces.clear()
         # The normaliser makes one space of any run of white space, so only words without it can be
         # told apart again after joining; the library itself takes the others.
         odd = [word for word in words if word.split() != [word]]
@@ -162,11 +162,14 @@ class WordEncoder:
                 split = self.pattern.findall(normal)
             code = []
             for piece in split:
-                if piece not in pieces:
+                found = pieces.get(piece)
+                if found is None:
                     spelt = piece if piece.isascii() and piece.isprintable() else \
                         piece.encode().decode("latin-1").translate(self.letters)
-                    pieces[piece] = self._bytes([t.id for t in model.tokenize(spelt)])
-                code.append(pieces[piece])
+                    found = self._bytes([t.id for t in model.tokenize(spelt)])
+                    if len(piece) <= LONGEST_KEPT:
+                        pieces[piece] = found
+                code.append(found)
             self.words[word] = b"".join(code)
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self.words[word] = self._bytes(found.ids)
@@ -176,18 +179,27 @@ class WordEncoder:
             if space in text:
                 text = text.replace(space, " ")
         words = text.split(" ")
+        if len(words) <= WORDS_TOGETHER:
+            return self._joined(words)
+        return b"".join(self._joined(words[at:at + WORDS_TOGETHER])
+                        for at in range(0, len(words), WORDS_TOGETHER))
+
+    def _joined(self, words) -> bytes:
         try:
             return b"".join(map(self.words.__getitem__, words))
         except KeyError:
-            self._learn({w for w in words if w not in self.words})
-            return b"".join(map(self.words.__getitem__, words)) if len(words) <= WORDS_KEPT else \
-                b"".join(self._slowly(words))
-
-    def _slowly(self, words):
-        for word in words:
-            if word not in self.words:
-                self._learn({word})
-            yield self.words[word]
+            new = {w for w in words if w not in self.words}
+        if max(len(self.words) + len(new), len(self.pieces)) > WORDS_KEPT:
+            self.words.clear()
+            self.pieces.clear()
+            # Those that were known until now are forgotten as well.
+            new = set(words)
+        self._learn(new)
+        found = b"".join(map(self.words.__getitem__, words))
+        for word in new:
+            if len(word) > LONGEST_KEPT:
+                del self.words[word]
+        return found
 
 
 SPACES = "\t\n\v\f\r"
