@@ -5,7 +5,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from veriledge.functions import scalars as fn
-from veriledge.plans.catalog import QUERIES
+from veriledge.plans.catalog import ORACLES, QUERIES
 from veriledge.sources import jsonl
 
 
@@ -34,6 +34,28 @@ def test_all_documents_are_normalised(spark, folder):
         assert got[key] == hashlib.sha256(want.encode()).hexdigest()
 
 
+def test_every_script_is_normalised_and_checked(spark, tmp_path):
+    """F08 reads documents of any script, and its SQL says the same of them."""
+    import hashlib
+
+    import duckdb
+
+    rng = random.Random(3)
+    pool = [chr(c) for c in range(1, 0x110000) if unicodedata.decomposition(chr(c)) or unicodedata.combining(chr(c))]
+    texts = ["plain  text", "École\u00a0d'été", "e\u0301 \uff07 \ufb01", "中文 ①", "", None, None, "plain  text"]
+    texts += ["".join(rng.choices([*pool, "a", " ", "é", "가"], k=rng.randrange(1, 9))) for _ in range(500)]
+    spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id bigint, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    want = sorted((i // 2, "-" if t is None else hashlib.sha256(
+        " ".join(unicodedata.normalize("NFKC", f"  {t} x").split()).encode()).hexdigest()) for i, t in enumerate(texts))
+    got = QUERIES["F08_normalize_passage"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["norm_sha256"] or "-") for r in got) == want
+    with duckdb.connect() as duck:
+        duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        said = duck.execute(ORACLES["F08_normalize_passage"]).fetchall()
+    assert sorted((i, t or "-") for i, t in said) == want
+
+
 def test_undecodable_bytes_are_dropped(spark, tmp_path):
     rng = random.Random(2)
     good = ["é", "中", "😀", "�", "a", "߿", "\U0010ffff"]
