@@ -2,6 +2,7 @@
 import random
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from veriledge import schemas as S
@@ -131,3 +132,77 @@ def test_records_grow_by_levels(monkeypatch):
         records.flush()
         count = records.count
     assert count == 480 and len(store.maps["records"]) > 30
+
+
+MARKS = {"event_mark": (b"i", "event_id"), "key_mark": (b"k", "idempotency_key"), "meaning_mark": (b"m", "meaning")}
+READY = ("event_id string, occurred_at string, tenant_id string, job_id string, aggregate_type string, "
+         "aggregate_id string, event_type string, payload string, idempotency_key string, "
+         "sequence bigint, previous_hash string, event_hash string")
+
+
+def packs(rows, order, names, batch=50):
+    """What the packer makes of rows that come as some Arrow batches."""
+    kinds = {"sequence": pa.int64(), "turn": pa.int64(), "created_at": pa.float64()}
+    schema = pa.schema([(n, kinds.get(n, pa.string())) for n in names])
+    batches = [pa.RecordBatch.from_pylist(rows[i:i + batch], schema) for i in range(0, len(rows), batch)]
+    return list(stateful.packer(("tenant_id", "job_id"), order, MARKS)(iter(batches)))
+
+
+@pytest.mark.parametrize("held, each", [(65_536, 4096), (64, 16), (10, 3)])
+def test_packed_rows_are_chained_like_single_rows(monkeypatch, held, each):
+    """Rows of a key reach the state in packs, as one where they are few; its layout stays as it was."""
+    for name, value in {"PACK_ROWS": held, "PACKED_ROWS": each, "RUN_BLOCK": each, "MERGED_BLOCKS": 2}.items():
+        monkeypatch.setattr(stateful, name, value)
+    schema = S.flat(READY + ", created_at double, row_error string, meaning string, head string, tail string, "
+                    "turn bigint")
+    out = S.flat(READY + ", problem string")
+    order, rnd, stores, number = ("turn", "created_at", "event_id"), random.Random(5), (Store(), Store()), 0
+    for step in range(3):
+        rows = []
+        for n in range(400):
+            number += 1
+            key = rnd.randrange(number) if n % 5 == 1 else number
+            event = rnd.randrange(number) if n % 7 == 3 else number
+            rows.append({**dict.fromkeys(schema.fieldNames()), "event_id": f"e{event}", "payload": None if n % 4 else "é" * n,
+                         "tenant_id": "t", "job_id": "j", "idempotency_key": f"k{key}", "row_error": "",
+                         "meaning": f"m{key}" if n % 3 else "other", "head": "{", "tail": "}", "turn": number,
+                         "created_at": None if n % 2 else float(n)})
+        if not step:  # the ledger held an event before
+            rows[0] |= {"sequence": 1, "turn": 1, "event_hash": "h" * 64}
+        rnd.shuffle(rows)
+        single = stateful.OutboxRows(schema, order, out)
+        single.init(stores[0])
+        want = [tuple(r) for r in single.handleInputRows(("t", "j"), iter(rows), None)]
+        made = packs(rows, order, schema.fieldNames())
+        if held > 64:
+            assert sum(b.num_rows for b in made) == 1
+        # The state of single rows is gone on with by packed ones.
+        kind = stateful.PackedOutbox if step else stateful.OutboxRows
+        processor = kind(schema, order, out)
+        processor.init(stores[1])
+        if not step:
+            list(processor.handleInputRows(("t", "j"), iter(rows), None))
+            continue
+        frames = processor.handleInputRows(("t", "j"), (b.to_pandas() for b in made), None)
+        got = [tuple(r.values()) for b in stateful.unpack(
+            pa.RecordBatch.from_pandas(f, preserve_index=False) for f in frames) for r in b.to_pylist()]
+        assert got == want
+    assert stores[0].maps == stores[1].maps and stores[0].values == stores[1].values
+    assert {r[-1] for r in want} == {"", "replay", "idempotency_conflict", "duplicate_event_id"}
+
+
+def test_packs_have_one_key_and_few_bytes(monkeypatch):
+    monkeypatch.setattr(stateful, "PACKED_BYTES", 4000)
+    names = [c.split()[0] for c in READY.split(", ")] + ["meaning"]
+    rows = [{**dict.fromkeys(names), "tenant_id": (None, "a", "b")[n % 3], "job_id": "j", "event_id": f"e{n:03}",
+             "payload": "x" * (9000 if n == 30 else 40)} for n in range(200)]
+    made = packs(rows, ("event_id",), names)
+    seen = []
+    for batch in made:
+        for tenant, data in zip(batch["tenant_id"].to_pylist(), batch["packed"].to_pylist()):
+            table = stateful.unpacked(data)
+            events = table["event_id"].to_pylist()
+            assert set(table["tenant_id"].to_pylist()) == {tenant} and events == sorted(events)
+            assert len(events) == 1 or sum(len(p) for p in table["payload"].to_pylist()) <= 4000
+            seen += events
+    assert sorted(seen) == [r["event_id"] for r in rows] and sum(b.num_rows for b in made) < 30

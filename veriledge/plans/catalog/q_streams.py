@@ -13,22 +13,23 @@ from veriledge.streaming import streams
 from veriledge.streaming.stateful import state_session
 
 
-def as_stream(t, df, placed, session=None):
+def as_stream(t, df, placed, session=None, batch_mb=256):
     """Write a table to the shared folder and read it back as a stream.
 
     ``placed`` is a number of files, or the keys whose rows must share a file: files arrive in any
-    order and in several micro-batches, so a key's rows in two files would lose their order.
+    order and in several micro-batches, so a key's rows in two files would lose their order. Keys of a
+    micro-batch are stepped through side by side, so few files of a batch keep few tasks busy.
     """
     path = t.scratch()
     rows = df.repartition(placed) if isinstance(placed, int) else df.repartition(*placed)
     rows.write.parquet(path)
     reader = (session or t.spark).readStream.schema(df.schema)
-    return reader.option("maxBytesPerTrigger", str(256 << 20)).parquet(path)
+    return reader.option("maxBytesPerTrigger", str(batch_mb << 20)).parquet(path)
 
 
-def with_state(t, df, *keys):
+def with_state(t, df, *keys, batch_mb=256):
     """The stream in a session that keeps its state in RocksDB."""
-    return as_stream(t, df, keys, state_session(t.spark))
+    return as_stream(t, df, keys, state_session(t.spark), batch_mb)
 
 
 def drained(t, stream, mode: str = "append"):
@@ -122,8 +123,8 @@ def _(t):
         event_id) AS sequence FROM outbox WHERE dispatched_at IS NULL""")
 def _(t):
     target = t.scratch()
-    streams.stream_outbox(with_state(t, t.outbox, "tenant_id"), target, t.scratch(), "policy-memory") \
-        .awaitTermination()
+    stream = with_state(t, t.outbox, "tenant_id", batch_mb=2048)
+    streams.stream_outbox(stream, target, t.scratch(), "policy-memory").awaitTermination()
     held = t.spark.read.schema(S.EVENT).option("recursiveFileLookup", "true").parquet(target)
     return held.select("tenant_id", "event_id", "sequence")
 

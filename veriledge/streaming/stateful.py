@@ -5,9 +5,15 @@ step, so none is made per row where a key may have many: ids and keys that were
 records in buckets (``Records``), and small states of many keys share an entry (``MachineRows``). A
 micro-batch hands over the rows of a key as an iterator in any order; they are sorted in runs, of which
 all but the last lie in a temporary file of the task.
+
+A key with very many rows (the outbox) is one task's, where every row that becomes a Python object
+counts. Its rows are sorted and packed as Arrow tables where they are read, by many tasks (``packer``); the
+state's task merges tables and steps through lists of the few values it needs, and its results are
+unpacked after it.
 """
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import json
@@ -16,6 +22,9 @@ import tempfile
 import zlib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
@@ -28,6 +37,12 @@ from veriledge.session import cloned
 HELD_ROWS = 65_536
 # Rows of a run that are read back at once.
 RUN_BLOCK = 512
+# Packed rows of one key, in rows and bytes at most, and the packs of a batch; rows and bytes that are
+# packed at once, and those in memory before a run is written to a file.
+PACKED_ROWS, PACKED_BYTES, PACKED_TOGETHER = 4096, 1 << 20, 64
+PACK_ROWS, PACK_BYTES = 65_536, 64 << 20
+# Blocks of sorted runs that are merged at once.
+MERGED_BLOCKS = 64
 # Records a bucket of the first level is meant to hold, and new ones that wait in memory.
 BUCKET_RECORDS = 4096
 NEW_RECORDS = 1 << 20
@@ -107,6 +122,10 @@ class Records:
         for item in digests:
             self.seen += item[:8]
 
+    def see_all(self, digests: bytes) -> None:
+        """Look at digests that follow one another without gaps."""
+        self.seen += np.frombuffer(digests, "<u8")[::2].tobytes()
+
     @staticmethod
     def _level(count: int) -> int:
         level = 0
@@ -125,11 +144,12 @@ class Records:
             yield (level << 48) + int(kept[start]), places[start:end]
 
     def ready(self) -> None:
-        hashes = np.sort(np.frombuffer(bytes(self.seen), "<u8"))
-        self.seen = bytearray()
+        hashes, self.seen = np.frombuffer(self.seen, "<u8"), bytearray()
+        hashes.sort()
         self.suspects = set(hashes[1:][hashes[1:] == hashes[:-1]].tolist())
         self.known, self.new = {}, bytearray()
-        hashes = np.unique(hashes)
+        if self.count:
+            hashes = np.unique(hashes)
         for level in range(self._level(self.count) + 1 if self.count and len(hashes) else 0):
             for bucket, places in self._by_bucket(hashes, level):
                 found = self.map.getValue((bucket,))
@@ -163,6 +183,168 @@ class Records:
             self.new = bytearray()
 
 
+def _sorted(table: pa.Table, order) -> pa.Table:
+    """The rows by some columns, nulls first; ties stay as they are."""
+    places = pc.sort_indices(table, sort_keys=[(c, "ascending") for c in order], null_placement="at_start")
+    return table.take(places).combine_chunks()
+
+
+def packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(data).read_all()
+
+
+def parts(table: pa.Table, rows: int, starts=(0,)):
+    """(start, end) of rows to pack together: at most so many and, unless it is a single row,
+    ``PACKED_BYTES``, and none across the ``starts``."""
+    sizes = None
+    if table.nbytes > PACKED_BYTES:
+        sizes = np.zeros(table.num_rows + 1, np.int64)
+        for column in table.columns:
+            sizes[1:] += 8 if pa.types.is_primitive(column.type) else pc.fill_null(
+                pc.binary_length(column), 0).to_numpy()
+        sizes = np.cumsum(sizes)
+    for start, end in zip(starts, [*starts[1:], table.num_rows]):
+        while start < end:
+            stop = min(end, start + rows)
+            if sizes is not None:
+                fit = int(np.searchsorted(sizes, sizes[start] + PACKED_BYTES, "right")) - 1
+                stop = min(stop, max(start + 1, fit))
+            yield start, stop
+            start = stop
+
+
+def packer(keys: tuple[str, ...], order: tuple[str, ...], marks: dict[str, tuple[bytes, str]]):
+    """For ``mapInArrow``: rows become sorted runs of one key each, in a column ``packed``.
+
+    ``marks`` are columns to add: the digest, of a kind, of a column.
+    """
+    def runs(batches):
+        table = pa.Table.from_batches(batches)
+        for name, (kind, column) in marks.items():
+            table = table.append_column(name, pa.array(
+                [digest(kind, text) for text in table[column].to_pylist()], pa.binary(16)))
+        table = _sorted(table, [*keys, *order])
+        new = np.zeros(table.num_rows, bool)
+        new[0] = True
+        for name in keys:
+            codes = table[name].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        places, found = [], []
+        for start, end in parts(table, PACKED_ROWS, np.flatnonzero(new).tolist()):
+            places.append(start)
+            found.append(packed(table.slice(start, end - start)))
+            if len(found) >= PACKED_TOGETHER:
+                yield listed(table, places, found)
+                places, found = [], []
+        if found:
+            yield listed(table, places, found)
+
+    def listed(table, places, found):
+        return pa.RecordBatch.from_arrays(
+            [*[table[k].combine_chunks().take(places) for k in keys], pa.array(found, pa.binary())],
+            names=[*keys, "packed"])
+
+    def pack(batches):
+        held, rows, size = [], 0, 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows, size = rows + batch.num_rows, size + batch.nbytes
+            if rows >= PACK_ROWS or size >= PACK_BYTES:
+                yield from runs(held)
+                held, rows, size = [], 0, 0
+        if held:
+            yield from runs(held)
+
+    return pack
+
+
+def unpack(batches):
+    """For ``mapInArrow``: the rows of packed tables, of many short ones together."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        for data in batch.column(0):
+            data = data.as_py()
+            held.append(unpacked(data))
+            rows, size = rows + held[-1].num_rows, size + len(data)
+            if rows >= PACKED_ROWS or size >= PACKED_BYTES:
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+                held, rows, size = [], 0, 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
+class PackedRuns:
+    """``SortedRuns`` of Arrow tables: sorted tables go in in any order, and the rows of all come out in
+    order, as many at once as some blocks have. Memory holds these and, of every run, a block at most."""
+
+    def __init__(self, order: tuple[str, ...]):
+        self.order, self.file, self.blocks = order, None, []
+        self.held, self.rows, self.size = [], 0, 0
+
+    def add(self, data: bytes) -> pa.Table:
+        table = unpacked(data)
+        self.held.append(table)
+        self.rows, self.size = self.rows + table.num_rows, self.size + len(data)
+        if self.rows >= PACK_ROWS or self.size >= PACK_BYTES:
+            self._spill()
+        return table
+
+    def _taken(self) -> pa.Table:
+        table = self.held[0] if len(self.held) == 1 else _sorted(pa.concat_tables(self.held), self.order)
+        self.held, self.rows, self.size = [], 0, 0
+        return table
+
+    def _spill(self) -> None:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        table = self._taken()
+        for start, end in parts(table, RUN_BLOCK):
+            block = packed(table.slice(start, end - start))
+            self.blocks.append((self._place(table, start), len(self.blocks), self.file.tell(), len(block)))
+            self.file.write(block)
+
+    def _place(self, table: pa.Table, i: int) -> tuple:
+        values = [table[c][i].as_py() for c in self.order]
+        return tuple((v is not None, v) for v in values)
+
+    def _read(self, block) -> pa.Table:
+        self.file.seek(block[2])
+        return unpacked(self.file.read(block[3]))
+
+    def __iter__(self):
+        if self.file is None:
+            if self.held:
+                yield self._taken()
+            return
+        if self.held:
+            self._spill()
+        # Rows before the first row of the next block lie in the blocks read so far.
+        self.blocks.sort()
+        left = []
+        for at in range(0, len(self.blocks), MERGED_BLOCKS):
+            end = at + MERGED_BLOCKS
+            table = _sorted(pa.concat_tables([*left, *map(self._read, self.blocks[at:end])]), self.order)
+            cut = table.num_rows
+            if end < len(self.blocks):
+                bound = self.blocks[end][0]
+                cut = bisect.bisect_left(range(cut), bound, key=lambda i: self._place(table, i))
+            if cut:
+                yield table.slice(0, cut)
+            left = [table.slice(cut)]
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 class OrderedRows(StatefulProcessor):
     """Base of the processors below: ``step`` sees the rows of a key in the order of ``order``."""
 
@@ -211,6 +393,14 @@ class OrderedRows(StatefulProcessor):
         self.save()
 
 
+def run_packed(stream: DataFrame, keys: list[str], processor: PackedOutbox, marks) -> DataFrame:
+    """A processor of packed rows: packed before the shuffle and unpacked after the state."""
+    fields = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+    runs = stream.mapInArrow(packer(tuple(keys), processor.order, marks), f"{fields}, packed binary")
+    return runs.groupBy(*keys).transformWithStateInPandas(
+        processor, "packed binary", "append", "none").mapInArrow(unpack, processor.output)
+
+
 def run_processor(stream: DataFrame, keys: list[str], processor: OrderedRows) -> DataFrame:
     return stream.groupBy(*keys).transformWithState(processor, processor.output, "append", "none")
 
@@ -449,42 +639,74 @@ class OutboxRows(OrderedRows):
         self.state.update((self.n, self.head, self.error, self.held.count))
 
     def step(self, row) -> tuple:
-        problem, sequence, previous, sealed = "", None, None, None
+        key, event_id = digest(b"k", row["idempotency_key"]), digest(b"i", row["event_id"])
         if row["sequence"] is not None:
-            self._take_over(row)
-            problem = "held"
-        elif self.error:
-            problem = "ledger_invalid"
+            found = self._take_over(key, event_id, digest(b"m", row["meaning"]), row["sequence"],
+                                    row["previous_hash"], row["event_hash"], row["row_error"])
         else:
-            key, event_id = digest(b"k", row["idempotency_key"]), digest(b"i", row["event_id"])
-            known = self.held.get(key)
-            if known is not None:
-                problem = ("replay" if known == digest(b"m", row["meaning"])
-                           else "idempotency_conflict")
-            elif self.held.get(event_id) is not None:
-                problem = "duplicate_event_id"
-            else:
-                sequence, previous = self.n + 1, self.head
-                text = (f'{row["head"]}"{previous}","schema_version":1,"sequence":{sequence}'
-                        f'{row["tail"]}')
-                sealed = hashlib.sha256(text.encode("utf-8")).hexdigest()
-                self._hold(row, key, event_id, sequence, sealed)
-        fields = [row[n] for n in ("event_id", "occurred_at", "tenant_id", "job_id",
-                                   "aggregate_type", "aggregate_id", "event_type", "payload",
-                                   "idempotency_key")]
-        return (*fields, sequence, previous, sealed, problem)
-
-    def _hold(self, row, key: bytes, event_id: bytes, sequence: int, head: str) -> None:
+            found = self._chain(key, event_id, digest(b"m", row["meaning"]), row["head"], row["tail"])
+        return (*[row[n] for n in self.output.fieldNames()[:-4]], *found)
+
+    def _chain(self, key: bytes, event_id: bytes, meaning: bytes, head: str, tail: str) -> tuple:
+        """(sequence, previous hash, hash, problem) of an outbox row."""
+        if self.error:
+            return None, None, None, "ledger_invalid"
+        known = self.held.get(key)
+        if known is not None:
+            return None, None, None, "replay" if known == meaning else "idempotency_conflict"
+        if self.held.get(event_id) is not None:
+            return None, None, None, "duplicate_event_id"
+        sequence, previous = self.n + 1, self.head
+        text = f'{head}"{previous}","schema_version":1,"sequence":{sequence}{tail}'
+        sealed = hashlib.sha256(text.encode("utf-8")).hexdigest()
+        self._hold(key, event_id, meaning, sequence, sealed)
+        return sequence, previous, sealed, ""
+
+    def _hold(self, key: bytes, event_id: bytes, meaning: bytes, sequence: int, head: str) -> None:
         self.n, self.head = sequence, head
-        self.held.put(key, digest(b"m", row["meaning"]))
+        self.held.put(key, meaning)
         self.held.put(event_id)
 
-    def _take_over(self, row) -> None:
-        key, event_id = digest(b"k", row["idempotency_key"]), digest(b"i", row["event_id"])
-        broken = (row["sequence"] != self.n + 1 or (row["previous_hash"] or "") != self.head
-                  or row["row_error"] or self.held.get(event_id) is not None
-                  or self.held.get(key) is not None)
+    def _take_over(self, key: bytes, event_id: bytes, meaning: bytes, sequence: int, previous: str,
+                   event_hash: str, row_error: str) -> tuple:
+        broken = (sequence != self.n + 1 or (previous or "") != self.head or row_error
+                  or self.held.get(event_id) is not None or self.held.get(key) is not None)
         if broken:
-            self.error = self.error or f"sequence {row['sequence']}"
+            self.error = self.error or f"sequence {sequence}"
         elif not self.error:
-            self._hold(row, key, event_id, row["sequence"], row["event_hash"])
+            self._hold(key, event_id, meaning, sequence, event_hash)
+        return None, None, None, "held"
+
+
+class PackedOutbox(OutboxRows):
+    """``OutboxRows`` over packed rows, which bring the digests of their key, id and meaning."""
+
+    def handleInputRows(self, key, rows, timerValues):
+        self.load()
+        runs = PackedRuns(self.order)
+        try:
+            for frame in rows:
+                for data in frame["packed"]:
+                    table = runs.add(data)
+                    for name in ("event_mark", "key_mark"):
+                        self.held.see_all(b"".join(table[name].to_pylist()))
+            self.ready()
+            for table in map(self._stepped, runs):
+                yield pd.DataFrame({"packed": [packed(table.slice(start, end - start))
+                                               for start, end in parts(table, PACKED_ROWS)]})
+        finally:
+            runs.close()
+        self.save()
+
+    def _stepped(self, table: pa.Table) -> pa.Table:
+        marks = [table[n].to_pylist() for n in ("key_mark", "event_mark", "meaning_mark")]
+        own = [table[n].to_pylist() for n in ("head", "tail")]
+        held = [table[n].to_pylist() for n in ("sequence", "previous_hash", "event_hash", "row_error")]
+        found = [self._chain(*mark, *text) if event[0] is None else self._take_over(*mark, *event)
+                 for mark, text, event in zip(zip(*marks), zip(*own), zip(*held))]
+        fields = self.output.fields
+        made = table.select([f.name for f in fields[:-4]])
+        for field, values in zip(fields[-4:], zip(*found)):
+            kind = pa.int64() if field.dataType.typeName() == "long" else pa.string()
+            made = made.append_column(field.name, pa.array(values, kind))
+        return made

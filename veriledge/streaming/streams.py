@@ -26,9 +26,8 @@ from veriledge.operators.rows import validate_events
 from veriledge.operators.service import (
     circuit_machine, histogram_rows, token_bucket_machine,
 )
-from veriledge.session import materialise
 from veriledge.streaming.stateful import (
-    GROUPS, ChainRows, ClaimRows, MachineRows, OutboxRows, run_processor,
+    GROUPS, ChainRows, ClaimRows, MachineRows, PackedOutbox, run_packed, run_processor,
 )
 
 _STATE = "state string"
@@ -166,8 +165,10 @@ def outbox_events(outbox: DataFrame, audit_job_id: str, held: DataFrame | None =
         "event_id", "occurred_at", "tenant_id", "job_id", "aggregate_type", "aggregate_id",
         "event_type", "payload", "idempotency_key", "sequence", "previous_hash", "event_hash")]
         + S.flat("problem string").fields)
-    return run_processor(ready, ["tenant_id", "job_id"],
-                         OutboxRows(ready.schema, ("turn", "created_at", "event_id"), out))
+    return run_packed(ready, ["tenant_id", "job_id"],
+                      PackedOutbox(ready.schema, ("turn", "created_at", "event_id"), out),
+                      {"event_mark": (b"i", "event_id"), "key_mark": (b"k", "idempotency_key"),
+                       "meaning_mark": (b"m", "meaning")})
 
 
 def stream_outbox(outbox: DataFrame, ledger_path: str, checkpoint: str, audit_job_id: str,
@@ -176,11 +177,13 @@ def stream_outbox(outbox: DataFrame, ledger_path: str, checkpoint: str, audit_jo
 
     The ledger itself is never read again: receipts, keys and ids are the query's state. A batch
     that is run again starts from the same state and overwrites its own folder. Rows that the
-    ledger refuses go to a folder ``refused`` beside it.
+    ledger refuses go to a folder ``-refused`` beside it; ``-batch`` has the rows of the last batch.
     """
     def append(batch: DataFrame, batch_id: int) -> None:
         rows = batch.withColumn("schema_version", F.lit(1).cast(S.EVENT["schema_version"].dataType))
-        rows = materialise(rows)  # written to two folders
+        # Read twice below; the state runs once.
+        rows.write.mode("overwrite").parquet(f"{ledger_path.rstrip('/')}-batch")
+        rows = batch.sparkSession.read.schema(rows.schema).parquet(f"{ledger_path.rstrip('/')}-batch")
         rows.where("problem = ''").select(*S.EVENT.fieldNames()).write.mode("overwrite").parquet(
             f"{ledger_path}/batch={batch_id}")
         rows.where("problem NOT IN ('', 'replay', 'held')").write.mode("overwrite").parquet(
